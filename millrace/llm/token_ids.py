@@ -238,26 +238,27 @@ def write_token_files(docs: DataFrame, path: str = "word_bpe_49k.json", shard: i
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in range(batch.num_rows):
-            file = dac.Reader(batch.column(1)[r].as_buffer())
-            base = batch.column(0)[r].as_py()
-            sums = [zlib.crc32(file.document(k).astype("<u4").tobytes()) for k in range(len(file.doc_ids))]
-            yield pa.RecordBatch.from_arrays([pa.array(file.doc_ids), pa.array(file.offsets[:-1] + base), pa.array(np.diff(file.offsets)), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            file = dac.Reader(batch.column(2)[r].as_buffer())
+            n = len(file.doc_ids)
+            sums = [zlib.crc32(file.document(k).astype("<u4").tobytes()) for k in range(n)]
+            part, number = (pa.array([batch.column(c)[r].as_py()] * n, pa.int32()) for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([part, number, pa.array(file.doc_ids), pa.array(file.offsets[:-1]), pa.array(np.diff(file.offsets)), pa.array(sums, pa.int64())], ["part", "number", "doc_id", "local", "n_tokens", "ids_crc32"])
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files.
 
-    ``start`` counts the tokens of all documents before: within a part by a window,
-    between parts by their sums, of which the driver holds one each.
+    ``start`` counts the tokens of all documents before: within a part by a window
+    over its files, between parts by their sums, of which the driver holds one each.
+    The files' bytes are read in place; only a small row a document is joined.
     """
     sums = {r["part"]: r["n"] for r in files.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
     base, total = [], 0
     for part in sorted(sums):
         base.append((part, total))
         total += sums[part]
-    spark = files.sparkSession
-    bases = spark.createDataFrame(base, "part int, base long")
-    within = files.select("part", "number", F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    # One small row a part and one a file; the files' bytes move once.
-    starts = within.join(F.broadcast(bases), "part").select("part", "number", (F.col("base") + F.col("before")).alias("start"))
-    return files.join(starts, ["part", "number"]).select("start", "file").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    bases = F.broadcast(files.sparkSession.createDataFrame(base, "part int, base long"))
+    before = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1))
+    starts = files.select("part", "number", F.coalesce(before, F.lit(0)).alias("before")).join(bases, "part")
+    rows = files.select("part", "number", "file").mapInArrow(_read, "part int, number int, doc_id long, local long, n_tokens long, ids_crc32 long")
+    return rows.join(starts, ["part", "number"]).select("doc_id", (F.col("base") + F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
