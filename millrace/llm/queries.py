@@ -15,6 +15,18 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import encoded_documents
+
+    return encoded_documents(_table(spark, sf_dir, "documents"), "piece_bpe_32k.model")
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_ids import read_token_files, write_token_files
 
