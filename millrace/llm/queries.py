@@ -27,6 +27,18 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_table(spark, sf_dir, "documents"))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .main_text import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
+def op7_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_crf import quality
+
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_ids import read_token_files, write_token_files
 
