@@ -39,6 +39,18 @@ def op7_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import suffix_dedup
+
+    return suffix_dedup(_table(spark, sf_dir, "documents"), width=50)
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import substring_dedup
+
+    return substring_dedup(_table(spark, sf_dir, "documents"), width=50)
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_ids import read_token_files, write_token_files
 
