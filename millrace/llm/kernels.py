@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-#: Text bytes handled at once; bounds the temporaries to a few dozen MB.
-SLICE = 1 << 21
+#: Text bytes handled at once; bounds the temporaries to some tens of MB.
+SLICE = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}

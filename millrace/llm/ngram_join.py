@@ -44,7 +44,7 @@ LEAF = 32
 #: Cells' members joined block by block.
 BLOCK = 2048
 #: Keys that a scanning task holds before it sends them.
-HELD = 1 << 21
+HELD = 1 << 20
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

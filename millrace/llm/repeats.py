@@ -33,7 +33,7 @@ from .store import cut, only, partitions
 
 U64 = np.uint64
 #: Anchors that a scanning task holds before it sends them.
-HELD = 1 << 21
+HELD = 1 << 20
 #: Open segments of an anchor that stay together.
 HOT = 20_000
 #: Bytes of texts put into one blob, about.
