@@ -40,8 +40,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of an Arrow batch at most; documents are long, and a Python worker holds a batch several times over.
+BATCH_ROWS = 1000
+
+
 def only(docs: DataFrame, *columns: str) -> DataFrame:
-    """The columns an operator reads, and no rows without an id; further columns never clash with its own."""
+    """The columns an operator reads, and no rows without an id; further columns never clash with its own.
+
+    Also holds the session's Arrow batches to BATCH_ROWS rows, which bounds workers' memory.
+    """
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
     return docs.select(*columns).where(F.col(columns[0]).isNotNull())
 
 
