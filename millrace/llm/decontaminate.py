@@ -73,6 +73,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     """
     items = only(benchmark, "item_id", "text").select("item_id", F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("w"))
     items = items.select("item_id", "row", grams(F.col("w")).alias("g")).where("size(g) > 0")
+    items = cut(items, "grams")
     items = cut(items.select("item_id", "row", "g", F.size("g").alias("n"), simhash(F.col("g")).alias("item_hash")), "items")
     places = items.select("item_id", "row", "n", F.posexplode_outer("g").alias("place", "gram"))
 
@@ -87,7 +88,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     near = only(docs, "doc_id", "text").join(ids, "doc_id", "left_semi").select("doc_id", F.xxhash64("text").alias("copy"), "text").dropDuplicates(["doc_id", "copy"])
     near = near.select("doc_id", "copy", grams(words(F.col("text"))).alias("g"))
     windows = starts.join(near, ["doc_id", "copy"]).select("doc_id", "copy", "item_id", "row", "start", F.slice("g", F.col("start") + 1, F.col("n")).alias("g"))
-    windows = cut(windows.withColumn("hash", simhash(F.col("g"))), "windows")
+    # Written before they are hashed: a lambda over a computed array would compute it again for every bit.
+    windows = cut(windows, "windows").withColumn("hash", simhash(F.col("g")))
+    windows = cut(windows, "hashes")
 
     key = ["doc_id", "copy", "row", "start"]
     theirs = items.select("row", "item_hash", F.explode_outer(blocks(F.col("item_hash"))).alias("b")).select("row", "item_hash", "b.block", "b.value")
