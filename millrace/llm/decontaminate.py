@@ -86,7 +86,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     # Only documents with a shared 5-gram are read again.
     ids = _sized(starts.select("doc_id").distinct(), bound)
     near = only(docs, "doc_id", "text").join(ids, "doc_id", "left_semi").select("doc_id", F.xxhash64("text").alias("copy"), "text").dropDuplicates(["doc_id", "copy"])
-    near = near.select("doc_id", "copy", grams(words(F.col("text"))).alias("g"))
+    near = near.select("doc_id", "copy", words(F.col("text")).alias("w")).select("doc_id", "copy", grams(F.col("w")).alias("g"))
     windows = starts.join(near, ["doc_id", "copy"]).select("doc_id", "copy", "item_id", "row", "start", F.slice("g", F.col("start") + 1, F.col("n")).alias("g"))
     # Written before they are hashed: a lambda over a computed array would compute it again for every bit.
     windows = cut(windows, "windows").withColumn("hash", simhash(F.col("g")))
