@@ -1,4 +1,138 @@
-"""Registered queries of the text-preparation engine."""
+"""Registered queries of the text-preparation engine, with SQL for DuckDB where SQL can express them.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+The SQL is RE2's dialect: back references are spelled out, and classes say what Java's mean.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import chunking, cleaning, quality
+from . import pipeline
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    docs = cleaning.clean_text(_t(spark, d, "documents").select("doc_id", "lang", "text"))
+    return quality.classify(quality.score(docs))
+
+
+def flagship_quality_report(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).groupBy("lang", "reason").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+def paragraph_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).select("doc_id", F.round("score", 4).alias("score"), F.round("alphabetic_ratio", 3).alias("alphabetic_ratio"), F.round("repeated_token_ratio", 3).alias("repeated_token_ratio"), F.round("stopword_ratio", 3).alias("stopword_ratio"), "reason")
+
+
+def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    return quality.exact_dedup(_t(spark, d, "documents").select("doc_id", "text"), ["doc_id"]).select("doc_id")
+
+
+def markup_stripped(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "pages").select("page_id", F.length(T.strip_markup(F.col("html"))).alias("n_chars"), F.md5(T.strip_markup(F.col("html")).cast("binary")).alias("text_md5"), T.contains_markup(T.strip_markup(F.col("html"))).alias("still_marked"))
+
+
+def web_lines(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select("doc_id", F.length(T.strip_page_numbers(T.strip_web_lines(F.col("text")))).alias("n_chars"))
+
+
+def reflowed(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select("doc_id", F.md5(T.collapse(T.reflow(T.dehyphenate(T.drop_garbage(F.col("text"))))).cast("binary")).alias("text_md5"))
+
+
+def header_footer_lines(spark: SparkSession, d: str) -> DataFrame:
+    pages = _t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), "text")
+    return cleaning.repeated_lines(pages, min_pages=2, share=0.5)
+
+
+def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
+    docs = cleaning.clean_text(_t(spark, d, "documents").select("doc_id", "text"))
+    scored, kept = pipeline.filter_paragraphs(docs, scope="corpus", near=False)
+    return quality.stats(scored, kept, [])
+
+
+def survivors(spark: SparkSession, d: str) -> DataFrame:
+    return pipeline.process_table(_t(spark, d, "documents"), "doc_id")[1].select("doc_id", "para_no", "score")
+
+
+def filter_examples(spark: SparkSession, d: str) -> DataFrame:
+    return quality.examples(_scored(spark, d), ["lang"], ["doc_id"], 60).select("lang", "example_no", F.substring("original", 1, 400).alias("original"), "keep", "reason")
+
+
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.chunk(cleaning.clean_text(_t(spark, d, "documents").select("doc_id", "text")), "doc_id", 512, 50, 64)
+
+
+def conversation_documents(spark: SparkSession, d: str) -> DataFrame:
+    pages = _t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), "text")
+    return pipeline.process_pages(pages, "doc_id")[0].drop("warnings", "removed_lines")
+
+
+def token_blocks(spark: SparkSession, d: str) -> DataFrame:
+    words = _t(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", " ")).alias("pos", "tok"))
+    out = chunking.token_blocks(words, 8, ["item_id"])
+    return out.select("item_id", "pos", F.array_join("x", " ").alias("x"), F.array_join("y", " ").alias("y"))
+
+
+def training_batches(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.batches(_t(spark, d, "documents").select("doc_id"), ["doc_id"], 32).groupBy("batch_no").agg(F.count("*").alias("n"))
+
+
+def model_sizes(spark: SparkSession, d: str) -> DataFrame:
+    rows = [(50257, 1536, 34, 1024, True), (50257, 1024, 36, 128, False)]
+    return pipeline.parameter_count(spark.createDataFrame(rows, "vocab int, n_embd int, n_layer int, block int, tied boolean")).select("n_embd", "n_params", "bytes_fp32", "bytes_fp16")
+
+
+QUERIES = {f.__name__: f for f in (flagship_quality_report, paragraph_scores, exact_duplicates, markup_stripped, web_lines, reflowed, header_footer_lines, corpus_stats, survivors, filter_examples, chunks, conversation_documents, token_blocks, training_batches, model_sizes)}
+
+_STRIP = r"regexp_replace({0}, '^[\s\x0b\x1c-\x1f\x{{85}}\x{{a0}}]+|[\s\x0b\x1c-\x1f\x{{85}}\x{{a0}}]+$', '', 'g')"
+_CLEAN = r"""
+lines as (select {key} doc_id, {more} list_filter(list_transform(regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: trim(x, e' \t')), lambda x: x <> '') l from {table}),
+clean as (select doc_id, {more} regexp_replace(array_to_string(l, ' '), '[ \t]+', ' ', 'g') as "text" from lines)"""
+_WORDS = r"list_filter(regexp_split_to_array({0}, '[\s\x0b\x1c-\x1f\x{{85}}\x{{a0}}]+'), lambda x: x <> '')"
+_STOPS = "[" + ", ".join(f"'{w}'" for w in sorted(set(T.STOPWORDS))) + "]"
+_SCORES = (
+    "with " + _CLEAN.format(key="doc_id", more="lang,", table="documents") + r""",
+w as (select *, """ + _WORDS.format("text") + r""" ws, length("text")::double n_c from clean),
+a as (select *, list_filter(list_transform(ws, lambda x: regexp_replace(x, '[^A-Za-z]', '', 'g')), lambda x: x <> '') al, greatest(len(ws), 1)::double n from w),
+m as (select doc_id, lang, "text", len(ws) n_words, len(al) n_alpha,
+  (n_c - length(regexp_replace("text", '\p{L}', '', 'g'))) / greatest(n_c, 1) alphabetic_ratio,
+  (n_c - length(regexp_replace("text", '[^\p{L}\p{N}\s\x0b.,;:!?''"()\-–—…$%/&]', '', 'g'))) / greatest(n_c, 1) unusual,
+  1 - len(list_distinct(list_transform(ws, lambda x: lower(x)))) / n repeated_token_ratio,
+  (n_c - length(regexp_replace("text", '[.,;:!?]', '', 'g'))) / greatest(n_c, 1) punct,
+  len(list_filter(list_transform(ws, lambda x: regexp_replace(x, '[^A-Za-z]', '', 'g')), lambda x: length(x) >= 8 and (not regexp_matches(x, '[aeiouAEIOU]') or regexp_matches(x, '[^aeiouAEIOU\s\d]{6,}') or length(x) > 22))) / n broken,
+  case when len(al) > 0 then length(array_to_string(al, ''))::double / len(al) else 0 end avg_len,
+  case when len(al) > 0 then len(list_filter(al, lambda x: list_contains(""" + _STOPS + r""", lower(x))))::double / len(al) else 0 end stopword_ratio
+  from a),
+s as (select *, greatest(0, least(100, 100 - (greatest(0, 0.5 - alphabetic_ratio) * 100 + unusual * 120 + greatest(0, repeated_token_ratio - 0.4) * 80
+  + greatest(0, punct - 0.15) * 100 + broken * 100 + greatest(0, avg_len - 7) * 6 + case when n_alpha >= 3 and stopword_ratio = 0 then 25 else 0 end
+  + case when n_words <= 1 then 65 when n_words = 2 then 30 when n_words <= 4 then 12 else 0 end))) score from m),
+r as (select *, case when round(unusual, 3) > 0.15 then 'unusual_characters' when score < 40 then 'low_quality' else 'kept' end reason from s)
+"""
+)
+_MARK = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<svg\b[^>]*>.*?</svg>', ' ', 'g'), '(?i)<\?xml[^>]*\?>', ' ', 'g'), '</?[a-zA-Z][a-zA-Z0-9:_-]*(?:\s+[^<>]*)?/?>', ' ', 'g'), '&(?:amp|lt|gt|quot|apos|nbsp|#\d+|#x[0-9a-fA-F]+);', ' ', 'g')"
+_SPLIT = r"regexp_split_to_array({0}, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]')"
+
+ORACLES = {
+    "flagship_quality_report": _SCORES + "select lang, reason, count(*) n, sum(length(\"text\"))::bigint chars from r group by all",
+    "paragraph_scores": _SCORES + "select doc_id, round(score, 4) score, round(alphabetic_ratio, 3) alphabetic_ratio, round(repeated_token_ratio, 3) repeated_token_ratio, round(stopword_ratio, 3) stopword_ratio, reason from r",
+    "exact_duplicates": "select min(doc_id) doc_id from documents group by regexp_replace(lower(" + _STRIP.format("text") + r"), '\s+', ' ', 'g')",
+    "markup_stripped": "with x as (select page_id, array_to_string(list_filter(" + _SPLIT.format(_MARK) + r", lambda x: not regexp_matches(x, '(?i)^\s*(?:svg|html|xml)\s*$')), e'\n') t from pages) select page_id, length(t) n_chars, md5(t) text_md5, regexp_matches(t, '</?[a-zA-Z][a-zA-Z0-9:_-]*(?:\s+[^<>]*)?/?>') still_marked from x",
+    "web_lines": "select doc_id, length(array_to_string(list_filter(" + _SPLIT.format("text") + r", lambda x: not regexp_matches(x, '(?i)^\s*(?:https?://|www\.)\S+\s*$') and not regexp_matches(x, '(?i)^\s*(?:page\s+)?[-–—]?\s*\d{1,4}\s*(?:of\s*\d{1,4})?\s*[-–—]?\s*$') and not regexp_matches(x, '(?i)^\s*[ivxlcdm]{1,6}\s*$') and not regexp_matches(x, '(?i)^\s*(read more|menu|navigation|sign up|log in)\s*$')), e'\n')) n_chars from documents",
+    "reflowed": "with " + _CLEAN.format(key="doc_id", more="", table="documents") + " select doc_id, md5(\"text\") text_md5 from clean",
+    "header_footer_lines": "with l as (select conv_id doc_id, turn, unnest(x) line, generate_subscripts(x, 1) n, len(x) k from (select conv_id, turn, list_filter(list_transform(" + _SPLIT.format("text") + ", lambda x: trim(x)), lambda x: x <> '') x from conversations)), e as (select distinct doc_id, turn, line from l where (n <= 2 or n > k - 2) and not regexp_matches(line, '^[0-9]+$') and length(line) >= 3), p as (select conv_id doc_id, count(*) c from conversations group by 1) select doc_id, line from e join p using (doc_id) where c >= 2 group by doc_id, line, c having count(*) >= greatest(2, floor(c * 0.5))",
+    "filter_examples": _SCORES + ", e as (select *, row_number() over (partition by lang order by doc_id) example_no from r) select lang, example_no::int example_no, substr(\"text\", 1, 400) original, reason = 'kept' keep, reason from e where example_no <= 60",
+    "corpus_stats": _SCORES + """, k as (select doc_id, "text", row_number() over (partition by regexp_replace(lower("text"), '\\s+', ' ', 'g') order by doc_id) c from r where reason = 'kept')
+select (select sum(length("text")) + 2 * (count(*) - 1) from r)::bigint original_chars, (select count(*) from r) original_paragraphs, 0::bigint removed_non_english, 0::bigint removed_markup, 0::bigint removed_citations,
+(select count(*) from r where reason <> 'kept') removed_low_quality, (select sum(length("text")) + 2 * (count(*) - 1) from k where c = 1)::bigint clean_chars, (select count(*) from k where c = 1) remaining_paragraphs,
+(select count(*) from r) - (select count(*) from k where c = 1) removed_paragraphs, (select count(*) from k where c > 1) duplicates_removed""",
+    "token_blocks": "with w as (select item_id, string_split(text, ' ') w from benchmark), p as (select item_id, w, unnest(range(0, greatest(len(w) - 8, 0))) pos from w) select item_id, pos::int pos, array_to_string(w[pos + 1:pos + 8], ' ') x, array_to_string(w[pos + 2:pos + 9], ' ') y from p",
+    "training_batches": "select unnest(range(0, count(*) // 32)) batch_no, 32::bigint n from documents",
+    "model_sizes": "with c(v, n_embd, l, b, tied) as (values (50257::bigint, 1536, 34, 1024, true), (50257, 1024, 36, 128, false)), p as (select n_embd, v * n_embd + b * n_embd + l * (12 * n_embd * n_embd::bigint + 13 * n_embd) + 2 * n_embd + case when tied then 0 else v * n_embd end n_params from c) select n_embd, n_params, 4 * n_params bytes_fp32, 2 * n_params bytes_fp16 from p",
+}
