@@ -32,7 +32,7 @@ _SPOT = rf"(?<= )({_STOP}) (?!{_STOP} )(?=(\S+) (?:{_STOP} )*+(\S+) )"
 
 def signatures(text: Column) -> Column:
     """The sorted set of hashes of a text's signatures; each scan of the text is linear in its length."""
-    plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit("  "))
+    plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit("  "))
     marked = F.regexp_replace(plain, _SPOT, "\u0001$1 $2 $3\u0002")
     spots = F.regexp_extract_all(marked, F.lit("\u0001([^\u0002]*)\u0002"), F.lit(1))
     whole = F.array(F.concat(F.lit("\u0001"), plain))
