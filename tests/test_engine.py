@@ -42,11 +42,11 @@ def test_broken_words(spark):
 
 
 def test_repeated_lines_and_cleaning(spark):
-    pages = [("d", i, f"HEAD\nbody {i} text\n{i}") for i in range(4)] + [("e", 0, "HEAD\nx")]
+    pages = [("d", i, f"HEAD\nbody {i} text\n{i}") for i in range(4)] + [("e", 0, "HEAD\nyes")]
     df = spark.createDataFrame(pages, "doc_id string, page_no int, text string")
     assert [tuple(r) for r in cleaning.repeated_lines(df).collect()] == [("d", "HEAD")]
     out = {r["doc_id"]: r for r in cleaning.clean(df).collect()}
-    assert out["d"]["text"] == "\n\n".join(f"body {i} text" for i in range(4)) and out["e"]["text"] == "HEAD x"
+    assert out["d"]["text"] == "\n\n".join(f"body {i} text" for i in range(4)) and out["e"]["text"] == "HEAD yes"
     assert out["d"]["warnings"] == ["Removed 1 repeated header/footer line(s)."]
 
 
