@@ -127,9 +127,20 @@ class Model:
         return np.where(np.diff(first) > 0, out, NOTHING)
 
 
+def _sliced(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``features`` of many documents, made slice by slice: the temporaries of all at once wouldn't fit a driver."""
+    rows = pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.large_string())], ["text"])
+    parts = [features(d, o) for _, _, d, o in K.slices(rows)]
+    if not parts:
+        return features(data, offsets)
+    ends = np.cumsum([0] + [len(x) for x, _, _ in parts])
+    first = np.concatenate([f[:-1] + e for (_, _, f), e in zip(parts, ends)] + [ends[-1:]])
+    return np.concatenate([x for x, _, _ in parts]), np.concatenate([n for _, n, _ in parts]), first
+
+
 def fit(data: np.ndarray, offsets: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS) -> Model:
     """The field's most likely weights, by Adam; every line of a training document bears its label."""
-    x, size, first = features(data, offsets)
+    x, size, first = _sliced(data, offsets)
     model = Model(np.zeros(x.shape[1]), np.zeros((2, 2)))
     if not len(x) or len(set(labels.tolist())) < 2:
         model.shift = float(np.clip(np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5)), -6, 6)) if len(labels) else 0.0
