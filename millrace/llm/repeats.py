@@ -36,8 +36,10 @@ U64 = np.uint64
 HELD = 1 << 20
 #: Open segments of an anchor that stay together.
 HOT = 20_000
-#: Bytes of texts put into one blob, about.
-PACKED = 1 << 20
+#: Buckets for each of the session's shuffle partitions: a bucket is sorted in a worker's memory.
+SPREAD = 3
+#: Bytes of texts that a task packs at once.
+PACKED = 1 << 23
 COLUMNS = "kind string, bucket int, a binary, b binary, c binary, d binary"
 _SCHEMA = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), *((k, pa.binary()) for k in "abcd")])
 
@@ -221,7 +223,7 @@ def texts(docs: DataFrame, homes: int) -> DataFrame:
                 for i in range(hi - lo):
                     held[where[lo + i]].append((ids[lo + i], raw[offsets[i] : offsets[i + 1]]))
                 size += len(raw)
-                if size >= min(homes, 64) * PACKED // 2:
+                if size >= PACKED:
                     yield from flush()
                     size = 0
         yield from flush()
@@ -367,7 +369,7 @@ def documents(docs: DataFrame) -> DataFrame:
 
 def repeated(docs: DataFrame, of: Windows, compare: Callable, finish: Callable, schema: str, hot: int = HOT) -> DataFrame:
     """Rows made by ``finish`` from each document and the windows of it that a smaller doc_id has too."""
-    n = partitions(docs.sparkSession)
+    n = SPREAD * partitions(docs.sparkSession)
     met = docs.mapInArrow(_scan(of, n, n), COLUMNS).repartition(n, "bucket").mapInArrow(_meet(n, hot), COLUMNS)
     met = cut(met, "segments")
     opened = texts(docs, n).union(met.where("kind in ('o', 'h')")).repartition(n, "bucket")
