@@ -69,7 +69,10 @@ def discover(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, page_no, text, warning, error) of all pages; a file that fails gives one row with its error."""
+    """(path, page_no, text, warning, error) of all pages; a file that fails gives one row with its error.
+
+    Files of no bytes give no row, as Spark makes no split of them.
+    """
     extractors = dict(_EXTRACTORS)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

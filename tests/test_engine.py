@@ -100,7 +100,7 @@ def test_blocks_and_batches(spark):
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "a.txt").write_bytes(b"x\r\ny\xff")
-    (tmp_path / "sub" / "b.TXT").write_text("")
+    (tmp_path / "sub" / "b.TXT").write_text(" ")
     (tmp_path / "c.bin").write_text("no")
     (tmp_path / "d.jsonl").write_text('{"text": "one"}\n\nbad{\n{"text": "", "content": "two"}\n{"x": 1}\n5\n')
     pages = {r["path"].rsplit("/", 1)[-1]: r for r in readers.read_pages(spark, [str(tmp_path)]).collect()}
