@@ -69,6 +69,8 @@ class Model:
             self.scores[text], self.ids[text] = -math.log(rank + 2.7), i
         self.longest = max(map(len, self.scores))
         self.fallback = min(self.scores.values()) - BYTES_PENALTY
+        # Scores by what pieces begin with: a start's edges end where nothing goes on so.
+        self.reach = {t[:k]: -math.inf if k > 1 else self.fallback for t in self.scores for k in range(1, len(t))} | self.scores
 
     def table(self, spark: SparkSession) -> DataFrame:
         """(piece, id, score): as many rows as the vocabulary, whatever the corpus."""
@@ -80,15 +82,17 @@ class Model:
 
     def fold(self, word: str) -> list[int]:
         """Viterbi over one word, by the rule of the lattice."""
-        n = len(word)
+        n, reach, fallback = len(word), self.reach, self.fallback
         best, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
-        for end in range(1, n + 1):
-            top, size = best[end - 1] + self.scores.get(word[end - 1 : end], self.fallback), 1
-            for length in range(2, min(self.longest, end) + 1):
-                score = self.scores.get(word[end - length : end])
-                if score is not None and best[end - length] + score >= top:
-                    top, size = best[end - length] + score, length
-            best[end], back[end] = top, size
+        # Longer edges to an end come first, so of equal sums the longer stays.
+        for start in range(n):
+            base, end = best[start], start + 1
+            score = reach.get(word[start:end], fallback)
+            while score is not None:
+                if base + score > best[end]:
+                    best[end], back[end] = base + score, end - start
+                end += 1
+                score = reach.get(word[start:end]) if end <= n else None
         out, end = [], n
         while end:
             piece = word[end - back[end] : end]
