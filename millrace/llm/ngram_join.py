@@ -17,7 +17,9 @@ coordinate minima of two points bound the overlap of the two sets from above.
 3. *R-tree.*  Cells that still hold more than one component go through an R-tree
    over the count vectors: blocks are packed by recursive tiling, and pairs of
    nodes and of points are dropped when their bound is below the overlap they
-   need.  Surviving pairs across components are verified with the whole sets.
+   need.  First every document's likeliest partner in another component is verified,
+   which joins most of what a large group of near copies has left apart; then all
+   surviving pairs across the components that remain are.
 
 No pair at or above the threshold is lost: it shares a cell, and in each cell all
 pairs are linked, already connected, or bounded out.
@@ -302,24 +304,40 @@ class Tree:
         return found[np.minimum(query, points).sum(1) * (100 + percent) >= percent * (total + points.sum(1))]
 
 
-def _search(percent: int):
-    """Pairs (a, b) across components of each block pair (cell, left, right); rows come sorted by these."""
+def _search(percent: int, best: bool):
+    """Pairs across components of each block pair (cell, left, right); rows come sorted by these.
 
-    def join(rows: list[tuple]) -> list[tuple[int, int]]:
+    (a, b, near), near being the bound on the overlap over the sizes' sum: all pairs with a > b, or
+    where ``best`` each document a with its nearest partner b, the least one among equals.
+    """
+
+    def join(rows: list[tuple]) -> list[tuple[int, int, float]]:
         left, right = rows[0][1], rows[0][2]
         ids = np.array([r[3] for r in rows])
         labels = np.array([r[4] for r in rows])
         blocks = np.array([r[5] for r in rows])
         points = np.stack([np.frombuffer(r[6], np.int32) for r in rows])
+        total = points.sum(1)
         base, queries = np.flatnonzero(blocks == left), np.flatnonzero(blocks == right)
         if not len(base) or not len(queries):
             return []
         grown, out = Tree(points[base]), []
+        top: dict[int, tuple[float, int]] = {}
         for q in queries:
             hits = base[grown.search(points[q], percent)]
             hits = hits[labels[hits] != labels[q]]
-            out += [(int(max(ids[q], i)), int(min(ids[q], i))) for i in ids[hits]]
-        return sorted(set(out))
+            if not len(hits):
+                continue
+            near = np.minimum(points[q], points[hits]).sum(1) / (total[q] + total[hits])
+            if not best:
+                out += [(int(max(ids[q], i)), int(min(ids[q], i)), float(n)) for i, n in zip(ids[hits], near)]
+                continue
+            me = int(ids[q])
+            for i, n in zip(ids[hits].tolist(), near.tolist()):
+                for one, two in ((me, i), (i, me)):
+                    if one not in top or (n, -two) > top[one]:
+                        top[one] = (n, -two)
+        return [(a, -b, n) for a, (n, b) in top.items()] if best else sorted(set(out))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -337,8 +355,8 @@ def _search(percent: int):
     return run
 
 
-def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+def _pairs(pairs: list[tuple[int, int, float]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "near"])
 
 
 def _texts(docs: DataFrame, ids: DataFrame, bound: int) -> DataFrame:
@@ -382,21 +400,25 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, broad
     groups = cut(components(links), "groups")
 
     # Cells with several components left.
-    named = shared.select("cell", "member").union(shared.select("cell", "leader")).distinct().toDF("cell", "id")
-    named = named.join(groups, "id", "left").select("cell", "id", F.coalesce("component", "id").alias("label"))
-    named = cut(named, "named")
-    mixed = named.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    mixed = mixed.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rest = cut(named.join(mixed, "cell"), "mixed")
-    if not rest.isEmpty():
+    inside = cut(shared.select("cell", "member").union(shared.select("cell", "leader")).distinct().toDF("cell", "id"), "inside")
+    for best in (True, False):
+        named = inside.join(groups, "id", "left").select("cell", "id", F.coalesce("component", "id").alias("label"))
+        named = cut(named, "named")
+        mixed = named.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+        mixed = mixed.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        rest = cut(named.join(mixed, "cell"), "mixed")
+        if rest.isEmpty():
+            break
         points = _texts(docs, rest.select("id"), broadcast_ids).mapInArrow(_points(width), "id long, point binary").dropDuplicates(["id"])
         block = rest.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         # A member goes to each pair of blocks that its own is one of.
         other = block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         spread = other.select("cell", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "id", "label", "block")
         found = spread.join(points, "id").select("cell", "left", "right", "id", "label", "block", "point")
-        found = found.repartition(parts, "cell", "left", "right").sortWithinPartitions("cell", "left", "right").mapInArrow(_search(percent), "a long, b long").distinct()
-        links = links.union(verified(found))
+        found = found.repartition(parts, "cell", "left", "right").sortWithinPartitions("cell", "left", "right").mapInArrow(_search(percent, best), "a long, b long, near double")
+        if best:
+            found = found.groupBy("a").agg(F.max(F.struct("near", (-F.col("b")).alias("b"))).alias("top")).select(F.greatest("a", -F.col("top.b")).alias("a"), F.least("a", -F.col("top.b")).alias("b"))
+        links = cut(links.union(verified(found.select("a", "b").distinct())), "links")
         groups = cut(components(links), "groups")
     sizes = sets.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
     return sizes.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
