@@ -37,8 +37,8 @@ HELD = 1 << 20
 #: Open segments of an anchor that stay together.
 HOT = 20_000
 #: Buckets for each of the session's shuffle partitions: a bucket is sorted in a worker's memory.
-SPREAD = 3
-#: Bytes of texts that a task packs at once.
+SPREAD = 2
+#: Bytes of texts that a task packs at once, and bytes of contexts.
 PACKED = 1 << 23
 COLUMNS = "kind string, bucket int, a binary, b binary, c binary, d binary"
 _SCHEMA = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), *((k, pa.binary()) for k in "abcd")])
@@ -231,16 +231,19 @@ def texts(docs: DataFrame, homes: int) -> DataFrame:
     return docs.mapInArrow(run, COLUMNS)
 
 
-def joined(handle: Callable) -> Callable:
+def joined(handle: Callable, send: Callable | None = None) -> Callable:
     """A task's documents with what was found of them.
 
     Waits for all blobs, since they come in any order; texts stay packed meanwhile.
     Calls ``handle(ids, data, offsets, found)`` for each blob of texts, where
-    ``found[kind]`` has that kind's arrays ordered by document.
+    ``found[kind]`` has that kind's arrays ordered by document.  It gives batches, or
+    tuples of arrays, the last of bytes: these are held up to PACKED bytes over many
+    blobs of texts and go to ``send`` together, so that batches grow with what there
+    is to send and not with the blobs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed, parts = [], {}
+        packed, parts, held, size = [], {}, [], 0
         for rows in batches:
             for r in rows.to_pylist():
                 if r["kind"] == "t":
@@ -258,7 +261,17 @@ def joined(handle: Callable) -> Callable:
             offsets = np.zeros(len(ids) + 1, np.int64)
             np.cumsum(lengths, out=offsets[1:])
             data = np.frombuffer(zstandard.decompress(raw), np.uint8)
-            yield from handle(ids, data, offsets, found)
+            for made in handle(ids, data, offsets, found):
+                if not isinstance(made, tuple):
+                    yield made
+                    continue
+                held.append(made)
+                size += len(made[-1])
+                if size >= PACKED:
+                    yield from send(*(np.concatenate(c) for c in zip(*held)))
+                    held, size = [], 0
+        if held:
+            yield from send(*(np.concatenate(c) for c in zip(*held)))
 
     return run
 
@@ -271,21 +284,27 @@ def of_documents(ids: np.ndarray, arrays: list[np.ndarray]) -> tuple[np.ndarray,
 
 def _contexts(of: Windows, buckets: int, homes: int):
     """Kind ``c``: contexts of open segments by anchor: documents, (first window, windows), anchors, packed bytes after their lengths."""
-    def send(doc, lo, n, anchor, data, start, stop) -> Iterator[pa.RecordBatch]:
+
+    def send(doc, place, anchor, length, data) -> Iterator[pa.RecordBatch]:
         bucket = ((anchor >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+        start = np.cumsum(length) - length
         order = np.argsort(bucket, kind="stable")
         edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
         rows = []
         for b in np.flatnonzero(np.diff(edge)):
             pick = order[edge[b] : edge[b + 1]]
-            length = stop[pick] - start[pick]
-            raw = length.astype(np.uint32).tobytes() + data[K.ragged(start[pick], length)].tobytes()
-            place = (lo[pick].astype(U64) << U64(16)) | n[pick].astype(U64)
-            rows.append(("c", int(b), doc[pick].tobytes(), place.tobytes(), anchor[pick].tobytes(), zstandard.compress(raw, 1)))
+            raw = length[pick].astype(np.uint32).tobytes() + data[K.ragged(start[pick], length[pick])].tobytes()
+            rows.append(("c", int(b), doc[pick].tobytes(), place[pick].tobytes(), anchor[pick].tobytes(), zstandard.compress(raw, 1)))
+            if len(rows) == 64:
+                yield batch(rows)
+                rows = []
         if rows:
             yield batch(rows)
 
-    def handle(ids, data, offsets, found) -> Iterator[pa.RecordBatch]:
+    def context(doc, lo, n, anchor, data, start, stop) -> tuple[np.ndarray, ...]:
+        return doc, (lo.astype(U64) << U64(16)) | n.astype(U64), anchor, stop - start, data[K.ragged(start, stop - start)]
+
+    def handle(ids, data, offsets, found) -> Iterator[pa.RecordBatch | tuple[np.ndarray, ...]]:
         if not found:
             return
         sums, first, begin, end = of.tokens(data, offsets)
@@ -294,7 +313,7 @@ def _contexts(of: Windows, buckets: int, homes: int):
             if len(rows):
                 lo, hi, anchor = (found["o"][i][rows].astype(t) for i, t in ((1, np.int64), (2, np.int64), (3, U64)))
                 at = first[doc] + lo
-                yield from send(ids[doc], lo, hi - lo + 1, anchor, data, begin[at], end[first[doc] + hi + of.width - 1])
+                yield context(ids[doc], lo, hi - lo + 1, anchor, data, begin[at], end[first[doc] + hi + of.width - 1])
         if "h" in found:
             rows, doc = of_documents(ids, found["h"])
             if len(rows):
@@ -310,9 +329,9 @@ def _contexts(of: Windows, buckets: int, homes: int):
                     yield from dealt("f", home(ids[doc[late]], homes), homes, ids[doc[late]], lo[late].astype(np.uint32), lo[late].astype(np.uint32))
                 keep = order[ids[doc[order]] == least]
                 doc, lo, at = doc[keep], lo[keep], at[keep]
-                yield from send(ids[doc], lo, np.ones(len(doc), np.int64), K.mix(content[keep], 32), data, begin[at], end[at + of.width - 1])
+                yield context(ids[doc], lo, np.ones(len(doc), np.int64), K.mix(content[keep], 32), data, begin[at], end[at + of.width - 1])
 
-    return joined(handle)
+    return joined(handle, send)
 
 
 def _search(of: Windows, homes: int, compare: Callable):
