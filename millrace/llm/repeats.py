@@ -389,13 +389,13 @@ def documents(docs: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame, of: Windows, compare: Callable, finish: Callable, schema: str, hot: int = HOT) -> DataFrame:
     """Rows made by ``finish`` from each document and the windows of it that a smaller doc_id has too."""
     n = SPREAD * partitions(docs.sparkSession)
-    met = docs.mapInArrow(_scan(of, n, n), COLUMNS).repartition(n, "bucket").mapInArrow(_meet(n, hot), COLUMNS)
+    met = docs.mapInArrow(_scan(of, n, n), COLUMNS).repartitionById(n, F.col("bucket")).mapInArrow(_meet(n, hot), COLUMNS)
     met = cut(met, "segments")
-    opened = texts(docs, n).union(met.where("kind in ('o', 'h')")).repartition(n, "bucket")
-    contexts = opened.mapInArrow(_contexts(of, n, n), COLUMNS).repartition(n, "bucket", "kind")
+    opened = texts(docs, n).union(met.where("kind in ('o', 'h')")).repartitionById(n, F.col("bucket"))
+    contexts = opened.mapInArrow(_contexts(of, n, n), COLUMNS).repartitionById(n, F.col("bucket"))
     found = cut(contexts.mapInArrow(_search(of, n, compare), COLUMNS), "windows")
     whole = texts(docs, n).union(met.where("kind = 'f'")).union(found)
-    return whole.repartition(n, "bucket").mapInArrow(joined(finish), schema)
+    return whole.repartitionById(n, F.col("bucket")).mapInArrow(joined(finish), schema)
 
 
 def covered(ids: np.ndarray, first: np.ndarray, found: dict, width: int) -> np.ndarray:
