@@ -17,9 +17,12 @@ coordinate minima of two points bound the overlap of the two sets from above.
 3. *R-tree.*  Cells that still hold more than one component go through an R-tree
    over the count vectors: blocks are packed by recursive tiling, and pairs of
    nodes and of points are dropped when their bound is below the overlap they
-   need.  First every document's likeliest partner in another component is verified,
-   which joins most of what a large group of near copies has left apart; then all
-   surviving pairs across the components that remain are.
+   need; points that are left are bounded once more by finer counts.  Cells that
+   hang together by components go through one tree as a whole where that takes fewer
+   rows than cell by cell, as near copies share very many cells.  First every
+   document's likeliest partner in another component is verified, twice, which joins
+   most of what a large group of near copies has left apart; then all surviving pairs
+   across the components that remain are.
 
 No pair at or above the threshold is lost: it shares a cell, and in each cell all
 pairs are linked, already connected, or bounded out.
@@ -31,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +43,8 @@ from .components import components
 from .store import cut, only, partitions
 
 U64 = np.uint64
-#: Groups of a count vector.
-GROUPS = 64
+#: Groups of a count vector in the R-tree, and finer groups that each of them is made of.
+GROUPS, FINER = 64, 8
 #: Points of a leaf of the R-tree.
 LEAF = 32
 #: Cells' members joined block by block.
@@ -115,11 +119,11 @@ def cells(sets: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, n
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def vectors(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
+def vectors(sets: np.ndarray, at: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     """The count vector of each set."""
     n = len(at) - 1
     owner = np.repeat(np.arange(n), np.diff(at))
-    return np.bincount(owner * GROUPS + (K.mix(sets, 9) % U64(GROUPS)).astype(np.int64), minlength=n * GROUPS).reshape(n, GROUPS).astype(np.int32)
+    return np.bincount(owner * groups + (K.mix(sets, 9) % U64(groups)).astype(np.int64), minlength=n * groups).reshape(n, groups).astype(np.int32)
 
 
 _BLOBS = "bucket int, a binary, b binary, c binary, d binary"
@@ -238,12 +242,14 @@ def _sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _points(width: int):
-    """(id, count vector as bytes) of texts."""
+    """(id, fine count vector as packed bytes) of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points = vectors(*_sets(batch.column(1), width))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p.tobytes() for p in points], pa.binary())], ["id", "point"])
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                points = vectors(*_sets(part.column(1), width), GROUPS * FINER)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([zstandard.compress(p.tobytes(), 1) for p in points], pa.binary())], ["id", "point"])
 
     return run
 
@@ -316,8 +322,11 @@ def _search(percent: int, best: bool):
         ids = np.array([r[3] for r in rows])
         labels = np.array([r[4] for r in rows])
         blocks = np.array([r[5] for r in rows])
-        points = np.stack([np.frombuffer(r[6], np.int32) for r in rows])
+        fine = np.stack([np.frombuffer(zstandard.decompress(r[6]), np.int32) for r in rows])
+        # A fine group's number modulo GROUPS is the group that it is part of.
+        points = fine.reshape(len(rows), FINER, GROUPS).sum(1, dtype=np.int32)
         total = points.sum(1)
+        fine = fine.astype(np.min_scalar_type(int(fine.max(initial=0))))
         base, queries = np.flatnonzero(blocks == left), np.flatnonzero(blocks == right)
         if not len(base) or not len(queries):
             return []
@@ -326,9 +335,12 @@ def _search(percent: int, best: bool):
         for q in queries:
             hits = base[grown.search(points[q], percent)]
             hits = hits[labels[hits] != labels[q]]
+            overlap = np.minimum(fine[q], fine[hits]).sum(1, dtype=np.int64)
+            some = overlap * (100 + percent) >= percent * (total[q] + total[hits])
+            hits, overlap = hits[some], overlap[some]
             if not len(hits):
                 continue
-            near = np.minimum(points[q], points[hits]).sum(1) / (total[q] + total[hits])
+            near = overlap / (total[q] + total[hits])
             if not best:
                 out += [(int(max(ids[q], i)), int(min(ids[q], i)), float(n)) for i, n in zip(ids[hits], near)]
                 continue
@@ -401,16 +413,25 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, broad
 
     # Cells with several components left.
     inside = cut(shared.select("cell", "member").union(shared.select("cell", "leader")).distinct().toDF("cell", "id"), "inside")
-    for best in (True, False):
+    for best in (True, True, False):
         named = inside.join(groups, "id", "left").select("cell", "id", F.coalesce("component", "id").alias("label"))
         named = cut(named, "named")
         mixed = named.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-        mixed = mixed.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-        rest = cut(named.join(mixed, "cell"), "mixed")
+        rest = cut(named.join(mixed.select("cell", "lo", "n"), "cell"), "mixed")
         if rest.isEmpty():
             break
+        # Cells that hang together by components: as a whole where that takes fewer rows.
+        tied = components(rest.where("label <> lo").select(F.col("label").alias("a"), F.col("lo").alias("b")).distinct())
+        tied = cut(rest.join(tied.select(F.col("id").alias("label"), F.col("component").alias("whole")), "label"), "tied")
+        wholes = tied.select("whole", "id", "label").distinct()
+        rows = tied.groupBy("whole").agg(F.sum(F.ceil(F.col("n") / BLOCK)).alias("rows"))
+        fewer = wholes.groupBy("whole").agg(F.count("*").alias("n")).join(rows, "whole").where(F.col("n") * F.ceil(F.col("n") / BLOCK) <= F.col("rows"))
+        fewer = cut(fewer.select("whole", "n"), "wholes")
+        units = tied.join(fewer.select("whole"), "whole", "left_anti").select("cell", "id", "label", "n")
+        units = units.union(wholes.join(fewer, "whole").select(F.xxhash64("whole").alias("cell"), "id", "label", "n"))
+        units = units.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
         points = _texts(docs, rest.select("id"), broadcast_ids).mapInArrow(_points(width), "id long, point binary").dropDuplicates(["id"])
-        block = rest.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        block = units.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         # A member goes to each pair of blocks that its own is one of.
         other = block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         spread = other.select("cell", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "id", "label", "block")
