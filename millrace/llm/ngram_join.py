@@ -391,9 +391,10 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, broad
     spark = docs.sparkSession
     docs = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = partitions(spark)
-    raw = cut(docs.mapInArrow(_scan(width, percent, parts), _BLOBS), "cells")
+    raw = cut(docs.mapInArrow(_scan(width, percent, 2 * parts), _BLOBS), "cells")
     sets = raw.where("bucket = -1").mapInArrow(_decode_sets, "doc_id long, n_shingles long, one long, two long")
-    met = raw.where("bucket <> -1").repartition(parts, F.when(F.col("bucket") < 0, F.xxhash64("a")).otherwise(F.col("bucket")))
+    # By the bucket's number: its hash would put several buckets in one task.
+    met = raw.where("bucket <> -1").repartitionById(2 * parts, F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("a"), 2 * parts)).otherwise(F.col("bucket")).cast("int"))
     shared = cut(met.mapInArrow(_gather, "cell long, leader long, member long"), "met")
 
     same = sets.where("n_shingles > 0").groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1")
