@@ -1,9 +1,9 @@
 """Benchmark decontamination by SimHash windows, with DataFrame functions alone.
 
-1. A document's word 5-grams are hashed; those that a benchmark item has too give
-   the places where a window as long as the item would lie over the match.  Any
-   window at the wanted similarity shares a 5-gram with its item, so none is missed.
-2. Each such item-sized window gets a SimHash of 64 bits over its weighted 5-grams,
+1. A document's word 5-grams are hashed.  Every item-sized window, wherever it begins,
+   is a candidate if it holds as many of its item's 5-grams as the wanted similarity
+   needs; a window with fewer cannot reach it, in whatever order its parts stand.
+2. Each such window gets a SimHash of 64 bits over its weighted 5-grams,
    the weight being how often one occurs.
 3. Multi-index Hamming blocks: the fingerprints of window and item are cut into
    RADIUS + 1 blocks; within the radius at least one block is equal, so an equi-join
@@ -62,6 +62,26 @@ def _sized(small: DataFrame, bound: int) -> DataFrame:
     return F.broadcast(small) if small.count() <= bound else small
 
 
+def _starts(hits: DataFrame, similarity: float) -> DataFrame:
+    """(doc_id, copy, item_id, row, n, start) of all windows with enough 5-grams of their item.
+
+    A window of w grams and its item of n are similar only if they share at least
+    similarity * (w + n) / (1 + similarity) grams, so as many places in the window
+    are hits.  From each hit on, the window that holds that hit and the next ones it
+    needs may begin anywhere between the last one's place - n + 1 and the hit.
+    """
+    found = hits.groupBy("doc_id", "copy", "item_id", "row", "n", "m").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    # A little less, against rounding; the exact similarity decides.
+    need = F.ceil((F.least("m", "n") + F.col("n")) * (similarity / (1 + similarity)) - 1e-6).cast("int")
+    found = found.withColumn("need", F.greatest(F.lit(1), need)).where("size(at) >= need")
+    first = F.explode(F.sequence(F.lit(0), F.size("at") - F.col("need"))).alias("i")
+    found = found.select("doc_id", "copy", "item_id", "row", "n", "m", "need", "at", first)
+    lo = F.greatest(F.lit(0), F.get("at", F.col("i") + F.col("need") - 1) - F.col("n") + 1)
+    hi = F.least(F.get("at", F.col("i")), F.greatest(F.lit(0), F.col("m") - F.col("n")))
+    found = found.select("doc_id", "copy", "item_id", "row", "n", lo.alias("lo"), hi.alias("hi")).where("lo <= hi")
+    return found.select("doc_id", "copy", "item_id", "row", "n", F.explode(F.sequence("lo", "hi")).alias("start")).distinct()
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, bound: int = BROADCAST) -> DataFrame:
     """(doc_id, item_id, similarity, distance, start, n_windows): every document and item with a window at the similarity.
 
@@ -69,19 +89,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     ignored, rows without an id dropped, a null text empty.  ``start`` is the first
     word of the best window, the earliest among equals; a window of a document shorter
     than the item is the document.  Texts without words match nothing.  Of rows that
-    share an id each is compared, and the best counts.
+    share an id each is compared, and the best counts.  ``n_windows`` counts all windows
+    at the similarity, at every start.
     """
     items = only(benchmark, "item_id", "text").select("item_id", F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("w"))
     items = items.select("item_id", "row", grams(F.col("w")).alias("g")).where("size(g) > 0")
     items = cut(items, "grams")
     items = cut(items.select("item_id", "row", "g", F.size("g").alias("n"), simhash(F.col("g")).alias("item_hash")), "items")
-    places = items.select("item_id", "row", "n", F.posexplode_outer("g").alias("place", "gram"))
+    places = items.select("item_id", "row", "n", F.explode_outer("g").alias("gram"))
 
     texts = only(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("copy"), words(F.col("text")).alias("w"))
     texts = texts.select("doc_id", "copy", grams(F.col("w")).alias("g"))
-    hits = texts.select("doc_id", "copy", F.size("g").alias("m"), F.posexplode_outer("g").alias("at", "gram")).join(_sized(places, bound), "gram")
-    start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("place"), F.col("m") - F.col("n")))
-    starts = cut(hits.select("doc_id", "copy", "item_id", "row", "n", start.alias("start")).distinct(), "starts")
+    hits = texts.select("doc_id", "copy", F.size("g").alias("m"), F.posexplode_outer("g").alias("at", "gram")).join(_sized(places.distinct(), bound), "gram")
+    starts = cut(_starts(hits, similarity), "starts")
 
     # Only documents with a shared 5-gram are read again.
     ids = _sized(starts.select("doc_id").distinct(), bound)

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -146,6 +147,36 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_finds_reordered_items(spark):
+    rng = np.random.default_rng(3)
+    a, b = [f"a{i}" for i in range(30)], [f"b{i}" for i in range(29)]
+    pad = [f"x{i}" for i in range(200)]
+    loop = ["u", "v"] * 20
+    items = {1: a + b, 2: loop, 3: [f"c{i}" for i in range(16)]}
+    texts = [pad[:70] + b + a + pad[70:], pad[:9] + a[:20] + ["zz"] + a[20:] + b, b + a, ["u", "v"] * 90, a, pad, a[10:] + b + a[:10] + pad + a + b]
+    texts += [list(rng.choice(a + b + items[3], 80)) for _ in range(3)] + [items[3][8:] + items[3][:8]]
+
+    def runs(w):
+        return [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+
+    want = {}
+    for i, t in enumerate(texts):
+        for k, item in items.items():
+            g, own = runs(t), Counter(runs(item))
+            n = own.total()
+            alike = []
+            for s in range(max(0, len(g) - n) + 1):
+                w = Counter(g[s : s + n])
+                if (x := (w & own).total() / (w | own).total()) >= 0.8:
+                    alike.append((x, -s))
+            if alike:
+                want[i, k] = (pytest.approx(max(alike)[0]), -max(alike)[1], len(alike))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["start"], r["n_windows"]) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == want and {(0, 1), (1, 1), (3, 2), (6, 1)} <= set(want)
+
+
 def test_spot_signatures(docs, spark):
     def sigs(text):
         w, common, out = re.sub(r"[^\w]|_", " ", text.lower()).split(), set(spot_signatures.COMMON), set()
