@@ -134,6 +134,16 @@ def test_secrets(spark):
     assert key not in secrets.redact(text) and secrets.redact("plain") == "plain"
 
 
+def test_secrets_cut_short_by_base_patterns(spark):
+    text = "a password = Summer2024!x9$Kq#7Lm b"
+    assert secrets.find(text) == [("assign", 2, 23), ("guess", 13, 33)] and secrets.redact(text) == "a [SECRET] b"
+    assert secrets.find("token=abcdefgh1J7xQ2mR9t") == [("assign", 0, 24)]  # covered whole: nothing to add
+    key = f"key: secret: x!{'ab' * 16}!Q9z#"
+    assert secrets.redact(key) == "key: secret: [SECRET]"
+    row = spark.createDataFrame([(1, text, "")], "doc_id long, text string, lang string")
+    assert secrets.masked(row).first()["text"] == "a [SECRET] b" and secrets.scan(row).first()["n_guess"] == 1
+
+
 def test_decontamination(spark):
     item = " ".join(f"w{i}" for i in range(30))
     near = item.replace("w29", "other")
