@@ -5,8 +5,9 @@ headers, footers, sidebars, notices, adverts, forms or reader comments, by their
 element or its class, id or role, weigh nothing; text of links weighs nothing
 either.  Summed over a sliding window, the weights surge where the main text begins
 and dive where it ends, and the lines between these points are kept.  Where a page
-marks its article, that mark bounds the windows, and short lines inside it count as
-text whatever their length.
+marks its article, that mark bounds the windows, and each line with text in it weighs
+MARK more, so that a headline and short lines surge too; lists of links do not.  Where
+the lines outside the marks hold more text, the marks are teasers and count for nothing.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .store import only
 #: Lines of a window, and the summed weight at which the main text surges.
 WINDOW = 3
 SURGE = 80
+#: What a mark adds to a line with text: a window full of such lines surges.
+MARK = -(-SURGE // WINDOW)
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -124,11 +127,11 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
 def main_text(page: str) -> str:
     """The main text of one page; empty if it has none."""
     found = lines(page)
-    if any(mark for *_, mark in found):
+    weight = np.array([0 if bad else w for _, w, bad, _ in found], int)
+    marked = np.array([mark for *_, mark in found], bool)
+    if marked.any() and weight[marked].sum() >= weight[~marked].sum():
         found = [x for x in found if x[3]]
-        weight = np.array([0 if bad else SURGE + w for _, w, bad, _ in found])
-    else:
-        weight = np.array([0 if bad else w for _, w, bad, _ in found])
+        weight = weight[marked] + MARK * (weight[marked] > 0)
     if not len(weight) or not weight.any():
         return ""
     sums = np.convolve(weight, np.ones(WINDOW, int))[WINDOW - 1 :]  # of each line and those after it

@@ -215,6 +215,21 @@ def test_main_text(spark):
     assert got[1]["text"] == "A & B one two three" and got[2]["text"] == got[3]["text"] == "" and got[4]["n_chars"] == len(" ".join("plain < text é ".split() * 10))
 
 
+def test_main_text_surges_and_dives_with_marks():
+    story = ["Storm", "by Ann", "noon", "The wind rose over the harbour and the boats were brought in before the evening tide came."]
+    text = "".join(f"<p>{x}</p>" for x in story)
+    links = "".join(f'<li><a href="/{i}">Other story {i}</a></li>' for i in range(9))
+    # A list of links ends the text inside a marked article, and a short line behind it is no new surge.
+    assert main_text.main_text(f"<article>{text}<ul>{links}</ul><p>Print</p></article><p>foot</p>") == " ".join([*story, "Other story 0", "Other story 1"])
+    assert main_text.main_text(f"<article><ul>{links}</ul>{text}</article>") == " ".join(story)
+    # A second surge counts as well.
+    assert main_text.main_text(f"<article>{text}<ul>{links}</ul>{text}</article>").endswith(" ".join(story))
+    # Marks on teasers alone: the story stands outside of them.
+    teasers = '<article><a href="/a">A teaser</a><p>Short.</p></article>' * 3
+    page = f"<body>{teasers}<div>{'</div><div>'.join([story[3]] * 4)}</div></body>"
+    assert " ".join([story[3]] * 4) in main_text.main_text(page)
+
+
 def test_quality(spark):
     good = "The cat sat on the mat.\nIt was a fine day."
     bad = "BUY!! NOW!! $$$ ### CHEAP!!\n%%% *** $$$"
