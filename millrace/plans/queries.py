@@ -52,8 +52,7 @@ def header_footer_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
-    docs = cleaning.clean_text(_t(spark, d, "documents").select("doc_id", "text"))
-    scored, kept = pipeline.filter_paragraphs(docs, scope="corpus", near=False)
+    scored, kept = pipeline.process_table(_t(spark, d, "documents"), "doc_id")
     return quality.stats(scored, kept, [])
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 from millrace.operators import chunking, cleaning, near_dedup, quality
 from millrace.plans import pipeline
+from millrace.plans.queries import QUERIES
 from millrace.sources import readers, writers
 
 
@@ -79,6 +80,32 @@ def test_near_dedup_is_greedy_band_by_band(spark):
     assert got == alive and prints[3] == prints[4] == 0
 
 
+def test_corpus_stats_count_near_duplicates(spark, tmp_path):
+    words = [f"{a}{b}" for a in ("the", "river", "stone", "garden", "winter") for b in ("", "s", "ly", "er", "ing", "ed", "un", "ful", "ness", "al")]
+    long = [" ".join(["the", *words[k:], *words[:k], *reversed(words)]) for k in (0, 17)]
+    near = [f"{long[0]} {x}" for x in words[:12]]
+    texts = [*long, *near, long[1].upper(), "word", "The cat sat on the mat and it was happy there."]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    # In plain Python: all but "word" pass the rules; exact copies, then near ones band by band.
+    first = {}
+    for t in texts:
+        if t != "word":
+            first.setdefault(t.lower(), t)
+    alive = [(t, near_dedup.simhash_of(t) % 2**64) for t in first.values()]
+    exact = len(texts) - 1 - len(alive)
+    for k in range(4):
+        left = []
+        for t, p in alive:
+            if not any(p >> 16 * k & 0xFFFF == q >> 16 * k & 0xFFFF and (p ^ q).bit_count() <= 3 for _, q in left):
+                left.append((t, p))
+        alive = left
+    got = QUERIES["corpus_stats"](spark, str(tmp_path)).first()
+    assert exact == 1 and len(alive) < len(first) and got["removed_low_quality"] == 1
+    assert got["duplicates_removed"] == len(texts) - 1 - len(alive) and got["removed_paragraphs"] == len(texts) - len(alive)
+    assert got["remaining_paragraphs"] == len(alive) and got["clean_chars"] == len("\n\n".join(t for t, _ in alive))
+    assert got["original_paragraphs"] == len(texts) and got["original_chars"] == len("\n\n".join(texts))
+
+
 def test_packing():
     text = "\n\n".join(" ".join(f"p{i}w{j}" for j in range(4)) for i in range(5))
     out = chunking.pack(text, 10, 4, 2)
