@@ -8,8 +8,8 @@ for the whole of its words.
 
 To join a corpus with itself, sets are partitioned by their length: a similarity of
 at least t needs lengths within a factor of t.  Within neighbouring partitions sets
-meet on the rarest places of their sorted signatures (the prefix that any similar
-pair shares), and the Jaccard of what is left is computed behind a bound by length.
+meet on the first places of their signatures, sorted by hash (the prefix in which any
+similar pair shares one), and the Jaccard of what is left is computed behind a bound by length.
 """
 
 from __future__ import annotations

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import dac, decontaminate, main_text, ngram_join, pieces, quality_crf, secrets, spot_signatures, substring_dedup, suffix_dedup, token_ids
 
@@ -208,6 +209,26 @@ def test_spot_signatures(docs, spark):
     assert spot_signatures.fingerprints(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("percent", [50, 80])
+def test_similar_by_spot_signatures(spark, percent):
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(40)] + ["the", "a", "of", "und"] * 8
+    base = [list(rng.choice(words, n)) for n in (0, 2, 30, 90, 200, 400)]
+    texts = [*base, base[3]]
+    for b in base[2:]:
+        for share in (0.02, 0.05, 0.1, 0.2):
+            texts.append([str(rng.choice(words)) if rng.random() < share else x for x in b])
+        texts += [b[: len(b) * 9 // 10], b[len(b) // 3 :]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, (len(rows), None)], "doc_id long, text string").repartition(3)
+    sets = {}
+    for r in docs.select("doc_id", spot_signatures.signatures(F.coalesce("text", F.lit(""))).alias("s")).orderBy("doc_id").collect():
+        sets.setdefault(frozenset(r["s"]), r["doc_id"])
+    want = {(i, j): len(s & t) / len(s | t) for s, i in sets.items() for t, j in sets.items() if i < j and 100 * len(s & t) >= percent * len(s | t)}
+    got = [((r["a"], r["b"]), r["similarity"]) for r in spot_signatures.similar(docs, percent).collect()]
+    assert len(got) == len(want) > 3 and dict(got) == pytest.approx(want)
+
+
 def test_main_text(spark):
     page = '<html><head><title>T</title></head><body><nav>menu</nav><div class="ad">buy</div><article><h1>A &amp; B</h1><p>one\n two<br>three</p><div class="comments">first</div><script>x("</p>")</script></article><footer>f</footer>'
     rows = [(1, "u", page, 0), (2, None, None, 0), (3, "u", "", 0), (4, "u", "plain < text &eacute; " * 10, 0)]
