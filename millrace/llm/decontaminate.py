@@ -12,6 +12,9 @@
    a million windows.
 4. Exact weighted similarity, the sum of least counts over the sum of largest ones,
    verifies what is left.
+
+An item of fewer than five words has one gram, all of its words; a document has it
+wherever these words stand in a row.
 """
 
 from __future__ import annotations
@@ -82,6 +85,18 @@ def _starts(hits: DataFrame, similarity: float) -> DataFrame:
     return found.select("doc_id", "copy", "item_id", "row", "n", F.explode(F.sequence("lo", "hi")).alias("start")).distinct()
 
 
+def _short(docs: DataFrame, items: DataFrame, bound: int) -> DataFrame:
+    """(doc_id, copy, item_id, start, distance, similarity) of each place of items (item_id, w) with fewer than GRAM words."""
+    texts = only(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("copy"), words(F.col("text")).alias("w"))
+    out = None
+    for r in items.select(F.size("w").alias("n")).distinct().collect():
+        own = items.where(F.size("w") == r["n"]).select("item_id", grams(F.col("w"), r["n"])[0].alias("gram")).distinct()
+        found = texts.where(F.size("w") >= r["n"]).select("doc_id", "copy", F.posexplode(grams(F.col("w"), r["n"])).alias("start", "gram")).join(_sized(own, bound), "gram")
+        found = found.select("doc_id", "copy", "item_id", "start", F.lit(0).alias("distance"), F.lit(1.0).alias("similarity"))
+        out = found if out is None else out.union(found)
+    return out
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, bound: int = BROADCAST) -> DataFrame:
     """(doc_id, item_id, similarity, distance, start, n_windows): every document and item with a window at the similarity.
 
@@ -93,7 +108,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     at the similarity, at every start.
     """
     items = only(benchmark, "item_id", "text").select("item_id", F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("w"))
-    items = items.select("item_id", "row", grams(F.col("w")).alias("g")).where("size(g) > 0")
+    few = items.where((F.size("w") > 0) & (F.size("w") < GRAM)).select("item_id", "w")
+    items = items.where(F.size("w") >= GRAM).select("item_id", "row", grams(F.col("w")).alias("g"))
     items = cut(items, "grams")
     items = cut(items.select("item_id", "row", "g", F.size("g").alias("n"), simhash(F.col("g")).alias("item_hash")), "items")
     places = items.select("item_id", "row", "n", F.explode_outer("g").alias("gram"))
@@ -124,6 +140,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     # Every window found shares a gram with its item or is below any threshold above 0.
     shared = mine.join(counts, ["row", "gram"]).groupBy(*key, "item_id", "distance", "n", "total").agg(F.sum(F.least("k", "c")).alias("least"))
     exact = shared.withColumn("similarity", F.col("least") / (F.col("n") + F.col("total") - F.col("least"))).where(F.col("similarity") >= similarity)
+    exact = exact.select("doc_id", "copy", "item_id", "start", "distance", "similarity")
+    if not few.isEmpty():
+        exact = exact.union(_short(docs, few, bound))
     best = F.max(F.struct("similarity", (-F.col("start")).alias("start"), (-F.col("distance")).alias("distance"))).alias("best")
     out = exact.groupBy("doc_id", "item_id").agg(best, F.countDistinct("copy", "start").alias("n_windows"))
     return out.select("doc_id", "item_id", "best.similarity", (-F.col("best.distance")).alias("distance"), (-F.col("best.start")).alias("start"), "n_windows")

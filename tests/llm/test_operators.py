@@ -188,6 +188,16 @@ def test_decontamination_finds_reordered_items(spark):
     assert got == want and {(0, 1), (1, 1), (3, 2), (6, 1)} <= set(want)
 
 
+def test_decontamination_by_short_items(spark):
+    long = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"x Short, ONE y {long} short one"), (2, "short one"), (3, "short two one"), (4, "p q r s"), (5, "short"), (6, "o p q r s t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "short one"), (2, "P q, r s"), (3, long), (4, "?")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): tuple(r)[2:] for r in decontaminate.contaminated(docs, bench).collect()}
+    want = {(1, 1): (1.0, 0, 1, 2), (1, 3): (1.0, 0, 4, 1), (2, 1): (1.0, 0, 0, 1), (4, 2): (1.0, 0, 0, 1), (6, 2): (1.0, 0, 1, 1)}
+    assert {k: v for k, v in got.items()} == want
+
+
 def test_spot_signatures(docs, spark):
     def sigs(text):
         w, common, out = re.sub(r"[^\w]|_", " ", text.lower()).split(), set(spot_signatures.COMMON), set()
