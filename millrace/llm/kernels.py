@@ -3,13 +3,21 @@
 Everything here works on the raw UTF-8 buffer of an Arrow string column, so a
 batch of documents costs a handful of NumPy passes and no Python string is made.
 
-Hashes are polynomial sums modulo 2**64 over random byte values.  With ``S`` the
-running sum of ``value[i] * BASE**i``, the hash of the slice ``[s, e)`` is
-``(S[e] - S[s]) * BASE**-s``: any slice of any length costs two look-ups.
+Two kinds of hash stand for strings.
+
+* ``word_hashes`` and ``chained`` pass eight bytes, or one element, after another
+  through a bijective mixer.  Words of one length up to eight bytes never collide; of
+  other strings two differ in their hash but for a chance of ``2**-64``.
+* ``running``, ``hashes`` and ``windows`` are polynomial sums modulo the prime
+  ``2**61 - 1``: with ``S`` the running sum of ``value[i] * BASE**i``, the hash of the
+  slice ``[s, e)`` is ``(S[e] - S[s]) * BASE**-s``, so any slice costs two look-ups.  Two
+  different slices of n elements collide for at most n of the ``2**61`` bases.  (Modulo
+  a power of two, sequences after Thue and Morse would collide for every base.)
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +26,11 @@ import pyarrow as pa
 U64 = np.uint64
 #: Text bytes handled at once; bounds the temporaries to some tens of MB.
 SLICE = 1 << 19
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_BASE, -1, 1 << 64)
+#: The polynomials' modulus and base.
+PRIME = (1 << 61) - 1
+_P = U64(PRIME)
+_BASE = 0x9E3779B97F4A7C15 % PRIME
+_INV = pow(_BASE, -1, PRIME)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -31,40 +42,59 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return z ^ (z >> U64(31))
 
 
-#: A random value per byte, and the same with A-Z folded to a-z.
-BYTES = mix(np.arange(256, dtype=U64), 77)
-FOLDED = BYTES.copy()
-FOLDED[65:91] = BYTES[97:123]
+#: A random value per byte.
+BYTES = mix(np.arange(256, dtype=U64), 77) % _P
+#: Bytes with A-Z folded to a-z.
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
 #: The characters between words: space and U+0009 to U+000D.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a * b`` modulo PRIME, of numbers below it."""
+    low = U64(0xFFFFFFFF)
+    al, ah, bl, bh = a & low, a >> U64(32), b & low, b >> U64(32)
+    mid = al * bh + ah * bl  # below 2**62
+    low_part = al * bl
+    # 2**64 is 8, and 2**61 is 1.
+    out = ((ah * bh) << U64(3)) + (mid >> U64(29)) + ((mid & U64((1 << 29) - 1)) << U64(32)) % _P + (low_part >> U64(61)) + (low_part & _P)
+    return out % _P
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """``base**0 .. base**(n-1)`` modulo 2**64, kept between calls up to a few slices' length."""
+    """``base**0 .. base**(n-1)`` modulo PRIME, kept between calls up to a few slices' length."""
     have = _powers.get(base)
     if have is None or len(have) < n:
         size = 1 << max(16, (n - 1).bit_length())
         have = np.ones(size, U64)
         k, step = 1, base
         while k < size:
-            have[k : 2 * k] = have[:k] * U64(step)
-            k, step = 2 * k, step * step % (1 << 64)
+            have[k : 2 * k] = times(have[:k], np.full(k, step, U64))
+            k, step = 2 * k, step * step % PRIME
         if size <= 4 * SLICE:
             _powers[base] = have
     return have[:n]
 
 
 def running(values: np.ndarray) -> np.ndarray:
-    """``S`` for hashes of slices of ``values``; one longer than they."""
+    """``S`` for hashes of slices of ``values`` (taken modulo PRIME); one longer than they."""
+    terms = times(values % _P, powers(_BASE, len(values)))
+    # Halves apart, so that no sum leaves 64 bits: up to 2**31 elements.
+    low, high = np.cumsum(terms & U64(0xFFFFFFFF)), np.cumsum(terms >> U64(32)) % _P
     out = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * powers(_BASE, len(values)), out=out[1:])
+    out[1:] = (low % _P + (high >> U64(29)) + ((high & U64((1 << 29) - 1)) << U64(32))) % _P
     return out
 
 
+def _slice(sums: np.ndarray, low: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return mix(times((sums + _P - low) % _P, scale))
+
+
 def hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Mixed hashes of the slices ``[start, end)`` of what ``sums`` runs over."""
-    return mix((sums[end] - sums[start]) * powers(_INV, len(sums))[start])
+    return _slice(sums[end], sums[start], powers(_INV, len(sums))[start])
 
 
 def windows(sums: np.ndarray, width: int) -> np.ndarray:
@@ -72,7 +102,46 @@ def windows(sums: np.ndarray, width: int) -> np.ndarray:
     n = len(sums) - width
     if n <= 0:
         return np.zeros(0, U64)
-    return mix((sums[width:] - sums[:n]) * powers(_INV, n))
+    return _slice(sums[width:], sums[:n], powers(_INV, n))
+
+
+#: Pieces of eight bytes that go through the mixer for all words at once; longer words go one by one.
+_PIECES = 16
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Hashes of the byte strings ``data[start:end]``."""
+    length = end - start
+    out = mix(length.astype(U64), 201 + salt)
+    if not len(start):
+        return out
+    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+    live, at = np.arange(len(start)), 0
+    long = np.flatnonzero(length > 8 * _PIECES)
+    if len(long):
+        live = np.flatnonzero(length <= 8 * _PIECES)
+    while len(live):
+        left = np.minimum(length[live] - at, 8)
+        piece = np.ascontiguousarray(eight[start[live] + at]).view("<u8").ravel() & _MASK[left]
+        out[live] = mix(out[live] ^ piece, 202 + salt)
+        at += 8
+        live = live[length[live] > at]
+    for i in long.tolist():
+        raw = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, key=bytes([salt])).digest()
+        out[i] = int.from_bytes(raw, "little")
+    return out
+
+
+def chained(values: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` elements, by start."""
+    n = len(values) - width + 1
+    if n <= 0:
+        return np.zeros(0, U64)
+    out = mix(values[:n], 210)
+    for k in range(1, width):
+        out = mix(out ^ values[k : k + n], 210)
+    return out
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

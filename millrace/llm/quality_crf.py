@@ -60,7 +60,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     # Bytes after a line's end up to the next line's start are white space and count as nothing.
     kind = [np.add.reduceat(t[data], begin).astype(np.float64) for t in _KINDS]
     count = (tail - head + 1).astype(np.float64)
-    word = K.hashes(K.running(K.BYTES[data]), start, end)
+    word = K.word_hashes(data, start, end)
     again = np.zeros((2, len(word)))
     again[0, 1:] = word[1:] == word[:-1]
     again[1, 2:] = word[2:] == word[:-2]

@@ -58,7 +58,7 @@ class Windows:
             place = np.arange(len(data) + 1)
             return K.running(K.BYTES[data]), offsets, place[:-1], place[1:]
         start, end, first = K.words(data, offsets)
-        return K.running(K.hashes(K.running(K.BYTES[data]), start, end)), first, start, end
+        return K.running(K.word_hashes(data, start, end)), first, start, end
 
 
 def _least(key: np.ndarray, width: int) -> np.ndarray:

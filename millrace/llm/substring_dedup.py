@@ -150,7 +150,7 @@ def matches(text: np.ndarray, start: np.ndarray, length: np.ndarray, doc: np.nda
 def compare(width: int):
     def run(data: np.ndarray, ends: np.ndarray, doc: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         begin, end, first = K.words(data, ends)
-        symbols = np.unique(K.hashes(K.running(K.BYTES[data]), begin, end), return_inverse=True)[1] + 1
+        symbols = np.unique(K.word_hashes(data, begin, end), return_inverse=True)[1] + 1
         length = np.diff(first)
         text = np.insert(symbols, first[1:], 0)
         start = first[:-1] + np.arange(len(length))

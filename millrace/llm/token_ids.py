@@ -155,7 +155,7 @@ class Encoder:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents, and how many each has."""
         start, end, first = units(data, offsets)
-        slot = self.find(K.hashes(K.running(K.FOLDED[data]), start, end), data, start, end)
+        slot = self.find(K.word_hashes(K.FOLD[data], start, end), data, start, end)
         length = self.length[slot]
         ids = self.flat[K.ragged(self.start[slot], length)]
         upto = np.zeros(len(slot) + 1, np.int64)
