@@ -12,20 +12,20 @@ coordinate minima of two points bound the overlap of the two sets from above.
    too many groups empty meet by a prefix of their hashes instead, which is as
    complete.  Equal cells, and equal sets, are collapsed in each task before the
    shuffle, so a hot cell sends one row a task.
-2. *Stars.*  Every member of a cell is verified against the member it shares most
-   cells with; the links that hold form components.
-3. *R-tree.*  Cells that still hold more than one component go through an R-tree
-   over the count vectors: blocks are packed by recursive tiling, and pairs of
-   nodes and of points are dropped when their bound is below the overlap they
-   need; points that are left are bounded once more by finer counts.  Cells that
-   hang together by components go through one tree as a whole where that takes fewer
-   rows than cell by cell, as near copies share very many cells.  First every
-   document's likeliest partner in another component is verified, twice, which joins
-   most of what a large group of near copies has left apart; then all surviving pairs
-   across the components that remain are.
-
-No pair at or above the threshold is lost: it shares a cell, and in each cell all
-pairs are linked, already connected, or bounded out.
+2. *Stars.*  A cell is named by its least document, its leader; all cells of one leader
+   are one star, to which each member's set goes once, however many cells they share.
+   Any two documents that share a cell are in one star.
+3. *R-tree.*  In a star an R-tree is packed over the members' count vectors.  Nodes and
+   points whose bound is below the overlap that is needed are dropped, points that are
+   left are bounded once more by finer counts, and the sets of the surviving pairs are
+   intersected, the likeliest first; documents that are connected by then need no
+   further proof.  All links but those of equal sets come from here.
+4. *Large stars.*  A star that weighs more than ``weight`` is dealt into blocks, each with
+   the leader, which are searched like stars.  What then belongs to the star's largest
+   component is connected; only the rest is searched again against all blocks.
+
+No pair at or above the threshold is lost: it shares a cell, and so a star, where it
+is linked, already connected, or bounded out.
 """
 
 from __future__ import annotations
@@ -34,7 +34,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,25 +46,27 @@ U64 = np.uint64
 GROUPS, FINER = 64, 8
 #: Points of a leaf of the R-tree.
 LEAF = 32
-#: Cells' members joined block by block.
-BLOCK = 2048
+#: N-grams of the sets that a task holds of a star, each set counting POINT more for its vectors.
+WEIGHT, POINT = 1 << 22, 256
 #: Keys that a scanning task holds before it sends them.
-HELD = 1 << 20
+HELD = 1 << 19
+#: Rows (16 bytes each) of documents and their stars that are broadcast; more are joined by a shuffle.
+BROADCAST = 1_000_000
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct n-gram hashes of each document, ascending, and where each document's begin (one longer)."""
     start, end, first = K.words(data, offsets)
-    sums = K.running(K.hashes(K.running(K.FOLDED[data]), start, end))
+    word = K.word_hashes(K.FOLD[data], start, end)
     count = np.diff(first)
-    grams = K.windows(sums, width)
+    grams = K.chained(word, width)
     pieces = []
     for d in range(len(count)):
         s, n = int(first[d]), int(count[d])
         if n >= width:
             pieces.append(np.unique(grams[s : s + n - width + 1]))
         elif n:
-            pieces.append(K.hashes(sums, np.array([s]), np.array([s + n])) ^ U64(n))
+            pieces.append(K.mix(K.chained(word[s : s + n], n), n))
         else:
             pieces.append(np.zeros(0, U64))
     at = np.zeros(len(count) + 1, np.int64)
@@ -104,7 +105,7 @@ def cells(sets: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, n
         index = K.ragged(at[doc], size[doc])
         owner = np.repeat(doc, size[doc])
         group = ((sets[index] >> U64(32)) * groups[owner].astype(U64)) >> U64(32)
-        heads = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (group[1:] != group[:-1])])
+        heads = _runs(owner, group)
         of = owner[heads]
         content = _sums(inner[index], heads)
         keys.append(K.mix(content ^ K.mix(group[heads], 1) ^ K.mix(grid[of].astype(U64), 2), 3))
@@ -126,16 +127,17 @@ def vectors(sets: np.ndarray, at: np.ndarray, groups: int = GROUPS) -> np.ndarra
     return np.bincount(owner * groups + (K.mix(sets, 9) % U64(groups)).astype(np.int64), minlength=n * groups).reshape(n, groups).astype(np.int32)
 
 
-_BLOBS = "bucket int, a binary, b binary, c binary, d binary"
+#: What goes through the shuffle: packed numbers, by kind.
+_BLOBS = "kind string, bucket int, a binary, b binary, c binary, d binary"
+_SCHEMA = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), *((k, pa.binary()) for k in "abcd")])
 
 
-def _blob(bucket: int, *arrays: np.ndarray) -> dict:
-    return {"bucket": bucket, **{k: arrays[i].tobytes() if i < len(arrays) else None for i, k in enumerate("abcd")}}
+def _blob(kind: str, bucket: int, *arrays: np.ndarray) -> dict:
+    return {"kind": kind, "bucket": bucket, **{k: arrays[i].tobytes() if i < len(arrays) else None for i, k in enumerate("abcd")}}
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:
-    schema = pa.schema([("bucket", pa.int32()), *((k, pa.binary()) for k in "abcd")])
-    return pa.RecordBatch.from_pylist(rows, schema)
+    return pa.RecordBatch.from_pylist(rows, _SCHEMA)
 
 
 def _runs(*keys: np.ndarray) -> np.ndarray:
@@ -160,22 +162,41 @@ def _meet(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return key[heads], doc[heads], key[shared], lead[shared], doc[shared]
 
 
+def _named(key: np.ndarray, buckets: int) -> np.ndarray:
+    """A cell's name: its bucket, and 32 bits of its key."""
+    return (key & U64(0xFFFFFFFF)) | ((key >> U64(32)) * U64(buckets) >> U64(32)) << U64(32)
+
+
 def _scan(width: int, percent: int, buckets: int):
-    """Bucket -1: ids, sizes and fingerprints of sets.  -2: members met within the task.  Others: keys and least members."""
+    """Kind ``s``: ids, sizes and fingerprints of sets.  ``m``: members met within the task.  ``k``: keys with their least members.
+
+    A key's upper bits choose its bucket and 32 others go on: keys that collide make
+    documents meet for nothing, and no more.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         known: set[tuple[int, int]] = set()
-        count = 0
+        count = turn = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal turn
             key, doc, *met = _meet(np.concatenate([k for k, _ in held]), np.concatenate([d for _, d in held]))
             if len(met[0]):
-                yield _batch([_blob(-2, *met)])
+                yield _batch([_blob("m", turn % buckets, _named(met[0], buckets), *met[1:])])
+                turn += 1
             bucket = (key >> U64(32)) * U64(buckets) >> U64(32)
+            low = (key & U64(0xFFFFFFFF)).astype(np.uint32)
             edge = np.searchsorted(bucket, np.arange(buckets + 1))
-            for lo in range(0, buckets, 64):
-                yield _batch([_blob(b, key[edge[b] : edge[b + 1]], doc[edge[b] : edge[b + 1]]) for b in range(lo, min(lo + 64, buckets)) if edge[b] < edge[b + 1]])
+            rows = []
+            for b in np.flatnonzero(np.diff(edge)).tolist():
+                own, at = np.unique(doc[edge[b] : edge[b + 1]], return_inverse=True)
+                rows.append(_blob("k", b, low[edge[b] : edge[b + 1]], at.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32), own))
+                if len(rows) == 64:
+                    yield _batch(rows)
+                    rows = []
+            if rows:
+                yield _batch(rows)
             held.clear()
             known.clear()
 
@@ -188,7 +209,8 @@ def _scan(width: int, percent: int, buckets: int):
                 one, two = np.zeros(hi - lo, U64), np.zeros(hi - lo, U64)
                 one[full] = _sums(K.mix(sets, 11), at[full])
                 two[full] = _sums(K.mix(sets, 12), at[full])
-                yield _batch([_blob(-1, own, size, one, two)])
+                yield _batch([_blob("s", turn % buckets, own, size, one, two)])
+                turn += 1
                 new = np.zeros(hi - lo, bool)
                 for d in full:
                     if (mark := (int(one[d]), int(two[d]))) not in known:
@@ -210,26 +232,35 @@ def _scan(width: int, percent: int, buckets: int):
     return run
 
 
-def _decode_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row[k], np.int64)) for k in "abcd"], ["doc_id", "n_shingles", "one", "two"])
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, x, y, z, w).  ``s``: id, size, fingerprints; ``m``: cell, leader, member within a task; ``l``: cell, leader of a cell of several tasks; ``p``: member, leader of these."""
 
+    def rows(kind: str, *columns: np.ndarray) -> pa.RecordBatch:
+        n = len(columns[0])
+        full = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns] + [pa.nulls(n, pa.int64())] * (4 - len(columns))
+        return pa.RecordBatch.from_arrays([pa.array([kind] * n), *full], ["kind", "x", "y", "z", "w"])
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cell, leader, member) of all cells that more than one document is in."""
-    names = ["cell", "leader", "member"]
     keys, docs = [], []
     for batch in batches:
         for row in batch.to_pylist():
-            if row["bucket"] == -2:
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row[k], np.int64)) for k in "abc"], names)
+            if row["kind"] == "k":
+                own = np.frombuffer(row["c"], np.int64)
+                key = np.frombuffer(row["a"], np.uint32)
+                at = np.frombuffer(row["b"], np.uint16 if len(own) <= 1 << 16 else np.uint32)
+                # The bucket above the 32 bits: a cell's name here and in the tasks that met it.
+                keys.append(key.astype(U64) | U64(row["bucket"]) << U64(32))
+                docs.append(own[at])
+            elif row["kind"] == "m":
+                yield rows("m", *(np.frombuffer(row[k], np.int64) for k in "abc"))
             else:
-                keys.append(np.frombuffer(row["a"], U64))
-                docs.append(np.frombuffer(row["b"], np.int64))
+                yield rows("s", *(np.frombuffer(row[k], np.int64) for k in "abcd"))
     if keys:
         _, _, cell, lead, member = _meet(np.concatenate(keys), np.concatenate(docs))
-        yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(lead), pa.array(member)], names)
+        if len(cell):
+            heads = _runs(cell)
+            yield rows("l", cell[heads], lead[heads])
+            both = np.unique(np.stack([member, lead], 1), axis=0)
+            yield rows("p", both[:, 0], both[:, 1])
 
 
 def _sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -241,31 +272,16 @@ def _sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else np.zeros(0, U64)), np.array(ends, np.int64)
 
 
-def _points(width: int):
-    """(id, fine count vector as packed bytes) of texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                points = vectors(*_sets(part.column(1), width), GROUPS * FINER)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([zstandard.compress(p.tobytes(), 1) for p in points], pa.binary())], ["id", "point"])
-
-    return run
-
-
-def _verify(width: int, percent: int):
-    """Keeps pairs (a, b) whose sets, of the texts s and t, reach the threshold; the bound by summed minima comes first."""
+def _encoded(width: int):
+    """(stars, id, set) of (stars, id, text): the sets as packed bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                (s, at), (t, to) = (_sets(part.column(c), width) for c in (2, 3))
-                total = np.diff(at) + np.diff(to)
-                near = np.minimum(vectors(s, at), vectors(t, to)).sum(1) * (100 + percent) >= percent * total
-                kept = [i for i in np.flatnonzero(near) if total[i] and len(np.intersect1d(s[at[i] : at[i + 1]], t[to[i] : to[i + 1]], assume_unique=True)) * (100 + percent) >= percent * total[i]]
-                yield part.select([0, 1]).take(pa.array(kept, pa.int64()))
+                sets, at = _sets(part.column(2), width)
+                raw = [sets[at[i] : at[i + 1]].tobytes() for i in range(part.num_rows)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(raw, pa.binary())], ["stars", "id", "grams"])
 
     return run
 
@@ -310,46 +326,56 @@ class Tree:
         return found[np.minimum(query, points).sum(1) * (100 + percent) >= percent * (total + points.sum(1))]
 
 
-def _search(percent: int, best: bool):
-    """Pairs across components of each block pair (cell, left, right); rows come sorted by these.
+def _linked(ids: np.ndarray, sets: list[np.ndarray], label: np.ndarray, base: np.ndarray, asked: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links (a, b) that tie all components which the threshold ties, between documents of ``asked`` and of ``base``.
 
-    (a, b, near), near being the bound on the overlap over the sizes' sum: all pairs with a > b, or
-    where ``best`` each document a with its nearest partner b, the least one among equals.
+    ``label`` numbers the components that are known; it is changed.
+    """
+    if not len(base) or not len(asked):
+        return []
+    size = np.array([len(s) for s in sets])
+    at = np.zeros(len(sets) + 1, np.int64)
+    np.cumsum(size, out=at[1:])
+    fine = vectors(np.concatenate(sets), at, GROUPS * FINER)
+    # A fine group's number modulo GROUPS is the group that it is part of.
+    points = fine.reshape(len(sets), FINER, GROUPS).sum(1, dtype=np.int32)
+    fine = fine.astype(np.min_scalar_type(int(fine.max(initial=0))))
+    grown, links = Tree(points[base]), []
+    asks, found = np.zeros(len(sets), bool), np.zeros(len(sets), bool)
+    asks[asked], found[base] = True, True
+    for q in asked.tolist():
+        hits = base[grown.search(points[q], percent)]
+        # Without what is connected, and what has asked for q itself before.
+        hits = hits[(label[hits] != label[q]) & ~(found[q] & asks[hits] & (hits < q))]
+        total = size[q] + size[hits]
+        overlap = np.minimum(fine[q], fine[hits]).sum(1, dtype=np.int64)
+        near = overlap / np.maximum(total, 1)
+        some = overlap * (100 + percent) >= percent * total
+        hits = hits[some][np.argsort(-near[some], kind="stable")]
+        while len(hits):
+            h, hits = hits[0], hits[1:]
+            if len(np.intersect1d(sets[q], sets[h], assume_unique=True)) * (100 + percent) >= percent * (size[q] + size[h]):
+                links.append((int(max(ids[q], ids[h])), int(min(ids[q], ids[h]))))
+                label[label == label[h]] = label[q]
+                hits = hits[label[hits] != label[q]]
+    return links
+
+
+def _search(percent: int):
+    """Links of each group (star, left, right); rows (star, left, right, id, role, label, grams) come sorted by these.
+
+    Roles: 1 to be found, 2 to ask, 3 both.
     """
 
-    def join(rows: list[tuple]) -> list[tuple[int, int, float]]:
-        left, right = rows[0][1], rows[0][2]
-        ids = np.array([r[3] for r in rows])
-        labels = np.array([r[4] for r in rows])
-        blocks = np.array([r[5] for r in rows])
-        fine = np.stack([np.frombuffer(zstandard.decompress(r[6]), np.int32) for r in rows])
-        # A fine group's number modulo GROUPS is the group that it is part of.
-        points = fine.reshape(len(rows), FINER, GROUPS).sum(1, dtype=np.int32)
-        total = points.sum(1)
-        fine = fine.astype(np.min_scalar_type(int(fine.max(initial=0))))
-        base, queries = np.flatnonzero(blocks == left), np.flatnonzero(blocks == right)
-        if not len(base) or not len(queries):
+    def join(rows: list[tuple]) -> list[tuple[int, int]]:
+        unique = {r[3]: r for r in rows}  # a large star's leader comes with every block, and with its own twice
+        if len(unique) < 2:
             return []
-        grown, out = Tree(points[base]), []
-        top: dict[int, tuple[float, int]] = {}
-        for q in queries:
-            hits = base[grown.search(points[q], percent)]
-            hits = hits[labels[hits] != labels[q]]
-            overlap = np.minimum(fine[q], fine[hits]).sum(1, dtype=np.int64)
-            some = overlap * (100 + percent) >= percent * (total[q] + total[hits])
-            hits, overlap = hits[some], overlap[some]
-            if not len(hits):
-                continue
-            near = overlap / (total[q] + total[hits])
-            if not best:
-                out += [(int(max(ids[q], i)), int(min(ids[q], i)), float(n)) for i, n in zip(ids[hits], near)]
-                continue
-            me = int(ids[q])
-            for i, n in zip(ids[hits].tolist(), near.tolist()):
-                for one, two in ((me, i), (i, me)):
-                    if one not in top or (n, -two) > top[one]:
-                        top[one] = (n, -two)
-        return [(a, -b, n) for a, (n, b) in top.items()] if best else sorted(set(out))
+        rows = [unique[i] for i in sorted(unique)]
+        ids, role = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
+        label = np.unique([r[5] for r in rows], return_inverse=True)[1]
+        sets = [np.frombuffer(r[6], U64) for r in rows]
+        return _linked(ids, sets, label, np.flatnonzero(role & 1), np.flatnonzero(role & 2), percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -360,24 +386,36 @@ def _search(percent: int, best: bool):
                     out += join(held)
                     held = []
                 held.append(row)
-            yield _pairs(out)
+            yield _links(out)
         if held:
-            yield _pairs(join(held))
+            yield _links(join(held))
 
     return run
 
 
-def _pairs(pairs: list[tuple[int, int, float]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "near"])
+def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
-def _texts(docs: DataFrame, ids: DataFrame, bound: int) -> DataFrame:
-    """The texts of some documents.  Up to ``bound`` ids (8 bytes each) are broadcast; more are joined by a shuffle."""
-    ids = ids.select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(F.broadcast(ids) if ids.count() <= bound else ids, "doc_id", "left_semi")
+def _in_stars(docs: DataFrame, stars: DataFrame, width: int, bound: int) -> DataFrame:
+    """(star, left, right, id, role, label, grams) for (star, left, right, id, role, label), with the documents' sets.
 
+    Of rows that share an id the one with the largest text counts.
+    """
+    key = F.struct("star", "left", "right", "role", "label")
+    of = stars.groupBy(F.col("id").alias("doc_id")).agg(F.collect_list(key).alias("stars"))
+    joined = docs.join(F.broadcast(of) if stars.count() <= bound else of, "doc_id").select("stars", F.col("doc_id").alias("id"), "text")
+    sets = joined.mapInArrow(_encoded(width), "stars array<struct<star:bigint,left:int,right:int,role:int,label:bigint>>, id bigint, grams binary")
+    return sets.select(F.explode("stars").alias("s"), "id", "grams").select("s.star", "s.left", "s.right", "id", "s.role", "s.label", "grams")
+
+
+def _found(rows: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) of all groups."""
+    dealt = rows.repartition(partitions(rows.sparkSession), "star", "left", "right").sortWithinPartitions("star", "left", "right")
+    return dealt.mapInArrow(_search(percent), "a long, b long")
 
-def ngram_jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, broadcast_ids: int = 1_000_000) -> DataFrame:
+
+def ngram_jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, broadcast_ids: int = BROADCAST, weight: int = WEIGHT) -> DataFrame:
     """Near-duplicate groups: (doc_id, n_shingles, component_id) of every document.
 
     ``docs`` has doc_id and text; further columns are ignored, and a row without a
@@ -385,62 +423,56 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, broad
     U+0009 to U+000D), A-Z lower-cased; the set holds the distinct ``width``-grams,
     or of fewer words the whole sequence.  Null, empty and blank texts have an empty
     set and stand alone.  Sets link when ``100 * intersection >= percent * union``.
-    component_id is the least doc_id reachable by links.  A repeated doc_id keeps
-    its row with the largest text.  An empty table gives an empty result.
+    component_id is the least doc_id reachable by links.  Of rows that share a doc_id
+    the one with the largest text counts.  A text may be as long as a row can be; its
+    set must fit a task's memory.  An empty table gives an empty result.
+
+    A star of s members that weighs k times ``weight`` sends its members once to the
+    first search and, if u of them are outside its largest component then, about
+    s * u / weight more rows to the second.
     """
     spark = docs.sparkSession
     docs = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = partitions(spark)
-    raw = cut(docs.mapInArrow(_scan(width, percent, 2 * parts), _BLOBS), "cells")
-    sets = raw.where("bucket = -1").mapInArrow(_decode_sets, "doc_id long, n_shingles long, one long, two long")
+    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        docs = docs.groupBy("doc_id").agg(F.max("text").alias("text"))
+    n = 2 * partitions(spark)
     # By the bucket's number: its hash would put several buckets in one task.
-    met = raw.where("bucket <> -1").repartitionById(2 * parts, F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("a"), 2 * parts)).otherwise(F.col("bucket")).cast("int"))
-    shared = cut(met.mapInArrow(_gather, "cell long, leader long, member long"), "met")
+    met = cut(docs.mapInArrow(_scan(width, percent, n), _BLOBS).repartitionById(n, F.col("bucket")).mapInArrow(_gather, "kind string, x long, y long, z long, w long"), "met")
+    sets = met.where("kind = 's'").select(F.col("x").alias("doc_id"), F.col("y").alias("n_shingles"), F.col("z").alias("one"), F.col("w").alias("two"))
 
     same = sets.where("n_shingles > 0").groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1")
     equal = sets.join(same, ["one", "two", "n_shingles"]).select(F.col("doc_id").alias("a"), "b").where("a <> b")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs, "pairs")
-        texts = _texts(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")), broadcast_ids)
-        texts = cut(texts.groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
-        both = pairs.join(texts.toDF("b", "t"), "b").join(texts.toDF("a", "s"), "a")
-        return both.select("a", "b", "s", "t").mapInArrow(_verify(width, percent), "a long, b long")
-
-    # Stars: the leader that a member shares most cells with.
-    best = shared.groupBy("member", "leader").count().groupBy("member").agg(F.max(F.struct("count", -F.col("leader"))).alias("m"))
-    links = cut(verified(best.select(F.col("member").alias("a"), (-F.col("m.col2")).alias("b"))).union(equal), "links")
+    # A cell of several tasks has one leader for all; within a task its members know that task's leader.
+    heads = met.where("kind = 'l'").select(F.col("x").alias("cell"), F.col("y").alias("head"))
+    inner = met.where("kind = 'm'").select(F.col("x").alias("cell"), F.col("y").alias("leader"), F.col("z").alias("id"))
+    inner = inner.join(heads, "cell", "left").select("id", F.coalesce("head", "leader").alias("star"))
+    pairs = inner.union(met.where("kind = 'p'").select("x", "y")).where("id <> star").distinct()
+    pairs = pairs.union(pairs.select("star", "star").distinct())
+    weighed = pairs.join(sets.select(F.col("doc_id").alias("id"), (F.col("n_shingles") + POINT).alias("weight")), "id")
+    weighed = cut(weighed.select("star", "id", "weight"), "stars")
+    blocks = weighed.groupBy("star").agg(F.ceil(F.sum("weight") / weight).cast("int").alias("blocks"))
+    large = cut(blocks.where("blocks > 1"), "large")
+    some = not large.isEmpty()
+    members = weighed.join(large, "star", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))) if some else weighed.withColumn("blocks", F.lit(1))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    # A large star's leader goes to every block.
+    left = F.when(F.col("id") == F.col("star"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
+    first = members.select("star", F.explode(left).alias("left"), F.lit(0).alias("right"), "id", F.lit(3).alias("role"), F.col("id").alias("label"))
+    links = cut(_found(_in_stars(docs, first, width, broadcast_ids), percent).union(equal), "links")
     groups = cut(components(links), "groups")
 
-    # Cells with several components left.
-    inside = cut(shared.select("cell", "member").union(shared.select("cell", "leader")).distinct().toDF("cell", "id"), "inside")
-    for best in (True, True, False):
-        named = inside.join(groups, "id", "left").select("cell", "id", F.coalesce("component", "id").alias("label"))
+    if some:
+        named = weighed.join(large, "star").join(groups, "id", "left").select("star", "id", "weight", "blocks", F.coalesce("component", "id").alias("label"))
         named = cut(named, "named")
-        mixed = named.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-        rest = cut(named.join(mixed.select("cell", "lo", "n"), "cell"), "mixed")
-        if rest.isEmpty():
-            break
-        # Cells that hang together by components: as a whole where that takes fewer rows.
-        tied = components(rest.where("label <> lo").select(F.col("label").alias("a"), F.col("lo").alias("b")).distinct())
-        tied = cut(rest.join(tied.select(F.col("id").alias("label"), F.col("component").alias("whole")), "label"), "tied")
-        wholes = tied.select("whole", "id", "label").distinct()
-        rows = tied.groupBy("whole").agg(F.sum(F.ceil(F.col("n") / BLOCK)).alias("rows"))
-        fewer = wholes.groupBy("whole").agg(F.count("*").alias("n")).join(rows, "whole").where(F.col("n") * F.ceil(F.col("n") / BLOCK) <= F.col("rows"))
-        fewer = cut(fewer.select("whole", "n"), "wholes")
-        units = tied.join(fewer.select("whole"), "whole", "left_anti").select("cell", "id", "label", "n")
-        units = units.union(wholes.join(fewer, "whole").select(F.xxhash64("whole").alias("cell"), "id", "label", "n"))
-        units = units.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-        points = _texts(docs, rest.select("id"), broadcast_ids).mapInArrow(_points(width), "id long, point binary").dropDuplicates(["id"])
-        block = units.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        # A member goes to each pair of blocks that its own is one of.
-        other = block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        spread = other.select("cell", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "id", "label", "block")
-        found = spread.join(points, "id").select("cell", "left", "right", "id", "label", "block", "point")
-        found = found.repartition(parts, "cell", "left", "right").sortWithinPartitions("cell", "left", "right").mapInArrow(_search(percent, best), "a long, b long, near double")
-        if best:
-            found = found.groupBy("a").agg(F.max(F.struct("near", (-F.col("b")).alias("b"))).alias("top")).select(F.greatest("a", -F.col("top.b")).alias("a"), F.least("a", -F.col("top.b")).alias("b"))
-        links = cut(links.union(verified(found.select("a", "b").distinct())), "links")
+        most = named.groupBy("star", "label").count().groupBy("star").agg(F.max(F.struct("count", "label"))["label"].alias("most"))
+        rest = named.join(most, "star").where("label <> most").drop("most")
+        turns = rest.groupBy("star").agg(F.ceil(F.sum("weight") / weight).cast("int").alias("turns"))
+        asking = rest.join(turns, "star").withColumn("turn", F.pmod(F.xxhash64("id", F.lit(1)), F.col("turns")).cast("int"))
+        asking = asking.select("star", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("left"), F.col("turn").alias("right"), "id", F.lit(2).alias("role"), "label")
+        asked = named.join(turns, "star").select("star", own.alias("left"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("right"), "id", F.lit(1).alias("role"), "label")
+        second = asking.union(asked).groupBy("star", "left", "right", "id", "label").agg(F.sum("role").cast("int").alias("role"))
+        second = cut(second.select("star", "left", "right", "id", "role", "label"), "second")
+        links = cut(links.union(_found(_in_stars(docs, second, width, broadcast_ids), percent)), "links")
         groups = cut(components(links), "groups")
-    sizes = sets.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
-    return sizes.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return sets.select("doc_id", "n_shingles").join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

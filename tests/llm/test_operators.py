@@ -38,8 +38,12 @@ def empty(docs):
 
 
 def repeats(units, width, join):
+    return repeats_of(ROWS, units, width, join)
+
+
+def repeats_of(rows, units, width, join):
     seen, out = set(), {}
-    for i, text in sorted((i, t or "") for i, t in ROWS):
+    for i, text in sorted((i, t or "") for i, t in rows):
         u = units(text)
         runs = [tuple(u[k : k + width]) for k in range(len(u) - width + 1)]
         gone = bytearray(len(u))
@@ -64,21 +68,72 @@ def test_byte_and_word_repeats(docs, empty, hot):
         assert suffix_dedup.suffix_dedup(empty).count() == 0 and substring_dedup.substring_dedup(empty).count() == 0
 
 
-@pytest.mark.parametrize(("width", "percent"), [(4, 85), (2, 50)])
-def test_ngram_join(docs, width, percent):
+def components_of(rows, width, percent):
+    """(n_shingles, component) by comparing all sets with all."""
     fold = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = {}
-    for i, t in ROWS:
+    for i, t in rows:
         w = WORD.findall((t or "").translate(fold))
         sets[i] = {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} or ({tuple(w)} if w else set())
     least = {i: i for i in sets}
+    ties = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     for _ in sets:
-        for a in sets:
-            for b in sets:
-                if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
-                    least[a] = least[b] = min(least[a], least[b])
-    got = {r["doc_id"]: tuple(r)[1:] for r in ngram_join.ngram_jaccard_join(docs, width, percent).collect()}
-    assert got == {i: (len(s), least[i]) for i, s in sets.items()}
+        for a, b in ties:
+            least[a] = least[b] = min(least[a], least[b])
+    return {i: (len(s), least[i]) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize(("width", "percent", "weight", "bound"), [(4, 85, ngram_join.WEIGHT, 0), (2, 50, 1, 1000)])
+def test_ngram_join(docs, empty, width, percent, weight, bound):
+    got = {r["doc_id"]: tuple(r)[1:] for r in ngram_join.ngram_jaccard_join(docs, width, percent, bound, weight).collect()}
+    assert got == components_of(ROWS, width, percent)
+    assert weight == 1 or ngram_join.ngram_jaccard_join(empty).count() == 0
+
+
+def test_ngram_join_of_a_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for k in rng.choice(90, rng.integers(0, 6), replace=False):
+            w[k] = f"x{rng.integers(0, 3)}"
+        rows.append((1000 - 7 * i, " ".join(w)))
+    rows += [(5000 + i, t) for i, (_, t) in enumerate(rows[:30])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = components_of(rows, 4, 85)
+    assert 2 < len({c for _, c in want.values()}) < 100
+    for weight in (ngram_join.WEIGHT, 4000, 500):
+        assert {r["doc_id"]: tuple(r)[1:] for r in ngram_join.ngram_jaccard_join(docs, weight=weight).collect()} == want
+
+
+def test_ngram_join_of_short_and_repeated_rows(spark):
+    # Every set has one shingle; a repeated id keeps its row with the largest text.
+    rows = [(1, "hello"), (2, "good day"), (3, "Hello"), (4, "one two three four"), (4, "hello"), (5, "x" * 300_000), (6, "x" * 300_000 + " ")]
+    got = {r["doc_id"]: tuple(r)[1:] for r in ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (1, 1), 4: (1, 4), 5: (1, 5), 6: (1, 5)}
+
+
+def thue_morse(n, a, b):
+    return "".join(b if i.bit_count() % 2 else a for i in range(n))
+
+
+def test_hashes_tell_sequences_after_thue_and_morse_apart(spark):
+    one, two = (thue_morse(1024, *p) for p in ("ab", "ba"))
+    tail = " ".join(f"v{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, f"{one} {tail}"), (2, f"{two} {tail}"), (3, one), (4, two)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_jaccard_join(docs, 4, 100).collect()}
+    assert got == {i: i for i in range(1, 5)}
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(docs).collect()}
+    assert got == {1: 0, 2: 60, 3: 0, 4: 0}
+    want = repeats_of([(1, f"{one} {tail}"), (2, f"{two} {tail}"), (3, one), (4, two)], lambda t: t.encode(), 50, bytes)
+    assert {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.suffix_dedup(docs).collect()} == want
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = {r["doc_id"]: r["ids_crc32"] for r in token_ids.read_token_files(token_ids.write_token_files(docs)).collect()}
+    assert got[4] == zlib.crc32(np.array([*whole.encode(two, add_special_tokens=False).ids, 1], "<u4").tobytes()) != got[3]
 
 
 def test_tree_bounds():
