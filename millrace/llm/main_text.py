@@ -8,6 +8,7 @@ and dive where it ends, and the lines between these points are kept.  Where a pa
 marks its article, that mark bounds the windows, and each line with text in it weighs
 MARK more, so that a headline and short lines surge too; lists of links do not.  Where
 the lines outside the marks hold more text, the marks are teasers and count for nothing.
+Lines with text right before a surge, such as a headline, belong to what surges.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ SURGE = 80
 MARK = -(-SURGE // WINDOW)
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
+_CLOSING = re.compile(r"</([a-zA-Z][^\s/>]*)\s*>")
 _ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _RAW = frozenset("script style noscript template svg math iframe object canvas audio video textarea select title head".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,9 +59,11 @@ def _unwanted(name: str, attributes: str, inside: bool) -> bool:
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
             return True
         if key in ("class", "id", "role"):
-            words = set(re.split(r"[^a-z]+", value))
-            if words & _NAMES and not (words & _KEEPERS and not words & {"comment", "comments", "ad", "ads"}):
-                return True
+            for one in value.split():
+                words = [w for w in re.split(r"[^a-z]+", one) if w]
+                # The last word says what it is, others what it belongs to: "main-menu", "post-share", but "menu-content".
+                if words and (words[-1] in _NAMES or set(words) & _NAMES and not set(words) & _KEEPERS):
+                    return not (words[-1] == "header" and set(words) & _KEEPERS)
     return False
 
 
@@ -86,6 +90,10 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
             if in_link:
                 links += len(piece)
 
+    # Where each name is closed for the last time: what is left open needs no search.
+    closed: dict[str, int] = {}
+    for m in _CLOSING.finditer(page):
+        closed[m[1].lower()] = m.start()
     while (m := _TOKEN.search(page, at)) is not None:
         put(page[at : m.start()])
         at = m.end()
@@ -97,7 +105,7 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
         closing = bool(m[1])
         if name in _RAW and not closing:
             close()
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at) if closed.get(name, -1) >= at else None
             if not m[3].endswith("/") and end:
                 at = end.end()
             elif name in ("script", "style"):
@@ -116,7 +124,7 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
             article = max(0, article - 1) if closing else article + 1
         elif not closing and name not in _VOID and not m[3].endswith("/") and _unwanted(name, m[3], article > 0):
             # Left open, an element bounds nothing.
-            if re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at):
+            if closed.get(name, -1) >= at:
                 dropped, depth = name, 1
     tail = page[at:]
     put(tail if not re.match(r"<[a-zA-Z/!]", tail) else "")
@@ -143,6 +151,9 @@ def main_text(page: str) -> str:
     for i in range(len(weight)):
         if not inside and weight[i] and sums[i] >= level:
             inside = True
+            k = i - 1
+            while k >= 0 and weight[k] and not keep[k]:
+                keep[k], k = True, k - 1
         if inside and not sums[i] and not behind[i]:
             inside = False
         keep[i] = inside
@@ -154,7 +165,9 @@ def extract(pages: DataFrame) -> DataFrame:
 
     ``pages`` has page_id, url and html; further columns are ignored, rows without a
     page_id dropped, repeated rows extracted each.  A null or empty html, and a page
-    without text, gives an empty text.  n_chars counts code points.
+    without text, gives an empty text.  n_chars counts code points.  A very long page is
+    read whole, in time that grows with its length; rows that share a page_id come out
+    each, and an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,6 +26,8 @@ from .store import only
 
 #: Labelled documents that the model is fitted on at most, those whose ids hash lowest.
 SAMPLE = 4000
+#: Bytes of their texts at most, which the driver holds.
+BYTES = 1 << 26
 ROUNDS = 120
 #: The score of a text without any line that isn't blank.
 NOTHING = 0.0
@@ -183,13 +185,23 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` labelled documents that aren't held out."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = BYTES) -> Model:
+    """A model from labelled documents that aren't held out: those whose ids hash lowest, up to ``sample`` of them and ``most`` bytes of text."""
     marks = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where("y in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = only(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    raw = [(r["text"] or "").encode("utf-8") for r in rows]
+    texts = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    chosen = chosen.select(F.col("doc_id").cast("long").alias("doc_id"), "y").where("doc_id is not null")
+    found = texts.join(F.broadcast(chosen), "doc_id")
+    # One row each, and no text: at most ``sample`` of them.
+    sizes = found.groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    upto = np.cumsum([r["n"] for r in sizes])
+    kept = [(r["doc_id"],) for r, n in zip(sizes, upto) if n <= most]
+    rows = []
+    if kept:
+        ids = docs.sparkSession.createDataFrame(kept, "doc_id long")
+        rows = found.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("y").alias("y")).collect()
+    rows.sort(key=lambda r: r["doc_id"])
+    raw = [r["text"].encode("utf-8") for r in rows]
     offsets = np.zeros(len(raw) + 1, np.int64)
     np.cumsum([len(t) for t in raw], out=offsets[1:])
     return fit(np.frombuffer(b"".join(raw), np.uint8), offsets, np.array([r["y"] for r in rows], np.int64))
@@ -214,7 +226,9 @@ def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFra
     ``docs`` has doc_id and text, ``labels`` doc_id and quality; further columns are
     ignored.  Rows without a doc_id are dropped, repeated rows scored each.  A null,
     empty or blank text scores NOTHING.  Without labels of both kinds every text gets
-    the share of the kind there is.  Of several labels of a document the largest counts.
+    the share of the kind there is.  Of several labels of a document the largest counts;
+    of rows that share a doc_id the one with the largest text is learnt from.  A very long
+    text is scored line by line as a whole.  An empty table gives an empty result.
     """
     model = train(docs, labels, sample)
     out = scored(only(docs, "doc_id", "text"), model).select(F.col("doc_id").cast("long").alias("doc_id"), "score")

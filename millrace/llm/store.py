@@ -6,7 +6,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -55,5 +55,9 @@ def only(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*columns).where(F.col(columns[0]).isNotNull())
 
 
-def binary(column: Column) -> Column:
-    return column.cast("binary")
+def spare(df: DataFrame, name: str) -> str:
+    """``name``, with as many signs added as it takes to be no column of ``df`` yet, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
