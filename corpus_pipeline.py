@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from millrace.llm import decontaminate as leaks
 from millrace.llm import ngram_join, pieces, quality_crf
 from millrace.llm import secrets as scan
-from millrace.llm.store import cut
+from millrace.llm.store import cut, spare
 
 #: Near-duplicates here: word 5-grams at a Jaccard similarity of 0.8.
 WIDTH, PERCENT = 5, 80
@@ -30,7 +30,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more; rows without a doc_id go too, since no later stage can name them."""
     model = quality_crf.train(docs, _table(spark, sf_dir, "labels"))
-    kept = quality_crf.scored(docs.where("doc_id is not null"), model, "__score").where(F.col("__score") >= 0.5)
+    score = spare(docs, "score")
+    kept = quality_crf.scored(docs.where("doc_id is not null"), model, score).where(F.col(score) >= 0.5)
     return kept.select(*docs.columns)
 
 
