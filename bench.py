@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from millrace.plans.queries import QUERIES
 
-HEADLINE = ("flagship_quality_report", "paragraph_scores", "exact_duplicates", "markup_stripped", "reflowed", "corpus_stats", "chunks", "training_batches")
+HEADLINE = ("flagship_quality_report", "paragraph_scores", "exact_duplicates", "markup_stripped", "reflowed", "corpus_stats", "survivors", "spiced_scores", "corpus_blocks", "chunks", "training_batches")
 
 
 def main() -> None:

@@ -1,18 +1,19 @@
 """Text expressions: cleaning of lines and paragraphs, predicates, and quality metrics.
 
-All are built-in functions and stay in the JVM, except NFKC, which Spark lacks.
+All are built-in functions and stay in the JVM, except NFKC, which Spark lacks, and
+language detectors written in Python.
 Patterns are Java's; ``(?U)`` makes classes follow Unicode.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType, MapType, StringType
 
 # What decides which lines, characters and words count.
 WHITE = r"[\s\x1c-\x1f]"
@@ -115,6 +116,10 @@ def collapse(text: Column) -> Column:
     return F.array_join(_solid(F.split(text, "\n\n")), "\n\n")
 
 
+#: Characters that composition leaves as they are and that never compose with each other.
+STABLE = r"\x00-\x7f\u00c0-\u00ff\u2013\u2014\u2018\u2019\u201c\u201d"
+
+
 @F.pandas_udf(StringType())
 def _nfkc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in parts:
@@ -122,8 +127,8 @@ def _nfkc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def nfkc(text: Column) -> Column:
-    """Unicode compatibility composition, by an Arrow function; ASCII texts are as they were."""
-    return F.when(text.rlike(r"[^\x00-\x7f]"), _nfkc(text)).otherwise(text)
+    """Unicode compatibility composition, by an Arrow function; of texts that it cannot change only a null goes there."""
+    return F.coalesce(_nfkc(F.when(text.rlike(f"[^{STABLE}]"), text)), text)
 
 
 def paragraphs(text: Column) -> Column:
@@ -140,18 +145,79 @@ def non_latin_ratio(text: Column) -> Column:
     return F.when(letters > 0, count_of(text, rf"[\p{{L}}&&[{NON_LATIN}]]") / letters).otherwise(F.lit(0.0))
 
 
-def english_probability(text: Column) -> Column:
-    """By script alone: 1 for short texts, 0 where over a quarter of the letters are of other scripts, else 1."""
-    return F.when((F.length(strip(text)) >= 20) & (non_latin_ratio(text) > 0.25), 0.0).otherwise(1.0)
+#: What a language detector may be: a function from a text column to a map of languages' shares, null where it fails.
+Detector = Callable[[Column], Column]
+
+
+def english_probability(text: Column, detector: Detector | None = None) -> Column:
+    """1 for short texts, 0 where over a quarter of the letters are of other scripts, else what the detector says.
+
+    Without a detector that is 1.  A detector's share of ``en`` counts; where English is
+    not among its languages the value is 0.05, and where it fails 0.5.
+    """
+    rest = F.lit(1.0)
+    if detector is not None:
+        judged = detector(strip(text))
+        rest = F.when(judged.isNull(), 0.5).otherwise(F.coalesce(judged["en"].cast("double"), F.lit(0.05)))
+    return F.when(F.coalesce(F.length(strip(text)), F.lit(0)) < 20, 1.0).when(non_latin_ratio(strip(text)) > 0.25, 0.0).otherwise(rest)
+
+
+def python_detector(shares_of: Callable[[str], dict[str, float]]) -> Detector:
+    """A detector from a function of one text; an error of the function is a failure of the text, not of the job."""
+
+    @F.pandas_udf(MapType(StringType(), DoubleType()))
+    def judged(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            out = []
+            for text in part:
+                try:
+                    out.append(None if text is None else shares_of(text))
+                except Exception:
+                    out.append(None)
+            yield pd.Series(out, dtype=object)
+
+    return judged
+
+
+#: Frequent words of four languages that are no words of the others.
+FUNCTION_WORDS = {
+    "en": "the and of that is with this from have they which their would there".split(),
+    "fr": "les une dans est pour qui avec sur pas cette vous nous mais leur".split(),
+    "de": "der und nicht ein eine ist auf mit sich auch dem werden wird oder".split(),
+    "es": "los una por para como las pero sus este ella son entre cuando muy".split(),
+}
+
+
+def function_word_detector(text: Column) -> Column:
+    """A detector by built-in functions: each language's share of the frequent words, of languages that have any; null without such words."""
+    words = F.transform(split_words(text), F.lower)
+
+    def count(own: list[str]) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(own)))
+
+    counts = F.array(*(F.struct(F.lit(k).alias("lang"), count(own).alias("n")) for k, own in FUNCTION_WORDS.items()))
+    some = F.filter(counts, lambda c: c["n"] > 0)
+    total = F.aggregate(some, F.lit(0), lambda s, c: s + c["n"])
+    shares = F.map_from_arrays(F.transform(some, lambda c: c["lang"]), F.transform(some, lambda c: c["n"] / total))
+    return F.when(total > 0, shares)
 
 
 def citation_hits(text: Column) -> Column:
     return F.regexp_count(text, F.lit(CITATION)) + F.regexp_count(text, F.lit(PAGE_REFERENCE)) + F.regexp_count(text, F.lit(DOI))
 
 
+def letters(word: Column) -> Column:
+    """A word's ASCII letters."""
+    return F.regexp_replace(word, "[^A-Za-z]", "")
+
+
+def is_broken(letters: Column) -> Column:
+    """Whether a word of these letters is long and has no vowel, six others in a row, or very many letters."""
+    return (F.length(letters) >= 8) & (~letters.rlike("[aeiouAEIOU]") | letters.rlike(r"[^aeiouAEIOU]{6,}") | (F.length(letters) > 22))
+
+
 def is_broken_word(word: Column) -> Column:
-    w = F.regexp_replace(word, "[^A-Za-z]", "")
-    return (F.length(w) >= 8) & (~w.rlike("[aeiouAEIOU]") | w.rlike(r"[^aeiouAEIOU\s\d]{6,}") | (F.length(w) > 22))
+    return is_broken(letters(word))
 
 
 def normalized(text: Column) -> Column:

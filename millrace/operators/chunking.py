@@ -1,4 +1,4 @@
-"""Packing paragraphs into chunks, and token blocks for training."""
+"""Packing paragraphs into chunks, token streams, and blocks and batches for training."""
 
 from __future__ import annotations
 
@@ -6,14 +6,20 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tokens import VOCABULARY, BytePairTokens, tokenizer
+from ..storage import stored
+
+# Fixed value: where sentences end.
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
 class WhitespaceTokens:
-    """The default counter: a token is a run of other than white space."""
+    """A counter without a vocabulary: a token is a run of other than white space."""
 
     def encode(self, text: str) -> list[str]:
         return text.split()
@@ -24,11 +30,11 @@ class WhitespaceTokens:
 
 def check_sizes(size: int, overlap: int, least: int) -> None:
     if size <= 0:
-        raise ValueError("chunk_size must be positive")
+        raise ValueError(f"a chunk must hold at least one token, not {size}")
     if not 0 <= overlap < size:
-        raise ValueError("chunk_overlap must be >= 0 and less than chunk_size")
+        raise ValueError(f"an overlap of {overlap} doesn't fit chunks of {size}")
     if not 0 <= least <= size:
-        raise ValueError("min_chunk_size must be between 0 and chunk_size")
+        raise ValueError(f"a least size of {least} doesn't fit chunks of {size}")
 
 
 def _fit(paragraph: str, size: int, coder) -> Iterator[tuple[str, int]]:
@@ -73,8 +79,8 @@ def pack(text: str, size: int = 512, overlap: int = 50, least: int = 64, coder=N
     return out
 
 
-def chunk(docs: DataFrame, key: str = "doc_id", size: int = 512, overlap: int = 50, least: int = 64, make_coder: Callable = WhitespaceTokens) -> DataFrame:
-    """(key, chunk_no, text, token_count) of each document; documents are packed apart, so they spread over tasks."""
+def chunk(docs: DataFrame, key: str = "doc_id", size: int = 512, overlap: int = 50, least: int = 64, make_coder: Callable = BytePairTokens) -> DataFrame:
+    """(key, chunk_no, text, token_count) of each document, in tokens of the coder; documents are packed apart, so they spread over tasks."""
     check_sizes(size, overlap, least)
     kind = docs.schema[key].dataType.simpleString()
 
@@ -96,6 +102,68 @@ def token_blocks(tokens: DataFrame, block: int, scope: list[str]) -> DataFrame:
     return out.where(F.size("y") == block).select(*scope, "pos", "x", "y")
 
 
+def token_stream(texts: DataFrame, order: list[str], path: str = VOCABULARY) -> DataFrame:
+    """(part, number, start, ids): the tokens of all texts, joined by line feeds in ``order``, as pieces of one stream.
+
+    Each text is encoded with the line feed before it, which gives the ids of the joined
+    text wherever no white space stands on both sides of a join.  Texts go to ranges of
+    the order; a piece's start is the sum of the counts before it, of which the driver
+    holds one a range.
+    """
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, part, number = tokenizer(path), TaskContext.get().partitionId(), 0
+        for batch in batches:
+            texts = [t or "" for t in batch.column(0).to_pylist()]
+            made = [e.ids for e in coder.encode_batch_fast(["\n" + t for t in texts], add_special_tokens=False)]
+            # Of each range's first text also without a line feed: one of these opens the stream.
+            bare = [coder.encode(texts[0], add_special_tokens=False).ids if i == number == 0 else None for i in range(len(texts))]
+            numbers = list(range(number, number + len(made)))
+            number += len(made)
+            ids = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(made), pa.int32()), pa.array(numbers, pa.int64()), pa.array([len(x) for x in made], pa.int64()), pa.array(made, ids), pa.array(bare, ids)], ["part", "number", "n", "ids", "bare"])
+
+    ranged = texts.where("text is not null").repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
+    pieces = stored(ranged.select("text").mapInArrow(run, "part int, number long, n long, ids array<int>, bare array<int>"), "tokens")
+    sizes = {r["part"]: r["n"] for r in pieces.groupBy("part").agg(F.sum("n").alias("n")).collect()}
+    opens = min(sizes, default=0)
+    pieces = pieces.withColumn("ids", F.when((F.col("part") == opens) & (F.col("number") == 0), F.col("bare")).otherwise(F.col("ids"))).withColumn("n", F.size("ids")).drop("bare")
+    less = sizes.get(opens, 0) - (pieces.where(F.col("part") == opens).agg(F.sum("n").alias("n")).first()["n"] or 0)
+    base, total = [], 0
+    for part in sorted(sizes):
+        base.append((part, total))
+        total += sizes[part] - (less if part == opens else 0)
+    bases = F.broadcast(texts.sparkSession.createDataFrame(base, "part int, base long"))
+    before = F.sum("n").over(Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1))
+    placed = pieces.withColumn("start", F.coalesce(before, F.lit(0))).join(bases, "part")
+    return placed.select("part", "number", (F.col("base") + F.col("start")).alias("start"), "ids")
+
+
+def stream_blocks(stream: DataFrame, block: int, segment: int = 4096) -> DataFrame:
+    """(pos, x, y): all windows of ``block`` tokens of one stream, and the same shifted by one; N - block of them.
+
+    ``stream`` has (start, ids).  Tokens go to segments of ``segment`` positions, those near
+    a segment's start to the one before as well, so no task sees more than a segment and
+    a block.  A stream of ``block`` tokens or fewer raises.
+    """
+    if block <= 0:
+        raise ValueError("a block must hold at least one token")
+    tokens = stream.select(F.posexplode_outer("ids").alias("at", "tok"), "start").where("tok is not null").select((F.col("start") + F.col("at")).alias("pos"), "tok")
+    total = stream.agg(F.coalesce(F.max(F.col("start") + F.size("ids")), F.lit(0)).alias("n")).first()["n"]
+    if total <= block:
+        raise ValueError(f"{total} tokens are too few for blocks of {block}")
+    own = F.floor(F.col("pos") / segment)
+    # The earliest segment that a token is still read by: one begins at most ``block`` before it.
+    earliest = F.floor(F.greatest(F.col("pos") - block, F.lit(0)) / segment)
+    dealt = tokens.select(F.explode(F.sequence(earliest, own)).alias("segment"), "pos", "tok")
+    lists = dealt.groupBy("segment").agg(F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("t"))
+    lists = lists.select("segment", F.transform("t", lambda r: r["tok"]).alias("t"))
+    some = F.least(F.lit(segment), F.lit(total - block) - F.col("segment") * segment)
+    blocks = lists.where(some > 0).select("segment", "t", F.explode(F.sequence(F.lit(0), (some - 1).cast("int"))).alias("i"))
+    return blocks.select((F.col("segment") * segment + F.col("i")).alias("pos"), F.slice("t", F.col("i") + 1, block).alias("x"), F.slice("t", F.col("i") + 2, block).alias("y"))
+
+
 def batches(df: DataFrame, key: list[str], size: int, seed: int = 0) -> DataFrame:
     """``df`` with batch_no: rows in an order drawn by ``seed``, in batches of ``size``, the last part dropped.
 

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+# What a document's warnings say.
+REPEATED = "Removed %d repeated header/footer line(s)."
+EMPTY = "Cleaned text is empty — this file will be excluded from the dataset."
+
 
 def repeated_lines(pages: DataFrame, key: str = "doc_id", page: str = "page_no", edge: int = 2, min_pages: int = 4, share: float = 0.6) -> DataFrame:
     """(key, line): lines at the first or last places of at least max(min_pages, share of pages) pages of a document."""
@@ -19,14 +23,19 @@ def repeated_lines(pages: DataFrame, key: str = "doc_id", page: str = "page_no",
     return found.where(F.col("c") >= F.greatest(F.lit(min_pages), F.floor(F.col("_pages") * share))).select(key, "line")
 
 
+def without_lines(pages: DataFrame, lines: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``pages`` with ``removed_lines`` and no line that is among its document's ``lines`` (key, line), wherever it stands."""
+    found = lines.groupBy(key).agg(F.array_sort(F.collect_list("line")).alias("removed_lines"))
+    pages = pages.join(found, key, "left")
+    kept = F.array_join(F.filter(F.split("text", T.LINE_END), lambda x: ~F.array_contains(F.col("removed_lines"), T.strip(x))), "\n")
+    return pages.withColumn("text", F.when(F.col("removed_lines").isNull(), F.col("text")).otherwise(kept))
+
+
 def clean(pages: DataFrame, key: str = "doc_id", page: str = "page_no", remove_headers_footers: bool = True, remove_page_numbers: bool = True, normalize_unicode: bool = True, remove_markup: bool = True, remove_web_artifacts: bool = True) -> DataFrame:
     """(key, text, removed_lines, page_count, warnings): each document cleaned and joined in page order."""
     pages = pages.select(key, page, F.coalesce("text", F.lit("")).alias("text"))
     if remove_headers_footers:
-        found = repeated_lines(pages, key, page).groupBy(key).agg(F.array_sort(F.collect_list("line")).alias("removed_lines"))
-        pages = pages.join(found, key, "left")
-        kept = F.array_join(F.filter(F.split("text", T.LINE_END), lambda x: ~F.array_contains(F.col("removed_lines"), T.strip(x))), "\n")
-        pages = pages.withColumn("text", F.when(F.col("removed_lines").isNull(), F.col("text")).otherwise(kept))
+        pages = without_lines(pages, repeated_lines(pages, key, page), key)
     else:
         pages = pages.withColumn("removed_lines", F.lit(None).cast("array<string>"))
     for wanted, step in ((remove_page_numbers, T.strip_page_numbers), (remove_markup, T.strip_markup), (remove_web_artifacts, T.strip_web_lines)):
@@ -38,8 +47,8 @@ def clean(pages: DataFrame, key: str = "doc_id", page: str = "page_no", remove_h
     if normalize_unicode:
         docs = docs.withColumn("text", T.nfkc(F.col("text")))
     docs = docs.withColumn("text", T.collapse(F.col("text"))).withColumn("removed_lines", F.coalesce("removed_lines", F.array().cast("array<string>")))
-    said = F.when(F.size("removed_lines") > 0, F.format_string("Removed %d repeated header/footer line(s).", F.size("removed_lines")))
-    empty = F.when(T.strip(F.col("text")) == "", "Cleaned text is empty: this file will be excluded from the dataset.")
+    said = F.when(F.size("removed_lines") > 0, F.format_string(REPEATED, F.size("removed_lines")))
+    empty = F.when(T.strip(F.col("text")) == "", EMPTY)
     return docs.select(key, "text", "removed_lines", "page_count", F.filter(F.array(said, empty), lambda x: x.isNotNull()).alias("warnings"))
 
 

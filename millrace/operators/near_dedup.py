@@ -10,46 +10,93 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql import types as S
 
 _WORD = re.compile(r"[a-z0-9]+")
 
 
+def fingerprints(texts: list[str], width: int = 4) -> np.ndarray:
+    """64 bits over each text's distinct word shingles, by BLAKE2b: a bit is set if more have it set than not; 0 without words."""
+    digests, count = [], []
+    for text in texts:
+        words = _WORD.findall((text or "").lower())
+        grams = {" ".join(words[i : i + width]) for i in range(len(words) - width + 1)} if len(words) >= width else {" ".join(words)} - {""}
+        digests += [hashlib.blake2b(g.encode(), digest_size=8).digest() for g in grams]
+        count.append(len(grams))
+    out = np.zeros(len(texts), np.uint64)
+    size = np.array(count)
+    full = np.flatnonzero(size)
+    if len(full):
+        bits = np.unpackbits(np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 8), axis=1)
+        heads = (np.cumsum(size) - size)[full]
+        votes = np.add.reduceat(bits, heads, dtype=np.int64)
+        out[full] = np.packbits(2 * votes > size[full][:, None], axis=1).view(">u8").ravel()
+    return out.view(np.int64)
+
+
 def simhash_of(text: str, width: int = 4) -> int:
-    """64 bits over the distinct word shingles, by BLAKE2b; 0 without words."""
-    words = _WORD.findall(text.lower())
-    grams = {" ".join(words[i : i + width]) for i in range(len(words) - width + 1)} if len(words) >= width else {" ".join(words)} - {""}
-    votes = [0] * 64
-    for g in grams:
-        h = int.from_bytes(hashlib.blake2b(g.encode("utf-8"), digest_size=8).digest(), "big")
-        for b in range(64):
-            votes[b] += 1 if h >> b & 1 else -1
-    out = sum(1 << b for b in range(64) if votes[b] > 0)
-    return out - (1 << 64) if out >> 63 else out
-
-
-@F.pandas_udf(LongType())
+    return int(fingerprints([text], width)[0])
+
+
+@F.pandas_udf(S.LongType())
 def simhash(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in parts:
-        yield part.map(simhash_of)
+        yield pd.Series(np.concatenate([fingerprints(part.iloc[i : i + 500].tolist()) for i in range(0, len(part), 500)] or [np.zeros(0, np.int64)]))
+
 
+def _leaders(names: list[str], keys: int, threshold: int):
+    """Rows that no earlier row left of their group is within ``threshold`` of; rows come sorted by group and order.
 
-def near_dedup(df: DataFrame, scope: list[str], order: str = "para_no", threshold: int = 3, column: str = "text") -> DataFrame:
+    Within three bits of 48, one of four parts of twelve is equal, so only leaders that
+    share a part are compared: time grows with the rows, not with their square.
+    """
+    shifts = range(0, 64, 64 // (threshold + 2))
+    mask = (1 << 64 // (threshold + 2)) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, parts = None, {}
+        for batch in batches:
+            kept = []
+            columns = [c.to_pylist() for c in batch.columns]
+            for i, row in enumerate(zip(*columns)):
+                if row[:keys] != group:
+                    group, parts = row[:keys], {}
+                fp = row[-1] & (1 << 64) - 1
+                own = [(s, fp >> s & mask) for s in shifts]
+                if any((fp ^ other).bit_count() <= threshold for part in own for other in parts.get(part, ())):
+                    continue
+                kept.append(i)
+                for part in own:
+                    parts.setdefault(part, []).append(fp)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    return run
+
+
+def near_dedup(df: DataFrame, scope: list[str], order: list[str] | str = "para_no", threshold: int = 3, column: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
     """``df`` without paragraphs within ``threshold`` bits of an earlier one that shares a band.
 
-    Each band groups by its value; leaders are folded in order.  Equal fingerprints
-    are collapsed to the first of each before the fold, so a hot fingerprint is one
-    entry and a group holds different fingerprints alone, at most 2**48 by 16 bits.
+    Texts are read once for their fingerprints.  Each band deals (order, fingerprint)
+    rows by its value and folds them in order.  Equal fingerprints are collapsed to the
+    first of each before, so a hot fingerprint is one entry.  What goes is broadcast up to
+    so many rows, and joined by a shuffle beyond.
     """
-    # The first of each fingerprint; kept, since the bands and the last join use it.
-    keys = df.select(*scope, order, simhash(F.col(column)).alias("_fp")).groupBy(*scope, "_fp").agg(F.min(order).alias(order)).select(*scope, order, "_fp").persist()
+    from ..storage import stored
+
+    order = [order] if isinstance(order, str) else order
+    names = [*scope, *(c for c in order if c not in scope)]
+    prints = stored(df.select(*names, simhash(F.col(column)).alias("_fp")), "fingerprints")
+    keys = prints.groupBy(*scope, "_fp").agg(F.min(F.struct(*order)).alias("_o")).select(*scope, *(F.col(f"_o.{c}").alias(c) for c in order if c not in scope), "_fp")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for k in range(4):
-        band = F.shiftrightunsigned("_fp", 16 * k).bitwiseAND(0xFFFF)
-        grouped = keys.groupBy(*scope, band.alias("_band")).agg(F.array_sort(F.collect_list(F.struct(order, "_fp"))).alias("_rows"))
-        zero = F.filter("_rows", lambda r: F.lit(False))
-        leaders = F.aggregate("_rows", zero, lambda acc, r: F.when(F.exists(acc, lambda a: F.bit_count(a["_fp"].bitwiseXOR(r["_fp"])) <= threshold), acc).otherwise(F.concat(acc, F.array(r))))
-        keys = grouped.select(*scope, F.explode_outer(leaders).alias("r")).select(*scope, f"r.{order}", "r._fp")
-    return df.join(keys.select(*scope, order), [*scope, order], "left_semi")
+        banded = keys.select(*scope, F.shiftrightunsigned("_fp", 16 * k).bitwiseAND(0xFFFF).alias("_band"), *(c for c in order if c not in scope), "_fp")
+        dealt = banded.repartition(n, *scope, "_band").sortWithinPartitions(*scope, "_band", *order)
+        keys = dealt.mapInArrow(_leaders(dealt.columns, len(scope) + 1, threshold), dealt.schema).drop("_band")
+    gone = stored(prints.select(*names).join(keys.select(*names), names, "left_anti"), "near-duplicates")
+    gone = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
+    return df.join(gone, names, "left_anti")

@@ -10,19 +10,20 @@ from ..functions import text as T
 REASONS = ("markup", "non_english", "citation_fragment", "unusual_characters", "low_quality")
 
 
-def score(df: DataFrame, column: str = "text") -> DataFrame:
+def score(df: DataFrame, column: str = "text", detector: T.Detector | None = None) -> DataFrame:
     """``df`` with the metrics of a paragraph, unrounded, and its score from 0 to 100.
 
     Words and letters are computed once each; later columns refer to them by name.
+    Without a language ``detector`` only the script tells other languages.
     """
     p, words, alpha = F.col(column), F.col("_words"), F.col("_alpha")
     n, chars = F.greatest(F.size(words), F.lit(1)), F.greatest(F.length(p), F.lit(1))
-    df = df.withColumn("_words", T.split_words(p)).withColumn("_alpha", F.filter(F.transform("_words", lambda w: F.regexp_replace(w, "[^A-Za-z]", "")), lambda w: w != ""))
+    df = df.withColumn("_words", T.split_words(p)).withColumn("_alpha", F.filter(F.transform("_words", T.letters), lambda w: w != ""))
     stop = sorted(set(T.STOPWORDS))
     df = df.withColumns({
         "n_words": F.size(words),
         "n_alpha": F.size(alpha),
-        "english_probability": T.english_probability(p),
+        "english_probability": T.english_probability(p, detector),
         "alphabetic_ratio": T.count_of(p, r"\p{L}") / chars,
         "unusual_char_ratio": T.count_of(p, r"(?U)[^\p{L}\p{N}\s\x1c-\x1f.,;:!?'\"()\-–—…$%/&]") / chars,
         "repeated_token_ratio": 1 - F.size(F.array_distinct(F.transform(words, F.lower))) / n,
@@ -30,10 +31,11 @@ def score(df: DataFrame, column: str = "text") -> DataFrame:
         "citation_density": F.when(F.size(words) > 0, T.citation_hits(p) / n).otherwise(0.0),
         "has_markup": T.contains_markup(p),
         "punctuation_ratio": T.count_of(p, "[.,;:!?]") / chars,
-        "broken_word_ratio": F.size(F.filter(words, T.is_broken_word)) / n,
+        "broken_word_ratio": F.size(F.filter(alpha, T.is_broken)) / n,
         "avg_word_len": F.when(F.size(alpha) > 0, F.length(F.array_join(alpha, "")) / F.size(alpha)).otherwise(0.0),
         "stopword_ratio": F.when(F.size(alpha) > 0, F.size(F.filter(alpha, lambda w: F.lower(w).isin(stop))) / F.size(alpha)).otherwise(0.0),
     })
+    # Each metric's weight, and where it begins to count.
     c, over = F.col, lambda x, limit: F.greatest(F.lit(0.0), x - limit)
     penalty = (
         (1 - c("english_probability")) * 35 + over(F.lit(0.5), c("alphabetic_ratio")) * 100 + c("unusual_char_ratio") * 120
@@ -69,17 +71,21 @@ def explode_paragraphs(docs: DataFrame, key: str = "doc_id", column: str = "text
     return docs.select(key, F.posexplode_outer(T.paragraphs(F.col(column))).alias("para_no", "text")).where("text is not null")
 
 
-def exact_dedup(df: DataFrame, order: list[str], scope: list[str] | None = None, column: str = "text") -> DataFrame:
+def exact_dedup(df: DataFrame, order: list[str], scope: list[str] | None = None, column: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
     """The first of each normalized text by ``order``, within a scope or over all.
 
-    The least order of each key is aggregated, combined before the shuffle, so a text
-    with very many copies sends one row a task.
+    Only 24 bytes of a text's hashes and its order are shuffled.  The least order of each
+    key is combined before, so a text with very many copies sends one row a task.
+    ``order`` names a row.  What goes is broadcast up to so many rows, and joined by a
+    shuffle beyond.
     """
-    keys = [*(scope or []), "_key"]
-    df = df.withColumn("_key", F.xxhash64(T.normalized(F.col(column)))).withColumn("_text", F.md5(T.normalized(F.col(column))))
-    first = df.groupBy(*keys, "_text").agg(F.min(F.struct(*order)).alias("_first"))
-    first = first.select(*(scope or []), *(F.col(f"_first.{c}").alias(c) for c in order if c not in (scope or []))).withColumn("_kept", F.lit(True))
-    return df.join(first, list(dict.fromkeys([*(scope or []), *order])), "left_semi").drop("_key", "_text")
+    scope, key = scope or [], T.normalized(F.col(column))
+    narrow = df.select(*scope, F.struct(*order).alias("_order"), F.xxhash64(key).alias("_key"), F.unhex(F.md5(key)).alias("_md5"))
+    first = narrow.groupBy(*scope, "_key", "_md5").agg(F.min("_order").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    later = narrow.join(first, [*scope, "_key", "_md5"]).where("_order > _first")
+    gone = later.select(*scope, *(F.col(f"_order.{c}").alias(c) for c in order if c not in scope))
+    gone = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
+    return df.join(gone, list(dict.fromkeys([*scope, *order])), "left_anti")
 
 
 def stats(scored: DataFrame, survivors: DataFrame, scope: list[str]) -> DataFrame:

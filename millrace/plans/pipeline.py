@@ -1,32 +1,41 @@
-"""Whole runs: pages or tables to survivors, statistics, chunks and a manifest."""
+"""Whole runs: pages or tables to survivors, statistics, chunks, a dataset and its manifest."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.tokens import BytePairTokens, token_count
 from ..operators import chunking, cleaning, near_dedup, quality
+from ..sources import readers, writers
+from ..storage import stored
+
+# Fixed value: what a document's warnings say of removals.
+REMOVED = "Quality filter removed %d of %d paragraph(s) (non-English: %d, markup: %d, citations: %d, low quality: %d, duplicates: %d)."
+STATS = ("original_chars", "clean_chars", "original_paragraphs", "remaining_paragraphs", "removed_paragraphs", "removed_non_english", "removed_markup", "removed_citations", "removed_low_quality", "duplicates_removed")
 
 
-def filter_paragraphs(docs: DataFrame, key: str = "doc_id", scope: str = "document", deduplicate: bool = True, near: bool = True, **rules) -> tuple[DataFrame, DataFrame]:
+def filter_paragraphs(docs: DataFrame, key: str = "doc_id", scope: str = "document", deduplicate: bool = True, near: bool = True, detector: T.Detector | None = None, **rules) -> tuple[DataFrame, DataFrame]:
     """(scored paragraphs with reasons, survivors).  ``scope`` says whether duplicates count within a document or the corpus.
 
-    Scores are kept in memory and on disk, since survivors and statistics both read them.
+    Scores are written to the shared folder once; survivors and statistics read them there.
     """
-    scored = quality.classify(quality.score(quality.explode_paragraphs(docs, key)), **rules)
+    scored = quality.classify(quality.score(quality.explode_paragraphs(docs, key), detector=detector), **rules)
+    scored = stored(scored, "scored")
     kept = scored.where("reason = 'kept'")
     if deduplicate:
         within = [key] if scope == "document" else []
-        order = ["para_no"] if scope == "document" else [key, "para_no"]
+        order = [key, "para_no"]
         kept = quality.exact_dedup(kept, order, within)
         if near:
-            place = "para_no" if scope == "document" else "_place"
-            kept = near_dedup.near_dedup(kept.withColumn("_place", F.struct(key, "para_no")), within, place).drop("_place")
+            kept = near_dedup.near_dedup(kept, within, order)
     return scored, kept
 
 
-def process_pages(pages: DataFrame, key: str = "path", rules: dict | None = None, **cleaning_options) -> tuple[DataFrame, DataFrame]:
+def process_pages(pages: DataFrame, key: str = "path", rules: dict | None = None, tokens: bool = True, **cleaning_options) -> tuple[DataFrame, DataFrame]:
     """(documents, errors): pages with ``error`` become errors; documents carry text, counts, statistics and warnings."""
     errors = pages.where("error is not null").select(key, "error") if "error" in pages.columns else pages.limit(0).select(key, F.lit("").alias("error"))
     good = pages.where("error is null") if "error" in pages.columns else pages
@@ -36,9 +45,20 @@ def process_pages(pages: DataFrame, key: str = "path", rules: dict | None = None
     docs = cleaned.join(texts, key, "left").withColumn("text", F.coalesce("kept_text", F.lit(""))).drop("kept_text")
     docs = docs.join(quality.stats(scored, kept, [key]), key, "left")
     names = ("removed_paragraphs", "original_paragraphs", "removed_non_english", "removed_markup", "removed_citations", "removed_low_quality", "duplicates_removed")
-    said = F.when(F.col("removed_paragraphs") > 0, F.format_string("Quality filter removed %d of %d paragraph(s) (non-English: %d, markup: %d, citations: %d, low quality: %d, duplicates: %d).", *names))
+    said = F.when(F.col("removed_paragraphs") > 0, F.format_string(REMOVED, *names))
     docs = docs.withColumn("warnings", F.filter(F.concat("warnings", F.array(said)), lambda x: x.isNotNull()))
     docs = docs.withColumn("char_count", F.length("text")).withColumn("word_count", F.size(T.split_words(F.col("text"))))
+    return (docs.withColumn("estimated_tokens", token_count(F.col("text"))) if tokens else docs), errors
+
+
+def process_sources(spark: SparkSession, paths: list[str], folder: str | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """(documents, errors) of files; cleaned texts go to ``folder`` if it is given.  Without any document it raises."""
+    docs, errors = process_pages(stored(readers.read_pages(spark, paths), "pages"), **options)
+    docs = stored(docs, "documents")
+    if docs.isEmpty():
+        raise RuntimeError("no document could be processed: " + "; ".join(f"{r['path']}: {r['error']}" for r in errors.take(20)))
+    if folder:
+        writers.write_text_files(docs, folder, "path")
     return docs, errors
 
 
@@ -47,18 +67,59 @@ def process_table(table: DataFrame, key: str, rules: dict | None = None) -> tupl
     return filter_paragraphs(cleaning.clean_text(table.select(key, "text")), key, scope="corpus", **(rules or {}))
 
 
-def build(docs: DataFrame, key: str, size: int = 512, overlap: int = 50, least: int = 64, samples: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(chunks, manifest): the manifest counts examples, tokens and skipped documents and shows the first examples."""
-    chunks = chunking.chunk(docs, key, size, overlap, least)
+def build(docs: DataFrame, key: str, size: int = 512, overlap: int = 50, least: int = 64, samples: int = 5, make_coder: Callable = BytePairTokens) -> tuple[DataFrame, DataFrame]:
+    """(chunks, manifest): the manifest counts examples, tokens and skipped documents, sums the statistics and shows the first examples."""
+    chunks = stored(chunking.chunk(docs, key, size, overlap, least, make_coder), "chunks")
     first = chunks.orderBy(key, "chunk_no").limit(samples).agg(F.collect_list("text").alias("sample_examples"))
     counts = chunks.agg(F.count("*").alias("example_count"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("total_estimated_tokens"))
-    skipped = docs.agg(F.count_if(F.trim("text") == "").alias("skipped_documents"))
-    return chunks, counts.join(skipped).join(first)
+    sums = [F.sum(c).alias(c) for c in STATS if c in docs.columns]
+    skipped = docs.agg(F.count_if(T.strip(F.col("text")) == "").alias("skipped_documents"), *sums)
+    return chunks, counts.crossJoin(skipped).crossJoin(first)
+
+
+def build_dataset(docs: DataFrame, key: str, folder: str, name: str, single_file: bool = False, **sizes) -> DataFrame:
+    """Writes the chunks of documents as JSON lines under ``folder``; the manifest, with the path.  Nothing empty is written."""
+    if docs.isEmpty():
+        raise ValueError("there are no documents to build a dataset from")
+    path = f"{folder.rstrip('/')}/{writers.dataset_name(name)}"
+    chunks, manifest = build(docs, key, **sizes)
+    writers.write_jsonl(chunks.orderBy(key, "chunk_no"), path, single_file)
+    return manifest.withColumn("jsonl_path", F.lit(path))
+
+
+def table_to_dataset(table: DataFrame, key: str, folder: str, source: str, text_field: str = "text", name: str | None = None, max_rows: int | None = 5000, order: list[str] | None = None, rules: dict | None = None, single_file: bool = False, **sizes) -> DataFrame:
+    """A table's rows cleaned, filtered and deduplicated as one corpus, packed into chunks, and written as JSON lines.
+
+    The manifest has the statistics and the table's columns.  ``max_rows`` rows at most are
+    read, in ``order``; None takes all.  Rows are packed in the order of ``key``, in groups
+    that tasks pack apart: one document for each range of keys.
+    """
+    if not (source or "").strip():
+        raise ValueError("the source needs a name")
+    rows = stored(readers.read_table(table.select(key, *([text_field] if text_field in table.columns and text_field != key else [])) if text_field in table.columns else table, text_field, order or [key], max_rows).select(key, "text"), "rows")
+    if rows.isEmpty():
+        raise RuntimeError(f"no usable rows in '{source}', so no dataset is written")
+    scored, kept = process_table(rows, key, rules)
+    kept = stored(kept.select(key, "para_no", "text"), "survivors")
+    if kept.isEmpty():
+        raise RuntimeError(f"the filters left nothing of '{source}', so no dataset is written; milder rules may keep more")
+    n = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = kept.repartitionByRange(n, key, "para_no").withColumn("_part", F.spark_partition_id())
+    parts = stored(ranged, "ranges").groupBy("_part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "para_no", "text"))), lambda r: r["text"]), "\n\n").alias("text"))
+    path = f"{folder.rstrip('/')}/{writers.dataset_name(name, source)}"
+    chunks, manifest = build(parts, "_part", **sizes)
+    writers.write_jsonl(chunks.orderBy("_part", "chunk_no"), path, single_file)
+    stats = quality.stats(scored, kept, [])
+    return manifest.drop("skipped_documents").crossJoin(stats).withColumn("columns", F.array(*(F.lit(c) for c in table.columns))).withColumn("jsonl_path", F.lit(path))
 
 
 def parameter_count(configs: DataFrame) -> DataFrame:
     """Configs (vocab, n_embd, n_layer, block, tied) with the closed-form number of parameters and how it is shown."""
     v, c, layers, b = (F.col(x).cast("long") for x in ("vocab", "n_embd", "n_layer", "block"))
     n = v * c + b * c + layers * (12 * c * c + 13 * c) + 2 * c + F.when(F.col("tied"), F.lit(0)).otherwise(v * c)
-    shown = F.when(n >= 10**9, F.format_string("%.2fB", n / 1e9)).when(n >= 10**6, F.format_string("%.1fM", n / 1e6)).otherwise(F.format_string("%.1fK", n / 1e3))
-    return configs.withColumn("n_params", n).withColumn("shown", shown).withColumn("bytes_fp32", n * 4).withColumn("bytes_fp16", n * 2)
+    return configs.withColumn("n_params", n).withColumn("shown", shown_count(n)).withColumn("bytes_fp32", n * 4).withColumn("bytes_fp16", n * 2)
+
+
+def shown_count(n: Column) -> Column:
+    """A count in billions, millions or thousands, to two places."""
+    return F.when(n >= 10**9, F.format_string("%.2fB", n / 1e9)).when(n >= 10**6, F.format_string("%.2fM", n / 1e6)).when(n >= 10**3, F.format_string("%.2fK", n / 1e3)).otherwise(n.cast("string"))

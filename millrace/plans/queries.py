@@ -5,12 +5,17 @@ The SQL is RE2's dialect: back references are spelled out, and classes say what
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.tokens import token_count
 from ..operators import chunking, cleaning, quality
-from . import pipeline
+from ..sources import readers, writers
+from ..storage import shared_folder, stored
+from . import pipeline, reports
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -56,6 +61,12 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
     return quality.stats(scored, kept, [])
 
 
+def exact_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics with exact duplicates alone."""
+    docs = cleaning.clean_text(_t(spark, d, "documents").select("doc_id", "text"))
+    return quality.stats(*pipeline.filter_paragraphs(docs, scope="corpus", near=False), [])
+
+
 def survivors(spark: SparkSession, d: str) -> DataFrame:
     return pipeline.process_table(_t(spark, d, "documents"), "doc_id")[1].select("doc_id", "para_no", "score")
 
@@ -84,11 +95,147 @@ def training_batches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def model_sizes(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(50257, 1536, 34, 1024, True), (50257, 1024, 36, 128, False)]
-    return pipeline.parameter_count(spark.createDataFrame(rows, "vocab int, n_embd int, n_layer int, block int, tied boolean")).select("n_embd", "n_params", "bytes_fp32", "bytes_fp16")
+    rows = [(50257, 1536, 34, 1024, True), (50257, 1024, 36, 128, False), (1000, 64, 2, 32, True), (256, 2, 1, 4, True)]
+    return pipeline.parameter_count(spark.createDataFrame(rows, "vocab int, n_embd int, n_layer int, block int, tied boolean")).select("n_embd", "n_params", "shown", "bytes_fp32", "bytes_fp16")
+
+
+def _spiced(spark: SparkSession, d: str) -> DataFrame:
+    """``documents``, each with something that a rule is about, by its id modulo 10."""
+    t = F.col("text")
+    kinds = [
+        t, F.concat(F.lit(CYRILLIC), F.substring(t, 1, 40)), F.concat(F.lit('<p class="x">'), t, F.lit("</p>")), F.concat(F.substring(t, 1, 20), F.lit(" cf.Smith doi:10.1234/abc p. 7 et al")),
+        F.concat(t, F.lit(" http://a.example/x?y=1 www.b.example")), F.concat(F.lit("### ~~~ ^^^ "), F.substring(t, 1, 30)), F.substring(t, 1, 12), F.concat(F.lit("bcdfghjklm "), t),
+        F.concat(*[F.concat(F.substring(t, 1, 30), F.lit(" "))] * 12), F.concat(F.lit("see fig. 3 and vol. 2, pp. 12. "), t),
+    ]
+    return _t(spark, d, "documents").select("doc_id", "lang", (F.col("doc_id") % 10).alias("kind"), F.array(*kinds)[(F.col("doc_id") % 10).cast("int")].alias("text"))
+
+
+CYRILLIC = "Это предложение написано кириллицей, чтобы проверить долю чужих букв. "
+
+
+def spiced_scores(spark: SparkSession, d: str) -> DataFrame:
+    scored = quality.classify(quality.score(_spiced(spark, d)))
+    return scored.select("doc_id", "kind", F.round("score", 4).alias("score"), "reason", "english_probability", F.round("url_density", 4).alias("url_density"), F.round("citation_density", 4).alias("citation_density"), "has_markup", F.round("broken_word_ratio", 4).alias("broken_word_ratio"))
+
+
+def spiced_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return quality.classify(quality.score(_spiced(spark, d))).groupBy("kind", "reason").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+def spiced_stats(spark: SparkSession, d: str) -> DataFrame:
+    scored = stored(quality.classify(quality.score(_spiced(spark, d))), "spiced")
+    return reports.with_stats_text(quality.stats(scored, quality.exact_dedup(scored.where("reason = 'kept'"), ["lang", "doc_id"], ["lang"]), ["lang"]))
+
+
+def spiced_examples(spark: SparkSession, d: str) -> DataFrame:
+    scored = quality.classify(quality.score(_spiced(spark, d))).withColumn("score", F.floor("score").cast("int"))
+    return reports.examples_text(quality.examples(scored, ["kind"], ["doc_id"], 60).withColumn("score", F.col("score").cast("int")), ["kind"])
+
+
+def character_cleaning(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    dirty = F.concat(F.lit("\x07\x1f"), F.substring(t, 1, 50), F.lit("\ufffd\x7f exam-\nple "), F.substring(t, 51, 100), F.lit("-\nx \ufffd"))
+    docs = _t(spark, d, "documents").select("doc_id", T.drop_garbage(dirty).alias("clean"))
+    return docs.select("doc_id", F.md5(F.col("clean").cast("binary")).alias("clean_md5"), F.md5(T.dehyphenate(F.col("clean")).cast("binary")).alias("joined_md5"), F.length("clean").alias("n_chars"))
+
+
+def _paged(spark: SparkSession, d: str) -> DataFrame:
+    """Five documents as the pages of one, under a running head and over a running foot."""
+    head, page = F.floor(F.col("doc_id") / 5), (F.col("doc_id") % 5).cast("int")
+    text = F.concat(F.lit("RUNNING HEAD "), head.cast("string"), F.lit("\n"), "text", F.lit("\nbody line\n"), page.cast("string"), F.lit("\n  running foot "))
+    return _t(spark, d, "documents").select(head.alias("doc_id"), page.alias("page_no"), text.alias("text"))
+
+
+def header_footer_cases(spark: SparkSession, d: str) -> DataFrame:
+    return cleaning.repeated_lines(_paged(spark, d))
+
+
+def headers_removed(spark: SparkSession, d: str) -> DataFrame:
+    pages = _paged(spark, d)
+    return cleaning.without_lines(pages, cleaning.repeated_lines(pages)).select("doc_id", "page_no", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.size("removed_lines").alias("n_removed"))
+
+
+def paged_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Pages cleaned with all steps and joined."""
+    out = cleaning.clean(_paged(spark, d))
+    return out.select("doc_id", F.length("text").alias("n_chars"), F.array_join("removed_lines", "|").alias("removed"), "page_count", F.array_join("warnings", "|").alias("warnings"))
+
+
+def paragraph_split(spark: SparkSession, d: str) -> DataFrame:
+    docs = _t(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"\. ", ".\n\n \n\n ").alias("text"))
+    return quality.explode_paragraphs(docs).select("doc_id", "para_no", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def language_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select("doc_id", F.round(T.english_probability(F.col("text"), T.function_word_detector), 6).alias("p"))
 
 
-QUERIES = {f.__name__: f for f in (flagship_quality_report, paragraph_scores, exact_duplicates, markup_stripped, web_lines, reflowed, header_footer_lines, corpus_stats, survivors, filter_examples, chunks, conversation_documents, token_blocks, training_batches, model_sizes)}
+def document_counts(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return _t(spark, d, "documents").select("doc_id", F.length(t).alias("char_count"), F.size(T.split_words(t)).alias("word_count"), F.md5(reports.preview(t).cast("binary")).alias("preview_md5"))
+
+
+def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/jsonl-{uuid.uuid4().hex}"
+    writers.write_jsonl(_t(spark, d, "documents"), f"{folder}/all.jsonl")
+    rows = readers.read_corpus(spark, [f"{folder}/all.jsonl"])
+    return rows.groupBy(F.md5(F.col("text").cast("binary")).alias("text_md5")).agg(F.count("*").alias("n"))
+
+
+def table_rows(spark: SparkSession, d: str) -> DataFrame:
+    docs = _t(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit(" \n"), "text", F.lit("\t "))).otherwise(" ").alias("body"))
+    return readers.read_table(docs, "body", ["doc_id"], 400).select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def corpus_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of 128 over one stream of word lengths of all documents."""
+    lengths = _t(spark, d, "documents").select("doc_id", F.transform(F.split("text", " "), F.length).alias("ids"), F.size(F.split("text", " ")).alias("n"))
+    # Starts by ranges of ids: sums of a range's counts come to the driver.
+    ranged = lengths.withColumn("range", F.floor(F.col("doc_id") / 1000))
+    base = ranged.groupBy("range").agg(F.sum("n").alias("n"))
+    base = base.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("range").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    stream = ranged.withColumn("before", before).join(F.broadcast(base), "range").select((F.col("base") + F.col("before")).alias("start"), "ids")
+    out = chunking.stream_blocks(stream, 128)
+    return out.select("pos", F.element_at("x", 1).alias("first"), F.element_at("y", -1).alias("last"), F.aggregate("x", F.lit(0), lambda s, t: s + t).alias("total"))
+
+
+def corpus_tokens(spark: SparkSession, d: str) -> DataFrame:
+    stream = chunking.token_stream(_t(spark, d, "documents").select("doc_id", "text"), ["doc_id"])
+    return stream.select("start", F.size("ids").alias("n"), F.xxhash64("ids").alias("hash"))
+
+
+def token_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select("doc_id", token_count(F.col("text")).alias("n_tokens"))
+
+
+def table_dataset(spark: SparkSession, d: str) -> DataFrame:
+    """The manifest of a whole run from table to JSON lines."""
+    folder = f"{shared_folder(spark)}/dataset-{uuid.uuid4().hex}"
+    out = pipeline.table_to_dataset(_t(spark, d, "documents"), "doc_id", folder, "documents", max_rows=None)
+    return out.select("example_count", "total_estimated_tokens", *pipeline.STATS)
+
+
+def source_presets(spark: SparkSession, d: str) -> DataFrame:
+    return readers.presets(spark)
+
+
+def loss_curve(spark: SparkSession, d: str) -> DataFrame:
+    """A training log: a value of each event's hour as a step's loss."""
+    log = _t(spark, d, "events").select((F.col("event_id") % 500).alias("step"), F.col("event_id").alias("logged"), F.round("value", 3).alias("loss"))
+    return reports.loss_history(log).select("step", "loss", "status")
+
+
+def checkpoint_names(spark: SparkSession, d: str) -> DataFrame:
+    run = F.when(F.col("doc_id") % 7 == 0, "default").otherwise(F.substring("text", 1, 16))
+    return _t(spark, d, "documents").select("doc_id", reports.checkpoint_name(F.regexp_replace(run, r"[^\x20-\x7e]", "/")).alias("name"))
+
+
+QUERIES = {f.__name__: f for f in (
+    flagship_quality_report, paragraph_scores, exact_duplicates, markup_stripped, web_lines, reflowed, header_footer_lines, corpus_stats, exact_stats, survivors, filter_examples, chunks, conversation_documents, token_blocks, training_batches, model_sizes,
+    spiced_scores, spiced_reasons, spiced_stats, spiced_examples, character_cleaning, header_footer_cases, headers_removed, paged_documents, paragraph_split, language_scores, document_counts, jsonl_round_trip, table_rows, corpus_blocks, corpus_tokens,
+    token_counts, table_dataset, source_presets, loss_curve, checkpoint_names,
+)}
 
 _STRIP = r"regexp_replace({0}, '^[\s\x0b\x1c-\x1f\x{{85}}\x{{a0}}]+|[\s\x0b\x1c-\x1f\x{{85}}\x{{a0}}]+$', '', 'g')"
 _CLEAN = r"""
@@ -115,6 +262,36 @@ s as (select *, greatest(0, least(100, 100 - (greatest(0, 0.5 - alphabetic_ratio
 r as (select *, case when round(unusual, 3) > 0.15 then 'unusual_characters' when score < 40 then 'low_quality' else 'kept' end reason from s)
 """
 )
+_SPICE = f"""sp as (select doc_id, lang, doc_id % 10 kind, case doc_id % 10 when 0 then text when 1 then '{CYRILLIC}' || text[:40] when 2 then '<p class="x">' || text || '</p>'
+  when 3 then text[:20] || ' cf.Smith doi:10.1234/abc p. 7 et al' when 4 then text || ' http://a.example/x?y=1 www.b.example' when 5 then '### ~~~ ^^^ ' || text[:30]
+  when 6 then text[:12] when 7 then 'bcdfghjklm ' || text when 8 then repeat(text[:30] || ' ', 12) else 'see fig. 3 and vol. 2, pp. 12. ' || text end "text" from documents)"""
+_RANGES = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7A3}\x{1100}-\x{11FF}\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{0590}-\x{05FF}\x{0400}-\x{04FF}\x{0900}-\x{097F}\x{0E00}-\x{0E7F}]"
+_TAGGED = r"regexp_matches(\"text\", '</?[a-zA-Z][a-zA-Z0-9:_-]*(?:\s+[^<>]*)?/?>')".replace('\\"', '"')
+_HITS = " + ".join(f"len(regexp_extract_all(\"text\", '{p.replace(chr(39), chr(39) * 2)}'))" for p in (T.CITATION.replace("(?iU)", "(?i)"), T.PAGE_REFERENCE.replace("(?iU)", "(?i)"), T.DOI))
+_SPICED = (
+    "with " + _SPICE + ", " + r"""w as (select *, """ + _WORDS.format("text") + r""" ws, length("text")::double n_c from sp),
+a as (select *, list_filter(list_transform(ws, lambda x: regexp_replace(x, '[^A-Za-z]', '', 'g')), lambda x: x <> '') al, greatest(len(ws), 1)::double n,
+  length("text") - length(regexp_replace("text", '\p{L}', '', 'g')) letters, length("text") - length(regexp_replace("text", '""" + _RANGES + r"""', '', 'g')) far from w),
+m as (select doc_id, lang, kind, "text", len(ws) n_words, len(al) n_alpha,
+  letters / greatest(n_c, 1) alphabetic_ratio,
+  (n_c - length(regexp_replace("text", '[^\p{L}\p{N}\s\x0b.,;:!?''"()\-–—…$%/&]', '', 'g'))) / greatest(n_c, 1) unusual,
+  1 - len(list_distinct(list_transform(ws, lambda x: lower(x)))) / n repeated_token_ratio,
+  (n_c - length(regexp_replace("text", '[.,;:!?]', '', 'g'))) / greatest(n_c, 1) punct,
+  len(list_filter(al, lambda x: length(x) >= 8 and (not regexp_matches(x, '[aeiouAEIOU]') or regexp_matches(x, '[^aeiouAEIOU]{6,}') or length(x) > 22))) / n broken,
+  case when len(al) > 0 then length(array_to_string(al, ''))::double / len(al) else 0 end avg_len,
+  case when len(al) > 0 then len(list_filter(al, lambda x: list_contains(""" + _STOPS + r""", lower(x))))::double / len(al) else 0 end stopword_ratio,
+  case when length(trim("text")) < 20 then 1.0 when letters > 0 and far / letters > 0.25 then 0.0 else 1.0 end::double english_probability,
+  len(regexp_extract_all("text", 'https?://\S+|www\.\S+')) / n url_density, case when len(ws) > 0 then (""" + _HITS + r""") / n else 0 end citation_density, """ + _TAGGED + r""" has_markup
+  from a),
+s as (select *, greatest(0, least(100, 100 - ((1 - english_probability) * 35 + greatest(0, 0.5 - alphabetic_ratio) * 100 + unusual * 120 + greatest(0, repeated_token_ratio - 0.4) * 80
+  + url_density * 150 + citation_density * 60 + case when has_markup then 25 else 0 end
+  + greatest(0, punct - 0.15) * 100 + broken * 100 + greatest(0, avg_len - 7) * 6 + case when n_alpha >= 3 and stopword_ratio = 0 then 25 else 0 end
+  + case when n_words <= 1 then 65 when n_words = 2 then 30 when n_words <= 4 then 12 else 0 end))) score from m),
+r as (select *, case when has_markup then 'markup' when english_probability < 0.55 then 'non_english' when n_words > 0 and ((n_words <= 6 and citation_density > 0) or (citation_density > 0.25 and n_words <= 40)) then 'citation_fragment'
+  when round(unusual, 3) > 0.15 then 'unusual_characters' when score < 40 then 'low_quality' else 'kept' end reason from s)
+"""
+)
+_PAGED = "pg as (select doc_id // 5 doc_id, (doc_id % 5)::int page_no, 'RUNNING HEAD ' || (doc_id // 5) || e'\\n' || text || e'\\nbody line\\n' || (doc_id % 5) || e'\\n  running foot ' \"text\" from documents)"
 _MARK = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<svg\b[^>]*>.*?</svg>', ' ', 'g'), '(?i)<\?xml[^>]*\?>', ' ', 'g'), '</?[a-zA-Z][a-zA-Z0-9:_-]*(?:\s+[^<>]*)?/?>', ' ', 'g'), '&(?:amp|lt|gt|quot|apos|nbsp|#\d+|#x[0-9a-fA-F]+);', ' ', 'g')"
 _SPLIT = r"regexp_split_to_array({0}, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]')"
 
@@ -127,11 +304,47 @@ ORACLES = {
     "reflowed": "with " + _CLEAN.format(key="doc_id", more="", table="documents") + " select doc_id, md5(\"text\") text_md5 from clean",
     "header_footer_lines": "with l as (select conv_id doc_id, turn, unnest(x) line, generate_subscripts(x, 1) n, len(x) k from (select conv_id, turn, list_filter(list_transform(" + _SPLIT.format("text") + ", lambda x: trim(x)), lambda x: x <> '') x from conversations)), e as (select distinct doc_id, turn, line from l where (n <= 2 or n > k - 2) and not regexp_matches(line, '^[0-9]+$') and length(line) >= 3), p as (select conv_id doc_id, count(*) c from conversations group by 1) select doc_id, line from e join p using (doc_id) where c >= 2 group by doc_id, line, c having count(*) >= greatest(2, floor(c * 0.5))",
     "filter_examples": _SCORES + ", e as (select *, row_number() over (partition by lang order by doc_id) example_no from r) select lang, example_no::int example_no, substr(\"text\", 1, 400) original, reason = 'kept' keep, reason from e where example_no <= 60",
-    "corpus_stats": _SCORES + """, k as (select doc_id, "text", row_number() over (partition by regexp_replace(lower("text"), '\\s+', ' ', 'g') order by doc_id) c from r where reason = 'kept')
+    "exact_stats": _SCORES + """, k as (select doc_id, "text", row_number() over (partition by regexp_replace(lower("text"), '\\s+', ' ', 'g') order by doc_id) c from r where reason = 'kept')
 select (select sum(length("text")) + 2 * (count(*) - 1) from r)::bigint original_chars, (select count(*) from r) original_paragraphs, 0::bigint removed_non_english, 0::bigint removed_markup, 0::bigint removed_citations,
 (select count(*) from r where reason <> 'kept') removed_low_quality, (select sum(length("text")) + 2 * (count(*) - 1) from k where c = 1)::bigint clean_chars, (select count(*) from k where c = 1) remaining_paragraphs,
 (select count(*) from r) - (select count(*) from k where c = 1) removed_paragraphs, (select count(*) from k where c > 1) duplicates_removed""",
     "token_blocks": "with w as (select item_id, string_split(text, ' ') w from benchmark), p as (select item_id, w, unnest(range(0, greatest(len(w) - 8, 0))) pos from w) select item_id, pos::int pos, array_to_string(w[pos + 1:pos + 8], ' ') x, array_to_string(w[pos + 2:pos + 9], ' ') y from p",
     "training_batches": "select unnest(range(0, count(*) // 32)) batch_no, 32::bigint n from documents",
-    "model_sizes": "with c(v, n_embd, l, b, tied) as (values (50257::bigint, 1536, 34, 1024, true), (50257, 1024, 36, 128, false)), p as (select n_embd, v * n_embd + b * n_embd + l * (12 * n_embd * n_embd::bigint + 13 * n_embd) + 2 * n_embd + case when tied then 0 else v * n_embd end n_params from c) select n_embd, n_params, 4 * n_params bytes_fp32, 2 * n_params bytes_fp16 from p",
+    "model_sizes": "with c(v, n_embd, l, b, tied) as (values (50257::bigint, 1536, 34, 1024, true), (50257, 1024, 36, 128, false), (1000, 64, 2, 32, true), (256, 2, 1, 4, true)), p as (select n_embd, v * n_embd + b * n_embd + l * (12 * n_embd * n_embd::bigint + 13 * n_embd) + 2 * n_embd + case when tied then 0 else v * n_embd end n_params from c) select n_embd, n_params, case when n_params >= 1000000000 then printf('%.2fB', n_params / 1e9) when n_params >= 1000000 then printf('%.2fM', n_params / 1e6) when n_params >= 1000 then printf('%.2fK', n_params / 1e3) else n_params::varchar end shown, 4 * n_params bytes_fp32, 2 * n_params bytes_fp16 from p",
+    "spiced_scores": _SPICED + "select doc_id, kind, round(score, 4) score, reason, english_probability, round(url_density, 4) url_density, round(citation_density, 4) citation_density, has_markup, round(broken, 4) broken_word_ratio from r",
+    "spiced_reasons": _SPICED + "select kind, reason, count(*) n, sum(length(\"text\"))::bigint chars from r group by all",
+    "spiced_stats": _SPICED + """, k as (select lang, "text", row_number() over (partition by lang, regexp_replace(lower(trim("text", e' \\n\\t')), '\\s+', ' ', 'g') order by doc_id) c from r where reason = 'kept'),
+x as (select lang, (sum(length("text")) + 2 * (count(*) - 1))::bigint clean_chars, count(*) remaining_paragraphs from k where c = 1 group by all),
+y as (select lang, (sum(length("text")) + 2 * (count(*) - 1))::bigint original_chars, count(*) original_paragraphs, count(*) filter (reason = 'non_english') removed_non_english, count(*) filter (reason = 'markup') removed_markup,
+  count(*) filter (reason = 'citation_fragment') removed_citations, count(*) filter (reason in ('unusual_characters', 'low_quality')) removed_low_quality, count(*) filter (reason = 'kept') kept from r group by all),
+z as (select *, original_paragraphs - remaining_paragraphs removed_paragraphs, kept - remaining_paragraphs duplicates_removed from y join x using (lang))
+select lang, original_chars, original_paragraphs, removed_non_english, removed_markup, removed_citations, removed_low_quality, clean_chars, remaining_paragraphs, removed_paragraphs, duplicates_removed,
+  concat_ws(e'\\n', 'Original characters: ' || format('{:,}', original_chars), 'Clean characters: ' || format('{:,}', clean_chars), 'Original paragraphs: ' || original_paragraphs, 'Remaining paragraphs: ' || remaining_paragraphs,
+  'Removed paragraphs: ' || removed_paragraphs, 'Removed as non-English: ' || removed_non_english, 'Removed as markup: ' || removed_markup, 'Removed as citation/reference fragments: ' || removed_citations,
+  'Removed as low quality: ' || removed_low_quality, 'Duplicates removed: ' || duplicates_removed) report from z""",
+    "spiced_examples": _SPICED + """, e as (select kind, doc_id, '[' || case when reason = 'kept' then 'KEEP' else 'REMOVE (' || reason || ')' end || '] quality score=' || floor(score)::int || e'\\n' || "text"[:400] block, row_number() over (partition by kind order by doc_id) n from r)
+select kind, string_agg(block, e'\\n\\n---\\n\\n' order by n) report from e where n <= 15 group by kind""",
+    "character_cleaning": """with x as (select doc_id, chr(7) || chr(31) || text[:50] || chr(65533) || chr(127) || e' exam-\\nple ' || text[51:150] || e'-\\nx ' || chr(65533) t from documents),
+c as (select doc_id, replace(regexp_replace(t, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), chr(65533), '') t from x)
+select doc_id, md5(t) clean_md5, md5(regexp_replace(t, '([\\p{L}\\p{N}_])-\\n([\\p{L}\\p{N}_])', '\\1\\2', 'g')) joined_md5, length(t) n_chars from c""",
+    "header_footer_cases": "with " + _PAGED + """, l as (select doc_id, page_no, unnest(x) line, generate_subscripts(x, 1) n, len(x) k from (select doc_id, page_no, list_filter(list_transform(string_split("text", e'\\n'), lambda x: trim(x)), lambda x: x <> '') x from pg)),
+e as (select distinct doc_id, page_no, line from l where (n <= 2 or n > k - 2) and not regexp_matches(line, '^[0-9]+$') and length(line) >= 3), c as (select doc_id, count(*) c from pg group by 1)
+select doc_id, line from e join c using (doc_id) where c >= 4 group by doc_id, line, c having count(*) >= greatest(4, floor(c * 0.6))""",
+    "headers_removed": "with " + _PAGED + """, c as (select doc_id, count(*) c from pg group by 1)
+select doc_id, page_no, md5(array_to_string(list_filter(string_split("text", e'\\n'), lambda x: c < 4 or trim(x) not in ('RUNNING HEAD ' || doc_id, 'running foot')), e'\\n')) text_md5, 2 n_removed from pg join c using (doc_id)""",
+    "paragraph_split": """with x as (select doc_id, list_filter(list_transform(string_split(replace(text, '. ', e'.\\n\\n \\n\\n '), e'\\n\\n'), lambda x: trim(x, e' \\n\\t')), lambda x: x <> '') l from documents)
+select doc_id, unnest(range(0, len(l)))::int para_no, md5(unnest(l)) text_md5 from x""",
+    "language_scores": "with w as (select doc_id, text, " + _WORDS.format("lower(text)") + " ws from documents), n as (select doc_id, text, " + ", ".join(f"len(list_filter(ws, lambda x: list_contains([{', '.join(repr(x) for x in own)}], x))) {k}" for k, own in T.FUNCTION_WORDS.items()) + """ from w)
+select doc_id, round(case when length(trim(text)) < 20 then 1.0 when en + fr + de + es = 0 then 0.5 when en = 0 then 0.05 else en / (en + fr + de + es) end, 6)::double p from n""",
+    "document_counts": "select doc_id, length(text) char_count, len(" + _WORDS.format("text") + """) word_count, md5(text[:5000] || case when length(text) > 5000 then e'\\n\\n... (preview truncated, full text saved to the .txt file)' else '' end) preview_md5 from documents""",
+    "jsonl_round_trip": "select md5(text) text_md5, count(*) n from documents where text <> '' group by 1",
+    "table_rows": """with x as (select doc_id, case when doc_id % 3 > 0 then trim(text, e' \\n\\t') else '' end t from documents order by doc_id limit 400) select doc_id, md5(t) text_md5 from x where t <> ''""",
+    "corpus_blocks": """with t as (select doc_id, generate_subscripts(l, 1) i, unnest(l) tok from (select doc_id, list_transform(string_split(text, ' '), lambda x: length(x)) l from documents)),
+s as (select row_number() over (order by doc_id, i) - 1 pos, tok from t),
+b as (select pos, tok "first", lead(tok, 128) over (order by pos) "last", sum(tok) over (order by pos rows between current row and 127 following)::bigint total from s)
+select pos, "first", "last", total from b where "last" is not null""",
+    "source_presets": "select * from (values " + ", ".join("(" + ", ".join("null" if v is None else f"'{v}'" for v in row) + ")" for row in readers.PRESETS) + ") t(name, repo_id, config_name, split, text_field)",
+    "loss_curve": "with x as (select event_id % 500 step, arg_max(round(value, 3), event_id) loss from events group by 1) select step, loss, printf('Step %d — loss %.4f', step, loss) status from x",
+    "checkpoint_names": """with x as (select doc_id, trim(case when doc_id % 7 = 0 then 'default' else regexp_replace(text[:16], '[^\\x20-\\x7e]', '/', 'g') end) n from documents), y as (select doc_id, n, regexp_replace(n, '[^A-Za-z0-9_.-]', '_', 'g') s from x)
+select doc_id, case when n not in ('', 'default') then case when lower(s) like '%.pt' then s else s || '.pt' end end "name" from y""",
 }

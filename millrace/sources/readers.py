@@ -19,12 +19,17 @@ def register_extractor(suffix: str, pages_of: Callable[[bytes], list[str]]) -> N
 
 
 def extractor_for(path: str) -> Callable[[bytes], list[str]]:
-    suffix = "." + path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
+    suffix = suffix_of(path)
     if suffix not in _EXTRACTORS:
-        raise ValueError(f"No extractor for '{suffix}' files; known: {', '.join(sorted(_EXTRACTORS))}")
+        raise ValueError(f"nothing is registered to read '{suffix}' files, but {', '.join(sorted(_EXTRACTORS))}")
     return _EXTRACTORS[suffix]
 
 
+def suffix_of(path: str) -> str:
+    name = path.rsplit("/", 1)[-1]
+    return "." + name.rsplit(".", 1)[-1].lower() if "." in name else ""
+
+
 def _plain(data: bytes) -> list[str]:
     return [data.decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n")]
 
@@ -55,17 +60,31 @@ for _suffix in (".png", ".jpg", ".jpeg"):
     register_extractor(_suffix, _image)
 
 
+def _files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Files of the paths as Spark's binary source shows them.  A path that isn't there raises, and so does a file without an extractor."""
+    hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    for p in dict.fromkeys(paths):
+        where = jvm.org.apache.hadoop.fs.Path(p)
+        found = where.getFileSystem(hadoop).globStatus(where)
+        if not found:
+            raise FileNotFoundError(p)
+        for one in found:
+            if one.isFile():
+                extractor_for(one.getPath().getName())
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(dict.fromkeys(paths)))
+    known = [s.lstrip(".") for s in _EXTRACTORS]
+    return files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(known))
+
+
 def discover(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(path, length): registered files of the paths, directories searched to any depth, each once.
 
     A file that is named and has no extractor raises; in a directory it is passed over.
     """
-    known = [s.lstrip(".") for s in _EXTRACTORS]
-    for p in paths:
-        if "." in p.rstrip("/").rsplit("/", 1)[-1] and not p.endswith("/"):
-            extractor_for(p)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select("path", "length")
-    return found.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(known)).distinct()
+    return _files(spark, paths).select("path", "length").distinct()
+
+
+discover_pdf_files = discover
 
 
 def read_pages(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -79,7 +98,7 @@ def read_pages(spark: SparkSession, paths: list[str]) -> DataFrame:
         for part in parts:
             rows = []
             for path, content in zip(part["path"], part["content"]):
-                suffix = "." + path.rsplit(".", 1)[-1].lower()
+                suffix = suffix_of(path)
                 try:
                     pages = extractors[suffix](bytes(content))
                     if not pages:
@@ -92,19 +111,48 @@ def read_pages(spark: SparkSession, paths: list[str]) -> DataFrame:
                 rows += [(path, i, t, warning, None) for i, t in enumerate(pages)]
             yield pd.DataFrame(rows, columns=["path", "page_no", "text", "warning", "error"]).astype({"page_no": "Int32"})
 
-    listed = discover(spark, paths)  # raises for named files without an extractor
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select("path", "content")
-    return files.join(listed.select("path"), "path", "left_semi").mapInPandas(run, PAGES)
+    # Paths within one another would give a file twice.
+    inner = [p for p in dict.fromkeys(paths) if not any(p != q and p.startswith(q.rstrip("/") + "/") for q in paths)]
+    _files(spark, paths)  # raises for named files that can't be read
+    return _files(spark, inner).select("path", "content").mapInPandas(run, PAGES)
+
+
+def read_context(spark: SparkSession, path: str) -> str:
+    """One file's text, its pages joined by blank lines; a file that can't be read raises."""
+    rows = sorted(read_pages(spark, [path]).collect(), key=lambda r: r["page_no"] or 0)
+    for r in rows:
+        if r["error"]:
+            raise RuntimeError(r["error"])
+    return "\n\n".join(r["text"] or "" for r in rows)
+
+
+# Named sources, (name, repository, configuration, split, text column).
+PRESETS = (
+    ("Custom...", None, None, None, None),
+    ("TinyStories (roneneldan/TinyStories)", "roneneldan/TinyStories", "", "train", "text"),
+    ("WikiText-103 raw (wikitext)", "wikitext", "wikitext-103-raw-v1", "train", "text"),
+    ("OpenWebText (Skylion007/openwebtext)", "Skylion007/openwebtext", "", "train", "text"),
+    ("BookCorpus (bookcorpus)", "bookcorpus", "", "train", "text"),
+    ("C4 English, streamed subset (allenai/c4)", "allenai/c4", "en", "train", "text"),
+    ("Wikipedia English (wikimedia/wikipedia)", "wikimedia/wikipedia", "20231101.en", "train", "text"),
+)
+
+
+def presets(spark: SparkSession) -> DataFrame:
+    """(name, repo_id, config_name, split, text_field) of the named sources."""
+    return spark.createDataFrame(list(PRESETS), "name string, repo_id string, config_name string, split string, text_field string")
 
 
 def read_corpus(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(path, line_no, text): ``text``, or else ``content``, of JSON lines; other files as one text each.
 
+    ``line_no`` orders a file's lines; it is no count of them.
+
     Blank and malformed lines and empty values are passed over; a value that isn't an
     object counts as its JSON text.
     """
     if not paths:
-        raise ValueError("No dataset files were provided.")
+        raise ValueError("no files are named")
     lines = [p for p in paths if p.lower().endswith(".jsonl")]
     whole = [p for p in paths if p not in lines]
     out = []
@@ -123,7 +171,7 @@ def read_corpus(spark: SparkSession, paths: list[str]) -> DataFrame:
 def read_table(df: DataFrame, text_field: str = "text", order: list[str] | None = None, max_rows: int | None = None) -> DataFrame:
     """Rows of a table with text in ``text_field``.  ``max_rows`` is taken in order, before blank rows go; 0 or None takes all."""
     if text_field not in df.columns:
-        raise ValueError(f"Column '{text_field}' not found. Available columns: {df.columns}")
+        raise ValueError(f"there is no column '{text_field}' among {df.columns}")
     if max_rows:
         df = (df.orderBy(*order) if order else df).limit(max_rows)
     text = F.regexp_replace(F.col(text_field).cast("string"), r"(?U)^\s+|\s+$", "")

@@ -10,19 +10,29 @@ def dataset_name(name: str | None, default: str | None = None) -> str:
     """The file name with its suffix; slashes of a default's name become two underscores."""
     name = (name or "").strip() or (default or "").replace("/", "__")
     if not name:
-        raise ValueError("Dataset filename cannot be empty.")
+        raise ValueError("a dataset needs a name")
     return name if name.lower().endswith(".jsonl") else f"{name}.jsonl"
 
 
 def write_jsonl(chunks: DataFrame, path: str, single_file: bool = False) -> str:
-    """``{"text": ...}`` lines.  Spark's commit keeps a failed write from being seen; an empty dataset raises."""
+    """``{"text": ...}`` lines, each read back as JSON.  Spark's commit keeps a failed write from being seen; an empty dataset raises."""
     rows = chunks.select("text").where("text <> ''")
     if rows.isEmpty():
-        raise RuntimeError("Chunking produced zero examples; refusing to write an empty dataset.")
+        raise RuntimeError("there is no example, so no dataset is written")
     (rows.coalesce(1) if single_file else rows).write.mode("overwrite").json(path)
+    lines = chunks.sparkSession.read.format("text").load(path)
+    if not lines.where(F.get_json_object("value", "$.text").isNull()).isEmpty():
+        raise RuntimeError(f"a line of {path} is no JSON object with a text")
     return path
 
 
+def write_text_files(docs: DataFrame, folder: str, key: str = "path") -> str:
+    """A directory ``name=<base name>`` with the cleaned text of each document that isn't blank; equal base names share one."""
+    base = F.regexp_replace(F.element_at(F.split(F.col(key).cast("string"), "/"), -1), r"\.[^.]*$", "")
+    docs.where(F.trim("text") != "").select(F.concat(base, F.lit(".txt")).alias("name"), "text").write.mode("overwrite").partitionBy("name").text(folder)
+    return folder
+
+
 def write_texts(docs: DataFrame, path: str, key: str = "doc_id") -> str:
     """Cleaned texts that aren't blank, a directory for each bucket of keys, so that equal base names never collide."""
     kept = docs.where(F.trim("text") != "").select(F.pmod(F.xxhash64(key), F.lit(256)).alias("bucket"), F.col(key).cast("string").alias("key"), "text")
