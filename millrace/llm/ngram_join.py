@@ -8,9 +8,10 @@ coordinate minima of two points bound the overlap of the two sets from above.
    most D n-grams.  In a grid of more than D groups some group is therefore equal
    in both, so documents meet in a cell (grid, group, content of the group).  The
    sizes are cut into bands, and a document uses the grids of its own band and of
-   the one below, which together serve all sizes that can match.  Sets that leave
-   too many groups empty meet by a prefix of their hashes instead, which is as
-   complete.  Equal cells, and equal sets, are collapsed in each task before the
+   the one below, which together serve all sizes that can match.  Groups with few
+   n-grams say little: a set sends the cells of at least so many n-grams as still leave
+   more groups than can differ.  Sets for which there is no such number meet by a prefix
+   of their hashes instead, which is as complete.  Equal cells, and equal sets, are collapsed in each task before the
    shuffle, so a hot cell sends one row a task.
 2. *Stars.*  A cell is named by its least document, its leader; all cells of one leader
    are one star, to which each member's set goes once, however many cells they share.
@@ -48,6 +49,8 @@ GROUPS, FINER = 64, 8
 LEAF = 32
 #: N-grams of the sets that a task holds of a star, each set counting POINT more for its vectors.
 WEIGHT, POINT = 1 << 22, 256
+#: The most n-grams that a cell is asked to have.
+HEAVY = 8
 #: Keys that a scanning task holds before it sends them.
 HELD = 1 << 19
 #: Rows (16 bytes each) of documents and their stars that are broadcast; more are joined by a shuffle.
@@ -100,18 +103,24 @@ def cells(sets: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, n
         live = (size > 0) & (grid >= 0)
         top = ends[np.maximum(grid, 0)]
         differ = top * (100 - percent) // percent
-        groups = differ + 3 + differ // 32
+        groups = differ + 3 + differ // 7
         doc = np.flatnonzero(live)
         index = K.ragged(at[doc], size[doc])
         owner = np.repeat(doc, size[doc])
         group = ((sets[index] >> U64(32)) * groups[owner].astype(U64)) >> U64(32)
         heads = _runs(owner, group)
-        of = owner[heads]
+        of, held = owner[heads], np.diff(np.append(heads, len(owner)))
         content = _sums(inner[index], heads)
-        keys.append(K.mix(content ^ K.mix(group[heads], 1) ^ K.mix(grid[of].astype(U64), 2), 3))
-        owners.append(of)
-        filled = np.bincount(of, minlength=len(size))
-        sparse = np.flatnonzero(live & (groups - filled >= groups - differ))
+        key = K.mix(content ^ K.mix(group[heads], 1) ^ K.mix(grid[of].astype(U64), 2), 3)
+        # Of two similar sets the one with the larger least number shares a cell of that many with the other.
+        least = np.zeros(len(size), np.int64)
+        for m in range(1, HEAVY + 1):
+            enough = np.bincount(of[held >= m], minlength=len(size)) > differ
+            least[live & enough] = m
+        sends = (least[of] > 0) & (held >= least[of])
+        keys.append(key[sends])
+        owners.append(of[sends])
+        sparse = np.flatnonzero(live & (least == 0))
         prefix = size[sparse] - (size[sparse] * percent + 99) // 100 + 1
         index = K.ragged(at[sparse], prefix)
         of = np.repeat(sparse, prefix)
