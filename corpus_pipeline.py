@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate as leaks
@@ -35,21 +35,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*docs.columns)
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without some ids (8 bytes each): broadcast up to a million, joined by a shuffle beyond."""
+    return docs.join(F.broadcast(gone) if gone.count() <= 1_000_000 else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least document of each group; of rows that share its doc_id the one with the largest text."""
-    groups = ngram_join.ngram_jaccard_join(docs, width=WIDTH, percent=PERCENT)
-    first = groups.where("doc_id = component_id").select("doc_id")
-    kept = docs.join(first, "doc_id", "left_semi")
-    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        row = F.struct("text", *(c for c in docs.columns if c != "text"))
-        kept = kept.groupBy("doc_id").agg(F.max(row).alias("row")).select("row.*")
+    """The least document of each group; of rows that share its doc_id one with the largest text.  Rows without a doc_id go."""
+    groups = cut(ngram_join.ngram_jaccard_join(docs, width=WIDTH, percent=PERCENT), "groups")
+    kept = _without(docs.where("doc_id is not null"), groups.where("doc_id <> component_id").select("doc_id"))
+    if not docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").isEmpty():
+        place = spare(kept, "place")
+        first = Window.partitionBy("doc_id").orderBy(F.desc_nulls_last("text"))
+        kept = kept.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1)
     return kept.select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    found = leaks.contaminated(docs, _table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    found = cut(leaks.contaminated(docs, _table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
+    return _without(docs, found)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
