@@ -17,9 +17,11 @@ Among equal sums the longer last edge wins, in both forms.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import os
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,13 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .store import cut, only
 
 SPACE = "▁"
+#: What each piece costs beside its rank; ranks of a word's pieces sum to less.
+EACH = float(1 << 24)
 #: Added to the worst piece's score for a character in bytes.
-BYTES_PENALTY = 10.0
+BYTES_PENALTY = 2 * EACH
 #: Words of the dictionary that tasks hold.
 DICTIONARY = 1 << 19
+#: Words beyond it that a task remembers.
+REMEMBERED = 1 << 16
 #: Longer words are folded in the task; their state would be copied too often.
 LONGEST = 64
 
@@ -43,9 +50,11 @@ _WORD = re.compile(SPACE + "*[^" + SPACE + "]+|" + SPACE + "+")
 class Model:
     """The pieces of a model file with the scores that the lattice adds up.
 
-    The file's own scores are ranks of merges, not log-probabilities, so a piece of
-    rank r scores as under Zipf's law, ``-log(r + 2.7)``; a score in the file above
-    -1e8 gives the rank, and pieces without one (runs of spaces) rank by their id.
+    The file's own scores are ranks of merges, not log-probabilities, and their sums say
+    little.  A piece costs EACH and its rank: the best segmentation has the fewest pieces,
+    and of these the lowest ranks in all.  Sums are whole numbers, so no rounding decides.
+    A score in the file above -1e8 gives the rank, and pieces without one (runs of
+    spaces) rank by their id.
     """
 
     def __init__(self, path: str):
@@ -66,7 +75,7 @@ class Model:
             if i in self.byte_of or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or SPACE in text.lstrip(SPACE):
                 continue
             rank = -sp.get_score(i) if sp.get_score(i) > -1e8 else i
-            self.scores[text], self.ids[text] = -math.log(rank + 2.7), i
+            self.scores[text], self.ids[text] = -float(EACH + round(rank)), i
         self.longest = max(map(len, self.scores))
         self.fallback = min(self.scores.values()) - BYTES_PENALTY
         # Scores by what pieces begin with: a start's edges end where nothing goes on so.
@@ -176,7 +185,22 @@ def _spelled(pieces: Model, word: str, ids: list[int]) -> list[int]:
     return ids if min(ids) >= 0 else [j for i in ids for j in ([i] if i >= 0 else pieces.spell(word[-i - 1]))]
 
 
-def dictionary(texts: DataFrame, pieces: Model, bound: int = DICTIONARY) -> dict[str, bytes]:
+class Known:
+    """Encoded words as packed arrays, looked up by the words' hashes (two words share one with a chance of 2**-64)."""
+
+    def __init__(self, words: list[str], ids: list[list[int]]):
+        raw = [w.replace(SPACE, " ").encode("utf-8") for w in words]
+        ends = np.cumsum([0] + [len(r) for r in raw])
+        keys = K.word_hashes(np.frombuffer(b"".join(raw), np.uint8), ends[:-1], ends[1:])
+        length = np.array([len(i) for i in ids], np.int64)
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.length = length[order].astype(np.uint16)
+        self.start = (np.cumsum(length) - length)[order].astype(np.uint32)
+        self.ids = np.array([i for some in ids for i in some], np.uint32)
+
+
+def dictionary(texts: DataFrame, pieces: Model, bound: int = DICTIONARY) -> Known:
     """Encoded words of a column ``text``: all distinct ones, or if more than ``bound`` those above a count that keeps to it."""
     marked = F.concat(F.lit(" "), F.regexp_replace("text", SPACE, "\u0000"))
     words = texts.where("text is not null").select(F.explode(F.regexp_extract_all(marked, F.lit(" *[^ ]+"), 0)).alias("word"))
@@ -189,11 +213,75 @@ def dictionary(texts: DataFrame, pieces: Model, bound: int = DICTIONARY) -> dict
         if total > bound:
             break
         least = row["count"]
-    if least is None:
-        return {}
-    kept = counts.where(F.col("count") >= least).select(F.translate("word", " ", SPACE).alias("word"))
-    found = lattice(kept, pieces).toLocalIterator(prefetchPartitions=True)
-    return {r["word"]: np.array(_spelled(pieces, r["word"], r["ids"]), np.uint16 if len(pieces.texts) <= 1 << 16 else np.uint32).astype("<u4").tobytes() for r in found}
+    found: tuple[list, list] = [], []
+    if least is not None:
+        kept = counts.where(F.col("count") >= least).select(F.translate("word", " ", SPACE).alias("word"))
+        for r in lattice(kept, pieces).toLocalIterator(prefetchPartitions=True):
+            found[0].append(r["word"])
+            found[1].append(_spelled(pieces, r["word"], r["ids"]))
+    return Known(*found)
+
+
+class Encoder:
+    """Encodes slices of texts by the dictionary; words that it lacks are folded, and remembered up to REMEMBERED."""
+
+    def __init__(self, pieces: Model, known: Known):
+        self.pieces, self.known = pieces, known
+        self.rare: dict[int, np.ndarray] = {}
+
+    def texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and how many each has."""
+        size = np.diff(offsets)
+        # Each text that isn't empty gets a space before it; a word begins where a run of spaces does.
+        full = size > 0
+        data = np.insert(data, offsets[:-1][full], 32)
+        offsets = offsets + np.concatenate([[0], np.cumsum(full)])
+        blank = data == 32
+        begins = blank.copy()
+        begins[1:] &= ~blank[:-1]
+        begins[offsets[:-1][full]] = True
+        start = np.flatnonzero(begins)
+        end = np.append(start[1:], len(data))
+        key = K.word_hashes(data, start, end)
+        known = self.known
+        at = np.minimum(np.searchsorted(known.keys, key), max(0, len(known.keys) - 1))
+        hit = known.keys[at] == key if len(known.keys) else np.zeros(len(key), bool)
+        count = np.zeros(len(key), np.int64)
+        count[hit] = known.length[at[hit]]
+        missed = np.flatnonzero(~hit)
+        found: list[np.ndarray] = []
+        if len(missed):
+            some, one, back = np.unique(key[missed], return_index=True, return_inverse=True)
+            for k, i in zip(some.tolist(), missed[one].tolist()):
+                ids = self.rare.get(k)
+                if ids is None:
+                    ids = np.array(self.word(data[start[i] : end[i]].tobytes().decode("utf-8")), np.uint32)
+                    if len(self.rare) >= REMEMBERED:
+                        self.rare.clear()
+                    if len(ids) <= 2 * LONGEST:
+                        self.rare[k] = ids
+                found.append(ids)
+            length = np.array([len(f) for f in found], np.int64)
+            count[missed] = length[back]
+        out = np.zeros(int(count.sum()), np.uint32)
+        place = np.cumsum(count) - count
+        out[K.ragged(place[hit], count[hit])] = known.ids[K.ragged(known.start[at[hit]].astype(np.int64), count[hit])]
+        if len(missed):
+            flat = np.concatenate(found)
+            begin = np.cumsum(length) - length
+            out[K.ragged(place[missed], count[missed])] = flat[K.ragged(begin[back], length[back])]
+        upto = np.concatenate([[0], np.cumsum(count)])
+        return out, np.diff(upto[np.searchsorted(start, offsets)])
+
+    def word(self, word: str) -> list[int]:
+        """A word with its spaces; U+2581 in it goes by its bytes, and parts the word as a space does."""
+        if SPACE not in word:
+            return self.pieces.fold(word.replace(" ", SPACE))
+        out: list[int] = []
+        for k, part in enumerate(word.split(SPACE)):
+            out += self.pieces.spell(SPACE) if k else []
+            out += self.pieces.fold(part.replace(" ", SPACE)) if part else []
+        return out
 
 
 def encode(docs: DataFrame, path: str = "piece_bpe_32k.model", bound: int = DICTIONARY) -> DataFrame:
@@ -201,64 +289,75 @@ def encode(docs: DataFrame, path: str = "piece_bpe_32k.model", bound: int = DICT
 
     ``docs`` has doc_id and text; further columns are ignored, rows without a
     doc_id dropped.  A null or empty text has no ids.  Repeated rows are encoded
-    each.  White space other than U+0020 is no word end; it has its own bytes.
+    each, very long texts whole; an empty table gives an empty result.  White space other than U+0020 is no word end; it has its own bytes.
     """
-    spark = docs.sparkSession
     docs = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = spark.sparkContext.broadcast(dictionary(docs, model(path), bound))
+    known = docs.sparkSession.sparkContext.broadcast(dictionary(docs, model(path), bound))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, table = model(path), known.value
-        rare: dict[str, bytes] = {}
+        coder = Encoder(model(path), known.value)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                out = []
-                for text in part.column(1).to_pylist():
-                    found = []
-                    for word in words_of(text) if text else ():
-                        ids = table.get(word)
-                        if ids is None:
-                            ids = rare.get(word)
-                            if ids is None:
-                                ids = np.array(pieces.spell(SPACE) if word is None else pieces.fold(word), "<u4").tobytes()
-                                if len(rare) >= 200_000:
-                                    rare.clear()
-                                rare[word] = ids
-                        found.append(ids)
-                    out.append(b"".join(found))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
+            own = batch.column(0)
+            for lo, hi, data, offsets in K.slices(batch):
+                yield pa.RecordBatch.from_arrays([own.slice(lo, hi - lo), pa.array(_split(*coder.texts(data, offsets)), pa.binary())], ["doc_id", "ids"])
 
     return docs.mapInArrow(run, "doc_id long, ids binary")
 
 
+def _split(ids: np.ndarray, count: np.ndarray) -> list[bytes]:
+    """Each text's ids as little-endian bytes."""
+    raw, upto = ids.astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(count)]) * 4
+    return [raw[a:b] for a, b in zip(upto, upto[1:])]
+
+
+class Decoder:
+    """Texts of ids: most ids are pieces; only texts with bytes are put together run by run."""
+
+    def __init__(self, pieces: Model):
+        self.pieces = pieces
+        self.shape = np.array([t.replace(SPACE, " ") for t in pieces.texts], object)
+        self.is_byte = np.zeros(len(pieces.texts), bool)
+        self.is_byte[list(pieces.byte_of)] = True
+
+    def text(self, raw: bytes | pa.Buffer) -> str:
+        ids = np.frombuffer(raw, "<u4")
+        byte = self.is_byte[ids]
+        if not byte.any():
+            return "".join(self.shape[ids])[1:]
+        runs = np.split(ids, np.flatnonzero(np.diff(byte)) + 1)
+        return "".join(bytes(self.pieces.byte_of[i] for i in r.tolist()).decode("utf-8", "replace") if self.is_byte[r[0]] else "".join(self.shape[r]) for r in runs)[1:]
+
+
 def decode(encoded: DataFrame, path: str = "piece_bpe_32k.model") -> DataFrame:
     """(doc_id, ids, text): the texts that ids stand for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = model(path)
-        # Most ids are pieces; only texts with bytes are put together id by id.
-        shape = np.array([t.replace(SPACE, " ") for t in pieces.texts], object)
-        is_byte = np.zeros(len(pieces.texts), bool)
-        is_byte[list(pieces.byte_of)] = True
+        back = Decoder(model(path))
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                texts = []
-                for raw in part.column(1):
-                    ids = np.frombuffer(raw.as_buffer(), "<u4")
-                    if not is_byte[ids].any():
-                        texts.append("".join(shape[ids])[1:])
-                        continue
-                    edges = np.flatnonzero(np.diff(is_byte[ids])) + 1
-                    runs = np.split(ids, edges)
-                    texts.append("".join(bytes(pieces.byte_of[i] for i in r.tolist()).decode("utf-8", "replace") if is_byte[r[0]] else "".join(shape[r]) for r in runs)[1:])
+                texts = [back.text(raw.as_buffer()) for raw in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
 
 
 def encoded_documents(docs: DataFrame, path: str = "piece_bpe_32k.model", bound: int = DICTIONARY) -> DataFrame:
-    """(doc_id, n_pieces, ids_crc32, decoded_sha256): encoded, decoded again, and digested."""
-    back = decode(encode(docs, path, bound), path)
-    return back.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    """(doc_id, n_pieces, ids_crc32, decoded_sha256): encoded, decoded again, and digested in one task.
+
+    Rows as in ``encode``; without any the digests are those of nothing.
+    """
+    docs = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    known = docs.sparkSession.sparkContext.broadcast(dictionary(docs, model(path), bound))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, back = Encoder(model(path), known.value), Decoder(model(path))
+        for batch in batches:
+            own = batch.column(0)
+            for lo, hi, data, offsets in K.slices(batch):
+                each = _split(*coder.texts(data, offsets))
+                rows = [own.slice(lo, hi - lo), pa.array([len(r) // 4 for r in each], pa.int64()), pa.array([zlib.crc32(r) for r in each], pa.int64())]
+                rows.append(pa.array([hashlib.sha256(back.text(r).encode("utf-8")).hexdigest() for r in each], pa.string()))
+                yield pa.RecordBatch.from_arrays(rows, ["doc_id", "n_pieces", "ids_crc32", "decoded_sha256"])
+
+    return docs.mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string")

@@ -173,6 +173,32 @@ def test_pieces(docs, empty):
     assert pieces.encoded_documents(empty).count() == 0
 
 
+def test_pieces_are_the_best_of_all_segmentations(spark):
+    m = pieces.model("piece_bpe_32k.model")
+
+    def best(word):
+        top = [(0.0, ())]
+        for e in range(1, len(word) + 1):
+            some = []
+            for s in range(e):
+                if word[s:e] in m.scores or e - s == 1:
+                    ids = (m.ids[word[s:e]],) if word[s:e] in m.ids else tuple(m.spell(word[s:e]))
+                    some.append((top[s][0] + m.scores.get(word[s:e], m.fallback), e - s, top[s][1] + ids))
+            score, _, ids = max(some, key=lambda x: (round(x[0], 9), x[1]))
+            top.append((score, ids))
+        return list(top[-1][1])
+
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("theandingé ▁"), rng.integers(1, 14))) for _ in range(120)] + ["  two  spaces ", "▁", " ", "".join(rng.choice(list("theandi"), 100)), "x▁ ▁y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: [x for w in pieces.words_of(t) for x in (best(w) if w else m.spell(pieces.SPACE))] for i, t in enumerate(texts)}
+    got = {r["doc_id"]: r["ids"] for r in pieces.encode(docs).collect()}
+    assert {i: np.frombuffer(b, "<u4").tolist() for i, b in got.items()} == want
+    digests = {r["doc_id"]: r for r in pieces.encoded_documents(docs, bound=5).collect()}
+    for i, t in enumerate(texts):
+        assert (digests[i]["n_pieces"], digests[i]["ids_crc32"], digests[i]["decoded_sha256"]) == (len(want[i]), zlib.crc32(got[i]), hashlib.sha256(t.encode()).hexdigest())
+
+
 def test_token_files(docs):
     import public_tokenizers
     from tokenizers import Tokenizer
