@@ -46,8 +46,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def shown(signatures: Column) -> Column:
-    """A fingerprint as text: the lower half of each hash in hexadecimal."""
-    return F.array_join(F.transform(signatures, lambda s: F.lpad(F.lower(F.hex(s.bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), "")
+    """A fingerprint as text: 16 hexadecimal digits for each signature's hash."""
+    return F.lower(F.array_join(F.transform(signatures, lambda s: F.lpad(F.hex(s), 16, "0")), ""))
 
 
 def _between(value: Column, splits: Sequence[int], lo: int = 0, hi: int | None = None) -> Column:
@@ -70,7 +70,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     docs = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = partitions(spark)
     splits = sorted({int(x) for x in docs.stat.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n)}) if n > 1 else []
-    placed = docs.withColumn("range", _between(F.col("doc_id"), splits))
+    # Nested comparisons for a few ranges; for very many one array and no expression for each.
+    at = _between(F.col("doc_id"), splits) if len(splits) <= 512 else F.size(F.filter(F.lit(splits), lambda x: x <= F.col("doc_id")))
+    placed = docs.withColumn("range", at)
     least = sorted((r["range"], r["id"]) for r in placed.groupBy("range").agg(F.min("doc_id").alias("id")).collect())
     if not least:
         heads = placed.limit(0)
@@ -81,8 +83,8 @@ def with_next(docs: DataFrame) -> DataFrame:
         heads = heads.select("doc_id", "text", back[F.col("range")].alias("range"))
     rows = placed.withColumn("sent", F.lit(0)).unionByName(heads.withColumn("sent", F.lit(1)))
     order = Window.partitionBy("range").orderBy("sent", "doc_id", "text")
-    # Signatures are made before the exchange, once a document.
-    rows = rows.withColumn("sigs", signatures(F.col("text")))
+    # Signatures are made before the exchange, once a document.  Ranges go by their number, as their hash would put several together.
+    rows = rows.withColumn("sigs", signatures(F.col("text"))).repartitionById(n, F.col("range"))
     rows = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next_sigs", F.lead("sigs").over(order))
     return rows.where("sent = 0").drop("sent", "range")
 
