@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import gc
-import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only where it is unset, as in tests, a local temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+
+#: Seconds after a table is written in which its plan is let go: by listeners that hear of the end, and by the thread that tells the JVM what Python has dropped.
+SETTLES = 0.3
+
+
+def tidy(spark: SparkSession) -> None:
+    """Asks both collectors to run: shuffle files go with the last reference to what they were for."""
+    gc.collect()
+    time.sleep(SETTLES)
+    spark.sparkContext._jvm.System.gc()
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -27,11 +31,10 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     since Spark drops shuffle files only with the last reference to them.
     """
     spark, schema = df.sparkSession, df.schema
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    tidy(spark)
     return spark.read.schema(schema).parquet(path)
 
 
