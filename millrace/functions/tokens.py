@@ -33,9 +33,15 @@ def tokenizer(path: str = VOCABULARY):
 class BytePairTokens:
     """Encodes and decodes by a vocabulary file; names of special tokens in a text are special."""
 
+    #: A space before a word belongs to it, and what stands before the space is encoded apart.
+    ends_at_spaces = True
+
     def __init__(self, path: str = VOCABULARY):
         self.coder = tokenizer(path)
 
+    def counts(self, texts: list[str]) -> list[int]:
+        return [len(e.ids) for e in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
+
     def encode(self, text: str) -> list[int]:
         return self.coder.encode(text, add_special_tokens=False).ids
 

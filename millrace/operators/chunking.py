@@ -37,41 +37,71 @@ def check_sizes(size: int, overlap: int, least: int) -> None:
         raise ValueError(f"a least size of {least} doesn't fit chunks of {size}")
 
 
-def _fit(paragraph: str, size: int, coder) -> Iterator[tuple[str, int]]:
+def _joined_sizes(sentences: list[str], coder) -> list[tuple[int, int]] | None:
+    """Each sentence's tokens, alone and behind a space, if a coder's tokens never reach over a space that another sentence begins with."""
+    if not getattr(coder, "ends_at_spaces", False):
+        return None
+    counts = coder.counts([*sentences, *(f" {x}" for x in sentences)])
+    return list(zip(counts[: len(sentences)], counts[len(sentences) :]))
+
+
+def _fit(paragraph: str, size: int, coder, count: Callable[[str], int]) -> Iterator[tuple[str, int]]:
     """A paragraph in pieces of at most ``size`` tokens: whole, by sentences, or cut between tokens."""
-    n = len(coder.encode(paragraph))
+    n = count(paragraph)
     if n <= size:
         yield paragraph, n
         return
-    packed: list[str] = []
-    for sentence in _SENTENCE.split(paragraph):
-        longer = f"{packed[-1]} {sentence}".strip() if packed and packed[-1] else sentence
-        if packed and (not packed[-1] or len(coder.encode(longer)) <= size):
-            packed[-1] = longer
+    sentences = _SENTENCE.split(paragraph)
+    sizes = _joined_sizes(sentences, coder)
+    packed: list[tuple[str, int]] = []
+    for k, sentence in enumerate(sentences):
+        before, held = packed[-1] if packed else ("", 0)
+        if not before:
+            packed[-1:] = [(sentence, sizes[k][0] if sizes else count(sentence))]
+            continue
+        longer = f"{before} {sentence}".strip()
+        grown = (held + sizes[k][1] if sentence else held) if sizes else count(longer)
+        if grown <= size:
+            packed[-1] = (longer, grown)
         else:
-            packed.append(sentence)
-    for piece in filter(None, packed):
+            packed.append((sentence, sizes[k][0] if sizes else count(sentence)))
+    for piece, n in packed:
+        if not piece:
+            continue
+        if n <= size:
+            yield piece, n
+            continue
         ids = coder.encode(piece)
-        cuts = [piece] if len(ids) <= size else [coder.decode(ids[i : i + size]) for i in range(0, len(ids), size)]
-        yield from ((c, len(coder.encode(c))) for c in cuts)
+        yield from ((c, count(c)) for c in (coder.decode(ids[i : i + size]) for i in range(0, len(ids), size)))
 
 
 def pack(text: str, size: int = 512, overlap: int = 50, least: int = 64, coder=None) -> list[tuple[str, int]]:
     """(chunk, tokens).  A full chunk's last paragraphs, up to ``overlap`` tokens, open the next; a small last one joins the one before."""
     check_sizes(size, overlap, least)
     coder = coder or WhitespaceTokens()
-    parts = [x for p in text.split("\n\n") if p.strip() for x in _fit(p.strip(), size, coder)]
+    known: dict[str, int] = {}
+
+    def count(part: str) -> int:
+        if part not in known:
+            known[part] = len(coder.encode(part))
+        return known[part]
+
+    parts = [x for p in text.split("\n\n") if p.strip() for x in _fit(p.strip(), size, coder, count)]
+    known |= dict(parts)
     chunks: list[list[tuple[str, int]]] = [[]]
+    held = 0
     for part in parts:
-        if chunks[-1] and sum(n for _, n in chunks[-1]) + part[1] > size:
+        if chunks[-1] and held + part[1] > size:
             carried, budget = [], overlap
             for p in reversed("\n\n".join(t for t, _ in chunks[-1]).split("\n\n") if overlap else ()):
-                budget -= (n := len(coder.encode(p)))
+                budget -= count(p)
                 if budget < 0:
                     break
-                carried.insert(0, (p, n))
+                carried.insert(0, (p, count(p)))
             chunks.append(carried)
+            held = sum(n for _, n in carried)
         chunks[-1].append(part)
+        held += part[1]
     out = [("\n\n".join(t for t, _ in c), sum(n for _, n in c)) for c in chunks if c]
     if len(out) > 1 and out[-1][1] < least:
         (a, m), (b, n) = out[-2:]
