@@ -56,9 +56,13 @@ between over under out up down near own such only just very both same
 """.split()
 
 
+#: All white space, character by character, as WHITE has it.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    """Without white space at either end, of any kind; ``trim`` knows spaces only."""
-    return F.regexp_replace(text, rf"(?U)^{WHITE}+|{WHITE}+$", "")
+    """Without white space at either end, of any kind; only the ends are looked at."""
+    return F.btrim(text, F.lit(SPACES))
 
 
 def split_words(text: Column) -> Column:
@@ -112,7 +116,7 @@ def reflow(text: Column) -> Column:
 
 
 def collapse(text: Column) -> Column:
-    text = F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\n{3,}", "\n\n")
+    text = F.regexp_replace(F.regexp_replace(text, r"[ \t]{2,}|\t", " "), r"\n{3,}", "\n\n")
     return F.array_join(_solid(F.split(text, "\n\n")), "\n\n")
 
 
@@ -141,8 +145,9 @@ def count_of(text: Column, cls: str) -> Column:
 
 
 def non_latin_ratio(text: Column) -> Column:
-    letters = count_of(text, r"\p{L}")
-    return F.when(letters > 0, count_of(text, rf"[\p{{L}}&&[{NON_LATIN}]]") / letters).otherwise(F.lit(0.0))
+    """Letters of other scripts among all letters; texts without any are only looked through."""
+    ratio = count_of(text, rf"[\p{{L}}&&[{NON_LATIN}]]") / F.greatest(count_of(text, r"\p{L}"), F.lit(1))
+    return F.when(text.rlike(f"[{NON_LATIN}]"), ratio).otherwise(0.0)
 
 
 #: What a language detector may be: a function from a text column to a map of languages' shares, null where it fails.

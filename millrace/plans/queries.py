@@ -332,6 +332,10 @@ e as (select distinct doc_id, page_no, line from l where (n <= 2 or n > k - 2) a
 select doc_id, line from e join c using (doc_id) where c >= 4 group by doc_id, line, c having count(*) >= greatest(4, floor(c * 0.6))""",
     "headers_removed": "with " + _PAGED + """, c as (select doc_id, count(*) c from pg group by 1)
 select doc_id, page_no, md5(array_to_string(list_filter(string_split("text", e'\\n'), lambda x: c < 4 or trim(x) not in ('RUNNING HEAD ' || doc_id, 'running foot')), e'\\n')) text_md5, 2 n_removed from pg join c using (doc_id)""",
+    "paged_documents": "with " + _PAGED + r""", l as (select doc_id, page_no, list_filter(list_transform(string_split("text", e'\n'), lambda x: trim(x)), lambda x: x <> '' and x not in ('RUNNING HEAD ' || doc_id, 'running foot')
+  and not regexp_matches(x, '(?i)^\s*(?:page\s+)?[-–—]?\s*\d{1,4}\s*(?:of\s*\d{1,4})?\s*[-–—]?\s*$') and not regexp_matches(x, '(?i)^\s*[ivxlcdm]{1,6}\s*$') and not regexp_matches(x, '(?i)^\s*(?:https?://|www\.)\S+\s*$') and not regexp_matches(x, '(?i)^\s*(read more|menu|navigation|sign up|log in)\s*$')) l from pg),
+b as (select doc_id, page_no, regexp_replace(array_to_string(l, ' '), '[ \t]+', ' ', 'g') t from l)
+select doc_id, length(string_agg(t, e'\n\n' order by page_no) filter (t <> '')) n_chars, 'RUNNING HEAD ' || doc_id || '|running foot' removed, count(*) page_count, 'Removed 2 repeated header/footer line(s).' warnings from b group by doc_id""",
     "paragraph_split": """with x as (select doc_id, list_filter(list_transform(string_split(replace(text, '. ', e'.\\n\\n \\n\\n '), e'\\n\\n'), lambda x: trim(x, e' \\n\\t')), lambda x: x <> '') l from documents)
 select doc_id, unnest(range(0, len(l)))::int para_no, md5(unnest(l)) text_md5 from x""",
     "language_scores": "with w as (select doc_id, text, " + _WORDS.format("lower(text)") + " ws from documents), n as (select doc_id, text, " + ", ".join(f"len(list_filter(ws, lambda x: list_contains([{', '.join(repr(x) for x in own)}], x))) {k}" for k, own in T.FUNCTION_WORDS.items()) + """ from w)
