@@ -5,11 +5,12 @@
    needs; a window with fewer cannot reach it, in whatever order its parts stand.
 2. Each such window gets a SimHash of 64 bits over its weighted 5-grams,
    the weight being how often one occurs.
-3. Multi-index Hamming blocks: the fingerprints of window and item are cut into
+3. Multi-index Hamming blocks: the fingerprints of windows and items are cut into
    RADIUS + 1 blocks; within the radius at least one block is equal, so an equi-join
-   on (item, block, value) finds every fingerprint within it.  At a similarity of 0.8
-   bits differ with a chance of 0.15, and more than RADIUS of 64 in about one of
-   a million windows.
+   on (size, block, value) finds every item of the window's size within it.  At a
+   similarity of 0.8 bits differ with a chance of 0.15, and more than RADIUS of 64 in
+   about one of a million windows, which are lost.  Blocks of two or three bits, as this
+   radius needs, select little: it is the first step that keeps windows few.
 4. Exact weighted similarity, the sum of least counts over the sum of largest ones,
    verifies what is left.
 
@@ -123,23 +124,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     ids = _sized(starts.select("doc_id").distinct(), bound)
     near = only(docs, "doc_id", "text").join(ids, "doc_id", "left_semi").select("doc_id", F.xxhash64("text").alias("copy"), "text").dropDuplicates(["doc_id", "copy"])
     near = near.select("doc_id", "copy", words(F.col("text")).alias("w")).select("doc_id", "copy", grams(F.col("w")).alias("g"))
-    windows = starts.join(near, ["doc_id", "copy"]).select("doc_id", "copy", "item_id", "row", "start", F.slice("g", F.col("start") + 1, F.col("n")).alias("g"))
+    key = ["doc_id", "copy", "n", "start"]
+    windows = starts.select(*key).distinct().join(near, ["doc_id", "copy"]).select(*key, F.slice("g", F.col("start") + 1, F.col("n")).alias("g"))
     # Written before they are hashed: a lambda over a computed array would compute it again for every bit.
     windows = cut(windows, "windows").withColumn("hash", simhash(F.col("g")))
     windows = cut(windows, "hashes")
 
-    key = ["doc_id", "copy", "row", "start"]
-    theirs = items.select("row", "item_hash", F.explode_outer(blocks(F.col("item_hash"))).alias("b")).select("row", "item_hash", "b.block", "b.value")
+    # The index says which items of a window's size are near, whatever item the window was made for.
+    theirs = items.select("item_id", "row", "n", "item_hash", F.explode_outer(blocks(F.col("item_hash"))).alias("b")).select("item_id", "row", "n", "item_hash", "b.block", "b.value")
     ours = windows.select(*key, "hash", F.explode_outer(blocks(F.col("hash"))).alias("b")).select(*key, "hash", "b.block", "b.value")
-    met = ours.join(theirs, ["row", "block", "value"]).select(*key, F.bit_count(F.col("hash").bitwiseXOR(F.col("item_hash"))).alias("distance"))
+    met = ours.join(_sized(theirs, bound), ["n", "block", "value"]).select(*key, "item_id", "row", F.bit_count(F.col("hash").bitwiseXOR(F.col("item_hash"))).alias("distance"))
     met = met.where(F.col("distance") <= RADIUS).distinct()
 
-    mine = windows.join(met, key).select(*key, "item_id", "distance", F.size("g").alias("n"), F.explode_outer("g").alias("gram"))
-    mine = mine.groupBy(*key, "item_id", "distance", "n", "gram").agg(F.count("*").alias("k"))
+    pair = [*key, "item_id", "row", "distance"]
+    mine = windows.join(met, key).select(*pair, F.size("g").alias("m"), F.explode_outer("g").alias("gram"))
+    mine = mine.groupBy(*pair, "m", "gram").agg(F.count("*").alias("k"))
     counts = places.groupBy("row", F.col("n").alias("total"), "gram").agg(F.count("*").alias("c"))
     # Every window found shares a gram with its item or is below any threshold above 0.
-    shared = mine.join(counts, ["row", "gram"]).groupBy(*key, "item_id", "distance", "n", "total").agg(F.sum(F.least("k", "c")).alias("least"))
-    exact = shared.withColumn("similarity", F.col("least") / (F.col("n") + F.col("total") - F.col("least"))).where(F.col("similarity") >= similarity)
+    shared = mine.join(counts, ["row", "gram"]).groupBy(*pair, "m", "total").agg(F.sum(F.least("k", "c")).alias("least"))
+    exact = shared.withColumn("similarity", F.col("least") / (F.col("m") + F.col("total") - F.col("least"))).where(F.col("similarity") >= similarity)
     exact = exact.select("doc_id", "copy", "item_id", "start", "distance", "similarity")
     if not few.isEmpty():
         exact = exact.union(_short(docs, few, bound))
