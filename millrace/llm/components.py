@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut
+from .store import cut, discard
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -36,7 +36,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if seen == state or not seen[0]:
             break
         state = seen
+        before = edges
         edges = cut(_star(_star(edges, True), False), "stars")
+        discard(before)
     else:
         raise RuntimeError("the components did not settle")
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .store import cut, only, partitions
+from .store import cut, discard, only, partitions
 
 U64 = np.uint64
 #: Groups of a count vector in the R-tree, and finer groups that each of them is made of.
@@ -482,6 +482,10 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, broad
         asked = named.join(turns, "star").select("star", own.alias("left"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("right"), "id", F.lit(1).alias("role"), "label")
         second = asking.union(asked).groupBy("star", "left", "right", "id", "label").agg(F.sum("role").cast("int").alias("role"))
         second = cut(second.select("star", "left", "right", "id", "role", "label"), "second")
-        links = cut(links.union(_found(_in_stars(docs, second, width, broadcast_ids), percent)), "links")
+        more = cut(links.union(_found(_in_stars(docs, second, width, broadcast_ids), percent)), "links")
+        discard(links, named, second)
+        links, first_groups = more, groups
         groups = cut(components(links), "groups")
+        discard(first_groups)
+    discard(weighed, large, links)
     return sets.select("doc_id", "n_shingles").join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

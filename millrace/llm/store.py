@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import time
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +36,24 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     del df
     tidy(spark)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    _paths[id(out)] = path
+    weakref.finalize(out, _paths.pop, id(out), None)
+    return out
+
+
+#: Where tables that ``cut`` wrote stand, as long as they are named.
+_paths: dict[int, str] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``cut`` wrote and that nothing reads any more; a table from elsewhere stays."""
+    for df in tables:
+        path = _paths.pop(id(df), None)
+        if path:
+            context = df.sparkSession.sparkContext
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def partitions(spark: SparkSession) -> int:

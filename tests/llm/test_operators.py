@@ -487,3 +487,72 @@ def test_quality_of_held_out_documents(spark):
     assert quality_crf.quality(docs.limit(0), labels).count() == 0
     few = quality_crf.train(docs.union(docs), labels, 50, 20_000)
     assert few.weights.any()
+
+
+def test_rows_that_share_an_id_long_texts_ties_and_clashing_columns(spark):
+    """Each operator's defined result on the same awkward table, and none on an empty one."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(21)
+    words = [f"{a}{b}" for a in ("ba", "ké", "li", "the", "und") for b in range(60)]
+    long = " ".join(rng.choice(words, 60_000))
+    rows = [(1, "the same text twice"), (1, "the same text twice"), (2, "b text"), (2, "a text"), (3, long), (4, long[: len(long) // 2]), (5, None), (6, ""), (7, long)]
+    clash = "start long, n_tokens long, fingerprint string, ids binary, range int, sent int, bucket int, kind string, hash long, gram string, row long, w string"
+    docs = spark.createDataFrame([(i, t, *[1] * 2, "x", b"x", 1, 1, 1, "k", 1, "g", 1, "w") for i, t in rows], f"doc_id long, text string, {clash}").repartition(4)
+    empty = docs.limit(0)
+
+    # Each row is written and scored; of rows with one id, dedup takes the largest text.
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want, start = [], 0
+    for i, t in sorted((i, t or "") for i, t in rows):
+        ids = [*whole.encode(t, add_special_tokens=False).ids, 1]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, token_ids.read_token_files(token_ids.write_token_files(docs)).collect())) == sorted(want)
+    assert token_ids.read_token_files(token_ids.write_token_files(empty)).count() == 0
+
+    one = {}
+    for i, t in rows:
+        one[i] = max(one.get(i, ""), t or "")
+    want = repeats_of(one.items(), lambda t: t.encode(), 50, bytes)
+    assert {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.suffix_dedup(docs).collect()} == want and want[7][1] == want[7][0]
+    want = repeats_of(one.items(), WORD.findall, 50, lambda k: " ".join(k).encode())
+    got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.substring_dedup(docs).collect()}
+    assert got == {i: (n, r, d) for i, (n, r, _, d) in want.items()}
+    groups = {r["doc_id"]: tuple(r)[1:] for r in ngram_join.ngram_jaccard_join(docs).collect()}
+    assert groups == components_of(one.items(), 4, 85) and groups[7][1] == 3
+
+    assert Counter(r["doc_id"] for r in pieces.encode(docs).collect()) == Counter(i for i, _ in rows)
+    back = {(r["doc_id"], r["text"]) for r in pieces.decode(pieces.encode(docs)).collect()}
+    assert back == {(i, t or "") for i, t in rows} and pieces.encode(empty).count() == 0
+
+    prints = spot_signatures.fingerprints(docs).collect()
+    assert Counter(r["doc_id"] for r in prints) == Counter(i for i, _ in rows)
+    by = {r["doc_id"]: r for r in prints}
+    assert by[3]["fingerprint"] == by[7]["fingerprint"] != by[4]["fingerprint"] and len(by[3]["fingerprint"]) % 16 == 0
+    assert spot_signatures.fingerprints(empty).count() == 0
+
+    item = long[: long.index(" ", 400)]
+    bench = spark.createDataFrame([(1, item, 0), (1, item, 0), (2, None, 0), (3, "", 0)], "item_id long, text string, doc_id int")
+    found = {(r["doc_id"], r["item_id"]): (r["similarity"], r["start"]) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert found == {(3, 1): (1.0, 0), (4, 1): (1.0, 0), (7, 1): (1.0, 0)}
+    assert decontaminate.contaminated(empty, bench).count() == decontaminate.contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_likeness_is_that_of_the_fingerprints(docs):
+    def parts(print_):
+        return {print_[k : k + 16] for k in range(0, len(print_), 16)}
+
+    for r in spot_signatures.fingerprints(docs).collect():
+        a, b = parts(r["fingerprint"]), parts(r["edited_fingerprint"])
+        assert r["near_edited"] == pytest.approx(len(a & b) / len(a | b))
+
+
+def test_components_of_chains_and_hubs(spark):
+    from millrace.llm.components import components
+
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, k) for k in range(101, 140)] + [(7, 7), (101, 100), (139, 200)]
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(61)} | {i: 100 for i in [*range(100, 140), 200]}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
