@@ -13,20 +13,26 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
+from ..storage import stored
+
 _WORD = re.compile(r"[a-z0-9]+")
 
 
-def fingerprints(texts: list[str], width: int = 4) -> np.ndarray:
-    """64 bits over each text's distinct word shingles, by BLAKE2b: a bit is set if more have it set than not; 0 without words."""
-    digests, count = [], []
+#: Eight bytes for a shingle, by name.
+DIGESTS = {"blake2b": lambda raw: hashlib.blake2b(raw, digest_size=8).digest(), "md5": lambda raw: hashlib.md5(raw).digest()[:8]}
+
+
+def fingerprints(texts: list[str], width: int = 4, digest: str = "blake2b") -> np.ndarray:
+    """64 bits over each text's distinct word shingles: a bit is set if more have it set than not; 0 without words."""
+    digests, count, hashed = [], [], DIGESTS[digest]
     for text in texts:
         words = _WORD.findall((text or "").lower())
         grams = {" ".join(words[i : i + width]) for i in range(len(words) - width + 1)} if len(words) >= width else {" ".join(words)} - {""}
-        digests += [hashlib.blake2b(g.encode(), digest_size=8).digest() for g in grams]
+        digests += [hashed(g.encode()) for g in grams]
         count.append(len(grams))
     out = np.zeros(len(texts), np.uint64)
     size = np.array(count)
@@ -43,10 +49,13 @@ def simhash_of(text: str, width: int = 4) -> int:
     return int(fingerprints([text], width)[0])
 
 
-@F.pandas_udf(S.LongType())
-def simhash(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for part in parts:
-        yield pd.Series(np.concatenate([fingerprints(part.iloc[i : i + 500].tolist()) for i in range(0, len(part), 500)] or [np.zeros(0, np.int64)]))
+def simhash(text: Column, digest: str = "blake2b") -> Column:
+    @F.pandas_udf(S.LongType())
+    def made(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield pd.Series(np.concatenate([fingerprints(part.iloc[i : i + 500].tolist(), digest=digest) for i in range(0, len(part), 500)] or [np.zeros(0, np.int64)]))
+
+    return made(text)
 
 
 def _leaders(names: list[str], keys: int, threshold: int):
@@ -78,7 +87,7 @@ def _leaders(names: list[str], keys: int, threshold: int):
     return run
 
 
-def near_dedup(df: DataFrame, scope: list[str], order: list[str] | str = "para_no", threshold: int = 3, column: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
+def near_dedup(df: DataFrame, scope: list[str], order: list[str] | str = "para_no", threshold: int = 3, column: str = "text", broadcast_rows: int = 1_000_000, digest: str = "blake2b") -> DataFrame:
     """``df`` without paragraphs within ``threshold`` bits of an earlier one that shares a band.
 
     Texts are read once for their fingerprints.  Each band deals (order, fingerprint)
@@ -86,11 +95,9 @@ def near_dedup(df: DataFrame, scope: list[str], order: list[str] | str = "para_n
     first of each before, so a hot fingerprint is one entry.  What goes is broadcast up to
     so many rows, and joined by a shuffle beyond.
     """
-    from ..storage import stored
-
     order = [order] if isinstance(order, str) else order
     names = [*scope, *(c for c in order if c not in scope)]
-    prints = stored(df.select(*names, simhash(F.col(column)).alias("_fp")), "fingerprints")
+    prints = stored(df.select(*names, simhash(F.col(column), digest).alias("_fp")), "fingerprints")
     keys = prints.groupBy(*scope, "_fp").agg(F.min(F.struct(*order)).alias("_o")).select(*scope, *(F.col(f"_o.{c}").alias(c) for c in order if c not in scope), "_fp")
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for k in range(4):

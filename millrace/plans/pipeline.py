@@ -18,7 +18,7 @@ REMOVED = "Quality filter removed %d of %d paragraph(s) (non-English: %d, markup
 STATS = ("original_chars", "clean_chars", "original_paragraphs", "remaining_paragraphs", "removed_paragraphs", "removed_non_english", "removed_markup", "removed_citations", "removed_low_quality", "duplicates_removed")
 
 
-def filter_paragraphs(docs: DataFrame, key: str = "doc_id", scope: str = "document", deduplicate: bool = True, near: bool = True, detector: T.Detector | None = None, **rules) -> tuple[DataFrame, DataFrame]:
+def filter_paragraphs(docs: DataFrame, key: str = "doc_id", scope: str = "document", deduplicate: bool = True, near: bool = True, detector: T.Detector | None = None, digest: str = "blake2b", **rules) -> tuple[DataFrame, DataFrame]:
     """(scored paragraphs with reasons, survivors).  ``scope`` says whether duplicates count within a document or the corpus.
 
     Scores are written to the shared folder once; survivors and statistics read them there.
@@ -31,7 +31,7 @@ def filter_paragraphs(docs: DataFrame, key: str = "doc_id", scope: str = "docume
         order = [key, "para_no"]
         kept = quality.exact_dedup(kept, order, within)
         if near:
-            kept = near_dedup.near_dedup(kept, within, order)
+            kept = near_dedup.near_dedup(kept, within, order, digest=digest)
     return scored, kept
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.tokens import token_count
-from ..operators import chunking, cleaning, quality
+from ..operators import chunking, cleaning, near_dedup, quality
 from ..sources import readers, writers
 from ..storage import shared_folder, stored
 from . import pipeline, reports
@@ -71,6 +71,16 @@ def survivors(spark: SparkSession, d: str) -> DataFrame:
     return pipeline.process_table(_t(spark, d, "documents"), "doc_id")[1].select("doc_id", "para_no", "score")
 
 
+def near_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """Near-duplicates alone, by a hash that SQL has too."""
+    return near_dedup.near_dedup(_t(spark, d, "documents").select("doc_id", "text"), [], "doc_id", digest="md5").select("doc_id")
+
+
+def table_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """``survivors`` by a hash that SQL has too: cleaned, scored, without exact and then near duplicates."""
+    return pipeline.process_table(_t(spark, d, "documents"), "doc_id", {"digest": "md5"})[1].select("doc_id", "para_no", F.round("score", 4).alias("score"))
+
+
 def filter_examples(spark: SparkSession, d: str) -> DataFrame:
     return quality.examples(_scored(spark, d), ["lang"], ["doc_id"], 60).select("lang", "example_no", F.substring("original", 1, 400).alias("original"), "keep", "reason")
 
@@ -232,7 +242,7 @@ def checkpoint_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    flagship_quality_report, paragraph_scores, exact_duplicates, markup_stripped, web_lines, reflowed, header_footer_lines, corpus_stats, exact_stats, survivors, filter_examples, chunks, conversation_documents, token_blocks, training_batches, model_sizes,
+    flagship_quality_report, paragraph_scores, exact_duplicates, markup_stripped, web_lines, reflowed, header_footer_lines, corpus_stats, exact_stats, survivors, near_survivors, table_survivors, filter_examples, chunks, conversation_documents, token_blocks, training_batches, model_sizes,
     spiced_scores, spiced_reasons, spiced_stats, spiced_examples, character_cleaning, header_footer_cases, headers_removed, paged_documents, paragraph_split, language_scores, document_counts, jsonl_round_trip, table_rows, corpus_blocks, corpus_tokens,
     token_counts, table_dataset, source_presets, loss_curve, checkpoint_names,
 )}
@@ -291,6 +301,16 @@ r as (select *, case when has_markup then 'markup' when english_probability < 0.
   when round(unusual, 3) > 0.15 then 'unusual_characters' when score < 40 then 'low_quality' else 'kept' end reason from s)
 """
 )
+#: Fingerprints of k0 (doc_id, text) by MD5, and leaders folded band by band in order of doc_id.
+_NEAR = """w4 as (select doc_id, regexp_extract_all(lower("text"), '[a-z0-9]+') w from k0),
+g4 as (select doc_id, unnest(case when len(w) >= 4 then list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) g from w4),
+h4 as (select doc_id, ('0x' || md5(g)[:16])::ubigint v from g4),
+b4 as (select doc_id, b, 2 * sum(((v >> b) & 1)::int) > count(*) s from h4, range(64) t(b) group by doc_id, b),
+f4 as (select doc_id, sum(case when s then (1::hugeint << b::int) else 0 end)::ubigint fp from b4 group by doc_id),
+k as (select doc_id, coalesce(fp, 0)::ubigint fp from k0 left join f4 using (doc_id)), """ + ", ".join(
+    f"""r{i} as (select list_reduce({'list([fp] order by doc_id)' if i == 0 else 'list_transform(l, lambda x: [x])'}, lambda a, x: case when len(list_filter(a, lambda y: ((y >> {16 * i}) & 65535) = ((x[1] >> {16 * i}) & 65535) and bit_count(xor(y, x[1])) <= 3)) > 0 then a else list_concat(a, x) end) l from {'k' if i == 0 else f'r{i - 1}'})"""
+    for i in range(4)
+)
 _PAGED = "pg as (select doc_id // 5 doc_id, (doc_id % 5)::int page_no, 'RUNNING HEAD ' || (doc_id // 5) || e'\\n' || text || e'\\nbody line\\n' || (doc_id % 5) || e'\\n  running foot ' \"text\" from documents)"
 _MARK = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<svg\b[^>]*>.*?</svg>', ' ', 'g'), '(?i)<\?xml[^>]*\?>', ' ', 'g'), '</?[a-zA-Z][a-zA-Z0-9:_-]*(?:\s+[^<>]*)?/?>', ' ', 'g'), '&(?:amp|lt|gt|quot|apos|nbsp|#\d+|#x[0-9a-fA-F]+);', ' ', 'g')"
 _SPLIT = r"regexp_split_to_array({0}, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]')"
@@ -332,6 +352,9 @@ e as (select distinct doc_id, page_no, line from l where (n <= 2 or n > k - 2) a
 select doc_id, line from e join c using (doc_id) where c >= 4 group by doc_id, line, c having count(*) >= greatest(4, floor(c * 0.6))""",
     "headers_removed": "with " + _PAGED + """, c as (select doc_id, count(*) c from pg group by 1)
 select doc_id, page_no, md5(array_to_string(list_filter(string_split("text", e'\\n'), lambda x: c < 4 or trim(x) not in ('RUNNING HEAD ' || doc_id, 'running foot')), e'\\n')) text_md5, 2 n_removed from pg join c using (doc_id)""",
+    "near_survivors": "with k0 as (select doc_id, text from documents), " + _NEAR + " select min(doc_id) doc_id from k where fp in (select unnest(l) from r3) group by fp",
+    "table_survivors": _SCORES + r""", x as (select doc_id, "text", score, row_number() over (partition by regexp_replace(lower("text"), '\s+', ' ', 'g') order by doc_id) c from r where reason = 'kept'),
+k0 as (select doc_id, "text" from x where c = 1), """ + _NEAR + " select doc_id, 0 para_no, round(score, 4) score from x where doc_id in (select min(doc_id) from k where fp in (select unnest(l) from r3) group by fp)",
     "paged_documents": "with " + _PAGED + r""", l as (select doc_id, page_no, list_filter(list_transform(string_split("text", e'\n'), lambda x: trim(x)), lambda x: x <> '' and x not in ('RUNNING HEAD ' || doc_id, 'running foot')
   and not regexp_matches(x, '(?i)^\s*(?:page\s+)?[-–—]?\s*\d{1,4}\s*(?:of\s*\d{1,4})?\s*[-–—]?\s*$') and not regexp_matches(x, '(?i)^\s*[ivxlcdm]{1,6}\s*$') and not regexp_matches(x, '(?i)^\s*(?:https?://|www\.)\S+\s*$') and not regexp_matches(x, '(?i)^\s*(read more|menu|navigation|sign up|log in)\s*$')) l from pg),
 b as (select doc_id, page_no, regexp_replace(array_to_string(l, ' '), '[ \t]+', ' ', 'g') t from l)
