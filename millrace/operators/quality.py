@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import stored
 
 REASONS = ("markup", "non_english", "citation_fragment", "unusual_characters", "low_quality")
 
@@ -84,6 +85,7 @@ def exact_dedup(df: DataFrame, order: list[str], scope: list[str] | None = None,
     first = narrow.groupBy(*scope, "_key", "_md5").agg(F.min("_order").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
     later = narrow.join(first, [*scope, "_key", "_md5"]).where("_order > _first")
     gone = later.select(*scope, *(F.col(f"_order.{c}").alias(c) for c in order if c not in scope))
+    gone = stored(gone, "exact-duplicates")
     gone = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
     return df.join(gone, list(dict.fromkeys([*scope, *order])), "left_anti")
 
