@@ -332,3 +332,14 @@ def test_reports_of_logs_and_files(spark, tmp_path):
     assert [(r["length"], r["size_mb"]) for r in reports.list_files(spark, str(tmp_path), ".pt").collect()] == [(2**20, 1.0)]
     stats = spark.createDataFrame([(1234567, 10)], "original_chars long, clean_chars long").withColumns({c: F.lit(3) for c in pipeline.STATS[2:]})
     assert reports.with_stats_text(stats).first()["report"].startswith("Original characters: 1,234,567\nClean characters: 10\nOriginal paragraphs: 3\n")
+
+
+def test_scores_of_a_stream(spark, tmp_path):
+    from millrace.streaming.scoring import score_stream
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("The cat sat on the mat and it was happy there.\nword\n")
+    lines = spark.readStream.schema("value string").text(str(tmp_path / "in")).withColumnRenamed("value", "text")
+    query = score_stream(lines).select("text", "reason").writeStream.format("memory").queryName("scored_lines").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
+    query.awaitTermination(60)
+    assert sorted(r["reason"] for r in spark.table("scored_lines").collect()) == ["kept", "low_quality"]
