@@ -1,15 +1,15 @@
-"""What suffix-array and substring dedup share: finding where windows can repeat.
+"""What substring dedup is built on: finding where windows of words can repeat.
 
-A window is ``width`` consecutive tokens (bytes or words) of one document.  The
-least hash among a window's ``gram``-token grams is its anchor; equal windows have
-equal anchors at equal places, so only anchors need to meet, one in about twenty
-tokens.  Consecutive windows with one anchor form a segment.
+A window is ``width`` consecutive words of one document.  The least hash among a
+window's ``gram``-word grams is its anchor; equal windows have equal anchors at equal
+places, so only anchors need to meet, one in about twenty words.  Consecutive windows
+with one anchor form a segment.
 
 * Segments that are equal as wholes are collapsed, in each task and then by bucket
   of the anchor: all windows of those in later documents repeat.
 * Segments that share an anchor but differ, as at the ends of a repeated passage,
-  are the *open* ones; their windows must be compared themselves.  The operators do
-  that, each by its own index, for one context (a segment's tokens) a segment.
+  are the *open* ones; their windows must be compared themselves.  The operator does
+  that by its index, for one context (a segment's words) a segment.
 * An anchor with more than HOT open segments, as at the end of a passage that very
   many documents share, is spread: each window becomes a context of its own, dealt
   by its content, and equal ones are collapsed in each task.
@@ -33,7 +33,7 @@ from .store import cut, only, partitions
 
 U64 = np.uint64
 #: Anchors that a scanning task holds before it sends them.
-HELD = 1 << 20
+HELD = 1 << 18
 #: Open segments of an anchor that stay together.
 HOT = 20_000
 #: Buckets for each of the session's shuffle partitions: a bucket is sorted in a worker's memory.
@@ -46,17 +46,13 @@ _SCHEMA = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), *((k, pa.bin
 
 @dataclass(frozen=True)
 class Windows:
-    """The windows that count: of words or of bytes, how wide, and the grams that anchor them."""
+    """The windows that count: how many words, and how many the grams have that anchor them."""
 
-    words: bool
     width: int
     gram: int
 
     def tokens(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Running sums over the tokens, each document's first token, and the tokens' starts and ends in bytes."""
-        if not self.words:
-            place = np.arange(len(data) + 1)
-            return K.running(K.BYTES[data]), offsets, place[:-1], place[1:]
+        """Running sums over the words, each document's first word, and the words' starts and ends in bytes."""
         start, end, first = K.words(data, offsets)
         return K.running(K.word_hashes(data, start, end)), first, start, end
 
@@ -362,7 +358,7 @@ def _search(of: Windows, homes: int, compare: Callable):
         heads = _runs(anchor[order])
         at = 0
         while at < len(order):
-            goal = (upto[at - 1] if at else 0) + of.width * (80_000 if of.words else 60_000)
+            goal = (upto[at - 1] if at else 0) + of.width * 80_000
             stop = int(np.searchsorted(upto, goal)) + 1
             later = heads[np.searchsorted(heads, stop) :]
             stop = int(later[0]) if len(later) else len(order)

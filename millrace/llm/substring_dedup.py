@@ -166,9 +166,10 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, hot: int = HOT) -> Data
     word, in a document with a smaller doc_id.  Words are runs of characters other than
     space and U+0009 to U+000D.  ``docs`` has doc_id and text; further columns are
     ignored, rows without a doc_id dropped; a null text has no words, and of rows that
-    share a doc_id the one with the largest text counts.
+    share a doc_id the one with the largest text counts.  A very long text is as many
+    contexts; an empty table gives an empty result.
     """
-    of = Windows(True, width, min(8, max(1, width // 2)))
+    of = Windows(width, min(8, max(1, width // 2)))
 
     def finish(ids, data, offsets, found) -> Iterator[pa.RecordBatch]:
         begin, end, first = K.words(data, offsets)
