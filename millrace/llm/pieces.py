@@ -22,7 +22,8 @@ import math
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ BYTES_PENALTY = 2 * EACH
 DICTIONARY = 1 << 19
 #: Words beyond it that a task remembers.
 REMEMBERED = 1 << 16
+#: Of a word's hash, the bits below those that are looked up at once.
+SHIFT = np.uint64(44)
 #: Longer words are folded in the task; their state would be copied too often.
 LONGEST = 64
 
@@ -188,16 +191,38 @@ def _spelled(pieces: Model, word: str, ids: list[int]) -> list[int]:
 class Known:
     """Encoded words as packed arrays, looked up by the words' hashes (two words share one with a chance of 2**-64)."""
 
-    def __init__(self, words: list[str], ids: list[list[int]]):
-        raw = [w.replace(SPACE, " ").encode("utf-8") for w in words]
-        ends = np.cumsum([0] + [len(r) for r in raw])
-        keys = K.word_hashes(np.frombuffer(b"".join(raw), np.uint8), ends[:-1], ends[1:])
-        length = np.array([len(i) for i in ids], np.int64)
+    def __init__(self, found: Iterable[tuple[str, list[int]]]):
+        # Packed as they come: lists of half a million words and their ids would take a driver's memory.
+        raw, ends, flat, count = bytearray(), array("q", [0]), array("I"), array("q")
+        for word, ids in found:
+            raw += word.replace(SPACE, " ").encode("utf-8")
+            ends.append(len(raw))
+            flat.extend(ids)
+            count.append(len(ids))
+        edges, length = np.array(ends, np.int64), np.array(count, np.int64)
+        keys = K.word_hashes(np.frombuffer(bytes(raw), np.uint8), edges[:-1], edges[1:])
         order = np.argsort(keys)
         self.keys = keys[order]
         self.length = length[order].astype(np.uint16)
         self.start = (np.cumsum(length) - length)[order].astype(np.uint32)
-        self.ids = np.array([i for some in ids for i in some], np.uint32)
+        self.ids = np.array(flat, np.uint32)
+        # Where keys with the same upper bits begin.
+        self.first = np.searchsorted(self.keys >> SHIFT, np.arange((1 << 64 - int(SHIFT)) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """Each key's place, or -1."""
+        out = np.full(len(key), -1, np.int64)
+        top = (key >> SHIFT).astype(np.int64)
+        at, end = self.first[top], self.first[top + 1]
+        live = np.flatnonzero(at < end)
+        at, end = at[live], end[live]
+        while len(live):
+            hit = self.keys[at] == key[live]
+            out[live[hit]] = at[hit]
+            at += 1
+            going = ~hit & (at < end)
+            live, at, end = live[going], at[going], end[going]
+        return out
 
 
 def dictionary(texts: DataFrame, pieces: Model, bound: int = DICTIONARY) -> Known:
@@ -213,13 +238,10 @@ def dictionary(texts: DataFrame, pieces: Model, bound: int = DICTIONARY) -> Know
         if total > bound:
             break
         least = row["count"]
-    found: tuple[list, list] = [], []
-    if least is not None:
-        kept = counts.where(F.col("count") >= least).select(F.translate("word", " ", SPACE).alias("word"))
-        for r in lattice(kept, pieces).toLocalIterator(prefetchPartitions=True):
-            found[0].append(r["word"])
-            found[1].append(_spelled(pieces, r["word"], r["ids"]))
-    return Known(*found)
+    if least is None:
+        return Known(())
+    kept = counts.where(F.col("count") >= least).select(F.translate("word", " ", SPACE).alias("word"))
+    return Known((r["word"], _spelled(pieces, r["word"], r["ids"])) for r in lattice(kept, pieces).toLocalIterator(prefetchPartitions=True))
 
 
 class Encoder:
@@ -244,8 +266,8 @@ class Encoder:
         end = np.append(start[1:], len(data))
         key = K.word_hashes(data, start, end)
         known = self.known
-        at = np.minimum(np.searchsorted(known.keys, key), max(0, len(known.keys) - 1))
-        hit = known.keys[at] == key if len(known.keys) else np.zeros(len(key), bool)
+        at = known.find(key)
+        hit = at >= 0
         count = np.zeros(len(key), np.int64)
         count[hit] = known.length[at[hit]]
         missed = np.flatnonzero(~hit)
@@ -311,21 +333,24 @@ def _split(ids: np.ndarray, count: np.ndarray) -> list[bytes]:
 
 
 class Decoder:
-    """Texts of ids: most ids are pieces; only texts with bytes are put together run by run."""
+    """Texts of ids: each id's bytes, one after another, whether it is a piece or a byte."""
 
     def __init__(self, pieces: Model):
-        self.pieces = pieces
-        self.shape = np.array([t.replace(SPACE, " ") for t in pieces.texts], object)
-        self.is_byte = np.zeros(len(pieces.texts), bool)
-        self.is_byte[list(pieces.byte_of)] = True
+        raw = [bytes([pieces.byte_of[i]]) if i in pieces.byte_of else t.replace(SPACE, " ").encode("utf-8") for i, t in enumerate(pieces.texts)]
+        self.length = np.array([len(r) for r in raw], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.flat = np.frombuffer(b"".join(raw), np.uint8)
+
+    def raw(self, ids: np.ndarray, count: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of several texts' ids, and where each text's begin (one longer)."""
+        length = self.length[ids]
+        upto = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(count)])]
+        return self.flat[K.ragged(self.start[ids], length)].tobytes(), upto
 
     def text(self, raw: bytes | pa.Buffer) -> str:
+        """One text, without the space that was put before it."""
         ids = np.frombuffer(raw, "<u4")
-        byte = self.is_byte[ids]
-        if not byte.any():
-            return "".join(self.shape[ids])[1:]
-        runs = np.split(ids, np.flatnonzero(np.diff(byte)) + 1)
-        return "".join(bytes(self.pieces.byte_of[i] for i in r.tolist()).decode("utf-8", "replace") if self.is_byte[r[0]] else "".join(self.shape[r]) for r in runs)[1:]
+        return self.raw(ids, np.array([len(ids)]))[0].decode("utf-8", "replace")[1:]
 
 
 def decode(encoded: DataFrame, path: str = "piece_bpe_32k.model") -> DataFrame:
@@ -355,9 +380,11 @@ def encoded_documents(docs: DataFrame, path: str = "piece_bpe_32k.model", bound:
         for batch in batches:
             own = batch.column(0)
             for lo, hi, data, offsets in K.slices(batch):
-                each = _split(*coder.texts(data, offsets))
-                rows = [own.slice(lo, hi - lo), pa.array([len(r) // 4 for r in each], pa.int64()), pa.array([zlib.crc32(r) for r in each], pa.int64())]
-                rows.append(pa.array([hashlib.sha256(back.text(r).encode("utf-8")).hexdigest() for r in each], pa.string()))
+                ids, count = coder.texts(data, offsets)
+                text, upto = back.raw(ids, count)
+                rows = [own.slice(lo, hi - lo), pa.array(count, pa.int64()), pa.array([zlib.crc32(r) for r in _split(ids, count)], pa.int64())]
+                # Without the space that was put before each text.
+                rows.append(pa.array([hashlib.sha256(text[a + 1 : b]).hexdigest() for a, b in zip(upto, upto[1:])], pa.string()))
                 yield pa.RecordBatch.from_arrays(rows, ["doc_id", "n_pieces", "ids_crc32", "decoded_sha256"])
 
     return docs.mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string")
