@@ -19,7 +19,8 @@ from . import pipeline, reports
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    table = spark.read.parquet(f"{d}/{name}.parquet")
+    return readers.spread(table) if name in ("documents", "pages") else table
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:

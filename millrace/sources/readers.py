@@ -178,6 +178,16 @@ def read_table(df: DataFrame, text_field: str = "text", order: list[str] | None
     return df.withColumn("text", text).where("text <> ''")
 
 
+def spread(df: DataFrame, per_task: int = 32 << 20) -> DataFrame:
+    """``df`` dealt over all cores if it is small: its files' row groups may be fewer than the cores.
+
+    Tables of ``per_task`` bytes a core and more have splits enough and are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * per_task else df
+
+
 def list_datasets(spark: SparkSession, folders: list[str]) -> DataFrame:
     """(path, length) of .txt and .jsonl files of folders, not below them; by folder, then path, each once."""
     out = None
