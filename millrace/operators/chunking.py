@@ -123,6 +123,19 @@ def chunk(docs: DataFrame, key: str = "doc_id", size: int = 512, overlap: int =
     return docs.select(key, "text").mapInPandas(run, f"{key} {kind}, chunk_no int, text string, token_count int")
 
 
+def coded_sizes(texts: DataFrame, make_coder: Callable = BytePairTokens) -> DataFrame:
+    """(n): the tokens of each ``text``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = make_coder()
+        for batch in batches:
+            some = batch.column(0).to_pylist()
+            counts = coder.counts(some) if hasattr(coder, "counts") else [len(coder.encode(t)) for t in some]
+            yield pa.RecordBatch.from_arrays([pa.array(counts, pa.int64())], ["n"])
+
+    return texts.select("text").mapInArrow(run, "n long")
+
+
 def token_blocks(tokens: DataFrame, block: int, scope: list[str]) -> DataFrame:
     """(scope, pos, x, y): all windows of ``block`` tokens and the same shifted by one, of (scope, pos, tok) rows."""
     if block <= 0:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.tokens import BytePairTokens, token_count
-from ..operators import chunking, cleaning, near_dedup, quality
+from ..operators import chunking, cleaning, near_dedup, packing, quality
 from ..sources import readers, writers
 from ..storage import stored
 
@@ -67,14 +67,19 @@ def process_table(table: DataFrame, key: str, rules: dict | None = None) -> tupl
     return filter_paragraphs(cleaning.clean_text(table.select(key, "text")), key, scope="corpus", **(rules or {}))
 
 
+def _examples(chunks: DataFrame, order: list[str], samples: int, make_coder: Callable) -> DataFrame:
+    """One row: how many chunks there are, the tokens of their texts, joins included, and the first ones."""
+    first = chunks.orderBy(*order).limit(samples).select(F.struct(*order, "text").alias("c")).agg(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["text"]).alias("sample_examples"))
+    counts = chunking.coded_sizes(chunks, make_coder).agg(F.count("*").alias("example_count"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_estimated_tokens"))
+    return counts.crossJoin(first)
+
+
 def build(docs: DataFrame, key: str, size: int = 512, overlap: int = 50, least: int = 64, samples: int = 5, make_coder: Callable = BytePairTokens) -> tuple[DataFrame, DataFrame]:
-    """(chunks, manifest): the manifest counts examples, tokens and skipped documents, sums the statistics and shows the first examples."""
+    """(chunks, manifest): the manifest counts examples, their tokens and skipped documents, sums the statistics and shows the first examples."""
     chunks = stored(chunking.chunk(docs, key, size, overlap, least, make_coder), "chunks")
-    first = chunks.orderBy(key, "chunk_no").limit(samples).agg(F.collect_list("text").alias("sample_examples"))
-    counts = chunks.agg(F.count("*").alias("example_count"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("total_estimated_tokens"))
     sums = [F.sum(c).alias(c) for c in STATS if c in docs.columns]
     skipped = docs.agg(F.count_if(T.strip(F.col("text")) == "").alias("skipped_documents"), *sums)
-    return chunks, counts.crossJoin(skipped).crossJoin(first)
+    return chunks, _examples(chunks, [key, "chunk_no"], samples, make_coder).crossJoin(skipped)
 
 
 def build_dataset(docs: DataFrame, key: str, folder: str, name: str, single_file: bool = False, **sizes) -> DataFrame:
@@ -87,12 +92,12 @@ def build_dataset(docs: DataFrame, key: str, folder: str, name: str, single_file
     return manifest.withColumn("jsonl_path", F.lit(path))
 
 
-def table_to_dataset(table: DataFrame, key: str, folder: str, source: str, text_field: str = "text", name: str | None = None, max_rows: int | None = 5000, order: list[str] | None = None, rules: dict | None = None, single_file: bool = False, **sizes) -> DataFrame:
-    """A table's rows cleaned, filtered and deduplicated as one corpus, packed into chunks, and written as JSON lines.
+def table_to_dataset(table: DataFrame, key: str, folder: str, source: str, text_field: str = "text", name: str | None = None, max_rows: int | None = 5000, order: list[str] | None = None, rules: dict | None = None, single_file: bool = False, size: int = 512, overlap: int = 50, least: int = 64, samples: int = 5, examples: int = 60, make_coder: Callable = BytePairTokens) -> DataFrame:
+    """A table's rows cleaned, filtered and deduplicated as one corpus, packed as one text into chunks, and written as JSON lines.
 
-    The manifest has the statistics and the table's columns.  ``max_rows`` rows at most are
-    read, in ``order``; None takes all.  Rows are packed in the order of ``key``, in groups
-    that tasks pack apart: one document for each range of keys.
+    The manifest has the statistics, the first decisions and chunks, and the table's
+    columns.  ``max_rows`` rows at most are read, in ``order``; None takes all.  Survivors
+    are packed in the order of ``key``, whatever the partitions.
     """
     if not (source or "").strip():
         raise ValueError("the source needs a name")
@@ -103,14 +108,13 @@ def table_to_dataset(table: DataFrame, key: str, folder: str, source: str, text_
     kept = stored(kept.select(key, "para_no", "text"), "survivors")
     if kept.isEmpty():
         raise RuntimeError(f"the filters left nothing of '{source}', so no dataset is written; milder rules may keep more")
-    n = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = kept.repartitionByRange(n, key, "para_no").withColumn("_part", F.spark_partition_id())
-    parts = stored(ranged, "ranges").groupBy("_part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "para_no", "text"))), lambda r: r["text"]), "\n\n").alias("text"))
     path = f"{folder.rstrip('/')}/{writers.dataset_name(name, source)}"
-    chunks, manifest = build(parts, "_part", **sizes)
-    writers.write_jsonl(chunks.orderBy("_part", "chunk_no"), path, single_file)
-    stats = quality.stats(scored, kept, [])
-    return manifest.drop("skipped_documents").crossJoin(stats).withColumn("columns", F.array(*(F.lit(c) for c in table.columns))).withColumn("jsonl_path", F.lit(path))
+    chunks = packing.chunk_corpus(kept, [key, "para_no"], size, overlap, least, make_coder).withColumn("text", T.strip(F.col("text"))).where("text <> ''")
+    writers.write_jsonl(chunks.orderBy("chunk_no"), path, single_file)
+    stats, shown = quality.stats(scored, kept, []), quality.examples(scored, [], [key, "para_no"], examples)
+    listed = shown.agg(F.array_sort(F.collect_list(F.struct(*shown.columns))).alias("quality_examples"))
+    out = _examples(chunks, ["chunk_no"], samples, make_coder).crossJoin(stats).crossJoin(listed).withColumn("total_chars", F.col("clean_chars"))
+    return out.withColumn("columns", F.array(*(F.lit(c) for c in table.columns))).withColumn("jsonl_path", F.lit(path))
 
 
 def parameter_count(configs: DataFrame) -> DataFrame:
