@@ -1,7 +1,8 @@
 """SimHash near-duplicates of paragraphs: four bands of 16 bits, within three bits, keep the first.
 
 Bands are worked one after another, as the order decides who stays: a paragraph that
-an earlier band removed is unseen in the next.
+an earlier band removed is unseen in the next.  All pairs within three bits are found
+before, and only they take part.
 """
 
 from __future__ import annotations
@@ -9,10 +10,10 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -58,52 +59,73 @@ def simhash(text: Column, digest: str = "blake2b") -> Column:
     return made(text)
 
 
-def _leaders(names: list[str], keys: int, threshold: int):
-    """Rows that no earlier row left of their group is within ``threshold`` of; rows come sorted by group and order.
+def _pairs(nodes: DataFrame, scope: list[str], threshold: int) -> DataFrame:
+    """(a, b, bands) of fingerprints of a scope within ``threshold`` bits, the earlier first; ``bands`` has a bit for each band they share.
 
-    Within three bits of 48, one of four parts of twelve is equal, so only leaders that
-    share a part are compared: time grows with the rows, not with their square.
+    Of twice ``threshold`` blocks of bits two such fingerprints have half equal, so each goes
+    to as many keys as there are halves: 20 of 32 bits for three.  A key's group shares 32
+    bits, however large a band is, and a fingerprint has at most some 43,000 neighbours.
     """
-    shifts = range(0, 64, 64 // (threshold + 2))
-    mask = (1 << 64 // (threshold + 2)) - 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, parts = None, {}
-        for batch in batches:
-            kept = []
-            columns = [c.to_pylist() for c in batch.columns]
-            for i, row in enumerate(zip(*columns)):
-                if row[:keys] != group:
-                    group, parts = row[:keys], {}
-                fp = row[-1] & (1 << 64) - 1
-                own = [(s, fp >> s & mask) for s in shifts]
-                if any((fp ^ other).bit_count() <= threshold for part in own for other in parts.get(part, ())):
-                    continue
-                kept.append(i)
-                for part in own:
-                    parts.setdefault(part, []).append(fp)
-            yield batch.take(pa.array(kept, pa.int64()))
-
-    return run
+    count = 2 * threshold
+    edges = [64 * k // count for k in range(count + 1)]
+    masks = [sum((1 << hi) - (1 << lo) for lo, hi in some) for some in combinations(list(zip(edges, edges[1:])), threshold)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    keyed = nodes.select(*scope, "_fp", "_o", F.posexplode(F.array(*(F.col("_fp").bitwiseAND(F.lit(m).cast("long")) for m in signed))).alias("_half", "_key"))
+    one = keyed.select(*scope, "_half", "_key", F.col("_fp").alias("_a"), F.col("_o").alias("_first"))
+    other = keyed.select(*scope, "_half", "_key", F.col("_fp").alias("_b"), F.col("_o").alias("_later"))
+    apart = F.col("_a").bitwiseXOR(F.col("_b"))
+    near = one.join(other, [*scope, "_half", "_key"]).where((F.col("_first") < F.col("_later")) & (F.bit_count(apart) <= threshold))
+    bands = sum(F.when(F.shiftrightunsigned(apart, 16 * k).bitwiseAND(0xFFFF) == 0, 1 << k).otherwise(0) for k in range(4))
+    return near.select(F.struct(*scope, "_a").alias("a"), F.struct(*scope, F.col("_b").alias("_a")).alias("b"), bands.alias("bands")).distinct()
+
+
+def _without(pairs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Pairs of which neither is gone."""
+    return pairs.join(gone.select(F.col("node").alias("a")), "a", "left_anti").join(gone.select(F.col("node").alias("b")), "b", "left_anti").select("a", "b", "bands")
+
+
+def _first_come(pairs: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """(tables of nodes that go, pairs of which neither goes): band by band, whoever is near an earlier one that stays goes.
+
+    A band is settled in rounds: nodes that nobody left precedes stay, their neighbours
+    go, and so on among the rest.  There are as many rounds as links in the longest chain
+    of which each precedes the next, at most.
+    """
+    out = []
+    for k in range(4):
+        left = pairs.where(F.col("bands").bitwiseAND(1 << k) != 0)
+        while not left.isEmpty():
+            heads = left.select("a").distinct().join(left.select(F.col("b").alias("a")), "a", "left_anti")
+            gone = stored(left.join(heads, "a", "left_semi").select(F.col("b").alias("node")).distinct(), "near")
+            out.append(gone)
+            left = stored(_without(left, gone), "pairs")
+            pairs = _without(pairs, gone)
+        if out:
+            pairs = stored(pairs, "pairs")
+    return out, pairs
 
 
 def near_dedup(df: DataFrame, scope: list[str], order: list[str] | str = "para_no", threshold: int = 3, column: str = "text", broadcast_rows: int = 1_000_000, digest: str = "blake2b") -> DataFrame:
-    """``df`` without paragraphs within ``threshold`` bits of an earlier one that shares a band.
+    """``df`` without paragraphs within ``threshold`` bits of an earlier one that shares a band and stays.
 
-    Texts are read once for their fingerprints.  Each band deals (order, fingerprint)
-    rows by its value and folds them in order.  Equal fingerprints are collapsed to the
-    first of each before, so a hot fingerprint is one entry.  What goes is broadcast up to
-    so many rows, and joined by a shuffle beyond.
+    Texts are read once for their fingerprints; of equal ones the first by ``order``, which
+    names a row, is compared.  What is within the bits is found once, by equal halves of
+    the fingerprint's blocks, and only such pairs are followed band by band.  What goes is
+    broadcast up to so many rows, and joined by a shuffle beyond.
     """
+    if not 1 <= threshold <= 3:
+        raise ValueError("bands of 16 bits find what is within 1 to 3 bits")
     order = [order] if isinstance(order, str) else order
     names = [*scope, *(c for c in order if c not in scope)]
     prints = stored(df.select(*names, simhash(F.col(column), digest).alias("_fp")), "fingerprints")
-    keys = prints.groupBy(*scope, "_fp").agg(F.min(F.struct(*order)).alias("_o")).select(*scope, *(F.col(f"_o.{c}").alias(c) for c in order if c not in scope), "_fp")
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    for k in range(4):
-        banded = keys.select(*scope, F.shiftrightunsigned("_fp", 16 * k).bitwiseAND(0xFFFF).alias("_band"), *(c for c in order if c not in scope), "_fp")
-        dealt = banded.repartition(n, *scope, "_band").sortWithinPartitions(*scope, "_band", *order)
-        keys = dealt.mapInArrow(_leaders(dealt.columns, len(scope) + 1, threshold), dealt.schema).drop("_band")
-    gone = stored(prints.select(*names).join(keys.select(*names), names, "left_anti"), "near-duplicates")
+    nodes = stored(prints.groupBy(*scope, "_fp").agg(F.min(F.struct(*order)).alias("_o"), F.count("*").alias("_n")), "nodes")
+    removed, _ = _first_come(stored(_pairs(nodes, scope, threshold), "pairs"))
+    # Later rows of a fingerprint go, and all rows of one that goes.
+    later = nodes.where("_n > 1").select(*scope, "_fp", "_o")
+    for some in removed:
+        later = later.union(some.select(*(F.col(f"node.{c}").alias(c) for c in scope), F.col("node._a").alias("_fp"), F.lit(None).cast(nodes.schema["_o"].dataType).alias("_o")))
+    same = [prints[c].eqNullSafe(later[c]) for c in scope]
+    both = prints.join(later, [*same, prints["_fp"] == later["_fp"]])
+    gone = stored(both.where(F.coalesce(F.struct(*(prints[c] for c in order)) > F.col("_o"), F.lit(True))).select(*(prints[c] for c in names)).distinct(), "near-duplicates")
     gone = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
     return df.join(gone, names, "left_anti")
