@@ -184,29 +184,6 @@ def python_detector(shares_of: Callable[[str], dict[str, float]]) -> Detector:
     return judged
 
 
-#: Frequent words of four languages that are no words of the others.
-FUNCTION_WORDS = {
-    "en": "the and of that is with this from have they which their would there".split(),
-    "fr": "les une dans est pour qui avec sur pas cette vous nous mais leur".split(),
-    "de": "der und nicht ein eine ist auf mit sich auch dem werden wird oder".split(),
-    "es": "los una por para como las pero sus este ella son entre cuando muy".split(),
-}
-
-
-def function_word_detector(text: Column) -> Column:
-    """A detector by built-in functions: each language's share of the frequent words, of languages that have any; null without such words."""
-    words = F.transform(split_words(text), F.lower)
-
-    def count(own: list[str]) -> Column:
-        return F.size(F.filter(words, lambda w: w.isin(own)))
-
-    counts = F.array(*(F.struct(F.lit(k).alias("lang"), count(own).alias("n")) for k, own in FUNCTION_WORDS.items()))
-    some = F.filter(counts, lambda c: c["n"] > 0)
-    total = F.aggregate(some, F.lit(0), lambda s, c: s + c["n"])
-    shares = F.map_from_arrays(F.transform(some, lambda c: c["lang"]), F.transform(some, lambda c: c["n"] / total))
-    return F.when(total > 0, shares)
-
-
 def citation_hits(text: Column) -> Column:
     return F.regexp_count(text, F.lit(CITATION)) + F.regexp_count(text, F.lit(PAGE_REFERENCE)) + F.regexp_count(text, F.lit(DOI))
 

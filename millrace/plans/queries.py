@@ -10,9 +10,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import language
 from ..functions import text as T
 from ..functions.tokens import token_count
-from ..operators import chunking, cleaning, near_dedup, quality
+from ..operators import chunking, cleaning, near_dedup, packing, quality
 from ..sources import readers, writers
 from ..storage import shared_folder, stored
 from . import pipeline, reports
@@ -90,6 +91,13 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk(cleaning.clean_text(_t(spark, d, "documents").select("doc_id", "text")), "doc_id", 512, 50, 64)
 
 
+def corpus_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """All documents, cleaned, as one text in chunks, counted in words."""
+    docs = cleaning.clean_text(_t(spark, d, "documents").select("doc_id", "text"))
+    out = packing.chunk_corpus(docs, ["doc_id"], 512, 50, 64, chunking.WhitespaceTokens)
+    return out.select("chunk_no", "token_count", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def conversation_documents(spark: SparkSession, d: str) -> DataFrame:
     pages = _t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), "text")
     return pipeline.process_pages(pages, "doc_id")[0].drop("warnings", "removed_lines")
@@ -177,8 +185,27 @@ def paragraph_split(spark: SparkSession, d: str) -> DataFrame:
     return quality.explode_paragraphs(docs).select("doc_id", "para_no", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+def _profiles(spark: SparkSession, d: str) -> language.Profiles:
+    """Profiles of the documents whose id five does not divide; the others are held out."""
+    return language.train(_t(spark, d, "documents").where("doc_id % 5 <> 0"))
+
+
 def language_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "documents").select("doc_id", F.round(T.english_probability(F.col("text"), T.function_word_detector), 6).alias("p"))
+    p = T.english_probability(F.col("text"), language.profile_detector(_profiles(spark, d)))
+    return _t(spark, d, "documents").select("doc_id", (F.col("doc_id") % 5 == 0).alias("held_out"), F.round(p, 6).alias("p"))
+
+
+def languages_found(spark: SparkSession, d: str) -> DataFrame:
+    """The identifier's answers for held-out documents against their language."""
+    held_out = _t(spark, d, "documents").where("doc_id % 5 = 0").select("lang", language.identified(F.col("text"), _profiles(spark, d)).alias("found"))
+    return held_out.groupBy("lang", "found").agg(F.count("*").alias("n"))
+
+
+def english_report(spark: SparkSession, d: str) -> DataFrame:
+    """``flagship_quality_report`` with the identifier behind the language rule."""
+    docs = cleaning.clean_text(_t(spark, d, "documents").select("doc_id", "lang", "text"))
+    scored = quality.classify(quality.score(docs, detector=language.profile_detector(_profiles(spark, d))))
+    return scored.groupBy("lang", "reason").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
 def document_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -243,8 +270,8 @@ def checkpoint_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    flagship_quality_report, paragraph_scores, exact_duplicates, markup_stripped, web_lines, reflowed, header_footer_lines, corpus_stats, exact_stats, survivors, near_survivors, table_survivors, filter_examples, chunks, conversation_documents, token_blocks, training_batches, model_sizes,
-    spiced_scores, spiced_reasons, spiced_stats, spiced_examples, character_cleaning, header_footer_cases, headers_removed, paged_documents, paragraph_split, language_scores, document_counts, jsonl_round_trip, table_rows, corpus_blocks, corpus_tokens,
+    flagship_quality_report, paragraph_scores, exact_duplicates, markup_stripped, web_lines, reflowed, header_footer_lines, corpus_stats, exact_stats, survivors, near_survivors, table_survivors, filter_examples, chunks, corpus_chunks, conversation_documents, token_blocks, training_batches, model_sizes,
+    spiced_scores, spiced_reasons, spiced_stats, spiced_examples, character_cleaning, header_footer_cases, headers_removed, paged_documents, paragraph_split, language_scores, languages_found, english_report, document_counts, jsonl_round_trip, table_rows, corpus_blocks, corpus_tokens,
     token_counts, table_dataset, source_presets, loss_curve, checkpoint_names,
 )}
 
@@ -316,6 +343,44 @@ _PAGED = "pg as (select doc_id // 5 doc_id, (doc_id % 5)::int page_no, 'RUNNING
 _MARK = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<svg\b[^>]*>.*?</svg>', ' ', 'g'), '(?i)<\?xml[^>]*\?>', ' ', 'g'), '</?[a-zA-Z][a-zA-Z0-9:_-]*(?:\s+[^<>]*)?/?>', ' ', 'g'), '&(?:amp|lt|gt|quot|apos|nbsp|#\d+|#x[0-9a-fA-F]+);', ' ', 'g')"
 _SPLIT = r"regexp_split_to_array({0}, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]')"
 
+#: Chunks of 512 words of clean (doc_id, text) as one text: long documents by sentences, then by words, and the path from each opening part to the next.
+_PACKED = r"""w as materialized (select doc_id, "text", """ + _WORDS.format('"text"') + r""" ws from clean),
+se as (select doc_id, unnest(l) t, generate_subscripts(l, 1) k from (select doc_id, string_split(regexp_replace("text", '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) l from w where len(ws) > 512)),
+sn as materialized (select *, len(""" + _WORDS.format("t") + r""") n from se),
+pk as (select doc_id, k, n held, 0 piece from sn where k = 1 union all
+  select sn.doc_id, sn.k, case when held + n > 512 then n else held + n end, case when held + n > 512 then piece + 1 else piece end from pk join sn on sn.doc_id = pk.doc_id and sn.k = pk.k + 1),
+pc as (select doc_id, piece, string_agg(t, ' ' order by k) "text" from pk join sn using (doc_id, k) group by all),
+pw as (select doc_id, piece, "text", """ + _WORDS.format('"text"') + r""" ws from pc union all select doc_id, 0, "text", ws from w where len(ws) between 1 and 512),
+ps as (select doc_id, piece, case when len(ws) > 512 then array_to_string(ws[i + 1:i + 512], ' ') else "text" end t, i, least(len(ws) - i, 512) n from pw, unnest(range(0, len(ws), 512)) u(i)),
+pn as (select t, n, row_number() over (order by doc_id, piece, i) - 1 no, sum(n) over (order by doc_id, piece, i) - n at0 from ps),
+pt as materialized (select no, n, t, at0, at0 + n e, min(no) over (order by at0 range between 50 preceding and current row) w from pn),
+px as materialized (select a.no, a.w, greatest(q.no, a.no) + 1 nx from (select x.no, x.w, y.at0 + 512 lim from pt x join pt y on y.no = x.w) a asof join pt q on a.lim >= q.e),
+ch as (select 0 c, no, w, nx from px where no = 0 union all select c + 1, px.no, px.w, px.nx from ch join px on px.no = ch.nx),
+ct as (select c, string_agg(t, e'\n\n' order by pt.no) t, sum(n) n from ch join pt on pt.no >= ch.w and pt.no < ch.nx group by c),
+cm as (select case when c = (select max(c) from ct) and n < 64 and c > 0 then c - 1 else c end chunk_no, string_agg(t, e'\n\n' order by c) "text", sum(n)::bigint token_count from ct group by 1)
+"""
+
+
+def _codes(source: str) -> str:
+    """Buckets of trigrams of stripped texts, a row each."""
+    folded = f"translate({_STRIP.format('text')}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"select doc_id, unnest(list_transform(range(1, len(l) - 1), lambda i: (l[i] * 10007 + l[i + 1] * 101 + l[i + 2]) % 16381)) b from (select doc_id, list_transform(string_split({folded}, ''), lambda x: unicode(x)::bigint) l from {source})"
+
+
+#: Trigrams' counts by language over documents whose id five does not divide.
+_PROFILES = f"""pf as (select lang, b, count(*) n from ({_codes("documents")}) join documents using (doc_id) where doc_id % 5 <> 0 group by all),
+pt as (select lang, sum(n) + 16381 total from pf group by 1),
+"""
+
+
+def _judged(source: str) -> str:
+    """Each text's score by language, and its share for English."""
+    return f"""dg as (select doc_id, b, count(*) c from ({_codes(source)}) group by all),
+ls as (select doc_id, pt.lang, sum(c * ln((coalesce(n, 0) + 1) / total)) s from dg cross join pt left join pf on pf.lang = pt.lang and pf.b = dg.b group by all),
+lp as (select doc_id, sum(case when lang = 'en' then exp(s - m) else 0 end) / sum(exp(s - m)) p from (select *, max(s) over (partition by doc_id) m from ls) group by 1)
+"""
+
+
 ORACLES = {
     "flagship_quality_report": _SCORES + "select lang, reason, count(*) n, sum(length(\"text\"))::bigint chars from r group by all",
     "paragraph_scores": _SCORES + "select doc_id, round(score, 4) score, round(alphabetic_ratio, 3) alphabetic_ratio, round(repeated_token_ratio, 3) repeated_token_ratio, round(stopword_ratio, 3) stopword_ratio, reason from r",
@@ -329,6 +394,7 @@ ORACLES = {
 select (select sum(length("text")) + 2 * (count(*) - 1) from r)::bigint original_chars, (select count(*) from r) original_paragraphs, 0::bigint removed_non_english, 0::bigint removed_markup, 0::bigint removed_citations,
 (select count(*) from r where reason <> 'kept') removed_low_quality, (select sum(length("text")) + 2 * (count(*) - 1) from k where c = 1)::bigint clean_chars, (select count(*) from k where c = 1) remaining_paragraphs,
 (select count(*) from r) - (select count(*) from k where c = 1) removed_paragraphs, (select count(*) from k where c > 1) duplicates_removed""",
+    "corpus_chunks": "with recursive " + _CLEAN.format(key="doc_id", more="", table="documents") + ", " + _PACKED + 'select chunk_no::bigint chunk_no, token_count, md5("text") text_md5 from cm',
     "token_blocks": "with w as (select item_id, string_split(text, ' ') w from benchmark), p as (select item_id, w, unnest(range(0, greatest(len(w) - 8, 0))) pos from w) select item_id, pos::int pos, array_to_string(w[pos + 1:pos + 8], ' ') x, array_to_string(w[pos + 2:pos + 9], ' ') y from p",
     "training_batches": "select unnest(range(0, count(*) // 32)) batch_no, 32::bigint n from documents",
     "model_sizes": "with c(v, n_embd, l, b, tied) as (values (50257::bigint, 1536, 34, 1024, true), (50257, 1024, 36, 128, false), (1000, 64, 2, 32, true), (256, 2, 1, 4, true)), p as (select n_embd, v * n_embd + b * n_embd + l * (12 * n_embd * n_embd::bigint + 13 * n_embd) + 2 * n_embd + case when tied then 0 else v * n_embd end n_params from c) select n_embd, n_params, case when n_params >= 1000000000 then printf('%.2fB', n_params / 1e9) when n_params >= 1000000 then printf('%.2fM', n_params / 1e6) when n_params >= 1000 then printf('%.2fK', n_params / 1e3) else n_params::varchar end shown, 4 * n_params bytes_fp32, 2 * n_params bytes_fp16 from p",
@@ -362,8 +428,14 @@ b as (select doc_id, page_no, regexp_replace(array_to_string(l, ' '), '[ \t]+',
 select doc_id, length(string_agg(t, e'\n\n' order by page_no) filter (t <> '')) n_chars, 'RUNNING HEAD ' || doc_id || '|running foot' removed, count(*) page_count, 'Removed 2 repeated header/footer line(s).' warnings from b group by doc_id""",
     "paragraph_split": """with x as (select doc_id, list_filter(list_transform(string_split(replace(text, '. ', e'.\\n\\n \\n\\n '), e'\\n\\n'), lambda x: trim(x, e' \\n\\t')), lambda x: x <> '') l from documents)
 select doc_id, unnest(range(0, len(l)))::int para_no, md5(unnest(l)) text_md5 from x""",
-    "language_scores": "with w as (select doc_id, text, " + _WORDS.format("lower(text)") + " ws from documents), n as (select doc_id, text, " + ", ".join(f"len(list_filter(ws, lambda x: list_contains([{', '.join(repr(x) for x in own)}], x))) {k}" for k, own in T.FUNCTION_WORDS.items()) + """ from w)
-select doc_id, round(case when length(trim(text)) < 20 then 1.0 when en + fr + de + es = 0 then 0.5 when en = 0 then 0.05 else en / (en + fr + de + es) end, 6)::double p from n""",
+    "language_scores": "with " + _PROFILES + _judged("documents") + "select doc_id, doc_id % 5 = 0 held_out, round(case when length(" + _STRIP.format("text") + ") < 20 then 1.0 else coalesce(p, 0.5) end, 6)::double p from documents left join lp using (doc_id)",
+    "languages_found": "with " + _PROFILES + _judged("documents") + "select lang, found, count(*) n from (select doc_id, (list(ls.lang order by s desc, ls.lang))[1] found from ls group by 1) join documents using (doc_id) where doc_id % 5 = 0 group by all",
+    "english_report": _SCORES.replace("with ", "with " + _PROFILES, 1)
+    .replace("\nw as (select *", "\n" + _judged("clean").rstrip() + ",\nw as (select *", 1)
+    .replace("from a),", ", case when length(\"text\") < 20 then 1.0 else coalesce(p, 0.5) end english_probability from a left join lp using (doc_id)),", 1)
+    .replace("100 - (greatest", "100 - ((1 - english_probability) * 35 + greatest")
+    .replace("case when round(unusual", "case when english_probability < 0.55 then 'non_english' when round(unusual")
+    + "select lang, reason, count(*) n, sum(length(\"text\"))::bigint chars from r group by all",
     "document_counts": "select doc_id, length(text) char_count, len(" + _WORDS.format("text") + """) word_count, md5(text[:5000] || case when length(text) > 5000 then e'\\n\\n... (preview truncated, full text saved to the .txt file)' else '' end) preview_md5 from documents""",
     "jsonl_round_trip": "select md5(text) text_md5, count(*) n from documents where text <> '' group by 1",
     "table_rows": """with x as (select doc_id, case when doc_id % 3 > 0 then trim(text, e' \\n\\t') else '' end t from documents order by doc_id limit 400) select doc_id, md5(t) text_md5 from x where t <> ''""",
