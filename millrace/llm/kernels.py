@@ -6,18 +6,22 @@ batch of documents costs a handful of NumPy passes and no Python string is made.
 Two kinds of hash stand for strings.
 
 * ``word_hashes`` and ``chained`` pass eight bytes, or one element, after another
-  through a bijective mixer.  Words of one length up to eight bytes never collide; of
-  other strings two differ in their hash but for a chance of ``2**-64``.
+  through a bijective mixer.  Words of one length up to eight bytes never collide.
 * ``running``, ``hashes`` and ``windows`` are polynomial sums modulo the prime
   ``2**61 - 1``: with ``S`` the running sum of ``value[i] * BASE**i``, the hash of the
   slice ``[s, e)`` is ``(S[e] - S[s]) * BASE**-s``, so any slice costs two look-ups.  Two
   different slices of n elements collide for at most n of the ``2**61`` bases.  (Modulo
   a power of two, sequences after Thue and Morse would collide for every base.)
+
+With a known salt or base, texts that collide can be solved for.  Where a hash stands for
+a string between tasks, its key is drawn for each run, so texts chosen before cannot
+collide but by chance; where the strings are at hand, they are compared (``same``).
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +34,14 @@ SLICE = 1 << 19
 PRIME = (1 << 61) - 1
 _P = U64(PRIME)
 _BASE = 0x9E3779B97F4A7C15 % PRIME
-_INV = pow(_BASE, -1, PRIME)
 _powers: dict[int, np.ndarray] = {}
 
 
+def drawn() -> int:
+    """A key for a run's hashes, a salt and a base alike."""
+    return (1 << 40) + secrets.randbelow(PRIME - (1 << 41))
+
+
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """The splitmix64 finaliser."""
     z = x + U64((0x9E3779B97F4A7C15 * (salt + 1)) & (2**64 - 1))
@@ -74,13 +82,15 @@ def powers(base: int, n: int) -> np.ndarray:
             have[k : 2 * k] = times(have[:k], np.full(k, step, U64))
             k, step = 2 * k, step * step % PRIME
         if size <= 4 * SLICE:
+            if len(_powers) > 8:  # of runs before
+                _powers.clear()
             _powers[base] = have
     return have[:n]
 
 
-def running(values: np.ndarray) -> np.ndarray:
+def running(values: np.ndarray, base: int = _BASE) -> np.ndarray:
     """``S`` for hashes of slices of ``values`` (taken modulo PRIME); one longer than they."""
-    terms = times(values % _P, powers(_BASE, len(values)))
+    terms = times(values % _P, powers(base, len(values)))
     # Halves apart, so that no sum leaves 64 bits: up to 2**31 elements.
     low, high = np.cumsum(terms & U64(0xFFFFFFFF)), np.cumsum(terms >> U64(32)) % _P
     out = np.zeros(len(values) + 1, U64)
@@ -92,17 +102,17 @@ def _slice(sums: np.ndarray, low: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return mix(times((sums + _P - low) % _P, scale))
 
 
-def hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = _BASE) -> np.ndarray:
     """Mixed hashes of the slices ``[start, end)`` of what ``sums`` runs over."""
-    return _slice(sums[end], sums[start], powers(_INV, len(sums))[start])
+    return _slice(sums[end], sums[start], powers(pow(base, -1, PRIME), len(sums))[start])
 
 
-def windows(sums: np.ndarray, width: int) -> np.ndarray:
+def windows(sums: np.ndarray, width: int, base: int = _BASE) -> np.ndarray:
     """Mixed hashes of all slices of one width, by start."""
     n = len(sums) - width
     if n <= 0:
         return np.zeros(0, U64)
-    return _slice(sums[width:], sums[:n], powers(_INV, n))
+    return _slice(sums[width:], sums[:n], powers(pow(base, -1, PRIME), n))
 
 
 #: Pieces of eight bytes that go through the mixer for all words at once; longer words go one by one.
@@ -128,19 +138,30 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int
         at += 8
         live = live[length[live] > at]
     for i in long.tolist():
-        raw = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, key=bytes([salt])).digest()
+        raw = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, key=salt.to_bytes(8, "little")).digest()
         out[i] = int.from_bytes(raw, "little")
     return out
 
 
-def chained(values: np.ndarray, width: int) -> np.ndarray:
+def chained(values: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
     """Hashes of all runs of ``width`` elements, by start."""
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, U64)
-    out = mix(values[:n], 210)
+    out = mix(values[:n], 210 + salt)
     for k in range(1, width):
-        out = mix(out ^ values[k : k + n], 210)
+        out = mix(out ^ values[k : k + n], 210 + salt)
+    return out
+
+
+def same(a: np.ndarray, start: np.ndarray, length: np.ndarray, b: np.ndarray, other: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the byte strings ``a[start : start + length]`` and ``b[other : other + size]`` are equal."""
+    out = length == size
+    some = np.flatnonzero(out & (length > 0))
+    if len(some):
+        n = length[some]
+        equal = a[ragged(start[some], n)] == b[ragged(other[some], n)]
+        out[some] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
     return out
 
 

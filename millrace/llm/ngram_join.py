@@ -57,19 +57,19 @@ HELD = 1 << 19
 BROADCAST = 1_000_000
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-gram hashes of each document, ascending, and where each document's begin (one longer)."""
+def shingles(data: np.ndarray, offsets: np.ndarray, width: int, key: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-gram hashes of each document, keyed, ascending, and where each document's begin (one longer)."""
     start, end, first = K.words(data, offsets)
-    word = K.word_hashes(K.FOLD[data], start, end)
+    word = K.word_hashes(K.FOLD[data], start, end, key)
     count = np.diff(first)
-    grams = K.chained(word, width)
+    grams = K.chained(word, width, key)
     pieces = []
     for d in range(len(count)):
         s, n = int(first[d]), int(count[d])
         if n >= width:
             pieces.append(np.unique(grams[s : s + n - width + 1]))
         elif n:
-            pieces.append(K.mix(K.chained(word[s : s + n], n), n))
+            pieces.append(K.mix(K.chained(word[s : s + n], n, key), n))
         else:
             pieces.append(np.zeros(0, U64))
     at = np.zeros(len(count) + 1, np.int64)
@@ -176,7 +176,7 @@ def _named(key: np.ndarray, buckets: int) -> np.ndarray:
     return (key & U64(0xFFFFFFFF)) | ((key >> U64(32)) * U64(buckets) >> U64(32)) << U64(32)
 
 
-def _scan(width: int, percent: int, buckets: int):
+def _scan(width: int, percent: int, buckets: int, hashed: int):
     """Kind ``s``: ids, sizes and fingerprints of sets.  ``m``: members met within the task.  ``k``: keys with their least members.
 
     A key's upper bits choose its bucket and 32 others go on: keys that collide make
@@ -212,7 +212,7 @@ def _scan(width: int, percent: int, buckets: int):
         for batch in batches:
             ids = K.int_column(batch, "doc_id")
             for lo, hi, data, offsets in K.slices(batch):
-                sets, at = shingles(data, offsets, width)
+                sets, at = shingles(data, offsets, width, hashed)
                 size, own = np.diff(at), ids[lo:hi]
                 full = np.flatnonzero(size)
                 one, two = np.zeros(hi - lo, U64), np.zeros(hi - lo, U64)
@@ -272,23 +272,23 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield rows("p", both[:, 0], both[:, 1])
 
 
-def _sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _sets(texts: pa.Array, width: int, hashed: int) -> tuple[np.ndarray, np.ndarray]:
     parts, ends = [], [0]
     for _, _, data, offsets in K.slices(pa.RecordBatch.from_arrays([texts], ["text"])):
-        sets, at = shingles(data, offsets, width)
+        sets, at = shingles(data, offsets, width, hashed)
         parts.append(sets)
         ends += list(at[1:] + ends[-1])
     return (np.concatenate(parts) if parts else np.zeros(0, U64)), np.array(ends, np.int64)
 
 
-def _encoded(width: int):
+def _encoded(width: int, hashed: int):
     """(stars, id, set) of (stars, id, text): the sets as packed bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                sets, at = _sets(part.column(2), width)
+                sets, at = _sets(part.column(2), width, hashed)
                 raw = [sets[at[i] : at[i + 1]].tobytes() for i in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(raw, pa.binary())], ["stars", "id", "grams"])
 
@@ -406,7 +406,7 @@ def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
-def _in_stars(docs: DataFrame, stars: DataFrame, width: int, bound: int) -> DataFrame:
+def _in_stars(docs: DataFrame, stars: DataFrame, width: int, bound: int, hashed: int) -> DataFrame:
     """(star, left, right, id, role, label, grams) for (star, left, right, id, role, label), with the documents' sets.
 
     Of rows that share an id the one with the largest text counts.
@@ -414,7 +414,7 @@ def _in_stars(docs: DataFrame, stars: DataFrame, width: int, bound: int) -> Data
     key = F.struct("star", "left", "right", "role", "label")
     of = stars.groupBy(F.col("id").alias("doc_id")).agg(F.collect_list(key).alias("stars"))
     joined = docs.join(F.broadcast(of) if stars.count() <= bound else of, "doc_id").select("stars", F.col("doc_id").alias("id"), "text")
-    sets = joined.mapInArrow(_encoded(width), "stars array<struct<star:bigint,left:int,right:int,role:int,label:bigint>>, id bigint, grams binary")
+    sets = joined.mapInArrow(_encoded(width, hashed), "stars array<struct<star:bigint,left:int,right:int,role:int,label:bigint>>, id bigint, grams binary")
     return sets.select(F.explode("stars").alias("s"), "id", "grams").select("s.star", "s.left", "s.right", "id", "s.role", "s.label", "grams")
 
 
@@ -432,6 +432,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, broad
     U+0009 to U+000D), A-Z lower-cased; the set holds the distinct ``width``-grams,
     or of fewer words the whole sequence.  Null, empty and blank texts have an empty
     set and stand alone.  Sets link when ``100 * intersection >= percent * union``.
+    N-grams are compared by 64 bits of a hash whose key is drawn for each run.
     component_id is the least doc_id reachable by links.  Of rows that share a doc_id
     the one with the largest text counts.  A text may be as long as a row can be; its
     set must fit a task's memory.  An empty table gives an empty result.
@@ -444,9 +445,9 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, broad
     docs = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
         docs = docs.groupBy("doc_id").agg(F.max("text").alias("text"))
-    n = 2 * partitions(spark)
+    n, hashed = 2 * partitions(spark), K.drawn()
     # By the bucket's number: its hash would put several buckets in one task.
-    met = cut(docs.mapInArrow(_scan(width, percent, n), _BLOBS).repartitionById(n, F.col("bucket")).mapInArrow(_gather, "kind string, x long, y long, z long, w long"), "met")
+    met = cut(docs.mapInArrow(_scan(width, percent, n, hashed), _BLOBS).repartitionById(n, F.col("bucket")).mapInArrow(_gather, "kind string, x long, y long, z long, w long"), "met")
     sets = met.where("kind = 's'").select(F.col("x").alias("doc_id"), F.col("y").alias("n_shingles"), F.col("z").alias("one"), F.col("w").alias("two"))
 
     same = sets.where("n_shingles > 0").groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1")
@@ -468,7 +469,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, broad
     # A large star's leader goes to every block.
     left = F.when(F.col("id") == F.col("star"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
     first = members.select("star", F.explode(left).alias("left"), F.lit(0).alias("right"), "id", F.lit(3).alias("role"), F.col("id").alias("label"))
-    links = cut(_found(_in_stars(docs, first, width, broadcast_ids), percent).union(equal), "links")
+    links = cut(_found(_in_stars(docs, first, width, broadcast_ids, hashed), percent).union(equal), "links")
     groups = cut(components(links), "groups")
 
     if some:
@@ -482,7 +483,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, broad
         asked = named.join(turns, "star").select("star", own.alias("left"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("right"), "id", F.lit(1).alias("role"), "label")
         second = asking.union(asked).groupBy("star", "left", "right", "id", "label").agg(F.sum("role").cast("int").alias("role"))
         second = cut(second.select("star", "left", "right", "id", "role", "label"), "second")
-        more = cut(links.union(_found(_in_stars(docs, second, width, broadcast_ids), percent)), "links")
+        more = cut(links.union(_found(_in_stars(docs, second, width, broadcast_ids, hashed), percent)), "links")
         discard(links, named, second)
         links, first_groups = more, groups
         groups = cut(components(links), "groups")

@@ -189,7 +189,7 @@ def _spelled(pieces: Model, word: str, ids: list[int]) -> list[int]:
 
 
 class Known:
-    """Encoded words as packed arrays, looked up by the words' hashes (two words share one with a chance of 2**-64)."""
+    """Encoded words as packed arrays, looked up by the words' hashes and then compared."""
 
     def __init__(self, found: Iterable[tuple[str, list[int]]]):
         # Packed as they come: lists of half a million words and their ids would take a driver's memory.
@@ -200,8 +200,10 @@ class Known:
             flat.extend(ids)
             count.append(len(ids))
         edges, length = np.array(ends, np.int64), np.array(count, np.int64)
-        keys = K.word_hashes(np.frombuffer(bytes(raw), np.uint8), edges[:-1], edges[1:])
+        self.raw, self.salt = np.frombuffer(bytes(raw), np.uint8), K.drawn()
+        keys = K.word_hashes(self.raw, edges[:-1], edges[1:], self.salt)
         order = np.argsort(keys)
+        self.at, self.size = edges[:-1][order].astype(np.int32), np.diff(edges)[order].astype(np.int32)
         self.keys = keys[order]
         self.length = length[order].astype(np.uint16)
         self.start = (np.cumsum(length) - length)[order].astype(np.uint32)
@@ -209,19 +211,22 @@ class Known:
         # Where keys with the same upper bits begin.
         self.first = np.searchsorted(self.keys >> SHIFT, np.arange((1 << 64 - int(SHIFT)) + 1, dtype=np.uint64)).astype(np.int32)
 
-    def find(self, key: np.ndarray) -> np.ndarray:
-        """Each key's place, or -1."""
+    def find(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Each word's place, or -1; of words with one hash the first alone is found."""
         out = np.full(len(key), -1, np.int64)
         top = (key >> SHIFT).astype(np.int64)
-        at, end = self.first[top], self.first[top + 1]
-        live = np.flatnonzero(at < end)
-        at, end = at[live], end[live]
+        at, stop = self.first[top], self.first[top + 1]
+        live = np.flatnonzero(at < stop)
+        at, stop = at[live], stop[live]
         while len(live):
             hit = self.keys[at] == key[live]
             out[live[hit]] = at[hit]
             at += 1
-            going = ~hit & (at < end)
-            live, at, end = live[going], at[going], end[going]
+            going = ~hit & (at < stop)
+            live, at, stop = live[going], at[going], stop[going]
+        hit = np.flatnonzero(out >= 0)
+        equal = K.same(data, start[hit], (end - start)[hit], self.raw, self.at[out[hit]], self.size[out[hit]])
+        out[hit[~equal]] = -1
         return out
 
 
@@ -249,7 +254,7 @@ class Encoder:
 
     def __init__(self, pieces: Model, known: Known):
         self.pieces, self.known = pieces, known
-        self.rare: dict[int, np.ndarray] = {}
+        self.rare: dict[bytes, np.ndarray] = {}
 
     def texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and how many each has."""
@@ -264,24 +269,29 @@ class Encoder:
         begins[offsets[:-1][full]] = True
         start = np.flatnonzero(begins)
         end = np.append(start[1:], len(data))
-        key = K.word_hashes(data, start, end)
         known = self.known
-        at = known.find(key)
+        key = K.word_hashes(data, start, end, known.salt)
+        at = known.find(data, start, end, key)
         hit = at >= 0
         count = np.zeros(len(key), np.int64)
         count[hit] = known.length[at[hit]]
         missed = np.flatnonzero(~hit)
         found: list[np.ndarray] = []
         if len(missed):
-            some, one, back = np.unique(key[missed], return_index=True, return_inverse=True)
-            for k, i in zip(some.tolist(), missed[one].tolist()):
-                ids = self.rare.get(k)
+            _, one, back = np.unique(key[missed], return_index=True, return_inverse=True)
+            first, size = missed[one][back], (end - start)[missed]
+            # Of one hash, but another word: each counts for itself.
+            other = np.flatnonzero(~K.same(data, start[missed], size, data, start[first], (end - start)[first]))
+            back[other] = np.arange(len(one), len(one) + len(other))
+            for i in np.concatenate([missed[one], missed[other]]).tolist():
+                raw = data[start[i] : end[i]].tobytes()
+                ids = self.rare.get(raw)
                 if ids is None:
-                    ids = np.array(self.word(data[start[i] : end[i]].tobytes().decode("utf-8")), np.uint32)
+                    ids = np.array(self.word(raw.decode("utf-8")), np.uint32)
                     if len(self.rare) >= REMEMBERED:
                         self.rare.clear()
                     if len(ids) <= 2 * LONGEST:
-                        self.rare[k] = ids
+                        self.rare[raw] = ids
                 found.append(ids)
             length = np.array([len(f) for f in found], np.int64)
             count[missed] = length[back]

@@ -50,11 +50,13 @@ class Windows:
 
     width: int
     gram: int
+    #: What hashes are keyed by, drawn for each run.
+    key: int
 
     def tokens(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Running sums over the words, each document's first word, and the words' starts and ends in bytes."""
         start, end, first = K.words(data, offsets)
-        return K.running(K.word_hashes(data, start, end)), first, start, end
+        return K.running(K.word_hashes(data, start, end, self.key), self.key), first, start, end
 
 
 def _least(key: np.ndarray, width: int) -> np.ndarray:
@@ -68,7 +70,7 @@ def _least(key: np.ndarray, width: int) -> np.ndarray:
 
 def segments(sums: np.ndarray, first: np.ndarray, of: Windows) -> tuple[np.ndarray, ...]:
     """(document, first window, last window, anchor, content) of all segments; documents by index."""
-    grams = K.windows(sums, of.gram)
+    grams = K.windows(sums, of.gram, of.key)
     span = of.width - of.gram + 1
     none = np.zeros(0, np.int64)
     if len(grams) < span:
@@ -82,7 +84,7 @@ def segments(sums: np.ndarray, first: np.ndarray, of: Windows) -> tuple[np.ndarr
     at, doc = at[window], doc[window]
     heads = _runs(at, doc)
     lo, hi = window[heads], window[np.append(heads[1:], len(window)) - 1]
-    return doc[heads], lo, hi, grams[at[heads]], K.hashes(sums, lo, hi + of.width)
+    return doc[heads], lo, hi, grams[at[heads]], K.hashes(sums, lo, hi + of.width, of.key)
 
 
 def _runs(*keys: np.ndarray) -> np.ndarray:
@@ -316,7 +318,7 @@ def _contexts(of: Windows, buckets: int, homes: int):
                 lo, hi = (found["h"][i][rows].astype(np.int64) for i in (1, 2))
                 doc, lo = np.repeat(doc, hi - lo + 1), K.ragged(lo, hi - lo + 1)
                 at = first[doc] + lo
-                content = K.hashes(sums, at, at + of.width)
+                content = K.hashes(sums, at, at + of.width, of.key)
                 order = np.lexsort((ids[doc], content))
                 heads = _runs(content[order])
                 least = np.repeat(ids[doc[order[heads]]], np.diff(np.append(heads, len(order))))

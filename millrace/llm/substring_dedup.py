@@ -150,7 +150,7 @@ def matches(text: np.ndarray, start: np.ndarray, length: np.ndarray, doc: np.nda
 def compare(width: int):
     def run(data: np.ndarray, ends: np.ndarray, doc: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         begin, end, first = K.words(data, ends)
-        symbols = np.unique(K.word_hashes(data, begin, end), return_inverse=True)[1] + 1
+        symbols = np.unique(K.word_hashes(data, begin, end, K.drawn()), return_inverse=True)[1] + 1
         length = np.diff(first)
         text = np.insert(symbols, first[1:], 0)
         start = first[:-1] + np.arange(len(length))
@@ -169,7 +169,7 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, hot: int = HOT) -> Data
     share a doc_id the one with the largest text counts.  A very long text is as many
     contexts; an empty table gives an empty result.
     """
-    of = Windows(width, min(8, max(1, width // 2)))
+    of = Windows(width, min(8, max(1, width // 2)), K.drawn())
 
     def finish(ids, data, offsets, found) -> Iterator[pa.RecordBatch]:
         begin, end, first = K.words(data, offsets)

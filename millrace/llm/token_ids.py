@@ -89,13 +89,19 @@ class Encoder:
         self.start = np.zeros(1 << 16, np.int64)
         self.length = np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 18, np.uint32)
-        self.used = 0
+        self.used = self.units = self.full = 0
+        # Units' bytes in lower case: hashes only say where to look.
+        self.raw = np.zeros(1 << 20, np.uint8)
+        self.at = np.zeros(1 << 16, np.int64)
+        self.size = np.zeros(1 << 16, np.int64)
+        self.others: dict[bytes, int] = {}
+        self.salt = K.drawn()
         gc.collect()
         self.seen = np.zeros(1 << 21, np.uint64)
         self.slots = np.full(1 << 21, -1, np.int64)
 
-    def learn(self, texts: list[bytes], keys: list[int]) -> None:
-        """Encodes units for the first time."""
+    def learn(self, texts: list[bytes], keys: list[int] | None) -> None:
+        """Encodes units for the first time; without keys they are found by their bytes alone."""
         plain, rest, order, others = [], [], [], []
         for i, raw in enumerate(texts):
             text = raw.decode()
@@ -117,15 +123,27 @@ class Encoder:
         lengths.append(np.array([len(x) for x in whole], np.int64))
         ids = np.concatenate([ids, np.fromiter((t for x in whole for t in x), np.uint32)])
         lengths = np.concatenate(lengths)
-        base, count = len(self.index), len(texts)
+        base, count = self.units, len(texts)
+        raw = K.FOLD[np.frombuffer(b"".join([texts[i] for i in order]), np.uint8)]
+        size = np.array([len(texts[i]) for i in order], np.int64)
+        while self.full + len(raw) > len(self.raw):
+            self.raw = np.concatenate([self.raw, np.zeros_like(self.raw)])
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while base + count > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+            self.start, self.length, self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.at, self.size))
         self.flat[self.used : self.used + len(ids)] = ids
         self.start[base : base + count] = self.used + np.cumsum(lengths) - lengths
         self.length[base : base + count] = lengths
         self.used += len(ids)
+        self.raw[self.full : self.full + len(raw)] = raw
+        self.at[base : base + count] = self.full + np.cumsum(size) - size
+        self.size[base : base + count] = size
+        self.full += len(raw)
+        self.units += count
+        if keys is None:
+            self.others.update(zip((K.FOLD[np.frombuffer(texts[i], np.uint8)].tobytes() for i in order), range(base, base + count)))
+            return
         named = np.array(keys, np.uint64)[order]
         self.index.update(zip(named.tolist(), range(base, base + count)))
         slot = named >> np.uint64(43)
@@ -143,19 +161,27 @@ class Encoder:
             some, one, back = np.unique(key[missing], return_index=True, return_inverse=True)
             keys = some.tolist()
             new = [j for j, k in enumerate(keys) if k not in self.index]
-            if len(self.index) + len(new) > REMEMBERED and self.index:
+            if self.units + len(new) > REMEMBERED and self.index:
                 self.clear()
-                return self.find(key, data, start, end)
+                return self.find(K.word_hashes(K.FOLD[data], start, end, self.salt), data, start, end)
             if new:
                 first = missing[one[new]]
                 self.learn([data[s:e].tobytes() for s, e in zip(start[first], end[first])], [keys[j] for j in new])
             slot[missing] = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))[back]
+        folded = K.FOLD[data]
+        clash = np.flatnonzero(~K.same(folded, start, end - start, self.raw, self.at[slot], self.size[slot]))
+        if len(clash):
+            raw = [folded[s:e].tobytes() for s, e in zip(start[clash].tolist(), end[clash].tolist())]
+            new = [r for r in dict.fromkeys(raw) if r not in self.others]
+            if new:
+                self.learn(new, None)
+            slot[clash] = [self.others[r] for r in raw]
         return slot
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents, and how many each has."""
         start, end, first = units(data, offsets)
-        slot = self.find(K.word_hashes(K.FOLD[data], start, end), data, start, end)
+        slot = self.find(K.word_hashes(K.FOLD[data], start, end, self.salt), data, start, end)
         length = self.length[slot]
         ids = self.flat[K.ragged(self.start[slot], length)]
         upto = np.zeros(len(slot) + 1, np.int64)
