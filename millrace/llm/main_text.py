@@ -30,7 +30,10 @@ SURGE = 80
 #: What a mark adds to a line with text: a window full of such lines surges.
 MARK = -(-SURGE // WINDOW)
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
+_BEGIN = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[a-zA-Z])")
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^'">])*+)>""")
+#: A tag whose quotes are not closed.
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _CLOSING = re.compile(r"</([a-zA-Z][^\s/>]*)\s*>")
 _ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _RAW = frozenset("script style noscript template svg math iframe object canvas audio video textarea select title head".split())
@@ -45,10 +48,46 @@ _NAMES = frozenset(
     discussion replies widget widgets toolbar pagination pager login search skip copyright legal gdpr complementary
     contentinfo navigation dialog""".split()
 )
+#: Names that no other word of a class takes back; with those of the other languages.
+_ALWAYS = frozenset(
+    """comment comments reply replies respond disqus sidebar cookie cookies consent gdpr footer nav navbar advert adverts
+    advertisement advertising sponsor sponsored breadcrumb breadcrumbs fusszeile seitenleiste kommentar kommentare werbung
+    anzeige brotkrumen commentaire commentaires publicite pied comentario comentarios publicidad anuncio anuncios pie""".split()
+)
 _KEEPERS = frozenset("article post entry content main body title headline story".split())
 _WHITE = re.compile(r"\s+")
 
 
+def _tokens(page: str, at: int, last: int, broken: list) -> tuple[int, int, re.Match | None, str]:
+    """(where the next piece of markup begins and ends, its match if it is a tag, its text if it is CDATA); (-1, ...) if none follows.
+
+    No place is read twice but for a constant number of times: where no '>' follows
+    (``last`` is the last one) nothing is a tag, and once a tag's quotes turn out not to
+    close before the end, ``broken`` holds and quotes count for nothing from there.
+    """
+    while (m := _BEGIN.search(page, at)) is not None:
+        begin, what = m.start(), m[0]
+        if what == "<!--":
+            end = page.find("-->", m.end())
+            return begin, (end + 3 if end >= 0 else len(page)), None, ""
+        if what == "<![CDATA[":
+            end = page.find("]]>", m.end())
+            return begin, (end + 3 if end >= 0 else len(page)), None, page[m.end() : end if end >= 0 else None]
+        if begin > last:
+            break
+        if what in ("<!", "<?"):
+            return begin, page.find(">", begin) + 1, None, ""
+        tag = None if broken else _TAG.match(page, begin)
+        if tag is None:
+            if not broken:
+                broken.append(begin)
+            tag = _LOOSE.match(page, begin)
+        if tag is not None:
+            return begin, tag.end(), tag, ""
+        at = begin + 1
+    return -1, -1, None, ""
+
+
 def _unwanted(name: str, attributes: str, inside: bool) -> bool:
     if name in _DROPPED:
         return not (name == "header" and inside)
@@ -62,6 +101,8 @@ def _unwanted(name: str, attributes: str, inside: bool) -> bool:
             for one in value.split():
                 words = [w for w in re.split(r"[^a-z]+", one) if w]
                 # The last word says what it is, others what it belongs to: "main-menu", "post-share", but "menu-content".
+                if set(words) & _ALWAYS:
+                    return True
                 if words and (words[-1] in _NAMES or set(words) & _NAMES and not set(words) & _KEEPERS):
                     return not (words[-1] == "header" and set(words) & _KEEPERS)
     return False
@@ -94,19 +135,19 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
     closed: dict[str, int] = {}
     for m in _CLOSING.finditer(page):
         closed[m[1].lower()] = m.start()
-    while (m := _TOKEN.search(page, at)) is not None:
-        put(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
-            if m[0].startswith("<![CDATA["):
-                put(m[0][9:-3])
+    last, broken = page.rfind(">"), []
+    while (found := _tokens(page, at, last, broken))[0] >= 0:
+        begin, end, m, data = found
+        put(page[at:begin])
+        at = end
+        if m is None:
+            put(data)
             continue
-        closing = bool(m[1])
+        name, closing = m[2].lower(), bool(m[1])
         if name in _RAW and not closing:
             close()
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at) if closed.get(name, -1) >= at else None
-            if not m[3].endswith("/") and end:
+            whole = not m[3].endswith("/") and closed.get(name, -1) >= at
+            if whole and (end := re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)):
                 at = end.end()
             elif name in ("script", "style"):
                 at = len(page)
