@@ -194,8 +194,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
     found = texts.join(F.broadcast(chosen), "doc_id")
     # One row each, and no text: at most ``sample`` of them.
     sizes = found.groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    upto = np.cumsum([r["n"] for r in sizes])
-    kept = [(r["doc_id"],) for r, n in zip(sizes, upto) if n <= most]
+    kept, held = [], 0
+    for r in sizes:  # a text that doesn't fit shuts out no other
+        if held + r["n"] <= most:
+            kept.append((r["doc_id"],))
+            held += r["n"]
     rows = []
     if kept:
         ids = docs.sparkSession.createDataFrame(kept, "doc_id long")
