@@ -20,6 +20,9 @@ eighteen bytes.  Neighbouring strings with one anchor go as one *context*.
    keeps it.  Suffixes on either side of a border differ within their leading tokens, and
    a string's leading tokens lie inside it, so no string is tied across a border.
 
+Of a run of one byte (blanks, dashes, zeros) all strings are equal: the first alone goes
+on, and what is found of it holds for the whole run.
+
 All comparisons are of the bytes themselves; hashes only choose anchors and buckets.
 """
 
@@ -46,6 +49,8 @@ SAMPLE, ANCHORS = 2000, 256
 HOT = 0.25
 #: Contexts that a scanning task holds before it sends them.
 HELD = 1 << 18
+#: Bytes of one text that are looked at once.
+STRETCH = 1 << 21
 #: Strings that are sorted at once, about.
 SORTED = 1 << 20
 
@@ -64,6 +69,30 @@ def _leading(data: np.ndarray, at: np.ndarray, gram: int) -> np.ndarray:
     return np.ascontiguousarray(wide).view("S16").ravel()
 
 
+def runs_of_one(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of runs of one byte, longer than ``width`` and within a document."""
+    if len(data) <= width:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    new = np.ones(len(data), bool)
+    new[1:] = data[1:] != data[:-1]
+    new[offsets[:-1][offsets[:-1] < len(data)]] = True
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], len(data))
+    long = end - begin > width
+    return begin[long], end[long]
+
+
+def stretches(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place, bytes, offsets): texts as they are, one above STRETCH in stretches that share a string's bytes, so that each string is in one."""
+    if len(data) <= STRETCH or len(offsets) > 2:
+        yield 0, data, offsets
+        return
+    for at in range(0, len(data) - width + 1, STRETCH):
+        # With the byte before, as a run of one byte may go on.
+        part = data[max(at - 1, 0) : at + STRETCH + width - 1]
+        yield max(at - 1, 0), part, np.array([0, len(part)])
+
+
 def anchored(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
     """(document, first string, strings, anchor) of all contexts: documents by index, places in ``data``."""
     none = np.zeros(0, np.int64)
@@ -78,9 +107,12 @@ def anchored(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tu
     key = (rank & U64(0xFFFFFFFF00000000)) | place.astype(U64)
     at = (_least(key, width - gram + 1) & U64(0xFFFFFFFF)).astype(np.int64)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(at)]
-    inside = np.flatnonzero(np.arange(len(at)) + width <= offsets[1:][doc])
+    first = np.arange(len(at)) + width <= offsets[1:][doc]
+    for begin, end in zip(*runs_of_one(data, offsets, width)):
+        first[begin + 1 : end - width + 1] = False
+    inside = np.flatnonzero(first)
     at, doc = at[inside], doc[inside]
-    heads = _runs(at, doc)
+    heads = _runs(at, doc, inside - np.arange(len(inside)))
     return doc[heads], inside[heads], np.diff(np.append(heads, len(inside))), at[heads]
 
 
@@ -219,12 +251,15 @@ def _scan(width: int, gram: int, buckets: int, splitters: np.ndarray, hot: np.nd
         for rows in batches:
             ids = K.int_column(rows, "doc_id")
             for a, z, data, offsets in K.slices(rows):
-                doc, at, count, anchor = anchored(data, offsets, width, gram)
-                held.append((ids[a:z][doc], at - offsets[doc], count, anchor - at, data[K.ragged(at, count + width - 1)]))
-                size += len(doc)
-                if size >= HELD:
-                    yield from send(*_packed(held))
-                    held, size = [], 0
+                for base, part, edges in stretches(data, offsets, width):
+                    doc, at, count, anchor = anchored(part, edges, width, gram)
+                    for k in range(0, len(doc), HELD):  # one text may have very many
+                        d, p, n, where = (x[k : k + HELD] for x in (doc, at, count, anchor))
+                        held.append((ids[a:z][d], base + p - edges[d], n, where - p, part[K.ragged(p, n + width - 1)]))
+                        size += len(d)
+                        if size >= HELD:
+                            yield from send(*_packed(held))
+                            held, size = [], 0
         if size:
             yield from send(*_packed(held))
 
@@ -318,14 +353,14 @@ def _sort(width: int, gram: int, homes: int, strings: int):
 
 
 def splitters_of(docs: DataFrame, width: int, gram: int, buckets: int, hot: float = HOT, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """(borders, hot leading tokens) from about ``sample`` documents whose ids hash lowest, ANCHORS of each at most.
+    """(borders, hot leading tokens) from about ``sample`` documents whose ids hash lowest, ANCHORS of each, or of each of its stretches, at most.
 
     The driver gets 16 bytes an anchor, whatever the corpus.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            for _, _, data, offsets in K.slices(rows):
+            for _, data, offsets in (s for _, _, *whole in K.slices(rows) for s in stretches(*whole, width)):
                 doc, _, _, anchor = anchored(data, offsets, width, gram)
                 size = np.bincount(doc, minlength=len(offsets) - 1)
                 took = np.minimum(size, ANCHORS)
@@ -357,6 +392,11 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, hot: float = HOT, sample:
 
     def finish(ids, data, offsets, found) -> Iterator[pa.RecordBatch]:
         gone = covered(ids, offsets, found, width)
+        begin, end = runs_of_one(data, offsets, width)
+        if len(begin):
+            repeats = covered(ids, offsets, found, 1)  # strings by their first byte
+            for a, b in zip(begin[repeats[begin]], end[repeats[begin]]):
+                gone[a:b] = True
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
         inner = offsets[:-1][offsets[:-1] < len(gone)]
