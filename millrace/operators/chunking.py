@@ -145,41 +145,82 @@ def token_blocks(tokens: DataFrame, block: int, scope: list[str]) -> DataFrame:
     return out.where(F.size("y") == block).select(*scope, "pos", "x", "y")
 
 
-def token_stream(texts: DataFrame, order: list[str], path: str = VOCABULARY) -> DataFrame:
-    """(part, number, start, ids): the tokens of all texts, joined by line feeds in ``order``, as pieces of one stream.
+#: What the tokenizer's pattern takes for white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_IDS = pa.list_(pa.int32())
+
 
-    Each text is encoded with the line feed before it, which gives the ids of the joined
-    text wherever no white space stands on both sides of a join.  Texts go to ranges of
-    the order; a piece's start is the sum of the counts before it, of which the driver
-    holds one a range.
+def _coded(path: str):
+    """(part, number, n, ids, head, white) of a range's texts, cut before runs of white space.
+
+    The first text that isn't blank stays uncoded as ``head``, with what is before it, as
+    more may come from ranges before; ``white`` is the white space after the last one.
     """
-    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, number = tokenizer(path), TaskContext.get().partitionId(), 0
+        coder, part, number, white = tokenizer(path), TaskContext.get().partitionId(), 0, None
+        for batch in batches:
+            heads, rest = [], []
+            for text in batch.column(0).to_pylist():
+                core = text.rstrip(WHITE)
+                white = (white or "") + "\n"
+                if core:
+                    (rest if number + len(heads) else heads).append(white + core)
+                    white = ""
+                white += text[len(core) :]
+            ids = [None] * len(heads) + [e.ids for e in coder.encode_batch_fast(rest, add_special_tokens=False)]
+            numbers = range(number, number + len(ids))
+            number += len(ids)
+            columns = [pa.array([part] * len(ids), pa.int32()), pa.array(numbers, pa.int64()), pa.array([None if x is None else len(x) for x in ids], pa.int64()), pa.array(ids, _IDS), pa.array(heads + [None] * len(rest), pa.string()), pa.nulls(len(ids), pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "number", "n", "ids", "head", "white"])
+        if white is not None:
+            columns = [pa.array([part], pa.int32()), *(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), _IDS, pa.string())), pa.array([white], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "number", "n", "ids", "head", "white"])
+
+    return run
+
+
+def _heads(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = tokenizer(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            made = [e.ids for e in coder.encode_batch_fast(["\n" + t for t in texts], add_special_tokens=False)]
-            # Of each range's first text also without a line feed: one of these opens the stream.
-            bare = [coder.encode(texts[0], add_special_tokens=False).ids if i == number == 0 else None for i in range(len(texts))]
-            numbers = list(range(number, number + len(made)))
-            number += len(made)
-            ids = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([part] * len(made), pa.int32()), pa.array(numbers, pa.int64()), pa.array([len(x) for x in made], pa.int64()), pa.array(made, ids), pa.array(bare, ids)], ["part", "number", "n", "ids", "bare"])
+            ids = [e.ids for e in coder.encode_batch_fast(batch.column(2).to_pylist(), add_special_tokens=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, _IDS)], ["part", "number", "n", "ids"])
 
+    return run
+
+
+def token_stream(texts: DataFrame, order: list[str], path: str = VOCABULARY) -> DataFrame:
+    """(part, number, start, ids): the tokens of all texts, joined by line feeds in ``order``, as pieces of one stream.
+
+    The pieces' ids are those of the joined text.  Its tokens never reach from other signs
+    into white space, so it is cut there: white space around a join, over blank texts
+    and ranges too, goes with the text after it.  Texts go to ranges of the order; each
+    leaves its first piece open until the white space before it is known, a row a range.
+    A piece's start is the sum of the counts before it, of which the driver holds one a
+    range.  Null texts are passed over.
+    """
+    spark = texts.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = texts.where("text is not null").repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
-    pieces = stored(ranged.select("text").mapInArrow(run, "part int, number long, n long, ids array<int>, bare array<int>"), "tokens")
-    sizes = {r["part"]: r["n"] for r in pieces.groupBy("part").agg(F.sum("n").alias("n")).collect()}
-    opens = min(sizes, default=0)
-    pieces = pieces.withColumn("ids", F.when((F.col("part") == opens) & (F.col("number") == 0), F.col("bare")).otherwise(F.col("ids"))).withColumn("n", F.size("ids")).drop("bare")
-    less = sizes.get(opens, 0) - (pieces.where(F.col("part") == opens).agg(F.sum("n").alias("n")).first()["n"] or 0)
+    coded = stored(ranged.select("text").mapInArrow(_coded(path), "part int, number long, n long, ids array<int>, head string, white string"), "tokens")
+    # A row a range: the white space after a range's last text goes before the next head, wherever that is.
+    edges = coded.where("head is not null or white is not null").groupBy("part").agg(F.max("head").alias("head"), F.max("white").alias("white"))
+    edges = edges.withColumn("k", F.count("head").over(Window.orderBy("part")))
+    before = edges.groupBy((F.col("k") + 1).alias("k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "white"))), lambda e: e["white"]), "").alias("before"), F.max("part").alias("last"))
+    opened = before.join(edges.where("head is not null").select("part", "head", "k"), "k", "full")
+    text = F.concat(F.coalesce("before", F.lit("")), F.coalesce("head", F.lit("")))
+    # The stream opens without a line feed; white space that nothing follows ends it, as a piece of its own.
+    opened = opened.select(F.coalesce("part", F.col("last") + 1).alias("part"), F.lit(0).cast("long").alias("number"), F.when(F.min("k").over(Window.partitionBy()) == F.col("k"), F.substr(text, F.lit(2))).otherwise(text).alias("text"))
+    heads = stored(opened.where("text <> ''").mapInArrow(_heads(path), "part int, number long, n long, ids array<int>"), "heads")
+    pieces = coded.where("ids is not null").select("part", "number", "n", "ids").union(heads)
     base, total = [], 0
-    for part in sorted(sizes):
-        base.append((part, total))
-        total += sizes[part] - (less if part == opens else 0)
-    bases = F.broadcast(texts.sparkSession.createDataFrame(base, "part int, base long"))
-    before = F.sum("n").over(Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1))
-    placed = pieces.withColumn("start", F.coalesce(before, F.lit(0))).join(bases, "part")
+    for r in pieces.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
+        base.append((r["part"], total))
+        total += r["n"]
+    bases = F.broadcast(spark.createDataFrame(base, "part int, base long"))
+    start = F.sum("n").over(Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1))
+    placed = pieces.withColumn("start", F.coalesce(start, F.lit(0))).join(bases, "part")
     return placed.select("part", "number", (F.col("base") + F.col("start")).alias("start"), "ids")
 
 
