@@ -53,7 +53,7 @@ def process_pages(pages: DataFrame, key: str = "path", rules: dict | None = None
 
 def process_sources(spark: SparkSession, paths: list[str], folder: str | None = None, **options) -> tuple[DataFrame, DataFrame]:
     """(documents, errors) of files; cleaned texts go to ``folder`` if it is given.  Without any document it raises."""
-    docs, errors = process_pages(stored(readers.read_pages(spark, paths), "pages"), **options)
+    docs, errors = process_pages(readers.read_pages(spark, paths), **options)
     docs = stored(docs, "documents")
     if docs.isEmpty():
         raise RuntimeError("no document could be processed: " + "; ".join(f"{r['path']}: {r['error']}" for r in errors.take(20)))

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
+#: Bytes of a file at most that a row can hold.
+MOST = (1 << 31) - 1024
 PAGES = "path string, page_no int, text string, warning string, error string"
 #: suffix -> a function from a file's bytes to its pages' texts.
 _EXTRACTORS: dict[str, Callable[[bytes], list[str]]] = {}
@@ -61,7 +66,10 @@ for _suffix in (".png", ".jpg", ".jpeg"):
 
 
 def _files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Files of the paths as Spark's binary source shows them.  A path that isn't there raises, and so does a file without an extractor."""
+    """Files of the paths that have an extractor, as Spark's binary source shows them; others are passed over by name, unread.
+
+    A path that isn't there raises, and so does a file without an extractor.
+    """
     hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
     for p in dict.fromkeys(paths):
         where = jvm.org.apache.hadoop.fs.Path(p)
@@ -71,9 +79,21 @@ def _files(spark: SparkSession, paths: list[str]) -> DataFrame:
         for one in found:
             if one.isFile():
                 extractor_for(one.getPath().getName())
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(dict.fromkeys(paths)))
-    known = [s.lstrip(".") for s in _EXTRACTORS]
-    return files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(known))
+    # Paths within one another would give a file twice.
+    inner = [p for p in dict.fromkeys(paths) if not any(p != q and p.startswith(q.rstrip("/") + "/") for q in paths)]
+    known = ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in suffix) for suffix in _EXTRACTORS)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True)
+    return reader.option("pathGlobFilter", f"*{{{known}}}").load(inner)
+
+
+def _listed(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """(path, length) of all files, empty ones too: the driver lists them in any case."""
+    empty = spark.createDataFrame([(unquote(p),) for p in files.inputFiles()], "name string").distinct()
+    lengths = files.select("path", "length").distinct()
+    # Rows of files with bytes spell a path as the listing does but for its slashes and escapes.
+    name = F.regexp_replace("path", "^file:/+", "file:/")
+    both = empty.withColumn("name", F.regexp_replace("name", "^file:/+", "file:/")).join(lengths, F.col("name") == name, "left")
+    return both.select(F.coalesce("path", "name").alias("path"), F.coalesce("length", F.lit(0)).alias("length"))
 
 
 def discover(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -81,16 +101,21 @@ def discover(spark: SparkSession, paths: list[str]) -> DataFrame:
 
     A file that is named and has no extractor raises; in a directory it is passed over.
     """
-    return _files(spark, paths).select("path", "length").distinct()
+    return _listed(spark, _files(spark, paths))
 
 
 discover_pdf_files = discover
 
+# Fixed value: what is said of a file without text.
+NO_TEXT = "No text was found."
+
 
-def read_pages(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_pages(spark: SparkSession, paths: list[str], most: int = MOST) -> DataFrame:
     """(path, page_no, text, warning, error) of all pages; a file that fails gives one row with its error.
 
-    Files of no bytes give no row, as Spark makes no split of them.
+    Content is read of files that have an extractor and 1 to ``most`` bytes.  A file of no
+    bytes is one page of no text, with a warning, if it is a text file, else an error; a longer one, and one that the store
+    fails to give, is an error row.  The pages are written once.
     """
     extractors = dict(_EXTRACTORS)
 
@@ -107,14 +132,19 @@ def read_pages(spark: SparkSession, paths: list[str]) -> DataFrame:
                     rows.append((path, None, None, None, str(e)))
                     continue
                 size = len("".join(pages).strip())
-                warning = "No text was found." if not size else "Little text; the file may need OCR." if suffix == ".pdf" and size < 20 * len(pages) else None
+                warning = NO_TEXT if not size else "Little text; the file may need OCR." if suffix == ".pdf" and size < 20 * len(pages) else None
                 rows += [(path, i, t, warning, None) for i, t in enumerate(pages)]
             yield pd.DataFrame(rows, columns=["path", "page_no", "text", "warning", "error"]).astype({"page_no": "Int32"})
 
-    # Paths within one another would give a file twice.
-    inner = [p for p in dict.fromkeys(paths) if not any(p != q and p.startswith(q.rstrip("/") + "/") for q in paths)]
-    _files(spark, paths)  # raises for named files that can't be read
-    return _files(spark, inner).select("path", "content").mapInPandas(run, PAGES)
+    files = _files(spark, paths)
+    listed = stored(_listed(spark, files), "listing")
+    pages = stored(files.where(F.col("length") <= most).select("path", "content").mapInPandas(run, PAGES), "pages")
+    # What a task cannot name by its content: empty, long and unreadable files.
+    none = F.lit(None).cast("string")
+    rest = listed.join(pages.select("path").distinct(), "path", "left_anti").where("length > 0")
+    failed = rest.select("path", F.lit(None).cast("int").alias("page_no"), none.alias("text"), none.alias("warning"), F.when(F.col("length") > most, F.format_string("it has %d bytes, more than are read", "length")).otherwise("the store failed to give it").alias("error"))
+    empty = listed.where("length = 0").select("path", F.lit(b"").alias("content")).mapInPandas(run, PAGES)
+    return pages.unionByName(failed).unionByName(empty)
 
 
 def read_context(spark: SparkSession, path: str) -> str:
