@@ -12,6 +12,7 @@ from millrace.functions import text as T
 from millrace.functions.tokens import BytePairTokens
 from millrace.operators import chunking, near_dedup, packing, quality, ranks
 from millrace.plans import pipeline
+from millrace.sources import readers, writers
 
 SF = "/root/testdata/sf0.001"
 
@@ -132,3 +133,56 @@ def test_languages_decide_in_filters(spark):
     german = spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'de' and n_chars > 200").select("doc_id", F.lit(0).alias("para_no"), "text").limit(3)
     reasons = {r["reason"] for r in quality.classify(quality.score(german, detector=language.profile_detector(profiles))).collect()}
     assert reasons == {"non_english"}
+
+
+def test_token_streams_over_white_space(spark, partitions):
+    coder, rng = BytePairTokens(), random.Random(1)
+    for c in chunking.WHITE:  # before white space the tokenizer always splits
+        for before in ("a", "!", "1", "'s"):
+            assert coder.encode(f"{before}{c} b") == coder.encode(before) + coder.encode(f"{c} b")
+    signs = ["a", "b", " ", "\n", "\t", "!", "'s", "\x1c", "\x85", "1", "é", " ", "\x0b", "<|endoftext|>"]
+    cases = [["".join(rng.choices(signs, k=rng.choice([0, 1, 2, 5, 9]))) for _ in range(n)] for n in (1, 40)]
+    cases += [["", " ", ""], [""], ["", "x", " ", "", "\n ", "", "y ", " "], [" \n"] * 12 + ["z"]]
+    for texts, n in zip(cases, (1, 5, 4, 2, 11, 7)):
+        partitions(n)
+        rows = chunking.token_stream(spark.createDataFrame([*enumerate(texts), (-1, None)], "k int, text string"), ["k"]).orderBy("start", "part", "number").collect()
+        assert [i for r in rows for i in r["ids"]] == coder.encode("\n".join(texts)), texts
+        assert [r["start"] for r in rows] == [sum(len(q["ids"]) for q in rows[:k]) for k in range(len(rows))]
+    assert chunking.token_stream(spark.createDataFrame([], "k int, text string"), ["k"]).collect() == []
+
+
+def test_empty_long_and_unreadable_files(spark, tmp_path):
+    (tmp_path / "sub dir").mkdir()
+    (tmp_path / "sub dir" / "empty.txt").write_bytes(b"")
+    (tmp_path / "sub dir" / "none.pdf").write_bytes(b"")
+    (tmp_path / "good.TXT").write_text("fine")
+    (tmp_path / "long.txt").write_text("x" * 1000)
+    (tmp_path / "other.bin").write_text("y" * 500)
+    (tmp_path / "torn.txt").write_text("torn")
+    (tmp_path / ".torn.txt.crc").write_bytes(b"crc\x00\x00\x00\x02\x00\x01\x02\x03\x04")
+    got = {r["path"].rsplit("/", 1)[-1]: r for r in readers.read_pages(spark, [str(tmp_path)], most=600).collect()}
+    assert set(got) == {"empty.txt", "none.pdf", "good.TXT", "long.txt", "torn.txt"}
+    assert (got["empty.txt"]["page_no"], got["empty.txt"]["text"], got["empty.txt"]["error"]) == (0, "", None) and got["empty.txt"]["warning"] == readers.NO_TEXT
+    assert got["good.TXT"]["text"] == "fine" and got["none.pdf"]["error"] and "1000" in got["long.txt"]["error"] and got["torn.txt"]["error"]
+    assert sorted((r["path"].rsplit("/", 1)[-1], r["length"]) for r in readers.discover(spark, [str(tmp_path)]).collect()) == [("empty.txt", 0), ("good.TXT", 4), ("long.txt", 1000), ("none.pdf", 0), ("torn.txt", 4)]
+    assert readers.read_context(spark, str(tmp_path / "sub dir" / "empty.txt")) == ""
+    docs, errors = pipeline.process_sources(spark, [str(tmp_path / "sub dir"), str(tmp_path / "good.TXT")])
+    assert docs.where("path like '%empty.txt'").first()["text"] == "" and errors.count() == 1
+    # Files without an extractor are not even opened.
+    read = readers._files(spark, [str(tmp_path)])
+    assert not any(p.endswith(".bin") for p in read.inputFiles())
+
+
+def test_a_failing_line_leaves_the_old_dataset(spark, tmp_path):
+    path, name = str(tmp_path / "set.jsonl"), lambda: sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith("."))
+    chunks = spark.createDataFrame([(f"text {i}\n\"x\"",) for i in range(20)], "text string").repartition(4)
+    writers.write_jsonl(chunks, path)
+    before = sorted(r["value"] for r in spark.read.text(path).collect())
+    for bad in (lambda: writers.write_jsonl(chunks, path, check=lambda line: ~line.contains("text 7")), lambda: writers.write_jsonl(chunks.limit(0), path), lambda: writers.write_jsonl(chunks.select(F.raise_error(F.lit("boom")).alias("text")), path)):
+        with pytest.raises(Exception):
+            bad()
+        assert name() == ["set.jsonl"] and sorted(r["value"] for r in spark.read.text(path).collect()) == before
+    writers.write_jsonl(chunks.orderBy("text").limit(5), path, single_file=True)
+    parts = [p for p in (tmp_path / "set.jsonl").iterdir() if p.name.startswith("part-")]
+    assert name() == ["set.jsonl"] and len(parts) == 1 and len(parts[0].read_text().splitlines()) == 5
+    assert [r["text"] for r in spark.read.json(path).collect()] == [r["text"] for r in chunks.orderBy("text").limit(5).collect()]
