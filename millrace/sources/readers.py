@@ -173,10 +173,35 @@ def presets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(PRESETS), "name string, repo_id string, config_name string, split string, text_field string")
 
 
-def read_corpus(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, line_no, text): ``text``, or else ``content``, of JSON lines; other files as one text each.
+def preset(name: str) -> tuple[str, str | None, str, str]:
+    """(repository, configuration, split, text column) of a named source; an unknown name raises."""
+    for known, *rest in PRESETS:
+        if known == name and rest[0]:
+            return tuple(rest)
+    raise ValueError(f"no preset is named '{name}', but {', '.join(p[0] for p in PRESETS if p[1])}")
+
+
+def read_preset(spark: SparkSession, name: str, root: str, order: list[str] | None = None, max_rows: int | None = None) -> DataFrame:
+    """Rows with text of a named source's copy under ``root``: a table at repository/configuration/split, in Parquet."""
+    repository, configuration, split, text = preset(name)
+    where = "/".join(x for x in (root.rstrip("/"), repository, configuration, split) if x)
+    return read_table(spark.read.parquet(where), text, order, max_rows)
+
+
+def numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, line_no, value): the lines of text files and their numbers from 0, blank ones too.
 
-    ``line_no`` orders a file's lines; it is no count of them.
+    A split's lines come in order and get ids one after another; its first number is the
+    sum of the lines of the splits before it, of which there is a small row each.
+    """
+    raw = spark.read.format("text").load(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"), "value")
+    splits = raw.groupBy("path", "_start").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return raw.join(splits.select("path", "_start", (before - F.col("_first")).alias("_base")), ["path", "_start"]).select("path", (F.col("_id") + F.col("_base")).alias("line_no"), "value")
+
+
+def read_corpus(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, line_no, text): ``text``, or else ``content``, of JSON lines with their numbers; other files as one text each.
 
     Blank and malformed lines and empty values are passed over; a value that isn't an
     object counts as its JSON text.
@@ -187,7 +212,7 @@ def read_corpus(spark: SparkSession, paths: list[str]) -> DataFrame:
     whole = [p for p in paths if p not in lines]
     out = []
     if lines:
-        raw = spark.read.format("text").load(lines).select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("line_no"), F.try_parse_json("value").alias("v"))
+        raw = numbered_lines(spark, lines).select("path", "line_no", F.try_parse_json("value").alias("v"))
         pick = [F.nullif(F.try_variant_get("v", f"$.{k}", "string"), F.lit("")) for k in ("text", "content")]
         scalar = F.when(~F.schema_of_variant("v").startswith("OBJECT"), F.coalesce(F.try_variant_get("v", "$", "string"), F.to_json("v")))
         out.append(raw.where("v is not null").select("path", "line_no", F.coalesce(*pick, scalar).alias("text")))
