@@ -75,13 +75,14 @@ def explode_paragraphs(docs: DataFrame, key: str = "doc_id", column: str = "text
 def exact_dedup(df: DataFrame, order: list[str], scope: list[str] | None = None, column: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
     """The first of each normalized text by ``order``, within a scope or over all.
 
-    Only 24 bytes of a text's hashes and its order are shuffled.  The least order of each
+    Texts are read once for 24 bytes of hashes, which are written with the order; only these
+    are shuffled.  The least order of each
     key is combined before, so a text with very many copies sends one row a task.
     ``order`` names a row.  What goes is broadcast up to so many rows, and joined by a
     shuffle beyond.
     """
     scope, key = scope or [], T.normalized(F.col(column))
-    narrow = df.select(*scope, F.struct(*order).alias("_order"), F.xxhash64(key).alias("_key"), F.unhex(F.md5(key)).alias("_md5"))
+    narrow = stored(df.select(*scope, F.struct(*order).alias("_order"), F.xxhash64(key).alias("_key"), F.unhex(F.md5(key)).alias("_md5")), "keys")
     first = narrow.groupBy(*scope, "_key", "_md5").agg(F.min("_order").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
     later = narrow.join(first, [*scope, "_key", "_md5"]).where("_order > _first")
     gone = later.select(*scope, *(F.col(f"_order.{c}").alias(c) for c in order if c not in scope))
