@@ -7,25 +7,29 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import language
 from ..functions import text as T
 from ..functions.tokens import token_count
-from ..operators import chunking, cleaning, near_dedup, packing, quality
+from ..operators import block_store, chunking, cleaning, epochs, near_dedup, packing, quality, ranks
 from ..sources import readers, writers
 from ..storage import shared_folder, stored
 from . import pipeline, reports
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    table = spark.read.parquet(f"{d}/{name}.parquet")
-    return readers.spread(table) if name in ("documents", "pages") else table
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _dealt(spark: SparkSession, d: str) -> DataFrame:
+    """``documents`` for queries whose work on a text is worth a shuffle of small tables."""
+    return readers.spread(_t(spark, d, "documents"))
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    docs = cleaning.clean_text(_t(spark, d, "documents").select("doc_id", "lang", "text"))
+    docs = cleaning.clean_text(_dealt(spark, d).select("doc_id", "lang", "text"))
     return quality.classify(quality.score(docs))
 
 
@@ -59,28 +63,28 @@ def header_footer_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
-    scored, kept = pipeline.process_table(_t(spark, d, "documents"), "doc_id")
+    scored, kept = pipeline.process_table(_dealt(spark, d), "doc_id")
     return quality.stats(scored, kept, [])
 
 
 def exact_stats(spark: SparkSession, d: str) -> DataFrame:
     """Statistics with exact duplicates alone."""
-    docs = cleaning.clean_text(_t(spark, d, "documents").select("doc_id", "text"))
+    docs = cleaning.clean_text(_dealt(spark, d).select("doc_id", "text"))
     return quality.stats(*pipeline.filter_paragraphs(docs, scope="corpus", near=False), [])
 
 
 def survivors(spark: SparkSession, d: str) -> DataFrame:
-    return pipeline.process_table(_t(spark, d, "documents"), "doc_id")[1].select("doc_id", "para_no", "score")
+    return pipeline.process_table(_dealt(spark, d), "doc_id")[1].select("doc_id", "para_no", "score")
 
 
 def near_survivors(spark: SparkSession, d: str) -> DataFrame:
     """Near-duplicates alone, by a hash that SQL has too."""
-    return near_dedup.near_dedup(_t(spark, d, "documents").select("doc_id", "text"), [], "doc_id", digest="md5").select("doc_id")
+    return near_dedup.near_dedup(_dealt(spark, d).select("doc_id", "text"), [], "doc_id", digest="md5").select("doc_id")
 
 
 def table_survivors(spark: SparkSession, d: str) -> DataFrame:
     """``survivors`` by a hash that SQL has too: cleaned, scored, without exact and then near duplicates."""
-    return pipeline.process_table(_t(spark, d, "documents"), "doc_id", {"digest": "md5"})[1].select("doc_id", "para_no", F.round("score", 4).alias("score"))
+    return pipeline.process_table(_dealt(spark, d), "doc_id", {"digest": "md5"})[1].select("doc_id", "para_no", F.round("score", 4).alias("score"))
 
 
 def filter_examples(spark: SparkSession, d: str) -> DataFrame:
@@ -88,12 +92,12 @@ def filter_examples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.chunk(cleaning.clean_text(_t(spark, d, "documents").select("doc_id", "text")), "doc_id", 512, 50, 64)
+    return chunking.chunk(cleaning.clean_text(_dealt(spark, d).select("doc_id", "text")), "doc_id", 512, 50, 64)
 
 
 def corpus_chunks(spark: SparkSession, d: str) -> DataFrame:
     """All documents, cleaned, as one text in chunks, counted in words."""
-    docs = cleaning.clean_text(_t(spark, d, "documents").select("doc_id", "text"))
+    docs = cleaning.clean_text(_dealt(spark, d).select("doc_id", "text"))
     out = packing.chunk_corpus(docs, ["doc_id"], 512, 50, 64, chunking.WhitespaceTokens)
     return out.select("chunk_no", "token_count", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
@@ -113,6 +117,30 @@ def training_batches(spark: SparkSession, d: str) -> DataFrame:
     return chunking.batches(_t(spark, d, "documents").select("doc_id"), ["doc_id"], 32).groupBy("batch_no").agg(F.count("*").alias("n"))
 
 
+def epoch_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The batches of two epochs."""
+    docs = _t(spark, d, "documents").select("doc_id")
+    each = [epochs.epoch_batches(docs, ["doc_id"], 32, seed=7, epoch=e).withColumn("epoch", F.lit(e)) for e in (0, 1)]
+    return each[0].unionByName(each[1]).select("epoch", "batch_no", "slot", "doc_id")
+
+
+def stored_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of 128 at every 37th place, read from a store of the stream of word lengths."""
+    path = f"{shared_folder(spark)}/blocks-{uuid.uuid4().hex}"
+    block_store.write_tokens(_lengths(spark, d), path)
+    places = spark.range(0, block_store.token_total(spark, path), 37).select(F.col("id").alias("pos"))
+    out = block_store.read_blocks(places, path, 128)
+    return out.select("pos", F.element_at("x", 1).alias("first"), F.element_at("y", -1).alias("last"), F.aggregate("x", F.lit(0), lambda s, t: s + t).alias("total"))
+
+
+def preset_rows(spark: SparkSession, d: str) -> DataFrame:
+    """A named source, read from a copy that stands where its name leads."""
+    root = f"{shared_folder(spark)}/presets-{uuid.uuid4().hex}"
+    _t(spark, d, "documents").select("doc_id", "text").write.parquet(f"{root}/wikitext/wikitext-103-raw-v1/train")
+    rows = readers.read_preset(spark, "WikiText-103 raw (wikitext)", root)
+    return rows.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def model_sizes(spark: SparkSession, d: str) -> DataFrame:
     rows = [(50257, 1536, 34, 1024, True), (50257, 1024, 36, 128, False), (1000, 64, 2, 32, True), (256, 2, 1, 4, True)]
     return pipeline.parameter_count(spark.createDataFrame(rows, "vocab int, n_embd int, n_layer int, block int, tied boolean")).select("n_embd", "n_params", "shown", "bytes_fp32", "bytes_fp16")
@@ -126,7 +154,7 @@ def _spiced(spark: SparkSession, d: str) -> DataFrame:
         F.concat(t, F.lit(" http://a.example/x?y=1 www.b.example")), F.concat(F.lit("### ~~~ ^^^ "), F.substring(t, 1, 30)), F.substring(t, 1, 12), F.concat(F.lit("bcdfghjklm "), t),
         F.concat(*[F.concat(F.substring(t, 1, 30), F.lit(" "))] * 12), F.concat(F.lit("see fig. 3 and vol. 2, pp. 12. "), t),
     ]
-    return _t(spark, d, "documents").select("doc_id", "lang", (F.col("doc_id") % 10).alias("kind"), F.array(*kinds)[(F.col("doc_id") % 10).cast("int")].alias("text"))
+    return _dealt(spark, d).select("doc_id", "lang", (F.col("doc_id") % 10).alias("kind"), F.array(*kinds)[(F.col("doc_id") % 10).cast("int")].alias("text"))
 
 
 CYRILLIC = "Это предложение написано кириллицей, чтобы проверить долю чужих букв. "
@@ -187,23 +215,23 @@ def paragraph_split(spark: SparkSession, d: str) -> DataFrame:
 
 def _profiles(spark: SparkSession, d: str) -> language.Profiles:
     """Profiles of the documents whose id five does not divide; the others are held out."""
-    return language.train(_t(spark, d, "documents").where("doc_id % 5 <> 0"))
+    return language.train(_dealt(spark, d).where("doc_id % 5 <> 0"))
 
 
 def language_scores(spark: SparkSession, d: str) -> DataFrame:
     p = T.english_probability(F.col("text"), language.profile_detector(_profiles(spark, d)))
-    return _t(spark, d, "documents").select("doc_id", (F.col("doc_id") % 5 == 0).alias("held_out"), F.round(p, 6).alias("p"))
+    return _dealt(spark, d).select("doc_id", (F.col("doc_id") % 5 == 0).alias("held_out"), F.round(p, 6).alias("p"))
 
 
 def languages_found(spark: SparkSession, d: str) -> DataFrame:
     """The identifier's answers for held-out documents against their language."""
-    held_out = _t(spark, d, "documents").where("doc_id % 5 = 0").select("lang", language.identified(F.col("text"), _profiles(spark, d)).alias("found"))
+    held_out = _dealt(spark, d).where("doc_id % 5 = 0").select("lang", language.identified(F.col("text"), _profiles(spark, d)).alias("found"))
     return held_out.groupBy("lang", "found").agg(F.count("*").alias("n"))
 
 
 def english_report(spark: SparkSession, d: str) -> DataFrame:
     """``flagship_quality_report`` with the identifier behind the language rule."""
-    docs = cleaning.clean_text(_t(spark, d, "documents").select("doc_id", "lang", "text"))
+    docs = cleaning.clean_text(_dealt(spark, d).select("doc_id", "lang", "text"))
     scored = quality.classify(quality.score(docs, detector=language.profile_detector(_profiles(spark, d))))
     return scored.groupBy("lang", "reason").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
@@ -225,32 +253,31 @@ def table_rows(spark: SparkSession, d: str) -> DataFrame:
     return readers.read_table(docs, "body", ["doc_id"], 400).select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+def _lengths(spark: SparkSession, d: str) -> DataFrame:
+    """(start, ids): one stream of the word lengths of all documents."""
+    lengths = _dealt(spark, d).select("doc_id", F.transform(F.split("text", " "), F.length).alias("ids"), F.size(F.split("text", " ")).alias("n"))
+    return ranks.ranked(lengths, ["doc_id"], "n", "lengths").select(F.col("_at").alias("start"), "ids")
+
+
 def corpus_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Blocks of 128 over one stream of word lengths of all documents."""
-    lengths = _t(spark, d, "documents").select("doc_id", F.transform(F.split("text", " "), F.length).alias("ids"), F.size(F.split("text", " ")).alias("n"))
-    # Starts by ranges of ids: sums of a range's counts come to the driver.
-    ranged = lengths.withColumn("range", F.floor(F.col("doc_id") / 1000))
-    base = ranged.groupBy("range").agg(F.sum("n").alias("n"))
-    base = base.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("range").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    stream = ranged.withColumn("before", before).join(F.broadcast(base), "range").select((F.col("base") + F.col("before")).alias("start"), "ids")
-    out = chunking.stream_blocks(stream, 128)
+    out = chunking.stream_blocks(_lengths(spark, d), 128)
     return out.select("pos", F.element_at("x", 1).alias("first"), F.element_at("y", -1).alias("last"), F.aggregate("x", F.lit(0), lambda s, t: s + t).alias("total"))
 
 
 def corpus_tokens(spark: SparkSession, d: str) -> DataFrame:
-    stream = chunking.token_stream(_t(spark, d, "documents").select("doc_id", "text"), ["doc_id"])
+    stream = chunking.token_stream(_dealt(spark, d).select("doc_id", "text"), ["doc_id"])
     return stream.select("start", F.size("ids").alias("n"), F.xxhash64("ids").alias("hash"))
 
 
 def token_counts(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "documents").select("doc_id", token_count(F.col("text")).alias("n_tokens"))
+    return _dealt(spark, d).select("doc_id", token_count(F.col("text")).alias("n_tokens"))
 
 
 def table_dataset(spark: SparkSession, d: str) -> DataFrame:
     """The manifest of a whole run from table to JSON lines."""
     folder = f"{shared_folder(spark)}/dataset-{uuid.uuid4().hex}"
-    out = pipeline.table_to_dataset(_t(spark, d, "documents"), "doc_id", folder, "documents", max_rows=None)
+    out = pipeline.table_to_dataset(_dealt(spark, d), "doc_id", folder, "documents", max_rows=None)
     return out.select("example_count", "total_estimated_tokens", *pipeline.STATS)
 
 
@@ -270,7 +297,7 @@ def checkpoint_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    flagship_quality_report, paragraph_scores, exact_duplicates, markup_stripped, web_lines, reflowed, header_footer_lines, corpus_stats, exact_stats, survivors, near_survivors, table_survivors, filter_examples, chunks, corpus_chunks, conversation_documents, token_blocks, training_batches, model_sizes,
+    flagship_quality_report, paragraph_scores, exact_duplicates, markup_stripped, web_lines, reflowed, header_footer_lines, corpus_stats, exact_stats, survivors, near_survivors, table_survivors, filter_examples, chunks, corpus_chunks, conversation_documents, token_blocks, training_batches, epoch_batches, stored_blocks, preset_rows, model_sizes,
     spiced_scores, spiced_reasons, spiced_stats, spiced_examples, character_cleaning, header_footer_cases, headers_removed, paged_documents, paragraph_split, language_scores, languages_found, english_report, document_counts, jsonl_round_trip, table_rows, corpus_blocks, corpus_tokens,
     token_counts, table_dataset, source_presets, loss_curve, checkpoint_names,
 )}
@@ -360,6 +387,30 @@ ct as (select c, string_agg(t, e'\n\n' order by pt.no) t, sum(n) n from ch join
 cm as (select case when c = (select max(c) from ct) and n < 64 and c > 0 then c - 1 else c end chunk_no, string_agg(t, e'\n\n' order by c) "text", sum(n)::bigint token_count from ct group by 1)
 """
 
+_BLOCKS = """with t as (select doc_id, generate_subscripts(l, 1) i, unnest(l) tok from (select doc_id, list_transform(string_split(text, ' '), lambda x: length(x)) l from documents)),
+s as (select row_number() over (order by doc_id, i) - 1 pos, tok from t),
+b as (select pos, tok "first", lead(tok, 128) over (order by pos) "last", sum(tok) over (order by pos rows between current row and 127 following)::bigint total from s)
+select pos, "first", "last", total from b"""
+
+
+def _rounds() -> str:
+    """One pass through the network for (epoch, pos, x), as nested selects."""
+    at = "select epoch, pos, x // b l, x % b r, a, b, n from w, z where x >= n or fresh"
+    for k in range(epochs.ROUNDS):
+        half, other, side = ("r", "l", "b") if k % 2 else ("l", "r", "a")
+        key = f"(7 * 1000003 + epoch * 7919 + {k} * 104729 + 1) % {epochs.PRIME}"
+        mixed = f"({other} % {epochs.PRIME} * {epochs.FACTOR} + {key}) % {epochs.PRIME}"
+        at = f"select epoch, pos, {f'({half} + y * (y % {epochs.WIDE} + 1) % {epochs.PRIME}) % {side}'} {half}, {other}, a, b, n from (select *, {mixed} y from ({at}))"
+    return at
+
+
+#: The permutation of two epochs, passed through until all numbers are below n.
+_EPOCHS = f"""with recursive z as (select n, a, ((n + a - 1) // a)::bigint b from (select count(*)::bigint n, greatest(1, ceil(sqrt(count(*))))::bigint a from documents)),
+w as (select epoch::bigint epoch, pos::bigint pos, pos::bigint x, true fresh from range(2) e(epoch), z, unnest(range(0, n // 32 * 32)) p(pos)
+  union all select epoch, pos, l * b + r, false from ({_rounds()})),
+d as (select doc_id, row_number() over (order by doc_id) - 1 no from documents)
+select epoch::int epoch, pos // 32 batch_no, pos % 32 slot, doc_id from w, z, d where not fresh and x < n and no = x"""
+
 
 def _codes(source: str) -> str:
     """Buckets of trigrams of stripped texts, a row each."""
@@ -397,6 +448,9 @@ select (select sum(length("text")) + 2 * (count(*) - 1) from r)::bigint original
     "corpus_chunks": "with recursive " + _CLEAN.format(key="doc_id", more="", table="documents") + ", " + _PACKED + 'select chunk_no::bigint chunk_no, token_count, md5("text") text_md5 from cm',
     "token_blocks": "with w as (select item_id, string_split(text, ' ') w from benchmark), p as (select item_id, w, unnest(range(0, greatest(len(w) - 8, 0))) pos from w) select item_id, pos::int pos, array_to_string(w[pos + 1:pos + 8], ' ') x, array_to_string(w[pos + 2:pos + 9], ' ') y from p",
     "training_batches": "select unnest(range(0, count(*) // 32)) batch_no, 32::bigint n from documents",
+    "epoch_batches": _EPOCHS,
+    "stored_blocks": _BLOCKS + ' where "last" is not null and pos % 37 = 0',
+    "preset_rows": "select doc_id, md5(t) text_md5 from (select doc_id, " + _STRIP.format("text") + " t from documents) where t <> ''",
     "model_sizes": "with c(v, n_embd, l, b, tied) as (values (50257::bigint, 1536, 34, 1024, true), (50257, 1024, 36, 128, false), (1000, 64, 2, 32, true), (256, 2, 1, 4, true)), p as (select n_embd, v * n_embd + b * n_embd + l * (12 * n_embd * n_embd::bigint + 13 * n_embd) + 2 * n_embd + case when tied then 0 else v * n_embd end n_params from c) select n_embd, n_params, case when n_params >= 1000000000 then printf('%.2fB', n_params / 1e9) when n_params >= 1000000 then printf('%.2fM', n_params / 1e6) when n_params >= 1000 then printf('%.2fK', n_params / 1e3) else n_params::varchar end shown, 4 * n_params bytes_fp32, 2 * n_params bytes_fp16 from p",
     "spiced_scores": _SPICED + "select doc_id, kind, round(score, 4) score, reason, english_probability, round(url_density, 4) url_density, round(citation_density, 4) citation_density, has_markup, round(broken, 4) broken_word_ratio from r",
     "spiced_reasons": _SPICED + "select kind, reason, count(*) n, sum(length(\"text\"))::bigint chars from r group by all",
@@ -439,10 +493,7 @@ select doc_id, unnest(range(0, len(l)))::int para_no, md5(unnest(l)) text_md5 fr
     "document_counts": "select doc_id, length(text) char_count, len(" + _WORDS.format("text") + """) word_count, md5(text[:5000] || case when length(text) > 5000 then e'\\n\\n... (preview truncated, full text saved to the .txt file)' else '' end) preview_md5 from documents""",
     "jsonl_round_trip": "select md5(text) text_md5, count(*) n from documents where text <> '' group by 1",
     "table_rows": """with x as (select doc_id, case when doc_id % 3 > 0 then trim(text, e' \\n\\t') else '' end t from documents order by doc_id limit 400) select doc_id, md5(t) text_md5 from x where t <> ''""",
-    "corpus_blocks": """with t as (select doc_id, generate_subscripts(l, 1) i, unnest(l) tok from (select doc_id, list_transform(string_split(text, ' '), lambda x: length(x)) l from documents)),
-s as (select row_number() over (order by doc_id, i) - 1 pos, tok from t),
-b as (select pos, tok "first", lead(tok, 128) over (order by pos) "last", sum(tok) over (order by pos rows between current row and 127 following)::bigint total from s)
-select pos, "first", "last", total from b where "last" is not null""",
+    "corpus_blocks": _BLOCKS + ' where "last" is not null',
     "source_presets": "select * from (values " + ", ".join("(" + ", ".join("null" if v is None else f"'{v}'" for v in row) + ")" for row in readers.PRESETS) + ") t(name, repo_id, config_name, split, text_field)",
     "loss_curve": "with x as (select event_id % 500 step, arg_max(round(value, 3), event_id) loss from events group by 1) select step, loss, printf('Step %d — loss %.4f', step, loss) status from x",
     "checkpoint_names": """with x as (select doc_id, trim(case when doc_id % 7 = 0 then 'default' else regexp_replace(text[:16], '[^\\x20-\\x7e]', '/', 'g') end) n from documents), y as (select doc_id, n, regexp_replace(n, '[^A-Za-z0-9_.-]', '_', 'g') s from x)

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from millrace.functions import language
 from millrace.functions import text as T
 from millrace.functions.tokens import BytePairTokens
-from millrace.operators import chunking, near_dedup, packing, quality, ranks
-from millrace.plans import pipeline
+from millrace.operators import block_store, chunking, epochs, near_dedup, packing, quality, ranks
+from millrace.plans import pipeline, reports
 from millrace.sources import readers, writers
+from millrace.streaming.log import append_log, read_log
 
 SF = "/root/testdata/sf0.001"
 
@@ -186,3 +187,98 @@ def test_a_failing_line_leaves_the_old_dataset(spark, tmp_path):
     parts = [p for p in (tmp_path / "set.jsonl").iterdir() if p.name.startswith("part-")]
     assert name() == ["set.jsonl"] and len(parts) == 1 and len(parts[0].read_text().splitlines()) == 5
     assert [r["text"] for r in spark.read.json(path).collect()] == [r["text"] for r in chunks.orderBy("text").limit(5).collect()]
+
+
+def test_epochs_are_permutations(spark):
+    for n in (1, 2, 3, 7, 64, 1000, 99_991):
+        seen = set()
+        for seed, epoch in ((0, 0), (0, 1), (5, 0)):
+            out = epochs.permuted(np.arange(n), n, seed, epoch)
+            assert sorted(out.tolist()) == list(range(n))
+            seen.add(tuple(out.tolist()))
+        assert len(seen) == 3 or n < 8
+    # No batch is a run, and neighbours part.
+    out = epochs.permuted(np.arange(100_000), 100_000, 3, 2)
+    assert abs(np.corrcoef(np.arange(100_000), out)[0, 1]) < 0.02 and (np.abs(np.diff(out)) <= 2).mean() < 0.001
+    assert len(epochs.permuted(np.arange(10**6), 10**15, 1, 1)) == len(set(epochs.permuted(np.arange(10**6), 10**15, 1, 1).tolist()))
+    rows = epochs.batch_rows(spark, 1000, 64, 1, 4).collect()
+    assert sorted((r["batch_no"], r["slot"]) for r in rows) == [(b, s) for b in range(15) for s in range(64)]
+    some = epochs.batch_rows(spark, 1000, 64, 1, 4, batches=(3, 5)).collect()
+    assert sorted(map(tuple, some)) == sorted(tuple(r) for r in rows if r["batch_no"] in (3, 4))
+    assert epochs.batch_rows(spark, 10, 64).collect() == [] and epochs.epoch_batches(spark.range(0).toDF("k"), ["k"], 4).collect() == []
+    df = spark.createDataFrame([(i * i, "x") for i in range(50)], "k long, slot_ string").repartition(3)
+    out = epochs.epoch_batches(df, ["k"], 8, seed=2).collect()
+    want = epochs.permuted(np.arange(48), 50, 2, 0)
+    assert [r["k"] for r in sorted(out, key=lambda r: (r["batch_no"], r["slot"]))] == [int(i) ** 2 for i in want]
+
+
+@pytest.mark.parametrize("segment", [1, 5, 64])
+def test_blocks_are_read_from_a_store(spark, tmp_path, segment):
+    rng = random.Random(segment)
+    flat = [rng.randrange(1000) for _ in range(150)]
+    pieces, at = [], 0
+    while at < len(flat):
+        n = min(rng.choice([0, 1, 2, 30]), len(flat) - at)
+        pieces.append((at, flat[at : at + n]))
+        at += n
+    path = block_store.write_tokens(spark.createDataFrame(pieces, "start long, ids array<int>").repartition(4), str(tmp_path / "store"), segment)
+    assert block_store.token_total(spark, path) == len(flat)
+    asked = [-1, 0, 1, 7, 63, 64, 65, 100, 141, 142, 143, 149, 500, 7]
+    got = {r["pos"]: (r["x"], r["y"]) for r in block_store.read_blocks(spark.createDataFrame([(p,) for p in asked], "pos long"), path, 8).collect()}
+    assert got == {p: (flat[p : p + 8], flat[p + 1 : p + 9]) for p in asked if 0 <= p <= len(flat) - 9}
+    nothing = block_store.write_tokens(spark.createDataFrame([], "start long, ids array<int>"), str(tmp_path / "none"), segment)
+    assert block_store.token_total(spark, nothing) == 0 and block_store.read_blocks(spark.createDataFrame([(0,)], "pos long"), nothing, 8).collect() == []
+
+
+def test_lines_keep_their_numbers_in_many_splits(spark, tmp_path):
+    rng = random.Random(6)
+    texts = {}
+    for name in ("a.jsonl", "b.jsonl"):
+        lines = [rng.choice(["", '{"text": "%s"}' % ("x" * rng.randrange(40)), "bad{", '{"content": "c"}']) for _ in range(200)]
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+        texts[name] = lines
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")
+    try:
+        raw = readers.numbered_lines(spark, [str(tmp_path / n) for n in texts])
+        assert raw.rdd.getNumPartitions() > 4
+        got = sorted((r["path"].rsplit("/", 1)[-1], r["line_no"], r["value"]) for r in raw.collect())
+        assert got == [(n, i, v) for n, lines in texts.items() for i, v in enumerate(lines)]
+        rows = readers.read_corpus(spark, [str(tmp_path / n) for n in texts]).collect()
+        assert all(r["text"] in texts[r["path"].rsplit("/", 1)[-1]][r["line_no"]] for r in rows) and rows
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_presets_lead_to_tables(spark, tmp_path):
+    spark.createDataFrame([(1, " a "), (2, " ")], "id int, text string").write.parquet(str(tmp_path / "allenai/c4/en/train"))
+    assert [r["text"] for r in readers.read_preset(spark, "C4 English, streamed subset (allenai/c4)", str(tmp_path)).collect()] == ["a"]
+    for wrong in ("Custom...", "none"):
+        with pytest.raises(ValueError):
+            readers.preset(wrong)
+
+
+def test_a_log_is_appended_once(spark, tmp_path):
+    folder, inbox = str(tmp_path / "log"), tmp_path / "in"
+    inbox.mkdir()
+    stream = spark.readStream.schema("step int, loss double").json(str(inbox))
+
+    def run(checkpoint):
+        query = append_log(stream, folder, str(tmp_path / checkpoint))
+        assert query.awaitTermination(60)
+
+    (inbox / "a.json").write_text('{"step": 1, "loss": 2.5}\n{"step": 2, "loss": 2.25}\n')
+    run("ck")
+    (inbox / "b.json").write_text('{"step": 1, "loss": 2.0}\n')
+    run("ck")
+    want = [(1, 2.0, "Step 1 — loss 2.0000"), (2, 2.25, "Step 2 — loss 2.2500")]
+    assert sorted(map(tuple, reports.loss_history(read_log(spark, folder)).collect())) == want and spark.read.parquet(folder).count() == 3
+    # A batch that is tried again replaces itself.
+    import shutil
+
+    last = max((tmp_path / "ck" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()
+    shutil.rmtree(tmp_path / "ck" / "commits" / f".{last.name}.crc", ignore_errors=True)
+    (tmp_path / "ck" / "commits" / f".{last.name}.crc").unlink(missing_ok=True)
+    run("ck")
+    assert spark.read.parquet(folder).count() == 3 and sorted(map(tuple, reports.loss_history(read_log(spark, folder)).collect())) == want
