@@ -58,7 +58,9 @@ def reflowed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def header_footer_lines(spark: SparkSession, d: str) -> DataFrame:
-    pages = _t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), "text")
+    """Conversations as documents with a running head."""
+    head = F.concat(F.lit("Conversation "), F.col("conv_id").cast("string"), F.lit("\n"), "text")
+    pages = _t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), head.alias("text"))
     return cleaning.repeated_lines(pages, min_pages=2, share=0.5)
 
 
@@ -142,8 +144,12 @@ def preset_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def model_sizes(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(50257, 1536, 34, 1024, True), (50257, 1024, 36, 128, False), (1000, 64, 2, 32, True), (256, 2, 1, 4, True)]
-    return pipeline.parameter_count(spark.createDataFrame(rows, "vocab int, n_embd int, n_layer int, block int, tied boolean")).select("n_embd", "n_params", "shown", "bytes_fp32", "bytes_fp16")
+    """Models of four shapes over each language's words as the vocabulary."""
+    words = _t(spark, d, "documents").select("lang", F.explode(F.split("text", " ")).alias("word"))
+    vocab = words.groupBy("lang").agg(F.count_distinct("word").cast("int").alias("vocab"))
+    shapes = [(1536, 34, 1024, True), (1024, 36, 128, False), (64, 2, 32, True), (2, 1, 4, True)]
+    each = F.explode(F.array(*(F.struct(F.lit(e).alias("n_embd"), F.lit(n).alias("n_layer"), F.lit(b).alias("block"), F.lit(t).alias("tied")) for e, n, b, t in shapes)))
+    return pipeline.parameter_count(vocab.select("lang", "vocab", each.alias("s")).select("lang", "vocab", "s.*")).select("lang", "n_embd", "n_params", "shown", "bytes_fp32", "bytes_fp16")
 
 
 def _spiced(spark: SparkSession, d: str) -> DataFrame:
@@ -265,6 +271,14 @@ def corpus_blocks(spark: SparkSession, d: str) -> DataFrame:
     return out.select("pos", F.element_at("x", 1).alias("first"), F.element_at("y", -1).alias("last"), F.aggregate("x", F.lit(0), lambda s, t: s + t).alias("total"))
 
 
+def token_store_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of 128 byte-pair tokens, each 128th, read from a store of the corpus's token stream."""
+    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    block_store.write_tokens(chunking.token_stream(_dealt(spark, d).select("doc_id", "text"), ["doc_id"]), path)
+    places = spark.range(0, block_store.token_total(spark, path), 128).select(F.col("id").alias("pos"))
+    return block_store.read_blocks(places, path, 128).select("pos", F.xxhash64("x").alias("x_hash"), F.xxhash64("y").alias("y_hash"))
+
+
 def corpus_tokens(spark: SparkSession, d: str) -> DataFrame:
     stream = chunking.token_stream(_dealt(spark, d).select("doc_id", "text"), ["doc_id"])
     return stream.select("start", F.size("ids").alias("n"), F.xxhash64("ids").alias("hash"))
@@ -282,7 +296,11 @@ def table_dataset(spark: SparkSession, d: str) -> DataFrame:
 
 
 def source_presets(spark: SparkSession, d: str) -> DataFrame:
-    return readers.presets(spark)
+    """The named sources, each with the rows of its share of the documents, dealt by id."""
+    names = [p[0] for p in readers.PRESETS]
+    share = F.element_at(F.array(*(F.lit(n) for n in names)), (F.col("doc_id") % len(names) + 1).cast("int"))
+    counts = _t(spark, d, "documents").groupBy(share.alias("name")).agg(F.count("*").alias("n_rows"))
+    return readers.presets(spark).join(counts, "name", "left")
 
 
 def loss_curve(spark: SparkSession, d: str) -> DataFrame:
@@ -298,7 +316,7 @@ def checkpoint_names(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     flagship_quality_report, paragraph_scores, exact_duplicates, markup_stripped, web_lines, reflowed, header_footer_lines, corpus_stats, exact_stats, survivors, near_survivors, table_survivors, filter_examples, chunks, corpus_chunks, conversation_documents, token_blocks, training_batches, epoch_batches, stored_blocks, preset_rows, model_sizes,
-    spiced_scores, spiced_reasons, spiced_stats, spiced_examples, character_cleaning, header_footer_cases, headers_removed, paged_documents, paragraph_split, language_scores, languages_found, english_report, document_counts, jsonl_round_trip, table_rows, corpus_blocks, corpus_tokens,
+    spiced_scores, spiced_reasons, spiced_stats, spiced_examples, character_cleaning, header_footer_cases, headers_removed, paged_documents, paragraph_split, language_scores, languages_found, english_report, document_counts, jsonl_round_trip, table_rows, corpus_blocks, corpus_tokens, token_store_blocks,
     token_counts, table_dataset, source_presets, loss_curve, checkpoint_names,
 )}
 
@@ -439,10 +457,10 @@ ORACLES = {
     "markup_stripped": "with x as (select page_id, array_to_string(list_filter(" + _SPLIT.format(_MARK) + r", lambda x: not regexp_matches(x, '(?i)^\s*(?:svg|html|xml)\s*$')), e'\n') t from pages) select page_id, length(t) n_chars, md5(t) text_md5, regexp_matches(t, '</?[a-zA-Z][a-zA-Z0-9:_-]*(?:\s+[^<>]*)?/?>') still_marked from x",
     "web_lines": "select doc_id, length(array_to_string(list_filter(" + _SPLIT.format("text") + r", lambda x: not regexp_matches(x, '(?i)^\s*(?:https?://|www\.)\S+\s*$') and not regexp_matches(x, '(?i)^\s*(?:page\s+)?[-–—]?\s*\d{1,4}\s*(?:of\s*\d{1,4})?\s*[-–—]?\s*$') and not regexp_matches(x, '(?i)^\s*[ivxlcdm]{1,6}\s*$') and not regexp_matches(x, '(?i)^\s*(read more|menu|navigation|sign up|log in)\s*$')), e'\n')) n_chars from documents",
     "reflowed": "with " + _CLEAN.format(key="doc_id", more="", table="documents") + " select doc_id, md5(\"text\") text_md5 from clean",
-    "header_footer_lines": "with l as (select conv_id doc_id, turn, unnest(x) line, generate_subscripts(x, 1) n, len(x) k from (select conv_id, turn, list_filter(list_transform(" + _SPLIT.format("text") + ", lambda x: trim(x)), lambda x: x <> '') x from conversations)), e as (select distinct doc_id, turn, line from l where (n <= 2 or n > k - 2) and not regexp_matches(line, '^[0-9]+$') and length(line) >= 3), p as (select conv_id doc_id, count(*) c from conversations group by 1) select doc_id, line from e join p using (doc_id) where c >= 2 group by doc_id, line, c having count(*) >= greatest(2, floor(c * 0.5))",
+    "header_footer_lines": "with l as (select conv_id doc_id, turn, unnest(x) line, generate_subscripts(x, 1) n, len(x) k from (select conv_id, turn, list_filter(list_transform(" + _SPLIT.format("('Conversation ' || conv_id || e'\\n' || text)") + ", lambda x: trim(x)), lambda x: x <> '') x from conversations)), e as (select distinct doc_id, turn, line from l where (n <= 2 or n > k - 2) and not regexp_matches(line, '^[0-9]+$') and length(line) >= 3), p as (select conv_id doc_id, count(*) c from conversations group by 1) select doc_id, line from e join p using (doc_id) where c >= 2 group by doc_id, line, c having count(*) >= greatest(2, floor(c * 0.5))",
     "filter_examples": _SCORES + ", e as (select *, row_number() over (partition by lang order by doc_id) example_no from r) select lang, example_no::int example_no, substr(\"text\", 1, 400) original, reason = 'kept' keep, reason from e where example_no <= 60",
     "exact_stats": _SCORES + """, k as (select doc_id, "text", row_number() over (partition by regexp_replace(lower("text"), '\\s+', ' ', 'g') order by doc_id) c from r where reason = 'kept')
-select (select sum(length("text")) + 2 * (count(*) - 1) from r)::bigint original_chars, (select count(*) from r) original_paragraphs, 0::bigint removed_non_english, 0::bigint removed_markup, 0::bigint removed_citations,
+select (select sum(length("text")) + 2 * (count(*) - 1) from r)::bigint original_chars, (select count(*) from r) original_paragraphs, (select count(*) from r where reason = 'non_english') removed_non_english, (select count(*) from r where reason = 'markup') removed_markup, (select count(*) from r where reason = 'citation_fragment') removed_citations,
 (select count(*) from r where reason <> 'kept') removed_low_quality, (select sum(length("text")) + 2 * (count(*) - 1) from k where c = 1)::bigint clean_chars, (select count(*) from k where c = 1) remaining_paragraphs,
 (select count(*) from r) - (select count(*) from k where c = 1) removed_paragraphs, (select count(*) from k where c > 1) duplicates_removed""",
     "corpus_chunks": "with recursive " + _CLEAN.format(key="doc_id", more="", table="documents") + ", " + _PACKED + 'select chunk_no::bigint chunk_no, token_count, md5("text") text_md5 from cm',
@@ -451,7 +469,7 @@ select (select sum(length("text")) + 2 * (count(*) - 1) from r)::bigint original
     "epoch_batches": _EPOCHS,
     "stored_blocks": _BLOCKS + ' where "last" is not null and pos % 37 = 0',
     "preset_rows": "select doc_id, md5(t) text_md5 from (select doc_id, " + _STRIP.format("text") + " t from documents) where t <> ''",
-    "model_sizes": "with c(v, n_embd, l, b, tied) as (values (50257::bigint, 1536, 34, 1024, true), (50257, 1024, 36, 128, false), (1000, 64, 2, 32, true), (256, 2, 1, 4, true)), p as (select n_embd, v * n_embd + b * n_embd + l * (12 * n_embd * n_embd::bigint + 13 * n_embd) + 2 * n_embd + case when tied then 0 else v * n_embd end n_params from c) select n_embd, n_params, case when n_params >= 1000000000 then printf('%.2fB', n_params / 1e9) when n_params >= 1000000 then printf('%.2fM', n_params / 1e6) when n_params >= 1000 then printf('%.2fK', n_params / 1e3) else n_params::varchar end shown, 4 * n_params bytes_fp32, 2 * n_params bytes_fp16 from p",
+    "model_sizes": "with s(n_embd, l, b, tied) as (values (1536, 34, 1024, true), (1024, 36, 128, false), (64, 2, 32, true), (2, 1, 4, true)), c as (select lang, count(distinct w)::bigint v, s.* from (select lang, unnest(string_split(text, ' ')) w from documents), s group by all), p as (select lang, n_embd, v * n_embd + b * n_embd + l * (12 * n_embd * n_embd::bigint + 13 * n_embd) + 2 * n_embd + case when tied then 0 else v * n_embd end n_params from c) select lang, n_embd, n_params, case when n_params >= 1000000000 then printf('%.2fB', n_params / 1e9) when n_params >= 1000000 then printf('%.2fM', n_params / 1e6) when n_params >= 1000 then printf('%.2fK', n_params / 1e3) else n_params::varchar end shown, 4 * n_params bytes_fp32, 2 * n_params bytes_fp16 from p",
     "spiced_scores": _SPICED + "select doc_id, kind, round(score, 4) score, reason, english_probability, round(url_density, 4) url_density, round(citation_density, 4) citation_density, has_markup, round(broken, 4) broken_word_ratio from r",
     "spiced_reasons": _SPICED + "select kind, reason, count(*) n, sum(length(\"text\"))::bigint chars from r group by all",
     "spiced_stats": _SPICED + """, k as (select lang, "text", row_number() over (partition by lang, regexp_replace(lower(trim("text", e' \\n\\t')), '\\s+', ' ', 'g') order by doc_id) c from r where reason = 'kept'),
@@ -494,7 +512,7 @@ select doc_id, unnest(range(0, len(l)))::int para_no, md5(unnest(l)) text_md5 fr
     "jsonl_round_trip": "select md5(text) text_md5, count(*) n from documents where text <> '' group by 1",
     "table_rows": """with x as (select doc_id, case when doc_id % 3 > 0 then trim(text, e' \\n\\t') else '' end t from documents order by doc_id limit 400) select doc_id, md5(t) text_md5 from x where t <> ''""",
     "corpus_blocks": _BLOCKS + ' where "last" is not null',
-    "source_presets": "select * from (values " + ", ".join("(" + ", ".join("null" if v is None else f"'{v}'" for v in row) + ")" for row in readers.PRESETS) + ") t(name, repo_id, config_name, split, text_field)",
+    "source_presets": "with c as (select doc_id % 7 i, count(*) n_rows from documents group by 1) select name, repo_id, config_name, split, text_field, n_rows from (select *, row_number() over () - 1 i from (values " + ", ".join("(" + ", ".join("null" if v is None else f"'{v}'" for v in row) + ")" for row in readers.PRESETS) + ") t(name, repo_id, config_name, split, text_field)) left join c using (i)",
     "loss_curve": "with x as (select event_id % 500 step, arg_max(round(value, 3), event_id) loss from events group by 1) select step, loss, printf('Step %d — loss %.4f', step, loss) status from x",
     "checkpoint_names": """with x as (select doc_id, trim(case when doc_id % 7 = 0 then 'default' else regexp_replace(text[:16], '[^\\x20-\\x7e]', '/', 'g') end) n from documents), y as (select doc_id, n, regexp_replace(n, '[^A-Za-z0-9_.-]', '_', 'g') s from x)
 select doc_id, case when n not in ('', 'default') then case when lower(s) like '%.pt' then s else s || '.pt' end end "name" from y""",

@@ -19,6 +19,8 @@ LABELS = (
     ("Duplicates removed", "duplicates_removed", False),
 )
 PREVIEW, TRUNCATED = 5000, "\n\n... (preview truncated, full text saved to the .txt file)"
+FIELDS, NOT_SAVED, FILTERING = ("Pages", "Characters", "Words", "Estimated tokens", "Warnings", "TXT saved to"), "(not saved — no extractable text found)", "\n\n--- Quality filtering ---\n"
+PROCESSED, STATUS, WARNING = "Processed %d of %d file(s):", "  - %s: %s | pages=%d chars=%d words=%d est_tokens=%d", "      warning: "
 SHOWN, ORIGINAL, RULE, NONE = 15, 400, "\n\n---\n\n", "(no paragraphs to show)"
 
 
@@ -52,15 +54,12 @@ def preview(text: Column) -> Column:
 
 def document_report(docs: DataFrame, key: str = "path") -> DataFrame:
     """(key, name, preview, report) of processed documents: counts, warnings, where the text is, and the statistics."""
-    saved = F.when(F.trim("text") != "", F.concat(F.regexp_replace(base_name(F.col(key).cast("string")), r"\.[^.]*$", ""), F.lit(".txt"))).otherwise("(not saved — no extractable text found)")
+    saved = F.when(F.trim("text") != "", F.concat(F.regexp_replace(base_name(F.col(key).cast("string")), r"\.[^.]*$", ""), F.lit(".txt"))).otherwise(NOT_SAVED)
     lines = [
         F.concat(F.lit(f"{label}: "), value)
-        for label, value in (
-            ("Pages", F.col("page_count").cast("string")), ("Characters", F.col("char_count").cast("string")), ("Words", F.col("word_count").cast("string")),
-            ("Estimated tokens", F.col("estimated_tokens").cast("string")), ("Warnings", F.when(F.size("warnings") > 0, F.array_join("warnings", "; ")).otherwise("none")), ("TXT saved to", saved),
-        )
+        for label, value in zip(FIELDS, (*(F.col(c).cast("string") for c in ("page_count", "char_count", "word_count", "estimated_tokens")), F.when(F.size("warnings") > 0, F.array_join("warnings", "; ")).otherwise("none"), saved))
     ]
-    report = F.concat(F.concat_ws("\n", *lines), F.lit("\n\n--- Quality filtering ---\n"), stats_text())
+    report = F.concat(F.concat_ws("\n", *lines), F.lit(FILTERING), stats_text())
     return docs.select(key, base_name(F.col(key).cast("string")).alias("name"), preview(F.col("text")).alias("preview"), report.alias("report"))
 
 
@@ -72,10 +71,10 @@ def named_document(reports: DataFrame, name: str) -> DataFrame:
 def status_lines(docs: DataFrame, errors: DataFrame, key: str = "path") -> DataFrame:
     """(part, name, line_no, line): a count first, then each document's line and warnings, then each failed file's."""
     counts = docs.agg(F.count("*").alias("n")).crossJoin(errors.agg(F.count("*").alias("e")))
-    head = counts.select(F.lit(0).alias("part"), F.lit("").alias("name"), F.lit(0).alias("line_no"), F.format_string("Processed %d of %d file(s):", "n", F.col("n") + F.col("e")).alias("line"))
+    head = counts.select(F.lit(0).alias("part"), F.lit("").alias("name"), F.lit(0).alias("line_no"), F.format_string(PROCESSED, "n", F.col("n") + F.col("e")).alias("line"))
     name = base_name(F.col(key).cast("string"))
-    said = F.format_string("  - %s: %s | pages=%d chars=%d words=%d est_tokens=%d", name, F.when(F.trim("text") != "", "OK").otherwise("NO EXTRACTABLE TEXT"), "page_count", "char_count", "word_count", "estimated_tokens")
-    warned = F.transform("warnings", lambda w: F.concat(F.lit("      warning: "), w))
+    said = F.format_string(STATUS, name, F.when(F.trim("text") != "", "OK").otherwise("NO EXTRACTABLE TEXT"), "page_count", "char_count", "word_count", "estimated_tokens")
+    warned = F.transform("warnings", lambda w: F.concat(F.lit(WARNING), w))
     each = docs.select(F.lit(1).alias("part"), name.alias("name"), F.posexplode_outer(F.concat(F.array(said), warned)).alias("line_no", "line"))
     failed = errors.select(F.lit(2).alias("part"), name.alias("name"), F.lit(0).alias("line_no"), F.concat(F.lit("  - "), name, F.lit(": "), "error").alias("line"))
     return head.unionByName(each).unionByName(failed)

@@ -20,7 +20,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: computed once however often it is read, and lost with no executor."""
+    """``df`` as a table in the shared folder: computed once however often it is read, and lost with no executor.
+
+    It goes when the application ends.
+    """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    context = df.sparkSession.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
     df.write.parquet(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(where)
     return df.sparkSession.read.schema(df.schema).parquet(path)
