@@ -97,6 +97,24 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk(cleaning.clean_text(_dealt(spark, d).select("doc_id", "text")), "doc_id", 512, 50, 64)
 
 
+def word_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """``chunks`` counted in words."""
+    docs = cleaning.clean_text(_dealt(spark, d).select("doc_id", "text"))
+    return chunking.chunk(docs, "doc_id", 512, 50, 64, chunking.WhitespaceTokens).select("doc_id", "chunk_no", F.col("token_count").cast("long").alias("token_count"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def table_stats(spark: SparkSession, d: str) -> DataFrame:
+    """``corpus_stats`` by a hash that SQL has too."""
+    return quality.stats(*pipeline.process_table(_dealt(spark, d), "doc_id", {"digest": "md5"}), [])
+
+
+def table_words(spark: SparkSession, d: str) -> DataFrame:
+    """``table_dataset`` counted in words, by a hash that SQL has too."""
+    folder = f"{shared_folder(spark)}/dataset-{uuid.uuid4().hex}"
+    out = pipeline.table_to_dataset(_dealt(spark, d), "doc_id", folder, "documents", max_rows=None, rules={"digest": "md5"}, make_coder=chunking.WhitespaceTokens)
+    return out.select("example_count", "total_estimated_tokens", *pipeline.STATS)
+
+
 def corpus_chunks(spark: SparkSession, d: str) -> DataFrame:
     """All documents, cleaned, as one text in chunks, counted in words."""
     docs = cleaning.clean_text(_dealt(spark, d).select("doc_id", "text"))
@@ -315,7 +333,7 @@ def checkpoint_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    flagship_quality_report, paragraph_scores, exact_duplicates, markup_stripped, web_lines, reflowed, header_footer_lines, corpus_stats, exact_stats, survivors, near_survivors, table_survivors, filter_examples, chunks, corpus_chunks, conversation_documents, token_blocks, training_batches, epoch_batches, stored_blocks, preset_rows, model_sizes,
+    flagship_quality_report, paragraph_scores, exact_duplicates, markup_stripped, web_lines, reflowed, header_footer_lines, corpus_stats, exact_stats, survivors, near_survivors, table_survivors, filter_examples, chunks, word_chunks, table_stats, table_words, corpus_chunks, conversation_documents, token_blocks, training_batches, epoch_batches, stored_blocks, preset_rows, model_sizes,
     spiced_scores, spiced_reasons, spiced_stats, spiced_examples, character_cleaning, header_footer_cases, headers_removed, paged_documents, paragraph_split, language_scores, languages_found, english_report, document_counts, jsonl_round_trip, table_rows, corpus_blocks, corpus_tokens, token_store_blocks,
     token_counts, table_dataset, source_presets, loss_curve, checkpoint_names,
 )}
@@ -388,21 +406,23 @@ _PAGED = "pg as (select doc_id // 5 doc_id, (doc_id % 5)::int page_no, 'RUNNING
 _MARK = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<svg\b[^>]*>.*?</svg>', ' ', 'g'), '(?i)<\?xml[^>]*\?>', ' ', 'g'), '</?[a-zA-Z][a-zA-Z0-9:_-]*(?:\s+[^<>]*)?/?>', ' ', 'g'), '&(?:amp|lt|gt|quot|apos|nbsp|#\d+|#x[0-9a-fA-F]+);', ' ', 'g')"
 _SPLIT = r"regexp_split_to_array({0}, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]')"
 
-#: Chunks of 512 words of clean (doc_id, text) as one text: long documents by sentences, then by words, and the path from each opening part to the next.
-_PACKED = r"""w as materialized (select doc_id, "text", """ + _WORDS.format('"text"') + r""" ws from clean),
-se as (select doc_id, unnest(l) t, generate_subscripts(l, 1) k from (select doc_id, string_split(regexp_replace("text", '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) l from w where len(ws) > 512)),
-sn as materialized (select *, len(""" + _WORDS.format("t") + r""") n from se),
+def _packed(source: str, each: str = "") -> str:
+    """Chunks of 512 words of (doc_id, text), as one text or for ``each`` key: long documents by sentences, then by words, and the path from each opening part to the next."""
+    by, and_, own = (f"partition by {each} ", f" and {{0}}.{each} = {{1}}.{each}".format, f"{each}, ") if each else ("", lambda *_: "", "")
+    return r"""kw as materialized (select doc_id, "text", """ + _WORDS.format('"text"') + rf""" ws from {source}),
+se as (select doc_id, unnest(l) t, generate_subscripts(l, 1) k from (select doc_id, string_split(regexp_replace("text", '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) l from kw where len(ws) > 512)),
+sn as materialized (select *, len({_WORDS.format("t")}) n from se),
 pk as (select doc_id, k, n held, 0 piece from sn where k = 1 union all
   select sn.doc_id, sn.k, case when held + n > 512 then n else held + n end, case when held + n > 512 then piece + 1 else piece end from pk join sn on sn.doc_id = pk.doc_id and sn.k = pk.k + 1),
 pc as (select doc_id, piece, string_agg(t, ' ' order by k) "text" from pk join sn using (doc_id, k) group by all),
-pw as (select doc_id, piece, "text", """ + _WORDS.format('"text"') + r""" ws from pc union all select doc_id, 0, "text", ws from w where len(ws) between 1 and 512),
+pw as (select doc_id, piece, "text", {_WORDS.format('"text"')} ws from pc union all select doc_id, 0, "text", ws from kw where len(ws) between 1 and 512),
 ps as (select doc_id, piece, case when len(ws) > 512 then array_to_string(ws[i + 1:i + 512], ' ') else "text" end t, i, least(len(ws) - i, 512) n from pw, unnest(range(0, len(ws), 512)) u(i)),
-pn as (select t, n, row_number() over (order by doc_id, piece, i) - 1 no, sum(n) over (order by doc_id, piece, i) - n at0 from ps),
-pt as materialized (select no, n, t, at0, at0 + n e, min(no) over (order by at0 range between 50 preceding and current row) w from pn),
-px as materialized (select a.no, a.w, greatest(q.no, a.no) + 1 nx from (select x.no, x.w, y.at0 + 512 lim from pt x join pt y on y.no = x.w) a asof join pt q on a.lim >= q.e),
-ch as (select 0 c, no, w, nx from px where no = 0 union all select c + 1, px.no, px.w, px.nx from ch join px on px.no = ch.nx),
-ct as (select c, string_agg(t, e'\n\n' order by pt.no) t, sum(n) n from ch join pt on pt.no >= ch.w and pt.no < ch.nx group by c),
-cm as (select case when c = (select max(c) from ct) and n < 64 and c > 0 then c - 1 else c end chunk_no, string_agg(t, e'\n\n' order by c) "text", sum(n)::bigint token_count from ct group by 1)
+pn as (select doc_id, t, n, row_number() over ({by}order by doc_id, piece, i) - 1 no, sum(n) over ({by}order by doc_id, piece, i) - n at0 from ps),
+pt as materialized (select doc_id, no, n, t, at0, at0 + n e, min(no) over ({by}order by at0 range between 50 preceding and current row) w from pn),
+px as materialized (select a.doc_id, a.no, a.w, greatest(q.no, a.no) + 1 nx from (select x.doc_id, x.no, x.w, y.at0 + 512 lim from pt x join pt y on y.no = x.w{and_("x", "y")}) a asof join pt q on a.lim >= q.e{and_("a", "q")}),
+ch as (select 0 c, doc_id, no, w, nx from px where no = 0 union all select c + 1, px.doc_id, px.no, px.w, px.nx from ch join px on px.no = ch.nx{and_("px", "ch")}),
+ct as (select {own.replace("doc_id", "pt.doc_id")}c, string_agg(t, e'\n\n' order by pt.no) t, sum(n) n from ch join pt on pt.no >= ch.w and pt.no < ch.nx{and_("pt", "ch")} group by all),
+cm as (select {own}case when c = most and n < 64 and c > 0 then c - 1 else c end chunk_no, string_agg(t, e'\n\n' order by c) "text", sum(n)::bigint token_count from (select *, max(c) over ({by.strip()}) most from ct) group by all)
 """
 
 _BLOCKS = """with t as (select doc_id, generate_subscripts(l, 1) i, unnest(l) tok from (select doc_id, list_transform(string_split(text, ' '), lambda x: length(x)) l from documents)),
@@ -450,6 +470,20 @@ lp as (select doc_id, sum(case when lang = 'en' then exp(s - m) else 0 end) / su
 """
 
 
+#: What is kept of documents that are a paragraph each, without exact and then near duplicates.
+_SURVIVORS = (
+    _SCORES
+    + r""", x as (select doc_id, "text", score, row_number() over (partition by regexp_replace(lower("text"), '\s+', ' ', 'g') order by doc_id) c from r where reason = 'kept'),
+k0 as (select doc_id, "text" from x where c = 1), """
+    + _NEAR
+    + """, kept as (select doc_id, "text", score from x where doc_id in (select min(doc_id) from k where fp in (select unnest(l) from r3) group by fp))
+"""
+)
+_COUNTED = """, z as (select (select sum(length("text")) + 2 * (count(*) - 1) from r)::bigint original_chars, (select count(*) from r) original_paragraphs, (select count(*) from r where reason = 'non_english') removed_non_english,
+  (select count(*) from r where reason = 'markup') removed_markup, (select count(*) from r where reason = 'citation_fragment') removed_citations, (select count(*) from r where reason in ('unusual_characters', 'low_quality')) removed_low_quality,
+  (select sum(length("text")) + 2 * (count(*) - 1) from kept)::bigint clean_chars, (select count(*) from kept) remaining_paragraphs, (select count(*) from r) - (select count(*) from kept) removed_paragraphs, (select count(*) from r where reason = 'kept') - (select count(*) from kept) duplicates_removed)
+"""
+
 ORACLES = {
     "flagship_quality_report": _SCORES + "select lang, reason, count(*) n, sum(length(\"text\"))::bigint chars from r group by all",
     "paragraph_scores": _SCORES + "select doc_id, round(score, 4) score, round(alphabetic_ratio, 3) alphabetic_ratio, round(repeated_token_ratio, 3) repeated_token_ratio, round(stopword_ratio, 3) stopword_ratio, reason from r",
@@ -463,7 +497,10 @@ ORACLES = {
 select (select sum(length("text")) + 2 * (count(*) - 1) from r)::bigint original_chars, (select count(*) from r) original_paragraphs, (select count(*) from r where reason = 'non_english') removed_non_english, (select count(*) from r where reason = 'markup') removed_markup, (select count(*) from r where reason = 'citation_fragment') removed_citations,
 (select count(*) from r where reason <> 'kept') removed_low_quality, (select sum(length("text")) + 2 * (count(*) - 1) from k where c = 1)::bigint clean_chars, (select count(*) from k where c = 1) remaining_paragraphs,
 (select count(*) from r) - (select count(*) from k where c = 1) removed_paragraphs, (select count(*) from k where c > 1) duplicates_removed""",
-    "corpus_chunks": "with recursive " + _CLEAN.format(key="doc_id", more="", table="documents") + ", " + _PACKED + 'select chunk_no::bigint chunk_no, token_count, md5("text") text_md5 from cm',
+    "corpus_chunks": "with recursive " + _CLEAN.format(key="doc_id", more="", table="documents") + ", " + _packed("clean") + 'select chunk_no::bigint chunk_no, token_count, md5("text") text_md5 from cm',
+    "word_chunks": "with recursive " + _CLEAN.format(key="doc_id", more="", table="documents") + ", " + _packed("clean", "doc_id") + 'select doc_id, chunk_no::int chunk_no, token_count, md5("text") text_md5 from cm',
+    "table_stats": _SURVIVORS + _COUNTED + "select z.* from z",
+    "table_words": _SURVIVORS.replace("with ", "with recursive ", 1) + _COUNTED.rstrip() + ", " + _packed("kept") + "select count(*) example_count, sum(token_count)::bigint total_estimated_tokens, " + ", ".join(f"any_value({c}) {c}" for c in pipeline.STATS) + " from cm, z",
     "token_blocks": "with w as (select item_id, string_split(text, ' ') w from benchmark), p as (select item_id, w, unnest(range(0, greatest(len(w) - 8, 0))) pos from w) select item_id, pos::int pos, array_to_string(w[pos + 1:pos + 8], ' ') x, array_to_string(w[pos + 2:pos + 9], ' ') y from p",
     "training_batches": "select unnest(range(0, count(*) // 32)) batch_no, 32::bigint n from documents",
     "epoch_batches": _EPOCHS,
@@ -492,8 +529,7 @@ select doc_id, line from e join c using (doc_id) where c >= 4 group by doc_id, l
     "headers_removed": "with " + _PAGED + """, c as (select doc_id, count(*) c from pg group by 1)
 select doc_id, page_no, md5(array_to_string(list_filter(string_split("text", e'\\n'), lambda x: c < 4 or trim(x) not in ('RUNNING HEAD ' || doc_id, 'running foot')), e'\\n')) text_md5, 2 n_removed from pg join c using (doc_id)""",
     "near_survivors": "with k0 as (select doc_id, text from documents), " + _NEAR + " select min(doc_id) doc_id from k where fp in (select unnest(l) from r3) group by fp",
-    "table_survivors": _SCORES + r""", x as (select doc_id, "text", score, row_number() over (partition by regexp_replace(lower("text"), '\s+', ' ', 'g') order by doc_id) c from r where reason = 'kept'),
-k0 as (select doc_id, "text" from x where c = 1), """ + _NEAR + " select doc_id, 0 para_no, round(score, 4) score from x where doc_id in (select min(doc_id) from k where fp in (select unnest(l) from r3) group by fp)",
+    "table_survivors": _SURVIVORS + "select doc_id, 0 para_no, round(score, 4) score from kept",
     "paged_documents": "with " + _PAGED + r""", l as (select doc_id, page_no, list_filter(list_transform(string_split("text", e'\n'), lambda x: trim(x)), lambda x: x <> '' and x not in ('RUNNING HEAD ' || doc_id, 'running foot')
   and not regexp_matches(x, '(?i)^\s*(?:page\s+)?[-–—]?\s*\d{1,4}\s*(?:of\s*\d{1,4})?\s*[-–—]?\s*$') and not regexp_matches(x, '(?i)^\s*[ivxlcdm]{1,6}\s*$') and not regexp_matches(x, '(?i)^\s*(?:https?://|www\.)\S+\s*$') and not regexp_matches(x, '(?i)^\s*(read more|menu|navigation|sign up|log in)\s*$')) l from pg),
 b as (select doc_id, page_no, regexp_replace(array_to_string(l, ' '), '[ \t]+', ' ', 'g') t from l)
