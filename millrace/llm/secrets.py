@@ -8,6 +8,10 @@ character.  Walks, sequences and repeats are parts of three characters and more
 stretches; of stretches longer than RUN the parts at their start or end.  Dynamic
 programming over the end positions finds the least sum.  A value that takes at least ``least`` digits of guesses is reported as a secret.
 
+Values that are addresses, calls, references or a few plain words are none, whatever they
+cost.  Tokens of known issuers are costed without a name beside them, and blocks of
+private keys count as they are.
+
 The dictionary is the most common passwords, then the whole words of a public
 vocabulary file by their ids; the file's name is a parameter.
 """
@@ -35,15 +39,21 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 # A run of 32 and more is the same as a maximal run that is long enough.
 _HEX = re.compile(r"[0-9a-f]{32,}")
 #: What names a credential.
-_NAME = r"(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|secret[_-]?key|auth(?:orization)?|credentials?|login)"
+_NAME = r"(?:pass(?:word|wort|wd|phrase|code)?|kennwort|mot[\x20_]de[\x20_]passe|contrase(?:ñ|n)a|clave|pwd|pin|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|secret[_-]?key|auth(?:orization)?|credentials?|login)"
 _VALUE = r"""["']?([^\s"'<>,;]{6,})"""
 #: Such a name, alone or as a part of a longer one set off by a sign, before a value; wider than the base pattern.
 _CONTEXT = re.compile(
     rf"""(?ai:(?<![a-z0-9_.-])(?:[a-z0-9.-]{{0,40}}[_.-])?{_NAME}(?:[_.-][a-z0-9_.-]{{0,40}})?)["']?[\x20\t]*(?:=>|[:=])[\x20\t]*(?:(?ai:bearer|basic|token)[\x20\t]+)?{_VALUE}"""
     rf"""|(?ai:(?<![a-z])bearer)[\x20\t]+{_VALUE}"""
 )
+#: Values that show what they are without a name: tokens of known issuers, and blocks of private keys.
+_BARE = re.compile(r"(?<![A-Za-z0-9_-])((?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk-|npm_|hf_)[A-Za-z0-9_-]{16,})|-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----(?:[^-]|-(?!----END))*+(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----)?")
 #: A superset of all of these for the JVM: other texts never go to Python.
-_HINT = r"(?i)(pass|pwd|pin|secret|token|key|auth|credential|login)[a-z0-9_.-]*[\"']?[ \t]*[:=]|bearer[ \t]|AKIA[A-Z0-9]{12}|[0-9a-f]{32}"
+_HINT = r"(?i)(pass|pwd|pin|secret|token|key|auth|credential|login|kennwort|contrase.a|clave)[a-z0-9_.-]*[\"']?[ \t]*[:=]|bearer[ \t]|AKIA[A-Z0-9]{12}|[0-9a-f]{32}|-----BEGIN |(gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk-|npm_|hf_)[a-z0-9_-]{16}"
+#: Values that are something else: addresses, calls and references, markers.
+_OTHER = re.compile(r"(?ai:[a-z][a-z0-9+.-]*://.*|[^@\s]+@[a-z0-9-]+(?:\.[a-z0-9-]+)+\.?|[$%]?[({]+[^(){}]*[)}]*|[a-z_][\w.]*[(\[].*|-----begin.*)", re.S)
+#: Words that an identifier is made of at most; more may be a passphrase.
+_NAMED = 3
 
 #: The vocabulary file whose words follow the passwords, and the longest stretch of which every part counts.
 WORDS, RUN = "word_bpe_49k.json", 64
@@ -163,6 +173,19 @@ def guess_cost(value: str, path: str = WORDS) -> float:
     return best[-1]
 
 
+def _wordlike(part: str, ranks: dict[str, int]) -> bool:
+    """Whether letters are a word, short, or made of words for the most part."""
+    return part in ranks or part.isalpha() and (len(part) <= 2 or part.removesuffix("s") in ranks or guess_cost(part) <= 0.7 * len(part))
+
+
+def _plain(value: str, most: int = _NAMED, path: str = WORDS) -> bool:
+    """Whether a value is an address, a call, a reference, or up to ``most`` words joined by signs."""
+    if _OTHER.fullmatch(value):
+        return True
+    parts, ranks = re.split(r"[_.:/-]+", value.strip("_.:/-").lower()), dictionary(path)[0]
+    return len(parts) <= most and all(_wordlike(p, ranks) for p in parts)
+
+
 def find(text: str, least: float = LEAST) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points: base ones, then values whose guesses are many and that no base span covers whole."""
     out = [("assign", *m.span()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 8]
@@ -171,7 +194,11 @@ def find(text: str, least: float = LEAST) -> list[tuple[str, int, int]]:
     base = list(out)
     for m in _CONTEXT.finditer(text):
         s, e = m.span(1) if m[1] is not None else m.span(2)
-        if not any(a <= s and e <= b for _, a, b in base) and guess_cost(text[s:e]) >= least:
+        if not any(a <= s and e <= b for _, a, b in base) and not _plain(text[s:e]) and guess_cost(text[s:e]) >= least:
+            out.append(("guess", s, e))
+    for m in _BARE.finditer(text):
+        s, e = m.span()
+        if not any(a <= s and e <= b for _, a, b in out) and (m[1] is None or guess_cost(m[1]) >= least and not _plain(m[1], len(m[1]))):
             out.append(("guess", s, e))
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
