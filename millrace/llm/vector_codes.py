@@ -2,9 +2,10 @@
 
 A part's nearest entry is searched coarse to fine.  For a block of L components with
 sums s and t, and residual norms p and q about their means, the squared distance is
-(s - t)^2 / L + (p - q)^2 at least.  The bound over one block of the whole part keeps the
-entries that may be as near as the best found so far, that over four blocks keeps fewer,
-and what is left gets its exact distance in whole numbers, so no rounding decides.
+(s - t)^2 / L + (p - q)^2 at least, the distance of two points, so a matrix product bounds
+all entries.  The bound over one block of the whole part keeps the entries that may be as
+near as the best found so far, those over four and eight blocks keep fewer, and what is left gets
+its exact distance in whole numbers, so no rounding decides.
 
 Each round reads the vectors once and shuffles sums: one row a task for each entry that
 it uses, at most 4 x ENTRIES.  The codebooks alone come to the driver.
@@ -25,7 +26,7 @@ from .store import cut, only
 #: Parts of a vector, entries of a codebook, rounds, and what components are multiplied by.
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 #: Blocks of a part, coarse to fine, whose bounds filter entries.
-BLOCKS = (1, 4)
+BLOCKS = (1, 4, 8)
 #: Vectors that are searched at once.
 ROWS = 1024
 
@@ -48,33 +49,29 @@ def _whole(vectors: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return fit[good], np.clip(x[good], -top, top).astype(np.int64)
 
 
-def _bounds(x: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's block sums over the root of the block's length, and residual norms."""
-    b = np.array_split(x.astype(np.float64), blocks, axis=-1)
-    mean = [p.mean(axis=-1, keepdims=True) for p in b]
-    norms = [np.sqrt(((p - m) ** 2).sum(axis=-1)) for p, m in zip(b, mean)]
-    return np.stack([m[..., 0] * p.shape[-1] ** 0.5 for p, m in zip(b, mean)], -1), np.stack(norms, -1)
+def _points(x: np.ndarray, blocks: int) -> np.ndarray:
+    """Each row's block sums over the root of the block's length, then its residual norms: their distances bound the rows' from below."""
+    b = np.array_split(x.astype(np.float64), min(blocks, x.shape[1]), axis=1)
+    mean = [p.mean(axis=1, keepdims=True) for p in b]
+    return np.concatenate([m * p.shape[1] ** 0.5 for p, m in zip(b, mean)] + [np.sqrt(((p - m) ** 2).sum(axis=1, keepdims=True)) for p, m in zip(b, mean)], axis=1)
 
 
 def nearest(x: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index, squared distance) of each row's nearest entry; of equal ones the lower index."""
     index, least = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
-    levels = [(n, *_bounds(book, min(n, book.shape[1]))) for n in BLOCKS]
+    levels = [(n, p := _points(book, n), (p * p).sum(axis=1)) for n in BLOCKS]
     # Bounds are rounded sums of squares of numbers up to this size.
     slack = 1e-12 * book.shape[1] * (float(np.abs(book).max(initial=0)) + float(np.abs(x).max(initial=0)) + 1) ** 2
     for lo in range(0, len(x), ROWS):
         some = x[lo : lo + ROWS]
-        n, means, norms = levels[0]
-        m, r = _bounds(some, n)
-        low = (m - means.T) ** 2 + (r - norms.T) ** 2
-        guess = low.argmin(axis=1)
-        top = ((some - book[guess]) ** 2).sum(axis=1)
-        row, entry = np.nonzero(low <= (top + slack)[:, None])
-        for n, means, norms in levels[1:]:
-            m, r = _bounds(some, min(n, book.shape[1]))
-            low = ((m[row] - means[entry]) ** 2 + (r[row] - norms[entry]) ** 2).sum(axis=1)
-            kept = low <= top[row] + slack
-            row, entry = row[kept], entry[kept]
+        top, left = np.full(len(some), np.iinfo(np.int64).max), np.ones((len(some), len(book)), bool)
+        for n, points, squares in levels:
+            own = _points(some, n)
+            low = (own * own).sum(axis=1)[:, None] + squares - 2 * (own @ points.T)
+            guess = np.where(left, low, np.inf).argmin(axis=1)
+            top = np.minimum(top, ((some - book[guess]) ** 2).sum(axis=1))
+            left &= low <= (top + slack)[:, None]
+        row, entry = np.nonzero(left)
         exact = np.full((len(some), len(book)), np.iinfo(np.int64).max)
         exact[row, entry] = ((some[row] - book[entry]) ** 2).sum(axis=1)
         index[lo : lo + ROWS] = best = exact.argmin(axis=1)
@@ -93,7 +90,8 @@ def _summed(books: np.ndarray, width: int):
             for p in range(parts):
                 own = x[:, p * wide : (p + 1) * wide]
                 index, _ = nearest(own, books[p])
-                np.add.at(sums[p], index, own)
+                # Whole numbers in doubles: a batch's sums stay far below 2^53.
+                sums[p] += np.stack([np.bincount(index, c, entries) for c in own.T], 1).astype(np.int64)
                 n[p] += np.bincount(index, minlength=entries)
         part, entry = np.nonzero(n)
         columns = [pa.array(part, pa.int32()), pa.array(entry, pa.int32()), pa.array(n[part, entry]), pa.array(list(sums[part, entry]), pa.list_(pa.int64()))]
