@@ -79,30 +79,31 @@ def _pairs(nodes: DataFrame, scope: list[str], threshold: int) -> DataFrame:
     return near.select(F.struct(*scope, "_a").alias("a"), F.struct(*scope, F.col("_b").alias("_a")).alias("b"), bands.alias("bands")).distinct()
 
 
-def _without(pairs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Pairs of which neither is gone."""
-    return pairs.join(gone.select(F.col("node").alias("a")), "a", "left_anti").join(gone.select(F.col("node").alias("b")), "b", "left_anti").select("a", "b", "bands")
+def _first_of(bands: Column) -> Column:
+    """The lowest band of a set of them; null for none."""
+    return F.coalesce(*(F.when(bands.bitwiseAND(1 << k) != 0, k) for k in range(4)))
 
 
-def _first_come(pairs: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """(tables of nodes that go, pairs of which neither goes): band by band, whoever is near an earlier one that stays goes.
+def _settled(pairs: DataFrame) -> list[DataFrame]:
+    """Tables (node) of what goes: in the first band in which an earlier neighbour is there that this band doesn't remove either.
 
-    A band is settled in rounds: nodes that nobody left precedes stay, their neighbours
-    go, and so on among the rest.  There are as many rounds as links in the longest chain
-    of which each precedes the next, at most.
+    With R(a) the band that removes a, 4 if none does, R(b) is the least band k that b
+    shares with an earlier a of which R(a) > k.  So all bands are settled together, in
+    rounds: a node is known once its earlier neighbours are, or once no unknown one
+    shares a lower band.  There are as many rounds as pairs in the longest chain in which
+    each waits for the one before, at most; each reads the pairs that are left.
     """
+    later = pairs.groupBy(F.col("b").alias("a")).agg(F.count("*").alias("waits"))
+    left = stored(pairs.join(later, "a", "left").select("a", "b", "bands", F.when(F.col("waits").isNull(), 4).alias("r")), "pairs")
     out = []
-    for k in range(4):
-        left = pairs.where(F.col("bands").bitwiseAND(1 << k) != 0)
-        while not left.isEmpty():
-            heads = left.select("a").distinct().join(left.select(F.col("b").alias("a")), "a", "left_anti")
-            gone = stored(left.join(heads, "a", "left_semi").select(F.col("b").alias("node")).distinct(), "near")
-            out.append(gone)
-            left = stored(_without(left, gone), "pairs")
-            pairs = _without(pairs, gone)
-        if out:
-            pairs = stored(pairs, "pairs")
-    return out, pairs
+    while not left.isEmpty():
+        hit = F.when(F.col("r").isNotNull(), _first_of(F.col("bands").bitwiseAND(F.call_function("shiftleft", F.lit(1), F.col("r")) - 1)))
+        found = left.groupBy("b").agg(F.min(hit).alias("hit"), F.min(F.when(F.col("r").isNull(), _first_of(F.col("bands")))).alias("wait"))
+        known = stored(found.where("wait is null or hit <= wait").select(F.col("b").alias("node"), F.coalesce("hit", F.lit(4)).alias("own")), "settled")
+        out.append(known.where("own < 4").select("node"))
+        rest = left.join(known.select(F.col("node").alias("b")), "b", "left_anti").join(known.select(F.col("node").alias("a"), "own"), "a", "left")
+        left = stored(rest.select("a", "b", "bands", F.coalesce("r", "own").alias("r")), "pairs")
+    return out
 
 
 def near_dedup(df: DataFrame, scope: list[str], order: list[str] | str = "para_no", threshold: int = 3, column: str = "text", broadcast_rows: int = 1_000_000, digest: str = "blake2b") -> DataFrame:
@@ -110,7 +111,7 @@ def near_dedup(df: DataFrame, scope: list[str], order: list[str] | str = "para_n
 
     Texts are read once for their fingerprints; of equal ones the first by ``order``, which
     names a row, is compared.  What is within the bits is found once, by equal halves of
-    the fingerprint's blocks, and only such pairs are followed band by band.  What goes is
+    the fingerprint's blocks, and only such pairs are settled.  What goes is
     broadcast up to so many rows, and joined by a shuffle beyond.
     """
     if not 1 <= threshold <= 3:
@@ -119,7 +120,7 @@ def near_dedup(df: DataFrame, scope: list[str], order: list[str] | str = "para_n
     names = [*scope, *(c for c in order if c not in scope)]
     prints = stored(df.select(*names, simhash(F.col(column), digest).alias("_fp")), "fingerprints")
     nodes = stored(prints.groupBy(*scope, "_fp").agg(F.min(F.struct(*order)).alias("_o"), F.count("*").alias("_n")), "nodes")
-    removed, _ = _first_come(stored(_pairs(nodes, scope, threshold), "pairs"))
+    removed = _settled(stored(_pairs(nodes, scope, threshold), "pairs"))
     # Later rows of a fingerprint go, and all rows of one that goes.
     later = nodes.where("_n > 1").select(*scope, "_fp", "_o")
     for some in removed:
