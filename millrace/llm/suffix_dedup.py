@@ -93,8 +93,8 @@ def stretches(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[tup
         yield max(at - 1, 0), part, np.array([0, len(part)])
 
 
-def anchored(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(document, first string, strings, anchor) of all contexts: documents by index, places in ``data``."""
+def anchored(data: np.ndarray, offsets: np.ndarray, width: int, gram: int, once: bool = False) -> tuple[np.ndarray, ...]:
+    """(document, first string, strings, anchor) of all contexts: documents by index, places in ``data``; ``once`` keeps the first string alone of a run of one byte."""
     none = np.zeros(0, np.int64)
     if len(data) < width:
         return none, none, none, none
@@ -108,7 +108,7 @@ def anchored(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tu
     at = (_least(key, width - gram + 1) & U64(0xFFFFFFFF)).astype(np.int64)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(at)]
     first = np.arange(len(at)) + width <= offsets[1:][doc]
-    for begin, end in zip(*runs_of_one(data, offsets, width)):
+    for begin, end in zip(*runs_of_one(data, offsets, width)) if once else ():
         first[begin + 1 : end - width + 1] = False
     inside = np.flatnonzero(first)
     at, doc = at[inside], doc[inside]
@@ -252,7 +252,7 @@ def _scan(width: int, gram: int, buckets: int, splitters: np.ndarray, hot: np.nd
             ids = K.int_column(rows, "doc_id")
             for a, z, data, offsets in K.slices(rows):
                 for base, part, edges in stretches(data, offsets, width):
-                    doc, at, count, anchor = anchored(part, edges, width, gram)
+                    doc, at, count, anchor = anchored(part, edges, width, gram, once=True)
                     for k in range(0, len(doc), HELD):  # one text may have very many
                         d, p, n, where = (x[k : k + HELD] for x in (doc, at, count, anchor))
                         held.append((ids[a:z][d], base + p - edges[d], n, where - p, part[K.ragged(p, n + width - 1)]))
@@ -361,7 +361,7 @@ def splitters_of(docs: DataFrame, width: int, gram: int, buckets: int, hot: floa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for _, data, offsets in (s for _, _, *whole in K.slices(rows) for s in stretches(*whole, width)):
-                doc, _, _, anchor = anchored(data, offsets, width, gram)
+                doc, _, _, anchor = anchored(data, offsets, width, gram, once=True)
                 size = np.bincount(doc, minlength=len(offsets) - 1)
                 took = np.minimum(size, ANCHORS)
                 pick = np.repeat(np.cumsum(size) - size, took) + K.ragged(np.zeros(len(size), np.int64), took) * np.repeat(size, took) // np.maximum(np.repeat(took, took), 1)
