@@ -54,7 +54,7 @@ def web_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reflowed(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "documents").select("doc_id", F.md5(T.collapse(T.reflow(T.dehyphenate(T.drop_garbage(F.col("text"))))).cast("binary")).alias("text_md5"))
+    return _dealt(spark, d).select("doc_id", F.md5(T.collapse(T.reflow(T.dehyphenate(T.drop_garbage(F.col("text"))))).cast("binary")).alias("text_md5"))
 
 
 def header_footer_lines(spark: SparkSession, d: str) -> DataFrame:
