@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tokens import VOCABULARY, BytePairTokens, tokenizer
+from ..functions.tokens import VOCABULARY, BytePairTokens, sliced, tokenizer
 from ..storage import stored
 
 # Fixed value: where sentences end.
@@ -159,9 +159,9 @@ def _coded(path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, number, white = tokenizer(path), TaskContext.get().partitionId(), 0, None
-        for batch in batches:
+        for some in (s for batch in batches for s in sliced(batch.column(0).to_pylist())):
             heads, rest = [], []
-            for text in batch.column(0).to_pylist():
+            for text in some:
                 core = text.rstrip(WHITE)
                 white = (white or "") + "\n"
                 if core:
@@ -184,7 +184,7 @@ def _heads(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokenizer(path)
         for batch in batches:
-            ids = [e.ids for e in coder.encode_batch_fast(batch.column(2).to_pylist(), add_special_tokens=False)]
+            ids = [e.ids for some in sliced(batch.column(2).to_pylist()) for e in coder.encode_batch_fast(some, add_special_tokens=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, _IDS)], ["part", "number", "n", "ids"])
 
     return run

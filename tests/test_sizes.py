@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from millrace.functions import tokens
 from millrace.operators import near_dedup
 
 
@@ -15,3 +16,22 @@ def test_keys_of_near_pairs_are_not_broadcast(spark):
     pairs = near_dedup._pairs(nodes, [], 3)
     assert "Broadcast" not in _plan(pairs)
     assert [(r["a"]["_a"], r["b"]["_a"]) for r in pairs.collect()] == [(1, 3)]
+
+
+class Recorded:
+    """A coder that notes how many characters it is given at once."""
+
+    def __init__(self):
+        self.most = 0
+
+    def encode_batch_fast(self, texts, add_special_tokens=False):
+        self.most = max(self.most, sum(map(len, texts)))
+        return [type("E", (), {"ids": t.split()}) for t in texts]
+
+
+def test_few_characters_are_encoded_at_once():
+    coder, texts = tokens.BytePairTokens.__new__(tokens.BytePairTokens), ["a b " * 1000] * 300 + [""] + ["c " * tokens.PIECE]
+    coder.coder = Recorded()
+    assert coder.counts(texts) == [2000] * 300 + [0, tokens.PIECE]
+    assert coder.coder.most == 2 * tokens.PIECE  # the one longer text, alone
+    assert [len(s) for s in tokens.sliced(["x"] * 5, 2)] == [2, 2, 1] and list(tokens.sliced([])) == []
