@@ -37,34 +37,35 @@ def check_sizes(size: int, overlap: int, least: int) -> None:
         raise ValueError(f"a least size of {least} doesn't fit chunks of {size}")
 
 
-def _joined_sizes(sentences: list[str], coder) -> list[tuple[int, int]] | None:
-    """Each sentence's tokens, alone and behind a space, if a coder's tokens never reach over a space that another sentence begins with."""
-    if not getattr(coder, "ends_at_spaces", False):
-        return None
-    counts = coder.counts([*sentences, *(f" {x}" for x in sentences)])
-    return list(zip(counts[: len(sentences)], counts[len(sentences) :]))
+def _joined_sizes(sentences: list[str], coder) -> list[int] | None:
+    """Each sentence's tokens behind a space, if a coder's tokens never reach over a space that another sentence begins with."""
+    return coder.counts([f" {x}" for x in sentences]) if getattr(coder, "ends_at_spaces", False) else None
 
 
 def _fit(paragraph: str, size: int, coder, count: Callable[[str], int]) -> Iterator[tuple[str, int]]:
-    """A paragraph in pieces of at most ``size`` tokens: whole, by sentences, or cut between tokens."""
-    n = count(paragraph)
+    """A paragraph in pieces of at most ``size`` tokens: whole, by sentences, or cut between tokens.
+
+    Where sentences are joined by a space each, their tokens add up to the paragraph's, so
+    a text is encoded once; alone only the sentences that open a piece are.
+    """
+    sentences = _SENTENCE.split(paragraph)
+    sizes = _joined_sizes(sentences, coder)
+    n = count(sentences[0]) + sum(sizes[1:]) if sizes and all(sentences) and " ".join(sentences) == paragraph else count(paragraph)
     if n <= size:
         yield paragraph, n
         return
-    sentences = _SENTENCE.split(paragraph)
-    sizes = _joined_sizes(sentences, coder)
     packed: list[tuple[str, int]] = []
     for k, sentence in enumerate(sentences):
         before, held = packed[-1] if packed else ("", 0)
         if not before:
-            packed[-1:] = [(sentence, sizes[k][0] if sizes else count(sentence))]
+            packed[-1:] = [(sentence, count(sentence))]
             continue
         longer = f"{before} {sentence}".strip()
-        grown = (held + sizes[k][1] if sentence else held) if sizes else count(longer)
+        grown = (held + sizes[k] if sentence else held) if sizes else count(longer)
         if grown <= size:
             packed[-1] = (longer, grown)
         else:
-            packed.append((sentence, sizes[k][0] if sizes else count(sentence)))
+            packed.append((sentence, count(sentence)))
     for piece, n in packed:
         if not piece:
             continue
@@ -83,7 +84,7 @@ def pack(text: str, size: int = 512, overlap: int = 50, least: int = 64, coder=N
 
     def count(part: str) -> int:
         if part not in known:
-            known[part] = len(coder.encode(part))
+            known[part] = coder.counts([part])[0] if hasattr(coder, "counts") else len(coder.encode(part))
         return known[part]
 
     parts = [x for p in text.split("\n\n") if p.strip() for x in _fit(p.strip(), size, coder, count)]

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from millrace.functions import tokens
-from millrace.operators import near_dedup
+from millrace.operators import chunking, near_dedup, quality
 
 
 def _plan(df) -> str:
@@ -35,3 +35,41 @@ def test_few_characters_are_encoded_at_once():
     assert coder.counts(texts) == [2000] * 300 + [0, tokens.PIECE]
     assert coder.coder.most == 2 * tokens.PIECE  # the one longer text, alone
     assert [len(s) for s in tokens.sliced(["x"] * 5, 2)] == [2, 2, 1] and list(tokens.sliced([])) == []
+
+
+class Spaced(chunking.WhitespaceTokens):
+    """Words, none of which reaches over a space; notes how many characters are counted."""
+
+    ends_at_spaces, seen = True, 0
+
+    def counts(self, texts):
+        self.seen += sum(map(len, texts))
+        return [len(t.split()) for t in texts]
+
+    def encode(self, text):
+        self.seen += len(text)
+        return text.split()
+
+
+def test_a_paragraph_is_encoded_once():
+    text = " ".join(f"a{i} " + "b " * 8 + "c." for i in range(500))
+    coder = Spaced()
+    packed = chunking.pack(text, 100, 10, 5, coder)
+    assert packed == chunking.pack(text, 100, 10, 5, chunking.WhitespaceTokens())
+    assert coder.seen < 1.5 * len(text)
+    assert chunking.pack("a b.  c d.\te", 3, 0, 0, Spaced()) == chunking.pack("a b.  c d.\te", 3, 0, 0)
+
+
+def test_blocks_are_cut_from_arrays_not_from_rows_of_tokens(spark):
+    ids = list(range(100, 157))
+    pieces = spark.createDataFrame([(0, ids[:3]), (3, []), (3, ids[3:40]), (40, ids[40:41]), (41, ids[41:])], "start long, ids array<int>")
+    for block, segment in ((4, 8), (9, 4), (56, 8), (5, 100)):
+        out = chunking.stream_blocks(pieces, block, segment)
+        assert "posexplode" not in _plan(out)
+        assert [(r["pos"], r["x"], r["y"]) for r in out.orderBy("pos").collect()] == [(i, ids[i : i + block], ids[i + 1 : i + 1 + block]) for i in range(57 - block)]
+
+
+def test_rows_of_examples_are_chosen_before_they_are_scored(spark):
+    rows = spark.createDataFrame([(i, None if i % 3 == 0 else "ab"[i % 2], f"t{i}") for i in range(20)], "doc_id int, lang string, text string")
+    some = quality.first_rows(rows, ["lang"], ["doc_id"], 2)
+    assert sorted(r["doc_id"] for r in some.collect()) == [0, 1, 2, 3, 4, 5]
