@@ -228,22 +228,22 @@ def token_stream(texts: DataFrame, order: list[str], path: str = VOCABULARY) ->
 def stream_blocks(stream: DataFrame, block: int, segment: int = 4096) -> DataFrame:
     """(pos, x, y): all windows of ``block`` tokens of one stream, and the same shifted by one; N - block of them.
 
-    ``stream`` has (start, ids).  Tokens go to segments of ``segment`` positions, those near
-    a segment's start to the one before as well, so no task sees more than a segment and
-    a block.  A stream of ``block`` tokens or fewer raises.
+    ``stream`` has (start, ids).  Pieces are cut into segments of ``segment`` positions, what is
+    near a segment's start goes to the one before as well, so no row holds more than a
+    segment and a block.  A stream of ``block`` tokens or fewer raises.
     """
     if block <= 0:
         raise ValueError("a block must hold at least one token")
-    tokens = stream.select(F.posexplode_outer("ids").alias("at", "tok"), "start").where("tok is not null").select((F.col("start") + F.col("at")).alias("pos"), "tok")
     total = stream.agg(F.coalesce(F.max(F.col("start") + F.size("ids")), F.lit(0)).alias("n")).first()["n"]
     if total <= block:
         raise ValueError(f"{total} tokens are too few for blocks of {block}")
-    own = F.floor(F.col("pos") / segment)
-    # The earliest segment that a token is still read by: one begins at most ``block`` before it.
-    earliest = F.floor(F.greatest(F.col("pos") - block, F.lit(0)) / segment)
-    dealt = tokens.select(F.explode(F.sequence(earliest, own)).alias("segment"), "pos", "tok")
-    lists = dealt.groupBy("segment").agg(F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("t"))
-    lists = lists.select("segment", F.transform("t", lambda r: r["tok"]).alias("t"))
+    # From the earliest segment that a piece's first token is still read by: one begins at most ``block`` before it.
+    earliest, own = F.floor(F.greatest(F.col("start") - block, F.lit(0)) / segment), F.floor((F.col("start") + F.size("ids") - 1) / segment)
+    dealt = stream.where(F.size("ids") > 0).select("start", "ids", F.explode(F.sequence(earliest, own)).alias("segment"))
+    first = F.greatest(F.col("segment") * segment - F.col("start"), F.lit(0)).cast("int")
+    last = F.least((F.col("segment") + 1) * segment + block - F.col("start"), F.size("ids").cast("long")).cast("int")
+    parts = dealt.select("segment", F.struct((F.col("start") + first).alias("at"), F.slice("ids", first + 1, last - first).alias("ids")).alias("part"))
+    lists = parts.groupBy("segment").agg(F.flatten(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["ids"])).alias("t"))
     some = F.least(F.lit(segment), F.lit(total - block) - F.col("segment") * segment)
     blocks = lists.where(some > 0).select("segment", "t", F.explode(F.sequence(F.lit(0), (some - 1).cast("int"))).alias("i"))
     return blocks.select((F.col("segment") * segment + F.col("i")).alias("pos"), F.slice("t", F.col("i") + 1, block).alias("x"), F.slice("t", F.col("i") + 2, block).alias("y"))
