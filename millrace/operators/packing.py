@@ -28,6 +28,8 @@ from .ranks import ranked
 
 #: Tokens of a range at least; a task holds the texts of one range.
 SPAN = 1 << 20
+#: Texts that are cut into pieces at once.
+ROWS = 256
 
 
 def parts(paragraphs: DataFrame, order: list[str], size: int, make_coder: Callable = BytePairTokens) -> DataFrame:
@@ -36,11 +38,13 @@ def parts(paragraphs: DataFrame, order: list[str], size: int, make_coder: Callab
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = make_coder()
-        for frame in frames:
+        count = (lambda t: coder.counts([t])[0]) if hasattr(coder, "counts") else (lambda t: len(coder.encode(t)))
+        # In small frames, as a batch's rows, pieces and columns are all held at once.
+        for frame in (f.iloc[i : i + ROWS] for f in frames for i in range(0, len(f), ROWS)):
             rows = []
             for *key, text in frame.itertuples(index=False, name=None):
                 if text and text.strip():
-                    rows += [(*key, i, t, n) for i, (t, n) in enumerate(_fit(text.strip(), size, coder, lambda t: len(coder.encode(t))))]
+                    rows += [(*key, i, t, n) for i, (t, n) in enumerate(_fit(text.strip(), size, coder, count))]
             yield pd.DataFrame(rows, columns=schema.names)
 
     return paragraphs.select(*order, "text").mapInPandas(run, schema)
