@@ -1,9 +1,11 @@
 """What the engine's steps hold and how they are joined, however large their tables are."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from millrace.functions import tokens
 from millrace.operators import chunking, near_dedup, quality
+from millrace.plans.queries import ORACLES, QUERIES
 
 
 def _plan(df) -> str:
@@ -73,3 +75,12 @@ def test_rows_of_examples_are_chosen_before_they_are_scored(spark):
     rows = spark.createDataFrame([(i, None if i % 3 == 0 else "ab"[i % 2], f"t{i}") for i in range(20)], "doc_id int, lang string, text string")
     some = quality.first_rows(rows, ["lang"], ["doc_id"], 2)
     assert sorted(r["doc_id"] for r in some.collect()) == [0, 1, 2, 3, 4, 5]
+
+
+def test_texts_without_a_trigram_have_no_language_as_in_sql(spark, tmp_path):
+    rows = [(0, "es", "osra no ja de"), (1, "es", "osra la ja de"), (2, "en", "the cat sat on the mat"), (5, "en", " a\n"), (10, "en", None), (15, "en", "cat")]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(ORACLES["languages_found"]).fetchall()
+    assert sorted(map(tuple, QUERIES["languages_found"](spark, str(tmp_path)).collect())) == sorted(want) == [("en", "en", 1), ("es", "es", 1)]
