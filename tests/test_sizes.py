@@ -1,10 +1,15 @@
 """What the engine's steps hold and how they are joined, however large their tables are."""
 
+import random
+import re
+import unicodedata
+
 import duckdb
 from pyspark.sql import functions as F
 
+from millrace.functions import text as T
 from millrace.functions import tokens
-from millrace.operators import chunking, near_dedup, quality
+from millrace.operators import chunking, cleaning, near_dedup, quality
 from millrace.plans.queries import ORACLES, QUERIES
 
 
@@ -20,6 +25,34 @@ def test_keys_of_near_pairs_are_not_broadcast(spark):
     assert [(r["a"]["_a"], r["b"]["_a"]) for r in pairs.collect()] == [(1, 3)]
 
 
+def test_plain_texts_are_looked_through_by_few_patterns(spark):
+    plan = _plan(quality.score(cleaning.clean_text(spark.createDataFrame([("a",)], "text string"))))
+    assert plan.count(f"RLIKE(text#") and f"[^{T.STABLE}]), " not in plan and T.UNSTABLE in plan
+    lines = plan.split("ArrowEvalPython")[1]
+    assert lines.count("split(") == 3  # lines once, paragraphs once, and the lines of a paragraph
+    assert "transform(_words" not in plan and "regexp_replace(lambda" not in plan  # no pattern for each word
+
+
+def test_metrics_of_odd_texts_follow_plain_python(spark):
+    pool = ["the", "CAT", " ", "\n", "\x1c", "\x85", "\xa0", "\u2003", "ΟΔΟΣ", "ΣΑΣ.", "İst", "\u212a", "中文", "Жук", "é", "#", "~~", "€", "cf.", "p. 12", "ſee also", "rhythms", "Σ", "\u200b", "1", "²"]
+    draw = random.Random(3)
+    texts = ["", " \xa0", *("".join(draw.choice(pool) + draw.choice(["", " "]) for _ in range(draw.randint(1, 25))) for _ in range(400))]
+    rows = quality.score(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).collect()
+    assert len(rows) == len(texts)
+    white, usual = re.compile(r"[\s\x1c-\x1f]+"), set(".,;:!?'\"()-–—…$%/&")
+    for r in rows:
+        text = texts[r["i"]]
+        words = [w for w in white.split(text) if w]
+        alpha = [a for w in words if (a := re.sub("[^A-Za-z]", "", w))]
+        odd = sum(not (c in usual or white.match(c) or unicodedata.category(c)[0] in "LN") for c in text)
+        lowered = {w.lower() for w in words}
+        assert (r["n_words"], r["n_alpha"]) == (len(words), len(alpha)), repr(text)
+        assert r["unusual_char_ratio"] == odd / max(len(text), 1), repr(text)
+        assert r["alphabetic_ratio"] == sum(unicodedata.category(c)[0] == "L" for c in text) / max(len(text), 1), repr(text)
+        assert r["repeated_token_ratio"] == 1 - len(lowered) / max(len(words), 1), repr(text)
+        assert r["stopword_ratio"] == (sum(a.lower() in T.STOPWORDS for a in alpha) / len(alpha) if alpha else 0), repr(text)
+
+
 class Recorded:
     """A coder that notes how many characters it is given at once."""
 
