@@ -95,6 +95,23 @@ def test_a_paragraph_is_encoded_once():
     assert chunking.pack("a b.  c d.\te", 3, 0, 0, Spaced()) == chunking.pack("a b.  c d.\te", 3, 0, 0)
 
 
+def test_words_of_a_paragraph_are_counted_once(monkeypatch):
+    seen = []
+
+    class Text(str):
+        def split(self, *a):
+            seen.append(len(self))
+            return str.split(self, *a)
+
+    split = chunking.WhitespaceTokens.encode
+    monkeypatch.setattr(chunking.WhitespaceTokens, "encode", lambda self, t: split(self, Text(t)))
+    monkeypatch.setattr(chunking.WhitespaceTokens, "counts", lambda self, texts: [len(Text(t).split()) for t in texts], raising=False)
+    text = " ".join(f"a{i} " + "b " * 8 + "c." for i in range(500))
+    packed = chunking.pack(text, 100, 10, 5, chunking.WhitespaceTokens())
+    assert packed == chunking.pack(text, 100, 10, 5, Spaced())
+    assert packed[0] == (" ".join(text.split()[:100]), 100) and sum(seen) < 1.5 * len(text)
+
+
 def test_blocks_are_cut_from_arrays_not_from_rows_of_tokens(spark):
     ids = list(range(100, 157))
     pieces = spark.createDataFrame([(0, ids[:3]), (3, []), (3, ids[3:40]), (40, ids[40:41]), (41, ids[41:])], "start long, ids array<int>")
