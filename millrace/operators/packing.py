@@ -131,7 +131,10 @@ def chunk_corpus(paragraphs: DataFrame, order: list[str], size: int = 512, overl
     result is the same for any number of partitions.  Without text there are no chunks.
     """
     check_sizes(size, overlap, least)
-    placed = ranked(parts(paragraphs, order, size, make_coder), [*order, "piece_no"], "n", "parts").select("_no", "_at", "n", "text")
+    # Ranges are sampled from what they deal out, so paragraphs are dealt before they are encoded and not after.
+    n = int(paragraphs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = parts(paragraphs.select(*order, "text").repartitionByRange(n, *order), order, size, make_coder)
+    placed = ranked(pieces, [*order, "piece_no"], "n", "parts", ranged=True).select("_no", "_at", "n", "text")
     longest, total = placed.agg(F.max("n"), F.max(F.col("_at") + F.col("n"))).first()
     if longest is None:
         return paragraphs.sparkSession.createDataFrame([], "chunk_no long, text string, token_count long")

@@ -28,16 +28,18 @@ def _running(weight: str | None):
     return run
 
 
-def ranked(df: DataFrame, order: list[str], weight: str | None = None, name: str = "ranked") -> DataFrame:
+def ranked(df: DataFrame, order: list[str], weight: str | None = None, name: str = "ranked", ranged: bool = False) -> DataFrame:
     """``df`` with ``_no``, a row's place in ``order``, and ``_at``, the sum of ``weight`` (without null) over the rows before it.
 
     Rows go to ranges of the order and are counted where they are, so they are shuffled
     once.  The driver holds two sums a range.  Rows that ``order`` does not tell apart
-    are numbered in some order; the table is stored, so that it stays.
+    are numbered in some order; the table is stored, so that it stays.  ``ranged`` says that
+    partitions are ranges of the order already.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = S.StructType([*df.schema.fields, S.StructField("_part", S.IntegerType()), S.StructField("_no", S.LongType()), S.StructField("_at", S.LongType())])
-    local = stored(df.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_running(weight), schema), name)
+    dealt = df if ranged else df.repartitionByRange(n, *order)
+    local = stored(dealt.sortWithinPartitions(*order).mapInArrow(_running(weight), schema), name)
     sums = local.groupBy("_part").agg(F.count("*").alias("n"), F.sum(F.lit(1) if weight is None else F.col(weight)).alias("w")).orderBy("_part").collect()
     bases, no, at = [], 0, 0
     for r in sums:

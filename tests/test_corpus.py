@@ -56,6 +56,23 @@ def test_packing_nothing(spark):
         packing.chunk_corpus(spark.createDataFrame([(1, "x")], "k int, text string"), ["k"], 10, 10)
 
 
+def test_a_corpus_is_encoded_once(spark, tmp_path):
+    log = str(tmp_path / "counted")
+
+    class Told(chunking.WhitespaceTokens):
+        ends_at_spaces = False
+
+        def counts(self, texts):
+            with open(log, "a") as out:
+                out.writelines(f"{t}\n" for t in texts)
+            return super().counts(texts)
+
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "k int, text string").repartition(3)
+    got = packing.chunk_corpus(df, ["k"], 10, 0, 0, Told).orderBy("chunk_no").collect()
+    assert "\n\n".join(r["text"] for r in got).split("\n\n") == [f"text {i}" for i in range(40)]
+    assert sorted(open(log).read().split("\n")[:-1]) == sorted(f"text {i}" for i in range(40))
+
+
 def test_a_table_gives_the_same_dataset_for_any_partitions(spark, partitions, tmp_path):
     docs, found = spark.read.parquet(f"{SF}/documents.parquet"), []
     for n in (1, 4, 16):
