@@ -134,3 +134,26 @@ def test_texts_without_a_trigram_have_no_language_as_in_sql(spark, tmp_path):
     con.execute(f"create view documents as from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     want = con.execute(ORACLES["languages_found"]).fetchall()
     assert sorted(map(tuple, QUERIES["languages_found"](spark, str(tmp_path)).collect())) == sorted(want) == [("en", "en", 1), ("es", "es", 1)]
+
+
+def test_token_counts_are_added_up_from_words():
+    coder = tokens.BytePairTokens()
+    pool = ["the", "The", "naïve", "Straße.", "été,", "it's", "'s", "’s", "x1", "3.14", "...", "),", "—", "$%", "<|endoftext|>", "a<|endoftext|>b", "中文", "Жук", "é", "ẞ", "ŉ", "ª", "\xad", "᠎", "​", "\x1c", "\x85", "\xa0", "　", "\t", "\n", "\n\n", "  ", "a" * 70, "😀", "İ", "?!", "stat!?"]
+    draw = random.Random(5)
+    texts = ["", " ", "\n\n", " a", "a ", "a\n\n b", "a \n\nb", *("".join(draw.choice(pool) + draw.choice([" ", " ", " ", "", "\n\n"]) for _ in range(draw.randint(1, 30))) for _ in range(4000))]
+    assert coder.counts(texts) == [len(coder.encode(t)) for t in texts] == coder.counts(texts)
+    # A word that is known isn't encoded again; where the coder changes a text first, words don't add up.
+    plain, coder.coder = ["the cat sat, the cat ran.\n\nthe dog", " the cat"] * 50, Recorded()
+    want = [len(tokens.tokenizer().encode(t).ids) for t in plain]
+    assert coder.counts(plain) == want and coder.coder.most == 0
+    words = tokens.WordSizes(tokens.tokenizer())
+    words.MOST = 3
+    assert [words.total(t) for t in plain] == want and len(words) <= 3 and words.total("a" * 65) == len(tokens.tokenizer().encode("a" * 65).ids)
+    assert tokens.WordSizes.of(Recorded()) is None
+
+
+def test_sentences_end_where_the_pattern_with_a_look_back_says():
+    draw = random.Random(8)
+    for _ in range(2000):
+        text = "".join(draw.choice("ab.!? \n\xa0") for _ in range(draw.randint(0, 25)))
+        assert chunking._sentences(text) == re.split(r"(?<=[.!?])\s+", text)
