@@ -11,6 +11,7 @@ from millrace.functions import text as T
 from millrace.functions import tokens
 from millrace.operators import chunking, cleaning, near_dedup, quality
 from millrace.plans.queries import ORACLES, QUERIES
+from millrace.sources import readers
 
 
 def _plan(df) -> str:
@@ -157,3 +158,24 @@ def test_sentences_end_where_the_pattern_with_a_look_back_says():
     for _ in range(2000):
         text = "".join(draw.choice("ab.!? \n\xa0") for _ in range(draw.randint(0, 25)))
         assert chunking._sentences(text) == re.split(r"(?<=[.!?])\s+", text)
+
+
+def test_gates_of_patterns_change_nothing(spark):
+    pool = ["the", "CAT.", " ", "  ", "\t", "\n", "\n\n", "\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x1f", "\x7f", "\x85", "\xa0", " ", " ", " ", " ", " ", " ", "　", "�", "\x00", "-\n", "exam", "<b>", "</b>", "<", "&amp;", "&", "<!--", "svg", "menu", "www.a.example", "é", "ﬁ", "–", "İ", "中文", "​"]
+    draw = random.Random(4)
+    texts = [None, "", *("".join(draw.choice(pool) + draw.choice(["", "", " ", "\n"]) for _ in range(draw.randint(1, 14))) for _ in range(6000))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    t = F.col("text")
+    plain = T.collapse(T.nfkc(T.reflow(T.dehyphenate(T.drop_garbage(T.keep_lines(T.strip_tags(t), T.MARKUP_WORD, T.BOILERPLATE, T.BARE_URL))))))
+    want = {r["i"]: r["x"] for r in rows.select("i", plain.alias("x")).collect()}
+    got = cleaning.clean_text(rows).collect()
+    assert len(got) == len(texts) and set(got[0].asDict()) == {"i", "text"}
+    for r in got:
+        assert r["text"] == want[r["i"]], repr(texts[r["i"]])
+    key = F.regexp_replace(F.lower(T.strip(t)), rf"(?U)[{T.WHITE}&&[^ ]]{T.WHITE}*| {T.WHITE}+", " ")
+    trimmed = F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
+    assert rows.where(~T.normalized(t).eqNullSafe(key)).isEmpty() and rows.where(t.rlike(rf"(?U)[{T.WHITE}&&[^ ]]") & ~T.odd_white(t)).isEmpty()
+    read = readers.read_table(rows.select("i", t.alias("body")), "body", ["i"])
+    assert sorted((r["i"], r["text"]) for r in read.collect()) == sorted((r["i"], r["x"]) for r in rows.select("i", trimmed.alias("x")).where("x <> ''").collect())
+    ordinary = spark.createDataFrame([("A plain text.\nIts second line.",)], "text string")
+    assert ordinary.where(T.holds(t, "<", "&", "-\n", "  ", "\t") | t.rlike(T.ODD_SIGNS)).isEmpty() and ordinary.where(T.odd_white(F.replace(t, F.lit("\n"), F.lit(" ")))).isEmpty()
