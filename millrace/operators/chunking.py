@@ -22,6 +22,8 @@ class WhitespaceTokens:
     """A counter without a vocabulary: a token is a run of other than white space."""
 
     ends_at_spaces = True
+    #: What a blank line between two texts adds, and what texts begin with behind which it adds something else.
+    blank_line, added = 0, ()
 
     def counts(self, texts: list[str]) -> list[int]:
         return [len(t.split()) for t in texts]
@@ -138,17 +140,31 @@ def chunk(docs: DataFrame, key: str = "doc_id", size: int = 512, overlap: int =
     return docs.select(key, "text").mapInPandas(run, f"{key} {kind}, chunk_no int, text string, token_count int")
 
 
+def _joined_size(text: str, parts: int | None, coder) -> int | None:
+    """The tokens of parts joined by blank lines, if a blank line adds the same behind and before each of them."""
+    blank_line = getattr(coder, "blank_line", None)
+    if blank_line is None or parts is None:
+        return None
+    some = text.split("\n\n")
+    if not all(some) or any(t[0].isspace() or t[-1].isspace() for t in some) or any(t.startswith(coder.added) for t in some):
+        return None
+    return parts + blank_line * (len(some) - 1)
+
+
 def coded_sizes(texts: DataFrame, make_coder: Callable = BytePairTokens) -> DataFrame:
-    """(n): the tokens of each ``text``."""
+    """(n): the tokens of each ``text``; ``parts``, where it is there and not null, sums those of its parts, so that the text isn't encoded again."""
+    parts = F.col("parts") if "parts" in texts.columns else F.lit(None).cast("long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = make_coder()
         for batch in batches:
             some = batch.column(0).to_pylist()
-            counts = coder.counts(some) if hasattr(coder, "counts") else [len(coder.encode(t)) for t in some]
-            yield pa.RecordBatch.from_arrays([pa.array(counts, pa.int64())], ["n"])
+            sums = [_joined_size(t, n, coder) for t, n in zip(some, batch.column(1).to_pylist())]
+            rest = [t for t, n in zip(some, sums) if n is None]
+            counts = iter(coder.counts(rest) if hasattr(coder, "counts") else [len(coder.encode(t)) for t in rest])
+            yield pa.RecordBatch.from_arrays([pa.array([next(counts) if n is None else n for n in sums], pa.int64())], ["n"])
 
-    return texts.select("text").mapInArrow(run, "n long")
+    return texts.select("text", parts.alias("parts")).mapInArrow(run, "n long")
 
 
 def token_blocks(tokens: DataFrame, block: int, scope: list[str]) -> DataFrame:

@@ -179,3 +179,17 @@ def test_gates_of_patterns_change_nothing(spark):
     assert sorted((r["i"], r["text"]) for r in read.collect()) == sorted((r["i"], r["x"]) for r in rows.select("i", trimmed.alias("x")).where("x <> ''").collect())
     ordinary = spark.createDataFrame([("A plain text.\nIts second line.",)], "text string")
     assert ordinary.where(T.holds(t, "<", "&", "-\n", "  ", "\t") | t.rlike(T.ODD_SIGNS)).isEmpty() and ordinary.where(T.odd_white(F.replace(t, F.lit("\n"), F.lit(" ")))).isEmpty()
+
+
+def test_tokens_of_a_chunk_are_those_of_its_parts(spark):
+    coder = tokens.BytePairTokens()
+    draw = random.Random(6)
+    pool = ["the cat", "it's", " a", "b ", "été.", "<|endoftext|>", "<|endoftext|> c", "x<|endoftext|>", "\xa0d", "e\x1c", "3.14", "\n", "’s", "— f"]
+    joined = [[draw.choice(pool) for _ in range(draw.randint(1, 6))] for _ in range(1500)] + [["a", "", "b"]]
+    rows = [("\n\n".join(p), sum(coder.counts(p))) for p in joined]
+    want = sum(coder.counts([t for t, _ in rows]))
+    assert [n for (t, s), n in zip(rows, coder.counts([t for t, _ in rows])) if chunking._joined_size(t, s, coder) not in (None, n)] == []
+    df = spark.createDataFrame([*rows, ("a b", None)], "text string, parts long")
+    assert chunking.coded_sizes(df).agg(F.sum("n")).first()[0] == want + 2 == chunking.coded_sizes(df.select("text")).agg(F.sum("n")).first()[0]
+    plain = [("the cat\n\nit's", sum(coder.counts(["the cat", "it's"])))] * 3
+    assert [chunking._joined_size(t, n, coder) for t, n in plain] == coder.counts([t for t, _ in plain]) and chunking._joined_size("a", 1, Spaced()) == 1 and chunking._joined_size("a", 1, Recorded()) is None
